@@ -45,7 +45,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the files behind ``df`` as the optimizer knows it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

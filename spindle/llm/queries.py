@@ -4,11 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.common import table
+from spindle.llm.packing import packed_documents
 from spindle.llm.simhash import near_duplicates
+from spindle.llm.tiff import stored_documents, tiff_pages
+from spindle.llm.token_count import token_counts
+from spindle.llm.token_files import encoded_digests
+from spindle.llm.toxicity import toxicity_scores
+from spindle.llm.transducer import encode_documents
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = stored_documents(table(spark, sf_dir, "documents"))
+    stored = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    pages = tiff_pages(stored, ("doc_id", "n_bytes", "media_bytes", "media_sha256"), "media", nested=True)
+    read = pages.select("*", F.unhex(F.array_join(F.transform("pages", lambda p: F.hex(p["pixels"])), "")).alias("payload"))
+    first = F.element_at("pages", 1)
+    rows = F.aggregate("pages", F.lit(0), lambda a, p: a + p["height"])
+    mean = F.aggregate("pages", F.lit(0.0), lambda a, p: a + p["mean"] * p["height"]) / rows
+    feature = F.concat_ws(
+        ";", F.size("pages"), first["width"], rows, first["compression"], first["predictor"], first["tiled"].cast("int"), F.format_string("%.6f", mean)
+    )
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+        F.size("pages").alias("n_pages"),
+    )
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +50,35 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op7_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048)
+
+
+def op8_transducer_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tiff_media": op1_tiff_media,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op5_token_counts": op5_token_counts,
+    "op6_token_files": op6_token_files,
+    "op7_best_two_fit_packing": op7_best_two_fit_packing,
+    "op8_transducer_codec": op8_transducer_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
