@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.llm.common import table
 from spindle.llm.packing import packed_documents
+from spindle.llm.quality import quality_scores
 from spindle.llm.simhash import near_duplicates
 from spindle.llm.tiff import stored_documents, tiff_pages
 from spindle.llm.token_count import token_counts
@@ -71,6 +72,10 @@ def op8_transducer_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_best_two_fit_packing": op7_best_two_fit_packing,
     "op8_transducer_codec": op8_transducer_codec,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
