@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +58,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("a").alias("node"), "component").unionByName(
         roots.select(F.col("component").alias("node"), "component").distinct()
     )
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row that it is linked with, over any steps."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, before[b])
+        np.minimum.at(root, b, before[a])
+        root = root[root]
+        if np.array_equal(root, before):
+            return root

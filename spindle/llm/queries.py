@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.common import table
+from spindle.llm.multi_index import near_duplicate_vectors
 from spindle.llm.packing import packed_documents
 from spindle.llm.quality import quality_scores
 from spindle.llm.simhash import near_duplicates
@@ -76,6 +77,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op10_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_two_fit_packing": op7_best_two_fit_packing,
     "op8_transducer_codec": op8_transducer_codec,
     "op9_quality": op9_quality,
+    "op10_multi_index_near_dedup": op10_multi_index_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}

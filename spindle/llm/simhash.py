@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import written
-from spindle.llm.components import connected_components
+from spindle.llm.components import connected_components, forest
 
 BITS = 64
 SEED = 42
@@ -205,18 +205,6 @@ def _pairs_within(fp: np.ndarray, role: np.ndarray, start: np.ndarray, tau: int)
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that it is linked with, over any steps."""
-    root = np.arange(n)
-    while True:
-        before = root.copy()
-        np.minimum.at(root, a, before[b])
-        np.minimum.at(root, b, before[a])
-        root = root[root]
-        if np.array_equal(root, before):
-            return root
-
-
 def _linked(tau: int):
     """mapInArrow function over rows sorted by bucket: a spanning forest of each bucket's links."""
 
@@ -225,7 +213,7 @@ def _linked(tau: int):
         a, b = _pairs_within(fp.view(np.uint64), role, start, tau)
         if not len(a):
             return None
-        root = _forest(len(fp), a, b)
+        root = forest(len(fp), a, b)
         i = np.flatnonzero((root != np.arange(len(fp))) & (fp != fp[root]))
         return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], ["a", "b"])
 
