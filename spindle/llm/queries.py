@@ -13,6 +13,7 @@ from spindle.llm.multi_index import near_duplicate_vectors
 from spindle.llm.packing import packed_documents
 from spindle.llm.quality import quality_scores
 from spindle.llm.simhash import near_duplicates
+from spindle.llm.suffix_dedup import remove_repeats
 from spindle.llm.tiff import stored_documents, tiff_pages
 from spindle.llm.token_count import token_counts
 from spindle.llm.token_files import encoded_digests
@@ -56,6 +57,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_best_two_fit_packing": op7_best_two_fit_packing,
