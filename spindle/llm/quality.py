@@ -94,12 +94,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Quali
     return QualityModel(fit_classifier(x, y, trees=100, depth=4))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``held_out, score, predicted`` for every row of ``docs``.
 
     Held-out rows teach nothing; ids, languages, sources and labels are no
     features. A null text is scored as an empty one, a null doc_id stays null
     and is not held out, repeated rows are scored each. Without labels of both
     kinds the score is the base rate.
     """
-    return scored(docs, Statistics, fit_quality(docs, labels, most).classifier, threshold)
+    return scored(docs, Statistics, fit_quality(docs, labels, most).classifier, threshold, keep)

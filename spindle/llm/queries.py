@@ -50,7 +50,9 @@ def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"), tau=3, words=3)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # the bytes are stored lowest first
+    digits = F.concat(*(F.substring(F.hex("fp"), 15 - 2 * i, 2) for i in range(8)))
+    return out.select("doc_id", F.lower(digits).alias("fingerprint"), "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

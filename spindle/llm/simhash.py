@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from spindle.llm.common import written
 from spindle.llm.components import connected_components, forest
 
-BITS = 64
 SEED = 42
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Relative costs of writing one probe and of comparing one pair.
@@ -30,21 +30,26 @@ PROBE_COST, VERIFY_COST = 250.0, 1.0
 BLOCK = 4096
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of ``text``; see ``fingerprints``."""
+def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
+    """SimHash of ``text`` in ``bits`` bits (little-endian words of 64); see ``fingerprints``."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return 0
+        return bytes(bits // 8)
     if len(tokens) < words:
         grams = [b" ".join(tokens)]
     else:
         grams = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
     digest = xxhash.xxh64_intdigest
-    ones, n, chunk = np.zeros(BITS, np.int64), 0, []
+    ones, n, chunk = np.zeros(bits, np.int64), 0, []
 
     def flush() -> None:
-        h = np.array(chunk, np.uint64).view(np.uint8).reshape(-1, 8)
-        ones[:] += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        h = np.array(chunk, np.uint64)
+        for k in range(bits // 64):
+            if k:  # further words come from the first hash
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                h = h ^ (h >> np.uint64(31)) ^ np.uint64(k)
+            ones[64 * k : 64 * k + 64] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
 
     for g in grams:
         chunk.append(digest(g, SEED))
@@ -55,67 +60,76 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     if chunk:
         flush()
     n += len(chunk)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long), one row per row of ``docs``.
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint as bytes, lowest bit first), one row per row of ``docs``.
 
-    A null text counts as empty (fingerprint zero). A null doc_id stays null.
-    Other columns are ignored.
+    Words are separated by ASCII white space after A-Z are lower-cased; a bit
+    is set if it is set in over half the hashes of all runs of ``words`` words
+    (a shorter text is one run; without words no bit is set). A null text
+    counts as empty. A null doc_id stays null. Other columns are ignored.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), words, bits) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, fp binary")
 
 
-def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints, and how many have both bit i and bit j set (64 x 64)."""
+def _words(column: pa.Array, bits: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, bits // 64)
+
+
+def _bits(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
+def bit_statistics(nodes: DataFrame, bits: int) -> tuple[int, np.ndarray]:
+    """Number of fingerprints, and how many have both bit i and bit j set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS)), 0
+        total, n = np.zeros((bits, bits), np.float32), 0
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-            total += bits.T @ bits
-            n += len(fps)
-        i, j = np.triu_indices(BITS)
+            if batch.num_rows:
+                own = _bits(_words(batch.column(0), bits)).astype(np.float32)
+                total += own.T @ own
+                n += len(own)
+        i, j = np.triu_indices(bits)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(i, -1)), pa.array(np.append(j, -1)), pa.array(np.append(total[i, j], n).astype(np.int64))],
             ["i", "j", "n"],
         )
 
-    rows = nodes.select("fp").mapInArrow(of, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    both, n = np.zeros((BITS, BITS)), 0
-    for r in rows:
-        if r.i < 0:
-            n = r.n
-        else:
-            both[r.i, r.j] = both[r.j, r.i] = r.n
-    return n, both
+    rows = nodes.select("fp").mapInArrow(of, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    i, j, n = (rows.column(c).to_numpy() for c in ("i", "j", "n"))
+    both = np.zeros((bits, bits))
+    both[i[i >= 0], j[i >= 0]] = both[j[i >= 0], i[i >= 0]] = n[i >= 0]
+    return int(n[i < 0].sum()), both
 
 
 def grouped_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     """Cut the bits into ``parts`` parts; a part grows by the bit most correlated with it."""
+    total = len(both)
     p = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
     np.fill_diagonal(corr, 0)
-    left, out = set(range(BITS)), []
+    free, out = np.ones(total, bool), []
     for k in range(parts):
-        width = BITS // parts + (k < BITS % parts)
-        rest = sorted(left)
-        first = max(rest, key=lambda b: (corr[b, rest].max(), -b))
-        part = [first]
-        left.remove(first)
+        width = total // parts + (k < total % parts)
+        rest = np.flatnonzero(free)
+        part = [int(rest[corr[np.ix_(rest, rest)].max(1).argmax()])]
+        free[part] = False
+        near = corr[part[0]].copy()
         while len(part) < width:
-            best = max(sorted(left), key=lambda b: (corr[b, part].mean(), -b))
+            best = int(np.where(free, near, -1).argmax())
             part.append(best)
-            left.remove(best)
+            free[best] = False
+            near += corr[best]
         out.append(sorted(part))
     return out
 
@@ -140,50 +154,69 @@ def probes(width: int, t: int) -> int:
     return total
 
 
-def plan(n: int, both: np.ndarray, tau: int) -> tuple[list[list[int]], list[int]]:
+def plan(n: int, both: np.ndarray, tau: int, recall: float | None = None) -> tuple[list[list[int]], list[int]]:
     """The parts and thresholds of least estimated cost.
 
-    For 2 to ``tau + 1`` parts, a dynamic program spends tau + 1 units on the
-    parts; a part with threshold t costs t + 1 of them, its probes, and the
-    candidates it is expected to bring.
+    A dynamic program spends units on the parts; a part costs its probes and
+    the candidates that it is expected to bring. Exact (``recall`` None): a
+    threshold t counts t + 1 units of tau + 1, and no pair within ``tau`` is
+    missed. With ``recall``: it counts the logarithm by which it lowers the
+    chance that a pair exactly ``tau`` bits apart agrees in no part, until that
+    is 1 - recall; nearer pairs are missed more rarely.
     """
+    bits = len(both)
+    if recall is None:
+        need, most = tau + 1, tau
+        sizes = [(m, lambda width, t: t + 1) for m in range(2, tau + 2)]
+    else:
+        q = tau / bits
+        need, most = int(np.ceil(-100 * np.log(1 - recall))), 2
+
+        def gain(width: int, t: int) -> int:
+            chance = sum(comb(width, k) * q**k * (1 - q) ** (width - k) for k in range(t + 1))
+            return int(-100 * np.log(1 - chance)) if t >= 0 else 0
+
+        sizes = [(max(2, bits // w), gain) for w in (10, 12, 14, 16, 20, 24)]
     best: tuple[float, list, list] | None = None
-    for m in range(2, tau + 2):
+    for m, units in sizes:
         parts = grouped_bits(n, both, m)
         state: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
         for part in parts:
-            near, after = within(n, both, part, tau), {}
+            near, after = within(n, both, part, most), {}
+            options = [(0, 0.0, -1)]
+            for t in range(most + 1):
+                options.append((units(len(part), t), n * (probes(len(part), t) + (t > 0)) * PROBE_COST + n * n / 2 * near[t] * VERIFY_COST, t))
             for spent, (cost, ts) in state.items():
-                for t in range(-1, tau - spent + 1):
-                    own = 0.0 if t < 0 else n * (probes(len(part), t) + (t > 0)) * PROBE_COST + n * n / 2 * near[t] * VERIFY_COST
-                    key, value = spent + t + 1, (cost + own, [*ts, t])
-                    if key not in after or value[0] < after[key][0]:
-                        after[key] = value
+                for unit, own, t in options:
+                    key, value = min(need, spent + unit), cost + own
+                    if key not in after or value < after[key][0]:
+                        after[key] = (value, [*ts, t])
             state = after
-        cost, ts = state[tau + 1]
-        if best is None or cost < best[0]:
-            best = (cost, parts, ts)
+        if need in state and (best is None or state[need][0] < best[0]):
+            best = (state[need][0], parts, state[need][1])
+    if best is None:
+        raise ValueError("no thresholds reach the wanted recall")
     return best[1], best[2]
 
 
-def _probe_rows(parts: list[list[int]], thresholds: list[int]):
+def _probe_rows(parts: list[list[int]], thresholds: list[int], bits: int):
     """mapInArrow function: the keys under which a fingerprint is stored and probes."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not batch.num_rows:
+                continue
+            own = _bits(_words(batch.column(0), bits)).astype(np.int64)
             for k, (part, t) in enumerate(zip(parts, thresholds, strict=True)):
                 if t < 0:
                     continue
-                key = np.zeros(len(fps), np.int64)
-                for j, b in enumerate(part):
-                    key |= ((fps >> b) & 1) << j
+                key = own[:, part] @ (1 << np.arange(len(part), dtype=np.int64))
                 flips = [0] + [sum(1 << j for j in c) for r in range(1, t + 1) for c in combinations(range(len(part)), r)]
                 for f in flips:
                     # role 0: stored and probing under its own value; role 1: probes a value nearby
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(fps), k, np.int32)), pa.array(key ^ f), pa.array(np.full(len(fps), int(f > 0), np.int32)), pa.array(fps)],
-                        ["part", "key", "role", "fp"],
+                        [pa.array(np.full(len(key), k, np.int32)), pa.array(key ^ f), pa.array(np.full(len(key), int(f > 0), np.int32)), *batch.columns],
+                        ["part", "key", "role", "fp", "first_id"],
                     )
 
     return of
@@ -197,7 +230,8 @@ def _pairs_within(fp: np.ndarray, role: np.ndarray, start: np.ndarray, tau: int)
     i, d = np.arange(n), 1
     while len(i := i[i + d < ends[i]]):
         j = i + d
-        ok = ((role[i] == 0) | (role[j] == 0)) & (np.bitwise_count(fp[i] ^ fp[j]) <= tau)
+        far = np.bitwise_count(fp[i] ^ fp[j]).sum(1, dtype=np.int64)
+        ok = ((role[i] == 0) | (role[j] == 0)) & (far <= tau)
         out_a.append(i[ok])
         out_b.append(j[ok])
         d += 1
@@ -205,77 +239,85 @@ def _pairs_within(fp: np.ndarray, role: np.ndarray, start: np.ndarray, tau: int)
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def _linked(tau: int):
+def _linked(tau: int, bits: int):
     """mapInArrow function over rows sorted by bucket: a spanning forest of each bucket's links."""
 
-    def edges(buckets: np.ndarray, role: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+    def edges(buckets: np.ndarray, role: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         start = np.flatnonzero(np.append(True, np.any(buckets[1:] != buckets[:-1], axis=1)))
-        a, b = _pairs_within(fp.view(np.uint64), role, start, tau)
+        a, b = _pairs_within(fp, role, start, tau)
         if not len(a):
             return None
         root = forest(len(fp), a, b)
-        i = np.flatnonzero((root != np.arange(len(fp))) & (fp != fp[root]))
-        return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], ["a", "b"])
+        i = np.flatnonzero(ids != ids[root])
+        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root[i]])], ["a", "b"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        rows, fps = np.zeros((0, 5), np.int64), np.zeros((0, bits // 64), np.uint64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            rows = np.concatenate([*held, rows])
+            own = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "key", "pair", "role", "first_id")]
+            rows = np.concatenate([rows, np.stack(own, axis=1)])
+            fps = np.concatenate([fps, _words(batch.column("fp"), bits)])
             # the last bucket may go on in the next batch
             last = int(np.flatnonzero(np.append(True, np.any(rows[1:, :3] != rows[:-1, :3], axis=1)))[-1])
-            if last and (done := edges(rows[:last, :3], rows[:last, 3], rows[:last, 4].copy())) is not None:
+            if last and (done := edges(rows[:last, :3], rows[:last, 3], rows[:last, 4].copy(), fps[:last])) is not None:
                 yield done
-            held = [rows[last:]]
-        if held and (done := edges(held[0][:, :3], held[0][:, 3], held[0][:, 4].copy())) is not None:
+            rows, fps = rows[last:], fps[last:]
+        if len(rows) and (done := edges(rows[:, :3], rows[:, 3], rows[:, 4].copy(), fps)) is not None:
             yield done
 
     return of
 
 
-def linked_fingerprints(nodes: DataFrame, tau: int = 3) -> DataFrame:
-    """``a, b``: links between fingerprints (column ``fp``) at most ``tau`` bits apart.
+def linked_fingerprints(nodes: DataFrame, tau: int = 3, bits: int = 64, recall: float | None = None) -> DataFrame:
+    """``a, b``: links between nodes (``fp, first_id``) at most ``tau`` bits apart, by first_id.
 
     Of the links within a bucket a spanning forest is returned, so that the
     components are those of all links. Buckets of more than ``BLOCK`` rows are
     cut into blocks and their pairs of blocks go to different tasks: no task
     holds more than two blocks of such a bucket.
     """
-    n, both = bit_statistics(nodes)
-    parts, thresholds = plan(n, both, tau)
-    rows = nodes.select("fp").mapInArrow(_probe_rows(parts, thresholds), "part int, key long, role int, fp long")
+    n, both = bit_statistics(nodes, bits)
+    parts, thresholds = plan(n, both, tau, recall)
+    rows = nodes.select("fp", "first_id").mapInArrow(_probe_rows(parts, thresholds, bits), "part int, key long, role int, fp binary, first_id long")
     counts = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = written(counts, "buckets")
     if large.isEmpty():
-        blocks = rows.select("part", "key", F.lit(0).cast("long").alias("pair"), "role", "fp")
+        blocks = rows.withColumn("pair", F.lit(0).cast("long"))
     else:
         # a row in block x goes to the pairs {x, y} for every y: each pair of blocks meets once
         rows = rows.join(large, ["part", "key"], "left")
         k = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("n", F.lit(0)) / (BLOCK // 2)))
         x = F.pmod(F.xxhash64("fp"), k)
         rows = rows.withColumn("k", k).withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        pair = F.least("x", "y") * F.col("k") + F.greatest("x", "y")
-        blocks = rows.select("part", "key", pair.alias("pair"), "role", "fp")
+        blocks = rows.withColumn("pair", F.least("x", "y") * F.col("k") + F.greatest("x", "y")).drop("n", "k", "x", "y")
     dealt = blocks.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
-    return dealt.mapInArrow(_linked(tau), "a long, b long")
+    return dealt.mapInArrow(_linked(tau, bits), "a long, b long")
+
+
+def tau_for(similarity: float, bits: int) -> int:
+    """Differing bits to be expected between texts of that Jaccard similarity, and half a standard deviation more."""
+    cosine = 2 * similarity / (1 + similarity)
+    p = float(np.arccos(cosine) / np.pi)
+    return int(np.ceil(bits * p + 0.5 * np.sqrt(bits * p * (1 - p))))
 
 
-def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, bits: int = 64, recall: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id``: one row per row of ``docs``.
 
     component_id is the smallest doc_id reachable over fingerprints at most
     ``tau`` bits apart, the row's own doc_id included. Equal fingerprints are
-    one node, so copies are never paired. Rows whose doc_id is null have a
-    null component_id and link nothing. Repeated rows come out as often as they
-    came in. An empty table gives an empty table.
+    one node, so copies are never paired. Without ``recall`` no link is lost;
+    see ``plan``. Rows whose doc_id is null have a null component_id and link
+    nothing. Repeated rows come out as often as they came in. An empty table
+    gives an empty table.
     """
-    fps = written(fingerprints(docs, words), "fingerprints")
+    if bits % 64 or tau < 0:
+        raise ValueError("bits must be a multiple of 64, tau not negative")
+    fps = written(fingerprints(docs, words, bits), "fingerprints")
     nodes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = connected_components(linked_fingerprints(nodes, tau)).withColumnRenamed("node", "fp")
-    labelled = written(nodes.join(found, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")), "labelled")
-    least = written(labelled.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    named = written(labelled.join(least, "root").select("fp", "component_id"), "named")
-    out = fps.join(named, "fp", "left")
+    found = connected_components(linked_fingerprints(nodes, tau, bits, recall)).withColumnRenamed("node", "first_id")
+    named = nodes.join(found, "first_id", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
+    out = fps.join(written(named, "named"), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

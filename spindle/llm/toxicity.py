@@ -193,22 +193,25 @@ def collect_features(rows: DataFrame, make) -> tuple[np.ndarray, np.ndarray]:
 def scored(docs: DataFrame, make, classifier: Classifier, threshold: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` (and the columns ``keep``) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)  # a few thousand tree nodes
-    extra = [f"kept_{i}" for i in range(len(keep))]
+    # the text is not sent twice
+    extra = [f"kept_{i}" for i, k in enumerate(keep) if k != "text"]
+    names = ["text" if k == "text" else f"kept_{i}" for i, k in enumerate(keep)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = make()
         for batch in batches:
             score = shared.value.score(features.matrix(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(score)], ["doc_id", *extra, "score"])
+            kept = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, pa.array(score)], ["doc_id", *names, "score"])
 
-    fields = "".join(f"{n} {docs.schema[k].dataType.simpleString()}, " for n, k in zip(extra, keep, strict=True))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), *(F.col(f"`{k}`").alias(n) for n, k in zip(extra, keep, strict=True)))
+    fields = "".join(f"{n} {docs.schema[k].dataType.simpleString()}, " for n, k in zip(names, keep, strict=True))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), *(F.col(f"`{k}`").alias(n) for n, k in zip(names, keep, strict=True) if n in extra))
     out = rows.mapInArrow(of, f"doc_id long, {fields}score double")
-    return out.select("doc_id", *(F.col(n).alias(k) for n, k in zip(extra, keep, strict=True)), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", *(F.col(n).alias(k) for n, k in zip(names, keep, strict=True)), held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 20_000) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``keep``, ``held_out, score, predicted`` for every row of ``docs``.
 
     Held-out rows teach nothing; ids, languages, sources and labels are no
     features. A null text is scored as an empty one, a null doc_id stays null
@@ -217,4 +220,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     """
     model = fit_toxicity(docs, labels, most)
     lexicon = model.lexicon
-    return scored(docs, lambda: Features(lexicon), model.classifier, threshold)
+    return scored(docs, lambda: Features(lexicon), model.classifier, threshold, keep)
