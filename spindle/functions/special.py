@@ -7,19 +7,20 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _NORMAL = NormalDist()
 #: Smallest positive double: p-values of zero are raised to it.
 TINY = 2.2250738585072014e-308
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| >= |z|) of a standard normal; null stays null."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """The standard normal quantile of p, p within (0, 1)."""
     return p.map(lambda v: None if pd.isna(v) else _NORMAL.inv_cdf(min(max(v, 1e-300), 1 - 1e-16)))
@@ -55,13 +56,13 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) of Student's t with df degrees of freedom."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) else incomplete_beta(b / 2, 0.5, b / (b + a * a)) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= k) when ``drawn`` of ``total`` are drawn and ``marked`` of them are marked."""
 

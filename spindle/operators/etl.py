@@ -60,7 +60,8 @@ def n_triples(triples: DataFrame) -> DataFrame:
 
 def parse_n_triples(lines: DataFrame, column: str = "line") -> DataFrame:
     """``s, p, o, iri`` of N-Triples lines; blank lines, comments and lines of another form go."""
-    pattern = r'^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?) \.\s*$'
+    # a quote inside a literal is escaped, so the last one closes it
+    pattern = r'(?s)^<([^>]*)> <([^>]*)> (?:<([^>]*)>|"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?) \.\s*$'
     t = F.trim(column)
     part = lambda i: F.regexp_extract(t, pattern, i)
     iri = F.regexp_extract(t, r"^<[^>]*> <[^>]*> (<)", 1) == "<"

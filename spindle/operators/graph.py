@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.functions.lineage import cut
+
 Pattern = tuple[str, str | tuple[str, ...], str]
 
 
@@ -71,7 +73,7 @@ def closure(edges: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
     new = known
     for _ in range(most):
         step = new.join(edges, new.node == edges.child).select("start", F.col("parent").alias("node")).distinct()
-        new = step.join(known, ["start", "node"], "left_anti").checkpoint()
+        new = cut(step.join(known, ["start", "node"], "left_anti"))
         if new.isEmpty():
             return known
         known = known.unionByName(new)
