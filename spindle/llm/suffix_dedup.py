@@ -165,6 +165,14 @@ def _ranges(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes >> np.uint64(32)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every run of equal values."""
+    if not len(values):
+        return []
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return list(zip(begin.tolist(), np.append(begin[1:], len(values)).tolist(), strict=True))
+
+
 def _packed(*arrays: np.ndarray | bytes) -> list[bytes]:
     return [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
 
@@ -246,10 +254,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     def send_anchors(key: tuple[pa.Scalar, ...], docs_of: pa.Table) -> pa.Table:
         codes, several = Shard(docs_of, length, bits).held()
         ranges = _ranges(codes, bits)
-        cut = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(codes) else np.zeros(0, np.int64)
         out = []
-        for a, b in zip(cut, np.append(cut[1:], len(codes)), strict=True):
-            out.append((key[0].as_py(), int(ranges[a]), int(b - a), *_packed(codes[a:b].astype("<u4"), np.packbits(several[a:b])), None))
+        for a, b in _runs(ranges):
+            out.append((key[0].as_py(), int(ranges[a]), b - a, *_packed(codes[a:b].astype("<u4"), np.packbits(several[a:b])), None))
         return table(out)
 
     def match_anchors(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
@@ -273,9 +280,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
         codes, least = np.array(shard.codes, np.uint64), np.array(shard.least, np.int64)
         ranges, segments = _ranges(codes, bits), list(shard.known)
         order = np.argsort(ranges, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(ranges[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         out = []
-        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        for a, b in _runs(ranges[order]):
             i = order[a:b]
             own_segments = [segments[j] for j in i]
             head = np.stack([codes[i].astype("<u4"), np.array([len(s) for s in own_segments], "<u4")])
@@ -368,8 +374,7 @@ def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, bits: int, extra: l
         a = (np.repeat(place, k) + offset)[take]
         b = a + run_size[index][take] + shard.length - 1
         who = who[take]
-        cuts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else []
-        for s, e in zip(cuts, np.append(cuts[1:], len(who)), strict=True):
+        for s, e in _runs(who):
             np.add.at(spread[who[s]], a[s:e], 1)
             np.add.at(spread[who[s]], b[s:e], -1)
     n_removed, spans, kept = [], [], []
