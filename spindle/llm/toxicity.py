@@ -54,8 +54,9 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-def learn_lexicon(rows: DataFrame, most: int = 2000, least: int = 6) -> Lexicon:
+def learn_lexicon(rows: DataFrame, most: int = 2000, least: int = 5) -> Lexicon:
     """The terms that mark the rows with y = 1: at least ``least`` such rows, lowest log-odds above 1."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
         for batch in batches:
@@ -161,15 +162,23 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> ToxicityModel:
     """Fit on about ``most`` labelled rows that are not held out, at most.
 
-    The lexicon is learned on one half of them and the trees on the other, so
-    that a word that marks its own row only by chance is worth nothing. Only
-    lexicon terms (at most 2000) and feature vectors come to the driver.
+    Each half of them gets the lexicon of the other half for the trees, so that
+    a word that marks its own row only by chance is worth nothing; documents
+    are scored with the lexicon of both. Only lexicon terms (at most 2000) and
+    feature vectors come to the driver.
     """
     rows = training_rows(docs, labels, "toxic", most).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2))).persist()
-    lexicon = learn_lexicon(rows.where("half = 0"))
-    x, y = collect_features(rows.where("half = 1"), lambda: Features(lexicon))
+    parts = []
+    for half in (0, 1):
+        other = learn_lexicon(rows.where(F.col("half") != half))
+        parts.append(collect_features(rows.where(F.col("half") == half), lambda lexicon=other: Features(lexicon)))
+    lexicon = learn_lexicon(rows)
     rows.unpersist()
-    return ToxicityModel(lexicon, fit_classifier(x, y, trees=80, depth=3))
+    some = [p for p in parts if len(p[1])]
+    x, y = (np.concatenate([p[k] for p in some]) if some else np.zeros((0, 1)[: 2 - k]) for k in (0, 1))
+    # halves alternate, so that folds hold both
+    order = np.random.default_rng(5).permutation(len(y))
+    return ToxicityModel(lexicon, fit_classifier(x[order], y[order], trees=80, depth=3))
 
 
 def collect_features(rows: DataFrame, make) -> tuple[np.ndarray, np.ndarray]:
