@@ -14,15 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where the cluster names none (tests on one machine) a local one is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/spindle-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one where the session names none, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spindle-checkpoints").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -58,11 +51,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000, most: int = 8 <<
         at = 0
         while at < batch.num_rows:
             n = min(rows, batch.num_rows - at)
-            while n > 1 and batch.slice(at, n).get_total_buffer_size() and _bytes(batch.slice(at, n)) > most:
+            while n > 1 and batch.slice(at, n).nbytes > most:
                 n //= 2
             yield batch.slice(at, n)
             at += n
-
-
-def _bytes(batch: pa.RecordBatch) -> int:
-    return batch.nbytes
