@@ -75,6 +75,7 @@ class Shard:
         self.ids = np.array([ids[i] for i in self.order], np.int64)
         self.raw = [raw[i] for i in self.order]
         self.length, self.width, self.bits = length, min(ANCHOR, length), bits
+        self._cut: list | None = None
 
     def pieces(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
         """Groups of documents: their bytes, the index and start of each, and the windows of which document parts."""
@@ -98,8 +99,13 @@ class Shard:
         sizes = np.array([len(p) for _, _, p in group])
         return b"".join(p for _, _, p in group), np.array([i for i, _, _ in group]), np.array([a for _, a, _ in group]), sizes
 
-    def segments(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def segments(self) -> list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each piece: bytes, and by segment the document, its place there, its place in the piece, windows, anchor."""
+        if self._cut is None:
+            self._cut = list(self._segments())
+        return self._cut
+
+    def _segments(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for data, doc, base, sizes in self.pieces():
             buffer = np.frombuffer(data, np.uint8)
             at, h = anchors(buffer, self.length, self.width)
