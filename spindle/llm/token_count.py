@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.tokens import Memo, Merges, Plain, byte_chars, load, spec
+from spindle.llm.tokens import Memo, Merges, Plain, byte_chars, grouped, load, spec
 
 
 def whole_tokens(path: str) -> list[str]:
@@ -45,17 +45,15 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, merges, library = Plain(path), Merges(path), load(path)
-        memo = Memo(lambda words: [len(merges.ids(w)) for w in words], dict.fromkeys(shortcut.value, 1))
+        memo = Memo(lambda words: [len(i) // 4 for i in merges.many(words)], dict.fromkeys([*shortcut.value, *plain.specials], 1))
         for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column(1):
-                t = text.as_py() or ""
-                sizes.append(len(t.encode("utf-8")))
-                if plain.plain(t):
-                    parts = plain.sections(t)
-                    counts.append(sum(sum(memo.of(plain.pretokens(p))) for p in parts[::2]) + len(parts) // 2)
-                else:
-                    counts.append(len(library.encode(t, add_special_tokens=False).ids))
+            texts, counts = [t or "" for t in batch.column(1).to_pylist()], []
+            for group in grouped(texts):
+                lists = [plain.words(t) if plain.plain(t) else None for t in group]
+                known = memo.learned([x for x in lists if x is not None]).__getitem__
+                for t, words in zip(group, lists, strict=True):
+                    counts.append(len(library.encode(t, add_special_tokens=False).ids) if words is None else sum(map(known, words)))
+            sizes = [len(t.encode("utf-8")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n_bytes long, n_tokens long")

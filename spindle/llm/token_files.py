@@ -160,9 +160,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
-                doc_ids.append(NULL_ID if doc_id.as_py() is None else doc_id.as_py())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
+                doc_ids.append(NULL_ID if doc_id is None else doc_id)
                 lengths.append(len(ids) // 4)
                 chunks.append(ids)
                 held += len(ids) // 4

@@ -10,9 +10,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 from tokenizers import Tokenizer
 
 # The apostrophe endings of both tokenizers' split patterns.
@@ -60,31 +61,34 @@ class Plain:
         """Pre-tokens of a plain text without special strings."""
         return WORD_PRETOKENS.findall(text.lower()) if self.word_ends else BYTE_PRETOKENS.findall(text)
 
-    def sections(self, text: str) -> list[str]:
-        """The text cut at special strings; the odd sections are those strings."""
-        return self.at_special.split(text) if "<|" in text else [text]
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens of a plain text, and its special strings where they stand."""
+        if "<|" not in text:
+            return self.pretokens(text)
+        out: list[str] = []
+        for k, part in enumerate(self.at_special.split(text)):
+            out += [part] if k % 2 else self.pretokens(part)
+        return out
 
 
-class Memo(dict):
-    """Pre-token -> what ``resolve`` makes of it; forgets all beyond ``limit`` entries."""
+class Memo:
+    """Pre-token -> what ``resolve`` makes of it; beyond ``limit`` entries all but ``kept`` are forgotten."""
 
     def __init__(self, resolve: Callable[[list[str]], Iterable], kept: dict | None = None, limit: int = MEMO):
-        super().__init__(kept or {})
-        self.resolve, self.kept, self.limit = resolve, kept or {}, limit
+        self.known, self.resolve, self.kept, self.limit = dict(kept or {}), resolve, kept or {}, limit
+
+    def learned(self, lists: Iterable[list[str]]) -> dict:
+        """The memo with all words of ``lists`` in it."""
+        words = set().union(*lists)
+        new = list(words.difference(self.known))
+        if new:
+            if len(self.known) + len(new) > self.limit:
+                self.known = self.kept | {w: self.known[w] for w in words if w in self.known}
+            self.known.update(zip(new, self.resolve(new), strict=True))
+        return self.known
 
     def of(self, words: list[str]) -> list:
-        try:
-            return list(map(self.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self]
-            found = dict(zip(new, self.resolve(new), strict=True))
-            if len(self) + len(new) > self.limit:
-                known = {w: self[w] for w in set(words) if w in self}
-                self.clear()
-                self.update(self.kept)
-                self.update(known)
-            self.update(found)
-            return list(map(self.__getitem__, words))
+        return list(map(self.learned([words]).__getitem__, words))
 
 
 class Merges:
@@ -101,6 +105,72 @@ class Merges:
     def ids(self, word: str) -> list[int]:
         return [self.vocab[p] for p in self.parts([*word.encode("utf-8").decode("latin-1").translate(self.chars)])]
 
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """First ids by byte, inside and at the end of a word; pairs of ids in order, their ranks, and merged ids by rank."""
+        if not hasattr(self, "_held"):
+            first = np.array([[self.vocab[c + end] for c in (self.chars[b] for b in range(256))] for end in ("", self.suffix)], np.int64)
+            pairs = np.array([(self.vocab[a] << 32) | self.vocab[b] for a, b in self.ranks], np.int64)
+            order = np.argsort(pairs)
+            self._held = first, pairs[order], order, np.array([self.vocab[a + b] for a, b in self.ranks], np.int64)
+        return self._held
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """``ids`` of many words as little-endian 32-bit bytes; words of like length are merged in step."""
+        raw = [w.encode("utf-8") for w in words]
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, r in enumerate(raw):
+            groups.setdefault(max(4, 1 << (len(r) - 1).bit_length()) if r else 0, []).append(i)
+        for width, own in groups.items():
+            if width > 64:
+                for i in own:
+                    out[i] = np.array(self.ids(words[i]), "<u4").tobytes()
+            elif width:
+                for a in range(0, len(own), 8192):
+                    self._merge([raw[i] for i in own[a : a + 8192]], own[a : a + 8192], width, out)
+        return out
+
+    def _merge(self, raw: list[bytes], to: list[int], width: int, out: list[bytes]) -> None:
+        first, pairs, ranks, merged = self._arrays()
+        none = len(merged)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(len(raw), width)
+        column = np.arange(width)
+        t = first[0][data]
+        t[np.arange(len(raw)), size - 1] = first[1][data[np.arange(len(raw)), size - 1]]
+
+        def rank(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> np.ndarray:
+            key = (a << 32) | b
+            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            return np.where(ok & (pairs[at] == key), ranks[at], none)
+
+        r = np.full((len(raw), width), none, np.int64)
+        r[:, :-1] = rank(t[:, :-1], t[:, 1:], column[1:] < size[:, None])
+        live = np.arange(len(raw))
+        while len(live):
+            best = r[live].argmin(1)  # the leftmost of the least rank
+            value = r[live, best]
+            go = value < none
+            live, best, value = live[go], best[go], value[go]
+            if not len(live):
+                break
+            # the right part of the pair goes, and what follows moves up
+            take = np.minimum(column + (column > best[:, None]), width - 1)
+            own = np.take_along_axis(t[live], take, 1)
+            row = np.arange(len(live))
+            own[row, best] = merged[value]
+            size[live] -= 1
+            near = np.take_along_axis(r[live], np.minimum(column + (column >= best[:, None]), width - 1), 1)
+            near[:, -1] = none
+            left = np.maximum(best - 1, 0)
+            after = np.minimum(best + 1, width - 1)
+            near[row, best] = rank(own[row, best], own[row, after], best + 1 < size[live])
+            near[row, left] = np.where(best > 0, rank(own[row, left], own[row, best], best > 0), near[row, left])
+            t[live], r[live] = own, near
+        ids = t.astype("<u4")
+        for i, row_of, n in zip(to, ids, size.tolist(), strict=True):
+            out[i] = row_of[:n].tobytes()
+
     def parts(self, parts: list[str]) -> list[str]:
         if self.suffix and parts:
             parts[-1] += self.suffix
@@ -147,25 +217,77 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str) -> Callable[[str], bytes]:
-    """text -> its ids as little-endian 32-bit bytes, as the library gives them."""
-    import numpy as np
+def grouped(texts: list[str], rows: int = 256, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Cut a list of texts into groups of bounded size; a longer text comes alone."""
+    group: list[str] = []
+    size = 0
+    for t in texts:
+        if group and (len(group) == rows or size + len(t) > chars):
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t)
+    if group:
+        yield group
 
-    tokenizer, plain = load(path), Plain(path)
 
-    def packed(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+class LibraryWords:
+    """Ids of pre-tokens as the library gives them, many in one call.
 
-    memo = Memo(packed)
-    special = {s: i.to_bytes(4, "little") for s, i in plain.specials.items()}
+    Pre-tokens are joined with line breaks (spaces for a vocabulary with word
+    ends), which leaves each of them a pre-token of the joined text, and the
+    ids are cut at the breaks (after the word ends).
+    """
 
-    def encode(text: str) -> bytes:
-        if not plain.plain(text):
-            return packed([text])[0]
-        out = []
-        for k, part in enumerate(plain.sections(text)):
-            out.append(special[part] if k % 2 else b"".join(memo.of(plain.pretokens(part))))
-        return b"".join(out)
+    def __init__(self, path: str):
+        self.tokenizer, self.plain = load(path), Plain(path)
+        suffix = spec(path)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            vocab = spec(path)["model"]["vocab"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        else:
+            (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        if self.ends is None:
+            lone = [w for w in words if w.isspace()]
+            out = {w: self.ids(w).tobytes() for w in lone}
+            rest = [w for w in words if w not in out]
+        else:
+            rest = words
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
+            ids = self.ids((" " if self.ends is not None else "\n").join(part))
+            if self.ends is not None:
+                stop = np.flatnonzero(self.ends[ids]) + 1
+                start = np.append(0, stop[:-1])
+            else:
+                breaks = np.flatnonzero(ids == self.line_break)
+                start, stop = np.append(0, breaks + 1), np.append(breaks, len(ids))
+            if len(start) != len(part):
+                raise RuntimeError("the joined pre-tokens did not stay apart")
+            data = ids.tobytes()
+            out.update((w, data[4 * b : 4 * e]) for w, b, e in zip(part, start.tolist(), stop.tolist(), strict=True))
+        return [out[w] for w in words]
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
+    """texts -> the ids of each as little-endian 32-bit bytes, as the library gives them for the whole text."""
+    of_words, plain = LibraryWords(path), Plain(path)
+    memo = Memo(of_words, {s: i.to_bytes(4, "little") for s, i in plain.specials.items()})
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        for group in grouped(texts):
+            lists = [plain.words(t) if plain.plain(t) else None for t in group]
+            known = memo.learned([x for x in lists if x is not None]).__getitem__
+            for t, words in zip(group, lists, strict=True):
+                yield of_words.ids(t).tobytes() if words is None else b"".join(map(known, words))
 
     return encode
