@@ -15,14 +15,14 @@ from spindle.llm.common import scratch_path, table
 from spindle.llm.packing import packed_documents
 from spindle.llm.quality import quality_scores
 from spindle.llm.queries import WORD_BPE
-from spindle.llm.simhash import near_duplicates, tau_for
+from spindle.llm.simhash import similar_texts
 from spindle.llm.suffix_dedup import remove_repeats
 from spindle.llm.toxicity import toxicity_scores
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REST = COLUMNS[1:]
 #: Bits of the near-duplicate stage's fingerprints, and the chance to meet a pair just similar enough.
-BITS, RECALL = 512, 0.98
+BITS, RECALL = 512, 0.99
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of a similarity of 0.8 over five-word shingles, or more.
 
-    The similarity is that of the SimHash fingerprints. Documents without a
-    doc_id stay; of repeated rows with one doc_id one stays.
+    The similarity is the Jaccard similarity of the sets of shingles; SimHash
+    fingerprints find the pairs to compare. Documents without a doc_id stay; of
+    repeated rows with one doc_id one stays.
     """
-    found = near_duplicates(docs, tau=tau_for(0.8, BITS), words=5, bits=BITS, recall=RECALL)
+    found = similar_texts(docs, similarity=0.8, words=5, bits=BITS, recall=RECALL)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id")
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import written
+from spindle.llm.common import sliced, written
 from spindle.llm.components import connected_components, forest
 
 SEED = 42
@@ -30,35 +30,57 @@ PROBE_COST, VERIFY_COST = 250.0, 1.0
 BLOCK = 4096
 
 
-def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
-    """SimHash of ``text`` in ``bits`` bits (little-endian words of 64); see ``fingerprints``."""
+def shingles(text: str | None, words: int) -> Iterator[bytes] | None:
+    """All runs of ``words`` words (a shorter text is one run); None without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return bytes(bits // 8)
+        return None
     if len(tokens) < words:
-        grams = [b" ".join(tokens)]
-    else:
-        grams = map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+        return iter([b" ".join(tokens)])
+    return map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False))
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles, sorted."""
     digest = xxhash.xxh64_intdigest
-    ones, n, chunk = np.zeros(bits, np.int64), 0, []
+    return np.unique(np.array([digest(g, SEED) for g in shingles(text, words) or ()], np.uint64))
+
+
+def set_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+    """SimHash of a set of shingles, each counted once, as the Jaccard similarity does."""
+    if not len(hashes):
+        return bytes(bits // 8)
+    ones = np.zeros(bits, np.int64)
+    for a in range(0, len(hashes), 65536):
+        _add_bits(ones, hashes[a : a + 65536])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def _add_bits(ones: np.ndarray, h: np.ndarray) -> None:
+    for k in range(len(ones) // 64):
+        if k:  # further words come from the first hash
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31)) ^ np.uint64(k)
+        ones[64 * k : 64 * k + 64] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
 
-    def flush() -> None:
-        h = np.array(chunk, np.uint64)
-        for k in range(bits // 64):
-            if k:  # further words come from the first hash
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31)) ^ np.uint64(k)
-            ones[64 * k : 64 * k + 64] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> bytes:
+    """SimHash of ``text`` in ``bits`` bits (little-endian words of 64); see ``fingerprints``."""
+    grams = shingles(text, words)
+    if grams is None:
+        return bytes(bits // 8)
+    digest = xxhash.xxh64_intdigest
+    ones, n, chunk = np.zeros(bits, np.int64), 0, []
 
     for g in grams:
         chunk.append(digest(g, SEED))
         if len(chunk) == 65536:
-            flush()
+            _add_bits(ones, np.array(chunk, np.uint64))
             n += len(chunk)
             chunk.clear()
     if chunk:
-        flush()
+        _add_bits(ones, np.array(chunk, np.uint64))
     n += len(chunk)
     return np.packbits(ones * 2 > n, bitorder="little").tobytes()
 
@@ -251,6 +273,45 @@ def _linked(tau: int, bits: int):
         i = np.flatnonzero(ids != ids[root])
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root[i]])], ["a", "b"])
 
+    return _by_bucket(edges, bits)
+
+
+def _candidates(near: int, far: int, bits: int):
+    """mapInArrow function over rows sorted by bucket: candidate links at most ``far`` bits apart.
+
+    Of the links of at most ``near`` bits (``near`` is 1) enough to connect what
+    all of them connect in the bucket; of the others those that join what these
+    leave apart. Every link is a pair that was compared.
+    """
+
+    def edges(buckets: np.ndarray, role: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+        n = len(fp)
+        start = np.flatnonzero(np.append(True, np.any(buckets[1:] != buckets[:-1], axis=1)))
+        ends = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
+        root, out = np.arange(n), []
+        for strong, most in ((1, near), (0, far)):
+            a, b, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+            i, d = np.arange(n), 1
+            while len(i := i[i + d < ends[i]]):
+                open_ = i[(root[i] != root[i + d]) & ((role[i] == 0) | (role[i + d] == 0)) & (ids[i] != ids[i + d])]
+                ok = open_[np.bitwise_count(fp[open_] ^ fp[open_ + d]).sum(1, dtype=np.int64) <= most]
+                if len(ok):
+                    found.append((ok, ok + d))
+                    if strong:
+                        a, b = np.concatenate([a, ok]), np.concatenate([b, ok + d])
+                        root = forest(n, a, b)
+                d += 1
+            out += [(ids[x], ids[y], np.full(len(x), strong, np.int32)) for x, y in found]
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "near"])
+
+    return _by_bucket(edges, bits)
+
+
+def _by_bucket(edges, bits: int):
+    """mapInArrow function that calls ``edges`` on whole buckets of sorted rows."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, fps = np.zeros((0, 5), np.int64), np.zeros((0, bits // 64), np.uint64)
         for batch in batches:
@@ -280,6 +341,11 @@ def linked_fingerprints(nodes: DataFrame, tau: int = 3, bits: int = 64, recall:
     """
     n, both = bit_statistics(nodes, bits)
     parts, thresholds = plan(n, both, tau, recall)
+    return _dealt(nodes, parts, thresholds, bits).mapInArrow(_linked(tau, bits), "a long, b long")
+
+
+def _dealt(nodes: DataFrame, parts: list[list[int]], thresholds: list[int], bits: int) -> DataFrame:
+    """The stored rows and probes of ``nodes``, dealt and sorted by bucket and pair of blocks."""
     rows = nodes.select("fp", "first_id").mapInArrow(_probe_rows(parts, thresholds, bits), "part int, key long, role int, fp binary, first_id long")
     counts = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = written(counts, "buckets")
@@ -292,8 +358,7 @@ def linked_fingerprints(nodes: DataFrame, tau: int = 3, bits: int = 64, recall:
         x = F.pmod(F.xxhash64("fp"), k)
         rows = rows.withColumn("k", k).withColumn("x", x).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
         blocks = rows.withColumn("pair", F.least("x", "y") * F.col("k") + F.greatest("x", "y")).drop("n", "k", "x", "y")
-    dealt = blocks.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair")
-    return dealt.mapInArrow(_linked(tau, bits), "a long, b long")
+    return blocks.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair", "first_id")
 
 
 def tau_for(similarity: float, bits: int) -> int:
@@ -321,3 +386,101 @@ def near_duplicates(docs: DataFrame, tau: int = 3, words: int = 3, bits: int = 6
     named = nodes.join(found, "first_id", "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
     out = fps.join(written(named, "named"), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits: int = 512, recall: float = 0.99) -> DataFrame:
+    """``doc_id, text_key, node, component_id, first``: one row per row of ``docs`` with a doc_id.
+
+    Two texts are linked if their sets of runs of ``words`` words have a Jaccard
+    similarity of ``similarity`` or more, counted on 64-bit hashes of the runs;
+    equal sets are one node. component_id is the smallest doc_id of the rows
+    connected by links, ``first`` marks one text (of that doc_id) of each
+    component; ``text_key`` is xxhash64 of the text.
+
+    SimHash only finds the candidates: pairs up to four standard deviations
+    above the expected distance, met with the chance ``recall`` at ``tau_for``.
+    Of the pairs in a bucket that are surely similar (three deviations below)
+    only as many are verified as connect them; where one of these fails, all
+    candidates among the texts that they connected are verified.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    deviation = float(np.sqrt(bits * p * (1 - p)))
+    near, far = int(bits * p - 3 * deviation), int(np.ceil(bits * p + 4 * deviation))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, fps = [], []
+            for t in batch.column(2):
+                own = shingle_set(t.as_py(), words)
+                nodes.append(_node(own))
+                fps.append(set_fingerprint(own, bits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "text_key", "node", "fp"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    rows = written(texts.mapInArrow(of, "doc_id long, text_key long, node long, fp binary"), "fingerprints")
+    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.struct("doc_id", "text_key")).alias("least")), "nodes")
+    named = nodes.select("fp", F.col("node").alias("first_id"))
+    n, both = bit_statistics(named, bits)
+    parts, thresholds = plan(n, both, tau_for(similarity, bits), recall)
+
+    def verified(links: DataFrame) -> DataFrame:
+        """``links`` with ``ok``: whether their texts are similar."""
+        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+        asked = nodes.join(ends, "node").select("node", "least.doc_id", "least.text_key")
+        sets = written(texts.join(asked, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+        pairs = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        return written(pairs.select("a", "b", "near", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, near int, ok boolean"), "verified")
+
+    def candidates(nodes: DataFrame, near: int) -> DataFrame:
+        links = _dealt(nodes, parts, thresholds, bits).mapInArrow(_candidates(near, far, bits), "a long, b long, near int")
+        return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
+
+    links = verified(written(candidates(named, near), "links"))
+    real = links.where("ok").select("a", "b")
+    failed = links.where("near = 1 and not ok")
+    if not failed.isEmpty():
+        # texts that pairs judged surely similar connected, where one of these pairs is not
+        groups = written(connected_components(links.where("near = 1").select("a", "b")), "groups")
+        again = groups.join(failed.join(groups, F.col("a") == F.col("node")).select("component").distinct(), "component", "left_semi")
+        found = written(connected_components(real).withColumnRenamed("node", "first_id"), "found")
+        more = candidates(named.join(again.select(F.col("node").alias("first_id")), "first_id", "left_semi"), -1)
+        of_end = lambda x: found.select(F.col("first_id").alias(x), F.col("component").alias(f"in_{x}"))
+        more = more.join(of_end("a"), "a", "left").join(of_end("b"), "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b", "near")
+        real = real.unionByName(verified(written(more, "links")).where("ok").select("a", "b"))
+    found = connected_components(real)
+    whole = written(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
+    first = whole.groupBy("component").agg(F.min(F.struct("least", "node")).alias("m"))
+    out = rows.drop("fp").join(whole.join(first, "component").select("node", "m"), "node")
+    own = (F.col("node") == F.col("m.node")) & (F.col("doc_id") == F.col("m.least.doc_id")) & (F.col("text_key") == F.col("m.least.text_key"))
+    return out.select("doc_id", "text_key", "node", F.col("m.least.doc_id").alias("component_id"), own.alias("first"))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
+def _sets(words: int):
+    """mapInArrow function: the shingle set of every text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            data = [shingle_set(t.as_py(), words).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["node", "hashes"])
+
+    return of
+
+
+def _jaccard(similarity: float):
+    """mapInArrow function: whether two sorted sets have that Jaccard similarity."""
+
+    def similar(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["a", "b", "near", "ok"])
+
+    return of
