@@ -14,6 +14,11 @@ CUTS = {
     "C10_genes_discordance": {" WHERE gene % 50 = 3": ""},
     "J21_shared_annotation_neighbours": {" WHERE gene % 20 = 1": "", "WHERE a.gene % 100 = 1 ": ""},
     "E11_reified_associations": {" WHERE gene % 100 = 9": ""},
+    "R03_preset_grouped_attributes": {" WHERE c_custkey % 50 = 3": "", "string_agg(DISTINCT condition_name, ' | ')": "string_agg(DISTINCT condition_name, ' | ' ORDER BY condition_name)"},
+    "P04_subclass_closure": {" WHERE child % 7 = 0": ""},
+    "B23_symbol_id_resolution": {" WHERE p_partkey % 11 = 0": "", " WHERE p_partkey % 13 = 0": ""},
+    "J13_lookup_with_fallback": {" WHERE gene < 500": ""},
+    "J17_sparse_to_dense": {" WHERE gene < 20": "", " WHERE sample < 50": ""},
 }
 
 
