@@ -23,6 +23,8 @@ from spindle.llm.components import connected_components, forest
 #: Stored vectors of a cell that one task holds; fuller cells are cut into blocks.
 BLOCK = 2048
 PARTS = 1_000_000
+#: Groups of near-copies among the queries that are enough to judge the visits by.
+GROUPS = 64
 
 
 def usable(name: str = "embedding"):
@@ -100,10 +102,11 @@ def codebook(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarr
 
 
 def fit_index(nodes: DataFrame, width: int, least: float, recall: float = 0.995, sample: int = 20_000, queries: int = 512) -> MultiIndex:
-    """Codebooks from about ``sample`` vectors at most; visits from ``queries`` measured searches.
+    """Codebooks from about ``sample`` vectors at most; visits from ``queries`` measured searches, or eight times as many.
 
     The queries (chosen by a hash) are compared with all vectors in blocks, and
-    the rank of each true partner's cell is counted. The number of codewords
+    the rank of each true partner's cell is counted; see ``_measured``. Where
+    fewer than ``GROUPS`` groups are met, made-up partners are searched too. The number of codewords
     grows with the square root of the number of vectors, up to 1024 a half.
     """
     n = nodes.count()
@@ -116,36 +119,85 @@ def fit_index(nodes: DataFrame, width: int, least: float, recall: float = 0.995,
     cut = width - width // 2
     k = min(k, len(x))
     index = MultiIndex(codebook(x[:, :cut], k), codebook(x[:, cut:], k) if width > 1 else np.zeros((1, 0)))
-    own = pick(queries, 2).select("label", "tag", "vector").toArrow()
-    if not own.num_rows:
+    if recall > 1:
+        index.visits = len(index.first) * len(index.second)
         return index
+    for most in (queries, 8 * queries):
+        groups, index.visits = _measured(nodes, index, pick(most, 2), width, least, recall)
+        if groups >= GROUPS or most >= n:
+            break
+    if groups < GROUPS:
+        # too few to judge by: also reach made-up partners at the limit
+        index.visits = max(index.visits, _reach(index, x, least, recall))
+    return index
+
+
+def _measured(nodes: DataFrame, index: MultiIndex, picked: DataFrame, width: int, least: float, recall: float) -> tuple[int, int]:
+    """Groups of the picked queries that have partners, and the visits that they need.
+
+    Queries linked to each other are one group, and each group weighs one: the
+    visits meet ``recall`` of the partners on the mean over the groups, and of
+    each query's own partners in all but a hundredth of the weight.
+    """
+    own = picked.select("label", "tag", "vector").toArrow()
+    if not own.num_rows:
+        return 0, 1
     q, label, tag = units(own.column("vector"), width), np.array(own.column("label").to_pylist()), own.column("tag").to_numpy()
-    shared = nodes.sparkSession.sparkContext.broadcast((index, q, label, tag))  # at most `queries` vectors
+    a, b = np.nonzero((q @ q.T >= least) & (label[:, None] == label))
+    size = np.bincount(root := forest(len(q), a, b), minlength=len(q))[root]
+    shared = nodes.sparkSession.sparkContext.broadcast((index, q, label, tag))  # the sampled vectors
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, q, label, tag = shared.value
-        seen: dict[int, int] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = units(batch.column(2), width)
-            hit = (x @ q.T >= least) & (np.array(batch.column(0).to_pylist())[:, None] == label) & (batch.column(1).to_numpy()[:, None] != tag)
-            i, j = np.nonzero(hit)
-            for a in range(0, len(i), 4096):
-                part = slice(a, a + 4096)
-                values, counts = np.unique(index.ranks(q[j[part]], index.home(x[i[part]])), return_counts=True)
-                for v, c in zip(values.tolist(), counts.tolist(), strict=True):
-                    seen[v] = seen.get(v, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["rank", "n"])
-
-    found = nodes.select("label", "tag", "vector").mapInArrow(of, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()
-    total, met = sum(r.n for r in found), 0
-    for r in sorted(found):
-        met += r.n
-        index.visits = r.rank + 1
-        if met >= recall * total:
-            break
-    return index
+        seen: dict[tuple[int, int], int] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x = units(batch.column(2), width)
+                hit = (x @ q.T >= least) & (np.array(batch.column(0).to_pylist())[:, None] == label) & (batch.column(1).to_numpy()[:, None] != tag)
+                i, j = np.nonzero(hit)
+                for a in range(0, len(i), 4096):
+                    part = slice(a, a + 4096)
+                    ranks = index.ranks(q[j[part]], index.home(x[i[part]]))
+                    values, counts = np.unique(np.stack([j[part], ranks]), axis=1, return_counts=True)
+                    for v, c in zip(values.T.tolist(), counts.tolist(), strict=True):
+                        seen[tuple(v)] = seen.get(tuple(v), 0) + c
+        j, ranks = ([k[i] for k in seen] for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(ranks, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["query", "rank", "n"])
+
+    found = nodes.select("label", "tag", "vector").mapInArrow(of, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n")).toArrow()
+    if not found.num_rows:
+        return 0, 1
+    query, rank, n = (found.column(c).to_numpy() for c in ("query", "rank", "n"))
+    order = np.lexsort((rank, query))
+    query, rank, n = query[order], rank[order], n[order].astype(float)
+    total = np.bincount(query, n, len(q))
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    met = np.cumsum(n) - np.repeat((np.cumsum(n) - n)[first], np.diff(np.append(first, len(n))))
+    enough = np.flatnonzero(met >= recall * total[query] - 1e-9)
+    need = rank[enough[np.unique(query[enough], return_index=True)[1]]]
+    weight = 1 / size
+    mean = _weighted(rank, n / total[query] * weight[query], recall)
+    low = _weighted(need, weight[query[first]], 0.99)
+    return len(np.unique(root[query])), max(mean, low) + 1
+
+
+def _weighted(values: np.ndarray, weight: np.ndarray, share: float) -> int:
+    """The least value that with the smaller ones has that share of the weight."""
+    order = np.argsort(values, kind="stable")
+    sums = np.cumsum(weight[order])
+    return int(values[order][min(np.searchsorted(sums, share * sums[-1] - 1e-9), len(order) - 1)])
+
+
+def _reach(index: MultiIndex, x: np.ndarray, least: float, recall: float, most: int = 2000) -> int:
+    """Visits that meet ``recall`` of partners at cosine ``least``, half of them towards other vectors, half anywhere."""
+    rng = np.random.default_rng(5)
+    x = x[rng.permutation(len(x))[:most]]
+    to = np.where(np.arange(len(x))[:, None] % 2 == 0, x[rng.permutation(len(x))], rng.normal(size=x.shape))
+    side = to - (to * x).sum(1, keepdims=True) * x
+    length = np.sqrt((side * side).sum(1, keepdims=True))
+    y = least * x + np.sqrt(max(0.0, 1 - least * least)) * side / np.where(length > 1e-9, length, 1)
+    return int(np.quantile(index.ranks(x, index.home(y)), min(recall, 1), method="higher")) + 1
 
 
 def _rows(index, width: int):
