@@ -41,13 +41,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group of a similarity of 0.8 over five-word shingles, or more.
 
     The similarity is the Jaccard similarity of the sets of shingles; SimHash
-    fingerprints find the pairs to compare. Documents without a doc_id stay; of
-    repeated rows with one doc_id one stays.
+    fingerprints find the pairs to compare. Rows are judged by their own text,
+    also where several have one doc_id: each group keeps one row. Documents
+    without a doc_id stay.
     """
     found = similar_texts(docs, similarity=0.8, words=5, bits=BITS, recall=RECALL)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(first, "doc_id")
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    first = found.where("first").select(F.col("doc_id").alias("own_id"), "text_key").distinct()
+    own = (F.col("doc_id").cast("long") == F.col("own_id")) & (F.xxhash64("text") == F.col("text_key"))
+    kept = docs.where("doc_id is not null").join(first, own).groupBy("own_id", "text_key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return kept.select(*(F.col(f"row.{c}").alias(c) for c in COLUMNS)).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

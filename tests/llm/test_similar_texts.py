@@ -75,3 +75,12 @@ def test_components_are_those_of_brute_force(spark, monkeypatch, near):
                 if (not x.split() and not texts[j].split()) or (x.split() and texts[j].split() and jaccard(x, texts[j]) >= 0.8):
                     parent[i] = parent[j] = min(parent[i], parent[j])
     assert got == dict(enumerate(parent))
+
+
+def test_rows_with_one_doc_id_are_judged_by_their_texts(spark):
+    texts = ["one " * 3 + " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))]
+    rows = [(1, texts[0], "en", "s", 1), (2, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (2, texts[1], "en", "s", 1), (None, texts[1], "en", "s", 1)]
+    for parts in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+        assert got == [(0, texts[1]), (1, texts[0]), (2, texts[1])]
