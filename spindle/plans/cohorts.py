@@ -48,9 +48,13 @@ def g12(spark, d):
 
 @query("G13_study_summary", sql("samples", BY_SERIES + ", r AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sample) AS i FROM bys) SELECT series, count(*) AS n, string_agg(left(title, 20), '; ' ORDER BY sample) FILTER (WHERE i <= 3) AS titles FROM r GROUP BY series"))
 def g13(spark, d):
-    ranked = series(samples(spark, d)).withColumn("i", F.row_number().over(Window.partitionBy("series").orderBy("sample")))
-    first = F.sort_array(F.collect_list(F.when(F.col("i") <= 3, F.struct("sample", F.left("title", F.lit(20)).alias("t")))))
-    return ranked.groupBy("series").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: x["t"]), "; ").alias("titles"))
+    rows = series(samples(spark, d)).select("series", "sample", F.left("title", F.lit(20)).alias("t"))
+    # the rank is a filter of its own, so that Spark limits each source before the shuffle
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("series").orderBy("sample"))).where("i <= 3")
+    first = F.sort_array(F.collect_list(F.struct("sample", "t")))
+    titles = ranked.groupBy(F.col("series").alias("of")).agg(F.array_join(F.transform(first, lambda x: x["t"]), "; ").alias("titles"))
+    counts = rows.groupBy("series").agg(F.count("*").alias("n"))
+    return counts.join(titles, F.col("series").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query("G14_search_statistics", sql("samples", COHORT + " SELECT count(DISTINCT sample) FILTER (WHERE cohort = 'test') AS n_test, count(DISTINCT sample) FILTER (WHERE cohort = 'control') AS n_control, count(DISTINCT series) AS n_series, round(count(DISTINCT sample) FILTER (WHERE cohort = 'test') / nullif(count(DISTINCT sample) FILTER (WHERE cohort = 'control'), 0), 6) AS ratio FROM coh WHERE cohort IS NOT NULL"))
