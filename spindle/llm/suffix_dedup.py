@@ -11,164 +11,194 @@ shards once; then
    prefixes bring equal windows together and give each the least doc_id,
 3. shards learn that doc_id for their windows and cut the texts.
 
-Data move as packed arrays, a row for each shard and anchor range.
+An anchor with very many different segments, as at the edges of a passage that
+very many documents share, is dealt further by the windows' own hashes. Data
+move as packed arrays, a row for each shard and anchor range; shards and ranges
+grow with the square root of large inputs, so that rows do not become tiny.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import count as numbers_from
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import input_bytes
 from spindle.llm.suffix_array import permuted_prefixes, suffix_array
 
 ANCHOR = 24
-#: Windows that are cut into segments at once, and bytes of one suffix array.
-PIECE, ARRAY_BYTES = 1 << 20, 1 << 20
-#: Bytes of text in a shard of documents, and in a range of anchors.
-SHARD_BYTES, RANGE_BYTES = 4 << 20, 2 << 20
+#: Windows whose anchors are computed at once, and bytes of one suffix array.
+PIECE, ARRAY_BYTES = 1 << 15, 1 << 20
+#: Bytes of text in a shard, bytes of text for an anchor range, and the least bytes of a row between them.
+SHARD_BYTES, RANGE_BYTES, ROW_BYTES = 4 << 20, 2 << 20, 512
+#: Bytes of text for a task.
+TASK_BYTES = 24 << 20
+#: An anchor with more different segments (as shards count them) is dealt by its windows.
+HOT = 8192
 #: Never occurs in UTF-8.
-SEPARATOR = b"\xff"
-_MULTIPLIER = 0x9E3779B97F4A7C15
+SEPARATOR = 255
+#: The range of the rows that a shard sends to itself.
+OWN = -1
+_ODD = (0x9E3779B97F4A7C15, 0x7FB5D329728EA185, 0x81DADEF4BC2DD44D)
+_ROW = "shard long, range long, n long, a binary, b binary, c binary"
+_ROW_KINDS = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[1])
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(_ODD[2])
     return h ^ (h >> np.uint64(33))
 
 
-def anchors(data: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``length`` bytes the place of its anchor, and all hashes by place."""
+def anchors(data: np.ndarray, length: int, width: int) -> np.ndarray:
+    """For every window of ``length`` bytes the place of its anchor, the leftmost string of the least hash."""
     # hashes of 2, 4, 8 and 16 bytes by doubling, then two overlapping ones for the width
-    h = data.astype(np.uint64) + np.uint64(1)
-    size, power = 1, _MULTIPLIER
+    h = data.astype(np.uint32)
+    h += np.uint32(1)
+    size, power = 1, _ODD[0] & 0xFFFFFFFF
     while 2 * size <= width:
-        h = h[:-size] * np.uint64(power) + h[size:]
-        power = power * power % (1 << 64)
+        h = h[:-size] * np.uint32(power) + h[size:]
+        power = power * power % (1 << 32)
         size *= 2
     if size < width:
-        h = h[: len(h) - (width - size)] * np.uint64(power) + h[width - size :]
-    h = _mixed(h)
-    key = (h & ~np.uint64((1 << 24) - 1)) | np.arange(len(h), dtype=np.uint64)
+        h = h[: len(h) - (width - size)] * np.uint32(power) + h[width - size :]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(_ODD[1] & 0xFFFFFFFF)
+    key = h.astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= np.arange(len(key), dtype=np.uint64)
     span, reach = length - width + 1, 1
     while 2 * reach <= span:
         key = np.minimum(key[:-reach], key[reach:])
         reach *= 2
     if reach < span:
         key = np.minimum(key[: len(key) - (span - reach)], key[span - reach :])
-    return (key & np.uint64((1 << 24) - 1)).astype(np.int64), h
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class Strings:
+    """Byte strings in a buffer, hashed and compared eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, most: int):
+        padded = np.append(data, np.zeros(most + 16, np.uint8))
+        self.words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+
+    def _word(self, start: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+        return self.words[start + np.minimum(k, size)] & _MASKS[np.clip(size - k, 0, 8)]
+
+    def hashes(self, start: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+        h = size.astype(np.uint64) + np.uint64(seed)
+        for k in range(0, int(size.max(initial=0)), 8):
+            h = (h ^ self._word(start, size, k)) * np.uint64(_ODD[0])
+            h ^= h >> np.uint64(29)
+        return _mixed(h)
+
+    def distinct(self, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first of each of the different strings, and the number of each string among them."""
+        for seed in numbers_from():
+            _, first, number = np.unique(self.hashes(start, size, seed), return_index=True, return_inverse=True)
+            like = first[number]
+            if (size[like] == size).all() and all((self._word(start, size, k) == self._word(start[like], size, k)).all() for k in range(0, int(size.max(initial=0)), 8)):
+                return first, number
+        raise AssertionError
+
+    @staticmethod
+    def joined(data: np.ndarray, start: np.ndarray, size: np.ndarray, gap: int = 0) -> np.ndarray:
+        """The strings one after the other, each followed by ``gap`` separators."""
+        step = size + gap
+        out = np.full(int(step.sum()), SEPARATOR, np.uint8)
+        inside = _counting(size)
+        out[np.repeat(np.cumsum(step) - step, size) + inside] = data[np.repeat(start, size) + inside]
+        return out
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of ``sizes``."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
 class Shard:
     """The documents of a shard in a fixed order, and their segments."""
 
     def __init__(self, table: pa.Table, length: int, bits: int):
-        ids, texts = table.column("doc_id").to_numpy(), table.column("text").to_pylist()
-        raw = [(t or "").encode("utf-8") for t in texts]
-        self.order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-        self.ids = np.array([ids[i] for i in self.order], np.int64)
-        self.raw = [raw[i] for i in self.order]
+        ids = table.column("doc_id").to_numpy()
+        texts = table.column("text").cast(pa.large_binary()).combine_chunks()
+        texts = (texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts).fill_null(b"")
+        order = np.argsort(ids, kind="stable")
+        if (np.diff(ids[order]) == 0).any():
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].as_py())), np.int64)
+        self.order, self.ids = order, ids[order]
+        texts = texts.take(pa.array(order))
+        offsets = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.ends = offsets[1:] - offsets[0]
         self.length, self.width, self.bits = length, min(ANCHOR, length), bits
-        self._cut: list | None = None
-
-    def pieces(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
-        """Groups of documents: their bytes, the index and start of each, and the windows of which document parts."""
-        group: list[tuple[int, int, bytes]] = []
-        size = 0
-        for i, data in enumerate(self.raw):
-            for a in range(0, max(1, len(data) - self.length + 1), PIECE):
-                part = data[a : a + PIECE + self.length - 1]
-                if len(part) < self.length:
-                    continue
-                if size + len(part) > PIECE + self.length and group:
-                    yield self._joined(group)
-                    group, size = [], 0
-                group.append((i, a, part))
-                size += len(part)
-        if group:
-            yield self._joined(group)
-
-    @staticmethod
-    def _joined(group):
-        sizes = np.array([len(p) for _, _, p in group])
-        return b"".join(p for _, _, p in group), np.array([i for i, _, _ in group]), np.array([a for _, a, _ in group]), sizes
-
-    def segments(self) -> list[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each piece: bytes, and by segment the document, its place there, its place in the piece, windows, anchor."""
-        if self._cut is None:
-            self._cut = list(self._segments())
-        return self._cut
-
-    def _segments(self) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for data, doc, base, sizes in self.pieces():
-            buffer = np.frombuffer(data, np.uint8)
-            at, h = anchors(buffer, self.length, self.width)
-            ends = np.cumsum(sizes)
-            # windows that do not cross into the next document
-            last = np.repeat(ends - self.length, sizes)[: len(at)]
-            ok = np.arange(len(at)) <= last
-            part = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
-            new = np.append(True, (at[1:] != at[:-1]) | (part[1:] != part[:-1]) | (ok[1:] != ok[:-1]))
-            start = np.flatnonzero(new)
-            count = np.diff(np.append(start, len(at)))
-            keep = ok[start]
-            start, count = start[keep], count[keep]
-            p = part[start]
-            yield data, doc[p], base[p] + start - (ends - sizes)[p], start, count, h[at[start]]
+        self.strings = Strings(self.data, length + length)
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every segment the place, the number of windows and the anchor (top ``bits`` + 32 bits of its hash)."""
+        starts, counts, places = [], [], []
+        for a in range(0, max(0, len(self.data) - self.length + 1), PIECE):
+            at = anchors(self.data[a : a + PIECE + self.length - 1], self.length, self.width)
+            # windows that cross into the next document
+            b, e = np.searchsorted(self.ends, [a + 1, a + len(at) + self.length])
+            crossing = (self.ends[b:e, None] - np.arange(1, self.length)).ravel() - a
+            at[crossing[(crossing >= 0) & (crossing < len(at))]] = -1
+            start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            count = np.diff(start, append=len(at))
+            keep = at[start] >= 0
+            starts.append(start[keep] + a)
+            counts.append(count[keep])
+            places.append(at[start[keep]] + a)
+        if not starts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        place = np.concatenate(places)
+        codes = self.strings.hashes(place, np.full(len(place), self.width)) >> np.uint64(32 - self.bits)
+        return np.concatenate(starts), np.concatenate(counts), codes
 
     def held(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors (top ``bits`` + 32 bits), sorted, and whether two documents here hold them."""
-        keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, doc, _, _, _, h in self.segments():
-            keys.append(self.code(h))
-            docs.append(self.ids[doc])
-        keys, docs = np.concatenate(keys), np.concatenate(docs)
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(keys)) - 1
-        return keys[first], docs[first] != docs[last]
-
-    def code(self, h: np.ndarray) -> np.ndarray:
-        return h >> np.uint64(32 - self.bits)
-
-    def shared_segments(self, shared: np.ndarray):
-        """By piece: the bytes, documents, places, windows, and numbers of the distinct segments whose anchors are in ``shared``.
-
-        A segment is numbered when it is first met, in an order that depends on
-        the documents alone. Numbers, bytes and least doc_ids are in ``self.known``,
-        ``self.codes`` and ``self.least``.
+        """The different anchors, sorted, and for each its different segments (15 bits) and whether two documents hold it (high bit)."""
+        start, count, codes = self.segments()
+        doc = self.ids[np.searchsorted(self.ends, start, "right")]
+        text = self.strings.hashes(start, count + self.length - 1)
+        order = np.lexsort((text, codes))
+        codes, doc, text = codes[order], doc[order], text[order]
+        first = np.flatnonzero(np.append(codes[:1] == codes[:1], codes[1:] != codes[:-1]))
+        if not len(first):
+            return codes, np.zeros(0, np.uint16)
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        new = np.append(True, text[1:] != text[:-1])
+        number = np.minimum(np.add.reduceat(new.astype(np.int64), first), 0x7FFF)
+        return codes[first], (number | several.astype(np.int64) << 15).astype(np.uint16)
+
+    def shared_segments(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Of every segment with a shared anchor the place, windows and code; hot ones as single windows.
+
+        ``answers`` has, by anchor range, whether the shard's anchors are shared
+        and hot, in their order.
         """
-        self.known: dict[bytes, int] = {}
-        self.codes: list[int] = []
-        self.least: list[int] = []
-        known, codes, least, span = self.known, self.codes, self.least, self.length - 1
-        for data, doc, place, start, count, h in self.segments():
-            code = self.code(h)
-            at = np.minimum(np.searchsorted(shared, code), max(len(shared) - 1, 0))
-            pick = np.flatnonzero(shared[at] == code) if len(shared) else np.zeros(0, np.int64)
-            numbers = np.empty(len(pick), np.int64)
-            ends = start + count + span
-            for k, (a, b, c, d) in enumerate(zip(start[pick].tolist(), ends[pick].tolist(), code[pick].tolist(), self.ids[doc[pick]].tolist(), strict=True)):
-                s = data[a:b]
-                n = known.setdefault(s, len(codes))
-                if n == len(codes):
-                    codes.append(c)
-                    least.append(d)
-                elif d < least[n]:
-                    least[n] = d
-                numbers[k] = n
-            yield data, doc[pick], place[pick], count[pick], numbers
+        start, count, codes = self.segments()
+        mine, number = np.unique(codes, return_inverse=True)
+        ranges = _ranges(mine, self.bits)
+        found = np.zeros((2, len(mine)), bool)
+        for r, flags in answers:
+            a, b = np.searchsorted(ranges, [r, r + 1])
+            found[:, a:b] = np.unpackbits(np.frombuffer(flags, np.uint8), count=2 * (b - a)).reshape(2, b - a)
+        shared, hot = found[:, number]
+        usual = shared & ~hot
+        windows = np.repeat(start[hot], count[hot]) + _counting(count[hot])
+        own = self.strings.hashes(windows, np.full(len(windows), self.length), 1) >> np.uint64(32 - self.bits)
+        start = np.append(start[usual], windows)
+        order = np.argsort(start, kind="stable")
+        return start[order], np.append(count[usual], np.ones(len(windows), np.int64))[order], np.append(codes[usual], own)[order]
 
 
 def _ranges(codes: np.ndarray, bits: int) -> np.ndarray:
-    return (codes >> np.uint64(32)).astype(np.int64) if bits else np.zeros(len(codes), np.int64)
+    return (codes >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -179,53 +209,44 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin.tolist(), np.append(begin[1:], len(values)).tolist(), strict=True))
 
 
-def _packed(*arrays: np.ndarray | bytes) -> list[bytes]:
-    return [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+def _table(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, _ROW_KINDS.types, strict=True)], schema=_ROW_KINDS)
+
+
+def _columns(table: pa.Table, *names: str) -> list[tuple]:
+    return list(zip(*(table.column(n).to_pylist() for n in names), strict=True))
 
 
-def _shared_codes(rows: pa.Table, mine: np.ndarray, bits: int) -> np.ndarray:
-    """The anchors that the answers of step 1 mark as shared; answers follow the order of ``mine``."""
-    out = []
-    ranges = _ranges(mine, bits)
-    for r, data in zip(rows.column("range").to_pylist(), rows.column("a").to_pylist(), strict=True):
-        a, b = np.searchsorted(ranges, [r, r + 1])
-        out.append(mine[a:b][np.unpackbits(np.frombuffer(data, np.uint8), count=b - a).astype(bool)])
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def _read(parts: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), kind)
 
 
-def _window_minima(segments: list[bytes], codes: np.ndarray, least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every segment the least doc_id of each of its windows; one suffix array for each run of anchors."""
+def _window_minima(data: np.ndarray, start: np.ndarray, size: np.ndarray, codes: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """The least doc_id of every window of every segment, one after the other; a suffix array for each run of anchors."""
+    windows = size - length + 1
+    at = np.cumsum(windows) - windows
+    out = np.empty(int(windows.sum()), np.int64)
     order = np.argsort(codes, kind="stable")
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-    group: list[int] = []
-    size = 0
-
-    def flush() -> None:
-        data = SEPARATOR.join([segments[i] for i in group])
-        text = np.frombuffer(data, np.uint8)
-        sizes = np.array([len(segments[i]) for i in group])
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        sa = suffix_array(text, length)
-        same = permuted_prefixes(text, sa, length)[sa] >= length
-        owner = np.repeat(least[group], sizes + 1)[: len(text)]
-        starts = np.flatnonzero(~same)
-        minima = np.minimum.reduceat(owner[sa], starts)
+    # a group ends with an anchor
+    filled = np.cumsum(size[order] + 1)
+    last = np.flatnonzero(np.append(codes[order[1:]] != codes[order[:-1]], True))
+    begin = 0
+    while begin < len(order):
+        full = last[np.searchsorted(filled[last], (filled[begin - 1] if begin else 0) + ARRAY_BYTES) :]
+        end = int(full[0] if len(full) else last[-1]) + 1
+        own = order[begin:end]
+        begin = end
+        text = Strings.joined(data, start[own], size[own], 1)[:-1]
+        sa = suffix_array(text)
+        same = permuted_prefixes(text, sa)[sa] >= length
+        first = np.flatnonzero(~same)
+        owner = np.repeat(least[own], size[own] + 1)[sa]
         value = np.empty(len(text), np.int64)
-        value[sa] = np.repeat(minima, np.diff(np.append(starts, len(sa))))
-        for i, b, n in zip(group, begin.tolist(), sizes.tolist(), strict=True):
-            out[i] = value[b : b + n - length + 1]
-
-    before = None
-    for i in order.tolist():
-        if size > ARRAY_BYTES and codes[i] != before:
-            flush()
-            group.clear()
-            size = 0
-        group.append(i)
-        size += len(segments[i]) + 1
-        before = codes[i]
-    if group:
-        flush()
+        value[sa] = np.repeat(np.minimum.reduceat(owner, first), np.diff(first, append=len(sa)))
+        step = size[own] + 1
+        inside = _counting(windows[own])
+        out[np.repeat(at[own], windows[own]) + inside] = value[np.repeat(np.cumsum(step) - step, windows[own]) + inside]
     return out
 
 
@@ -238,104 +259,103 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     ``spans`` has the maximal removed runs (start, end), ``kept`` the other
     bytes. Rows with the same doc_id remove nothing from each other, rows
     without one neither remove nor lose anything. Texts shorter than ``length``
-    stay whole. An empty table gives an empty table.
+    stay whole. An empty table gives an empty table. One aggregation over the
+    input measures its texts.
     """
     if length < 2:
         raise ValueError("length must be at least 2")
-    size = input_bytes(docs) * 2
-    shards = max(8, -(-size // SHARD_BYTES))
-    bits = max(3, int(-(-size * 2 // RANGE_BYTES) - 1).bit_length())
     extra = [f"kept_{i}" for i in range(len(keep))]
     kinds = "".join(f"{n} {docs.schema[k].dataType.simpleString()}, " for n, k in zip(extra, keep, strict=True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{k}`").alias(n) for n, k in zip(extra, keep, strict=True)))
-    own = rows.where("doc_id is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    texts = own.groupBy("shard")
-    row_kind = "shard long, range long, n long, a binary, b binary, c binary"
-
-    def table(columns: list[tuple]) -> pa.Table:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        data = list(zip(*columns, strict=True)) or [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(data, kinds, strict=True)], ["shard", "range", "n", "a", "b", "c"])
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    least = int((size * ROW_BYTES) ** 0.5)
+    shards = max(8, -(-size // max(SHARD_BYTES, least)))
+    bits = min(31, max(3, (-(-size // max(RANGE_BYTES, least)) - 1).bit_length()))
+    tasks = max(8, -(-size // TASK_BYTES))
+    # rows with one doc_id but different texts may lie in different shards
+    own = rows.where("doc_id is not null").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    texts = own.repartition(tasks, "shard").groupBy("shard")
 
     def send_anchors(key: tuple[pa.Scalar, ...], docs_of: pa.Table) -> pa.Table:
-        codes, several = Shard(docs_of, length, bits).held()
+        codes, held = Shard(docs_of, length, bits).held()
         ranges = _ranges(codes, bits)
-        out = []
-        for a, b in _runs(ranges):
-            out.append((key[0].as_py(), int(ranges[a]), b - a, *_packed(codes[a:b].astype("<u4"), np.packbits(several[a:b])), None))
-        return table(out)
+        return _table([(key[0].as_py(), int(ranges[a]), b - a, codes[a:b].astype("<u4").tobytes(), held[a:b].astype("<u2").tobytes(), None) for a, b in _runs(ranges)])
 
     def match_anchors(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
-        counts = sent.column("n").to_pylist()
-        codes = np.concatenate([np.frombuffer(x, "<u4") for x in sent.column("a").to_pylist()])
-        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(sent.column("b").to_pylist(), counts, strict=True)])
-        values, inverse, times = np.unique(codes, return_inverse=True, return_counts=True)
-        shared = (times > 1) | (np.bincount(inverse, several, len(values)) > 0)
-        found, at, out = shared[inverse], 0, []
-        for shard, n in zip(sent.column("shard").to_pylist(), counts, strict=True):
-            out.append((shard, key[0].as_py(), n, *_packed(np.packbits(found[at : at + n])), None, None))
+        rows = _columns(sent, "shard", "n", "a", "b")
+        codes, held = _read([r[2] for r in rows], "<u4"), _read([r[3] for r in rows], "<u2").astype(np.int64)
+        _, number, times = np.unique(codes, return_inverse=True, return_counts=True)
+        shared = (times > 1) | (np.bincount(number, held >> 15) > 0)
+        hot = shared & (np.bincount(number, held & 0x7FFF) > HOT)
+        out, at = [], 0
+        for shard, n, _, _ in rows:
+            i = number[at : at + n]
+            out.append((shard, key[0].as_py(), n, np.packbits(np.append(shared[i], hot[i])).tobytes(), None, None))
             at += n
-        return table(out)
+        return _table(out)
 
     def send_segments(key: tuple[pa.Scalar, ...], docs_of: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs_of.num_rows:
-            return table([])
+            return _table([])
         shard = Shard(docs_of, length, bits)
-        for _ in shard.shared_segments(_shared_codes(answers, shard.held()[0], bits)):
-            pass
-        codes, least = np.array(shard.codes, np.uint64), np.array(shard.least, np.int64)
-        ranges, segments = _ranges(codes, bits), list(shard.known)
-        order = np.argsort(ranges, kind="stable")
-        out = []
-        for a, b in _runs(ranges[order]):
-            i = order[a:b]
-            own_segments = [segments[j] for j in i]
-            head = np.stack([codes[i].astype("<u4"), np.array([len(s) for s in own_segments], "<u4")])
-            out.append((key[0].as_py(), int(ranges[i[0]]), len(i), *_packed(head, b"".join(own_segments), least[i])))
-        return table(out)
+        start, count, codes = shard.shared_segments(_columns(answers, "range", "a"))
+        first, number = shard.strings.distinct(start, count + length - 1)
+        # segments are numbered by range, then by their first place, so that least doc_ids rise
+        order = np.lexsort((first, _ranges(codes[first], bits)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        first = first[order]
+        ids = shard.ids[np.searchsorted(shard.ends, start[first], "right")]
+        out = [(key[0].as_py(), OWN, len(start), start.astype("<i8").tobytes(), rank[number].astype("<u4").tobytes(), None)]
+        ranges = _ranges(codes[first], bits)
+        for a, b in _runs(ranges):
+            i = first[a:b]
+            size = count[i] + length - 1
+            head = codes[i].astype("<u4").tobytes() + size.astype("<u4").tobytes()
+            out.append((key[0].as_py(), int(ranges[a]), b - a, head, shard.strings.joined(shard.data, start[i], size).tobytes(), np.diff(ids[a:b], prepend=0).astype("<i8").tobytes()))
+        return _table(out)
 
     def match_segments(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
-        known: dict[bytes, int] = {}
-        codes: list[int] = []
-        least: list[int] = []
-        numbers = []
-        for n, head, data, docs_of in zip(*(sent.column(c).to_pylist() for c in ("n", "a", "b", "c")), strict=True):
-            code, sizes = np.frombuffer(head, "<u4").reshape(2, n)
-            ends = np.cumsum(sizes.astype(np.int64))
-            mine = np.empty(n, np.int64)
-            for k, (a, b, c, d) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), code.tolist(), np.frombuffer(docs_of, "<i8").tolist(), strict=True)):
-                s = data[a:b]
-                j = known.setdefault(s, len(codes))
-                if j == len(codes):
-                    codes.append(c)
-                    least.append(d)
-                elif d < least[j]:
-                    least[j] = d
-                mine[k] = j
-            numbers.append(mine)
-        minima = _window_minima(list(known), np.array(codes, np.int64), np.array(least, np.int64), length)
-        runs = []
-        for m in minima:
-            cut = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-            runs.append((len(cut), np.diff(np.append(cut, len(m))), m[cut]))
-        out = []
-        for shard, n, mine in zip(sent.column("shard").to_pylist(), sent.column("n").to_pylist(), numbers, strict=True):
-            own_runs = [runs[j] for j in mine.tolist()]
-            counts = np.array([r[0] for r in own_runs], "<u4")
-            out.append((shard, key[0].as_py(), n, *_packed(counts, np.concatenate([r[1] for r in own_runs]).astype("<u4"), np.concatenate([r[2] for r in own_runs]))))
-        return table(out)
+        if key[0].as_py() == OWN:
+            return sent
+        rows = _columns(sent, "shard", "n", "a", "b", "c")
+        heads = [np.frombuffer(a, "<u4").reshape(2, n) for _, n, a, _, _ in rows]
+        codes, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads]).astype(np.int64)
+        least = np.concatenate([np.cumsum(np.frombuffer(c, "<i8")) for *_, c in rows])
+        data = _read([b for _, _, _, b, _ in rows], np.uint8)
+        counts = [r[:2] for r in rows]
+        del rows, heads, sent
+        start = np.cumsum(size) - size
+        first, number = Strings(data, length + length).distinct(start, size)
+        known = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(known, number, least)
+        minima = _window_minima(data, start[first], size[first], codes[first], known, length)
+        # runs of equal values within each segment
+        windows = size[first] - length + 1
+        new = np.append(np.ones(min(1, len(minima)), bool), minima[1:] != minima[:-1])
+        new[np.cumsum(windows) - windows] = True
+        at = np.flatnonzero(new)
+        n_runs = np.diff(np.append(0, np.cumsum(new)[np.cumsum(windows) - 1]))
+        run_size, run_doc, run_at = np.diff(at, append=len(minima)), minima[at], np.cumsum(n_runs) - n_runs
+        out, a = [], 0
+        for shard, n in counts:
+            i = number[a : a + n]
+            a += n
+            k = n_runs[i]
+            j = np.repeat(run_at[i], k) + _counting(k)
+            out.append((shard, key[0].as_py(), n, k.astype("<u4").tobytes(), run_size[j].astype("<u4").tobytes(), run_doc[j].astype("<i8").tobytes()))
+        return _table(out)
 
     def cut(key: tuple[pa.Scalar, ...], docs_of: pa.Table, answers: pa.Table) -> pa.Table:
-        shard = Shard(docs_of, length, bits)
-        return _cut(shard, docs_of, answers, bits, extra)
-
-    anchor_rows = texts.applyInArrow(send_anchors, row_kind)
-    # the answers of both steps come back under the shard; the first ones go to step 2 only
-    shared = anchor_rows.groupBy("range").applyInArrow(match_anchors, row_kind)
-    sent = texts.cogroup(shared.groupBy("shard")).applyInArrow(send_segments, row_kind)
-    minima = sent.groupBy("range").applyInArrow(match_segments, row_kind)
-    answers = shared.select("shard", "range", F.lit(0).cast("long").alias("n"), "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c")).unionByName(minima.withColumn("n", F.col("n") + 1))
-    out = texts.cogroup(answers.groupBy("shard")).applyInArrow(
+        return _cut(Shard(docs_of, length, bits), docs_of, answers, extra)
+
+    anchor_rows = texts.applyInArrow(send_anchors, _ROW)
+    shared = anchor_rows.repartition(tasks, "range").groupBy("range").applyInArrow(match_anchors, _ROW)
+    sent = texts.cogroup(shared.repartition(tasks, "shard").groupBy("shard")).applyInArrow(send_segments, _ROW)
+    # a shard's own row is a group of its own on the way
+    step = F.when(F.col("range") == OWN, -1 - F.col("shard")).otherwise(F.col("range"))
+    minima = sent.withColumn("to", step).repartition(tasks, "to").groupBy("to").applyInArrow(lambda key, part: match_segments((part.column("range")[0],), part.drop_columns("to")), _ROW)
+    out = texts.cogroup(minima.repartition(tasks, "shard").groupBy("shard")).applyInArrow(
         cut, f"doc_id long, {kinds}n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     )
     rest = rows.where("doc_id is null").select(
@@ -346,56 +366,45 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     return out.unionByName(rest).select("doc_id", *names, "n_bytes", "n_removed", "spans", "kept")
 
 
-def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, bits: int, extra: list[str]) -> pa.Table:
+def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, extra: list[str]) -> pa.Table:
     """Step 3: the documents of a shard without the covered bytes."""
-    first = answers.filter(pc.equal(answers.column("n"), 0))
-    second = answers.filter(pc.greater(answers.column("n"), 0))
-    shared = _shared_codes(first, shard.held()[0], bits)
-    spread = [np.zeros(len(r) + 1, np.int32) for r in shard.raw]
-    met = list(shard.shared_segments(shared))
-    # runs of every segment by its number
-    codes = np.array(shard.codes, np.uint64)
-    ranges = _ranges(codes, bits)
-    order = np.argsort(ranges, kind="stable")
-    n_runs = np.zeros(len(codes), np.int64)
-    parts = {}
-    for r, a, b, c in zip(*(second.column(x).to_pylist() for x in ("range", "a", "b", "c")), strict=True):
-        lo, hi = np.searchsorted(ranges[order], [r, r + 1])
-        n_runs[order[lo:hi]] = np.frombuffer(a, "<u4")
-        parts[lo] = (order[lo:hi], np.frombuffer(b, "<u4").astype(np.int64), np.frombuffer(c, "<i8"))
-    begin = np.cumsum(n_runs) - n_runs
-    run_size, run_doc = np.zeros(int(n_runs.sum()), np.int64), np.zeros(int(n_runs.sum()), np.int64)
-    for own, sizes, docs in parts.values():
-        k = n_runs[own]
-        to = np.repeat(begin[own], k) + np.arange(len(sizes)) - np.repeat(np.cumsum(k) - k, k)
-        run_size[to], run_doc[to] = sizes, docs
-    total = np.cumsum(run_size)
-    for _, doc, place, _, numbers in met:
-        k = n_runs[numbers]
-        index = np.repeat(begin[numbers], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-        before = np.where(begin[numbers] > 0, total[begin[numbers] - 1], 0) if len(total) else np.zeros(len(numbers), np.int64)
-        offset = total[index] - run_size[index] - np.repeat(before, k)
-        who = np.repeat(doc, k)
-        take = run_doc[index] < shard.ids[who]
-        a = (np.repeat(place, k) + offset)[take]
-        b = a + run_size[index][take] + shard.length - 1
-        who = who[take]
-        for s, e in _runs(who):
-            np.add.at(spread[who[s]], a[s:e], 1)
-            np.add.at(spread[who[s]], b[s:e], -1)
-    n_removed, spans, kept = [], [], []
-    for data, cover in zip(shard.raw, spread, strict=True):
-        gone = np.cumsum(cover[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-        pairs = edge.reshape(-1, 2)
-        n_removed.append(int((pairs[:, 1] - pairs[:, 0]).sum()))
-        spans.append([{"start": int(s), "end": int(e)} for s, e in pairs])
-        keep_from = np.concatenate([[0], pairs[:, 1]]).tolist()
-        keep_to = np.concatenate([pairs[:, 0], [len(data)]]).tolist()
-        kept.append(b"".join(data[s:e] for s, e in zip(keep_from, keep_to, strict=True)))
+    rows = sorted(_columns(answers, "range", "a", "b", "c"))
+    change = np.zeros(len(shard.data) + 1, np.int32)
+    if rows:
+        (_, places, numbers, _), rows = rows[0], rows[1:]
+        start, number = np.frombuffer(places, "<i8"), np.frombuffer(numbers, "<u4")
+        n_runs = _read([r[1] for r in rows], "<u4").astype(np.int64)
+        run_size, run_doc = _read([r[2] for r in rows], "<u4").astype(np.int64), _read([r[3] for r in rows], "<i8")
+        run_at = np.cumsum(n_runs) - n_runs
+        before = np.cumsum(run_size) - run_size
+        k = n_runs[number]
+        j = np.repeat(run_at[number], k) + _counting(k)
+        a = np.repeat(start, k) + before[j] - np.repeat(before[run_at[number]], k)
+        earlier = run_doc[j] < np.repeat(shard.ids[np.searchsorted(shard.ends, start, "right")], k)
+        a, b = a[earlier], (a + run_size[j] + shard.length - 1)[earlier]
+        change += np.bincount(a, minlength=len(change)).astype(np.int32)
+        change -= np.bincount(b, minlength=len(change)).astype(np.int32)
+    gone = np.cumsum(change[:-1]) > 0
+    begins = np.append(0, shard.ends[:-1])
+    total = np.append(0, np.cumsum(gone))
+    n_removed = total[shard.ends] - total[begins]
+    # runs end with their documents
+    border = np.zeros(len(gone) + 1, bool)
+    border[shard.ends] = True
+    first = np.flatnonzero(gone & ~(np.append(False, gone[:-1])[: len(gone)] & ~border[:-1]))
+    last = np.flatnonzero(gone & ~(np.append(gone[1:], False)[: len(gone)] & ~border[1:])) + 1
+    owner = np.searchsorted(shard.ends, first, "right")
+    spans = pa.ListArray.from_arrays(
+        pa.array(np.searchsorted(owner, np.arange(len(shard.ids) + 1)), pa.int32()),
+        pa.StructArray.from_arrays([pa.array(first - begins[owner], pa.int64()), pa.array(last - begins[owner], pa.int64())], ["start", "end"]),
+    )
+    kept = shard.data[~gone]
+    offsets = (np.append(0, shard.ends) - total[np.append(0, shard.ends)]).astype("<i4")
     sorted_rows = docs_of.take(pa.array(shard.order, pa.int64()))
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table(
-        [sorted_rows.column("doc_id"), *(sorted_rows.column(c) for c in extra), pa.array([len(r) for r in shard.raw], pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+        [
+            sorted_rows.column("doc_id"), *(sorted_rows.column(c) for c in extra), pa.array(shard.ends - begins, pa.int64()), pa.array(n_removed, pa.int64()),
+            spans, pa.BinaryArray.from_buffers(pa.binary(), len(shard.ids), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]),
+        ],
         ["doc_id", *extra, "n_bytes", "n_removed", "spans", "kept"],
-    )
+    )

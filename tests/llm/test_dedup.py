@@ -9,10 +9,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from spindle.llm import simhash
+from spindle.llm import simhash, suffix_dedup
+from spindle.llm import suffix_array as arrays
 from spindle.llm.components import connected_components
 from spindle.llm.multi_index import MultiIndex, near_duplicate_vectors
-from spindle.llm.suffix_array import permuted_prefixes, suffix_array
 from spindle.llm.suffix_dedup import remove_repeats
 
 
@@ -117,46 +117,84 @@ def test_long_fingerprints_find_similar_texts(spark):
     assert sum(component[i] == own[0] for own in groups for i in own) >= 46
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("short", [4, 1 << 17])
+def test_suffix_arrays(monkeypatch, short):
+    """Random, periodic and constant texts; with a small ``short`` the recursion goes down to the last names."""
+    monkeypatch.setattr(arrays, "SHORT", short)
     rng = np.random.default_rng(1)
-    for _ in range(150):
-        n, k = int(rng.integers(0, 120)), int(rng.choice([1, 2, 4, 256]))
+    for turn in range(300):
+        n, k = int(rng.integers(0, 150)), int(rng.choice([1, 2, 3, 4, 256]))
         text = rng.integers(0, k, n).astype(np.uint8)
+        if turn % 4 == 0 and n:
+            text = np.resize(text[: int(rng.integers(1, 9))], n)
         data = text.tobytes()
-        for depth in (3, 50, 1000):
-            sa = suffix_array(text, depth)
-            assert sorted(sa.tolist()) == list(range(n))
-            keys = [data[i : i + depth] for i in sa]
-            assert keys == sorted(keys)
-        prefixes = permuted_prefixes(text, sa, 20)
-        for a, b in zip(sa, sa[1:], strict=False):
+        sa = arrays.suffix_array(text)
+        assert sa.tolist() == sorted(range(n), key=lambda i: data[i:])
+        prefixes = arrays.permuted_prefixes(text, sa)
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
             same = 0
-            while same < 20 and max(a, b) + same < n and data[a + same] == data[b + same]:
+            while max(a, b) + same < n and data[a + same] == data[b + same]:
                 same += 1
             assert prefixes[b] == same
 
 
-@pytest.mark.parametrize("length", [50, 20, 9])
-def test_repeats_are_those_of_brute_force(docs, no_docs, length):
-    rows = docs.collect()
+def brute_repeats(rows, length: int) -> list[tuple]:
     first: dict[bytes, int] = {}
-    for r in rows:
-        data = (r.text or "").encode()
-        for k in range(len(data) - length + 1 if r.doc_id is not None else 0):
+    for doc_id, data in rows:
+        for k in range(len(data) - length + 1 if doc_id is not None else 0):
             s = data[k : k + length]
-            first[s] = min(r.doc_id, first.get(s, r.doc_id))
-    expected = []
-    for r in rows:
-        data = (r.text or "").encode()
+            first[s] = min(doc_id, first.get(s, doc_id))
+    out = []
+    for doc_id, data in rows:
         gone = np.zeros(len(data), bool)
-        for k in range(len(data) - length + 1 if r.doc_id is not None else 0):
-            if first[data[k : k + length]] < r.doc_id:
+        for k in range(len(data) - length + 1 if doc_id is not None else 0):
+            if first[data[k : k + length]] < doc_id:
                 gone[k : k + length] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
-        expected.append((r.doc_id or -1, len(data), int(gone.sum()), list(zip(edge[::2], edge[1::2], strict=True)), bytes(np.frombuffer(data, np.uint8)[~gone]), r.lang or ""))
+        out.append((-1 if doc_id is None else doc_id, len(data), int(gone.sum()), list(zip(edge[::2], edge[1::2], strict=True)), bytes(np.frombuffer(data, np.uint8)[~gone])))
+    return sorted(out)
+
+
+def found_repeats(frame, length: int) -> list[tuple]:
+    rows = remove_repeats(frame, length).collect()
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in rows)
+
+
+@pytest.mark.parametrize("texts", [["short", None, "also short"], [None, ""], ["one row " * 20], ["x" * 49, "x" * 50, "x" * 51], ["short", "long enough " * 9, "long enough " * 12]])
+def test_repeats_of_short_texts(spark, texts):
+    """Shards without a string of the length, single rows, fewer rows than shards."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found_repeats(frame, 50) == brute_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+
+
+def test_repeats_after_a_join(spark, docs):
+    """An input without file statistics."""
+    frame = docs.join(docs.select("doc_id", "label").withColumnRenamed("label", "l").distinct(), "doc_id").select("doc_id", "text")
+    assert found_repeats(frame, 50) == brute_repeats([(r.doc_id, (r.text or "").encode()) for r in frame.collect()], 50)
+
+
+def test_repeats_with_a_hot_passage_and_long_texts(spark, monkeypatch):
+    """One passage in very many documents: its anchors are dealt by windows. Arrays, pieces and rows are small."""
+    for name, value in (("HOT", 20), ("PIECE", 1 << 10), ("ARRAY_BYTES", 1 << 12), ("SHARD_BYTES", 1 << 15), ("RANGE_BYTES", 1 << 15)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passage, long = some(30), some(40_000)
+    texts = [f"{some(12)} {passage} {some(12)}" for _ in range(300)] + [long, some(5) + long[50_000:150_000] + some(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert found_repeats(frame, 50) == brute_repeats([(i, t.encode()) for i, t in enumerate(texts)], 50)
+
+
+@pytest.mark.parametrize("length", [50, 20, 9])
+def test_repeats_are_those_of_brute_force(docs, no_docs, length):
+    rows = docs.collect()
+    expected = brute_repeats([(r.doc_id, (r.text or "").encode()) for r in rows], length)
+    assert found_repeats(docs, length) == expected
+    langs = {r.doc_id: (r.lang, r.fp) for r in rows}
     out = remove_repeats(docs, length, keep=("lang", "fp"))
-    got = [(r.doc_id or -1, r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans], bytes(r.kept), r.lang or "") for r in out.collect()]
-    assert sorted(got) == sorted(expected)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes) for r in out.collect()) == [e[:2] for e in expected]
+    assert all((r.lang, r.fp) == langs[r.doc_id] for r in out.collect())
     assert remove_repeats(no_docs, length).count() == 0
 
 
