@@ -52,7 +52,7 @@ def c08(spark, d):
     return rows.groupBy("symbol", "experiment", "direction").agg(F.count("*").alias("n"), F.max(F.abs("log2fc")).alias("largest"))
 
 
-@query("C10_genes_discordance", sql("assoc", """, a AS (SELECT gene, symbol, experiment, contrast, log2fc, adj_p FROM assoc WHERE gene % 50 = 3)
+@query("C10_genes_discordance", sql("assoc", """, a AS (SELECT gene, symbol, experiment, contrast, log2fc, adj_p FROM assoc)
   SELECT u.gene, u.symbol, u.experiment AS experiment_up, w.experiment AS experiment_down, u.log2fc AS log2fc_up, w.log2fc AS log2fc_down, u.adj_p AS adj_p_up, w.adj_p AS adj_p_down
   FROM a u JOIN a w ON u.gene = w.gene WHERE u.log2fc > 0 AND w.log2fc < 0 ORDER BY u.log2fc - w.log2fc DESC, u.gene, experiment_up, experiment_down, adj_p_up, adj_p_down LIMIT 200"""))
 def c10(spark, d):
@@ -137,14 +137,14 @@ def x06(spark, d):
     return rows.select("contrast", "gene", "log2fc", "adj_p", F.when(F.col("log2fc") > 0, "up").otherwise("down").alias("direction"))
 
 
-@query("X08_fisher_combination", sql("assoc", """, s AS (SELECT gene, experiment, min(adj_p) + 0.001::DOUBLE * (gene % 13) + 0.01::DOUBLE AS p FROM assoc WHERE taxon = 1 GROUP BY gene, experiment), g AS (SELECT gene, count(*) AS k, -2 * sum(ln(p)) AS x FROM s GROUP BY gene HAVING count(*) BETWEEN 2 AND 5)
-  SELECT gene, k AS n_studies, round(x, 6) AS x, round(least(1.0, exp(-x / 2) * (1 + x / 2 + CASE WHEN k > 2 THEN power(x / 2, 2) / 2 ELSE 0 END + CASE WHEN k > 3 THEN power(x / 2, 3) / 6 ELSE 0 END + CASE WHEN k > 4 THEN power(x / 2, 4) / 24 ELSE 0 END)), 8) AS pvalue FROM g"""))
+@query("X08_fisher_combination", sql("assoc", """, s AS (SELECT gene, experiment, min(adj_p) + 0.001::DOUBLE * (gene % 13) + 0.01::DOUBLE AS p FROM assoc GROUP BY gene, experiment), g AS (SELECT gene, count(*) AS k, -2 * sum(ln(p)) AS x FROM s GROUP BY gene HAVING count(*) >= 2)
+  SELECT gene, k AS n_studies, round(x, 6) AS x, round(least(1.0, list_sum(list_transform(range(k), lambda i: exp(i * ln(x / 2) - x / 2 - lgamma(i + 1.0))))), 8) AS pvalue FROM g"""))
 def x08(spark, d):
     from spindle.operators.statistics import fisher
 
-    rows = associations(spark, d).where("taxon = 1").groupBy("gene", experiment_of().alias("study"))
+    rows = associations(spark, d).groupBy("gene", experiment_of().alias("study"))
     out = fisher(rows.agg((F.min("adj_p") + F.lit(0.001) * (F.col("gene") % 13) + 0.01).alias("p")))
-    return out.where("n_studies <= 5").select("gene", "n_studies", F.round("x", 6).alias("x"), F.round("pvalue", 8).alias("pvalue"))
+    return out.select("gene", "n_studies", F.round("x", 6).alias("x"), F.round("pvalue", 8).alias("pvalue"))
 
 
 @query("X07_stouffer_combination")
@@ -173,7 +173,7 @@ def a01(spark, d):
     return drug.join(disease, "gene").select("gene", "symbol", "drug_log2fc", "disease", "disease_log2fc")
 
 
-@query("J21_shared_annotation_neighbours", sql("assoc", """, m AS (SELECT DISTINCT gene, label FROM assoc WHERE gene % 20 = 1), s AS (SELECT a.gene, b.gene AS other, count(DISTINCT a.label) AS shared FROM m a JOIN m b ON a.label = b.label AND a.gene <> b.gene WHERE a.gene % 100 = 1 GROUP BY ALL)
+@query("J21_shared_annotation_neighbours", sql("assoc", """, m AS (SELECT DISTINCT gene, label FROM assoc), s AS (SELECT a.gene, b.gene AS other, count(DISTINCT a.label) AS shared FROM m a JOIN m b ON a.label = b.label AND a.gene <> b.gene GROUP BY ALL)
   SELECT gene, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY shared DESC, other) AS i FROM s) WHERE i <= 50"""))
 def j21(spark, d):
     # genes with the same labels share as many with any other gene, so sets of labels are compared, and each set
@@ -195,16 +195,16 @@ def g31(spark, d):
     return associations(spark, d).groupBy("contrast").agg(F.countDistinct("gene").alias("genes"), F.count("*").alias("n"))
 
 
-@query("G29_path_type_totals", sql("assoc", " SELECT experiment, label, count(*) AS n, count(DISTINCT gene) AS genes FROM assoc WHERE taxon = 4 GROUP BY ROLLUP (experiment, label)"))
+@query("G29_path_type_totals", sql("assoc", " SELECT experiment, label, count(*) AS n, count(DISTINCT gene) AS genes FROM assoc GROUP BY ROLLUP (experiment, label)"))
 def g29(spark, d):
-    rows = associations(spark, d).where("taxon = 4").withColumn("experiment", experiment_of())
+    rows = associations(spark, d).withColumn("experiment", experiment_of())
     return rows.rollup("experiment", "label").agg(F.count("*").alias("n"), F.countDistinct("gene").alias("genes"))
 
 
-@query("G29_pivot", sql("assoc", " SELECT label, count(*) FILTER (WHERE taxon = 0) AS t0, count(*) FILTER (WHERE taxon = 1) AS t1, count(*) FILTER (WHERE taxon = 2) AS t2 FROM assoc WHERE taxon <= 2 GROUP BY label"))
+@query("G29_pivot", sql("assoc", " SELECT label, count(*) FILTER (WHERE taxon = 0) AS t0, count(*) FILTER (WHERE taxon = 1) AS t1, count(*) FILTER (WHERE taxon = 2) AS t2, count(*) FILTER (WHERE taxon = 3) AS t3, count(*) FILTER (WHERE taxon = 4) AS t4 FROM assoc GROUP BY label"))
 def g29_pivot(spark, d):
-    rows = associations(spark, d).where("taxon <= 2").groupBy("label").pivot("taxon", [0, 1, 2]).count()
-    return rows.select("label", *(F.coalesce(str(i), F.lit(0)).alias(f"t{i}") for i in range(3)))
+    rows = associations(spark, d).groupBy("label").pivot("taxon", [0, 1, 2, 3, 4]).count()
+    return rows.select("label", *(F.coalesce(str(i), F.lit(0)).alias(f"t{i}") for i in range(5)))
 
 
 @query("U01_union_of_directions", sql("assoc", " SELECT DISTINCT gene, 'strong' AS kind FROM assoc WHERE abs(log2fc) > 0.1 UNION SELECT DISTINCT gene, 'sure' FROM assoc WHERE adj_p = 0"))
@@ -220,7 +220,7 @@ def u05(spark, d):
     return rows.where("taxon = 1").select("gene").distinct().join(rows.where("taxon = 2").select("gene"), "gene", "left_anti")
 
 
-@query("E11_reified_associations", sql("assoc", """, a AS (SELECT DISTINCT contrast, gene, log2fc, adj_p FROM assoc WHERE gene % 100 = 9), h AS (SELECT substr(md5(contrast || ' up ' || gene || ' ' || adj_p::VARCHAR), 1, 12) AS id, contrast, gene FROM a WHERE log2fc > 0)
+@query("E11_reified_associations", sql("assoc", """, a AS (SELECT DISTINCT contrast, gene, log2fc, adj_p FROM assoc), h AS (SELECT substr(md5(contrast || ' up ' || gene || ' ' || adj_p::VARCHAR), 1, 12) AS id, contrast, gene FROM a WHERE log2fc > 0)
   SELECT count(*) AS n, count(DISTINCT contrast) AS contrasts FROM (SELECT contrast, gene, 'subject' AS p FROM h UNION ALL SELECT contrast, gene, 'object' FROM h UNION ALL SELECT contrast, gene, 'log2fc' FROM h UNION ALL SELECT contrast, gene, 'adj_p' FROM h)"""))
 def e11(spark, d):
     from spindle.operators.etl import reified

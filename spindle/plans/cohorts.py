@@ -223,7 +223,7 @@ def g27(spark, d):
     return s.groupBy("cell_type").agg((F.round(F.log2(of("case") / of("normal")), 8) + 0.0).alias("log2fc"))
 
 
-@query("J17_sparse_to_dense", sql("expr", ", g AS (SELECT DISTINCT gene FROM expr WHERE gene < 20), s AS (SELECT DISTINCT sample FROM expr WHERE sample < 50) SELECT g.gene, s.sample, coalesce(count, 0)::BIGINT AS count FROM g CROSS JOIN s LEFT JOIN expr ON expr.gene = g.gene AND expr.sample = s.sample"))
+@query("J17_sparse_to_dense", sql("expr", ", g AS (SELECT DISTINCT gene FROM expr), s AS (SELECT DISTINCT sample FROM expr) SELECT g.gene, s.sample, coalesce(count, 0)::BIGINT AS count FROM g CROSS JOIN s LEFT JOIN expr ON expr.gene = g.gene AND expr.sample = s.sample"))
 def j17(spark, d):
     rows = expression(spark, d)
     genes = rows.select("gene").distinct()
@@ -233,15 +233,15 @@ def j17(spark, d):
     return grid.join(rows.select("gene", "sample", "count"), ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-@query("J22_merge_matrices", sql("expr", ", a AS (SELECT gene, sum(count)::BIGINT AS left_count FROM expr WHERE sample < 3 GROUP BY gene), b AS (SELECT gene, sum(count)::BIGINT AS right_count FROM expr WHERE sample BETWEEN 3 AND 5 GROUP BY gene) SELECT coalesce(a.gene, b.gene) AS gene, left_count, right_count FROM a FULL JOIN b ON a.gene = b.gene"))
+@query("J22_merge_matrices", sql("expr", ", a AS (SELECT gene, sum(count)::BIGINT AS left_count FROM expr WHERE sample % 2 = 0 GROUP BY gene), b AS (SELECT gene, sum(count)::BIGINT AS right_count FROM expr WHERE sample % 2 = 1 GROUP BY gene) SELECT coalesce(a.gene, b.gene) AS gene, left_count, right_count FROM a FULL JOIN b ON a.gene = b.gene"))
 def j22(spark, d):
     rows = expression(spark, d)
-    a = rows.where("sample < 3").groupBy("gene").agg(F.sum("count").alias("left_count"))
-    b = rows.where("sample between 3 and 5").groupBy("gene").agg(F.sum("count").alias("right_count"))
+    a = rows.where("sample % 2 = 0").groupBy("gene").agg(F.sum("count").alias("left_count"))
+    b = rows.where("sample % 2 = 1").groupBy("gene").agg(F.sum("count").alias("right_count"))
     return a.join(b, "gene", "full_outer")
 
 
-@query("J13_lookup_with_fallback", sql("assoc", " SELECT DISTINCT symbol, coalesce(CASE WHEN gene % 3 = 0 THEN 'ENSG' || lpad(gene::VARCHAR, 11, '0') END, symbol) AS mapped FROM assoc WHERE gene < 500"))
+@query("J13_lookup_with_fallback", sql("assoc", " SELECT DISTINCT symbol, coalesce(CASE WHEN gene % 3 = 0 THEN 'ENSG' || lpad(gene::VARCHAR, 11, '0') END, symbol) AS mapped FROM assoc"))
 def j13(spark, d):
     from spindle.sources.views import associations
 
