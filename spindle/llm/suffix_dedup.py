@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindle.llm.common import text_bytes
 from spindle.llm.suffix_array import permuted_prefixes, suffix_array
 
 ANCHOR = 24
@@ -267,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     extra = [f"kept_{i}" for i in range(len(keep))]
     kinds = "".join(f"{n} {docs.schema[k].dataType.simpleString()}, " for n, k in zip(extra, keep, strict=True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *(F.col(f"`{k}`").alias(n) for n, k in zip(extra, keep, strict=True)))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    size = text_bytes(rows)
     least = int((size * ROW_BYTES) ** 0.5)
     shards = max(8, -(-size // max(SHARD_BYTES, least)))
     bits = min(31, max(3, (-(-size // max(RANGE_BYTES, least)) - 1).bit_length()))

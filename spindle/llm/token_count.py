@@ -13,20 +13,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.tokens import Memo, Merges, Plain, byte_chars, grouped, load, spec
+from spindle.llm.common import sliced
+from spindle.llm.tokens import Memo, Merges, Pretokens, byte_chars, grouped, load, spec
 
 
 def whole_tokens(path: str) -> list[str]:
     """The vocabulary's strings that are one pre-token and that the library encodes as one token."""
     bytes_of = {c: b for b, c in byte_chars().items()}
-    plain, vocab = Plain(path), spec(path)["model"]["vocab"]
+    pretokens, vocab = Pretokens(path), spec(path)["model"]["vocab"]
     strings = {}
     for token, i in vocab.items():
         try:
             s = bytes(bytes_of[c] for c in token).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             continue
-        if s and plain.plain(s) and s not in plain.specials and plain.pretokens(s) == [s]:
+        if s and s not in pretokens.specials and pretokens.words(s) == [s]:
             strings[s] = i
     found = load(path).encode_batch(list(strings), add_special_tokens=False)
     return [s for (s, i), e in zip(strings.items(), found, strict=True) if e.ids == [i]]
@@ -44,15 +45,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     shortcut = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, merges, library = Plain(path), Merges(path), load(path)
-        memo = Memo(lambda words: [len(i) // 4 for i in merges.many(words)], dict.fromkeys([*shortcut.value, *plain.specials], 1))
-        for batch in batches:
+        pretokens, merges = Pretokens(path), Merges(path)
+        memo = Memo(lambda words: [len(i) // 4 for i in merges.many(words)], dict.fromkeys([*shortcut.value, *pretokens.specials], 1))
+        for batch in sliced(batches):
             texts, counts = [t or "" for t in batch.column(1).to_pylist()], []
             for group in grouped(texts):
-                lists = [plain.words(t) if plain.plain(t) else None for t in group]
-                known = memo.learned([x for x in lists if x is not None]).__getitem__
-                for t, words in zip(group, lists, strict=True):
-                    counts.append(len(library.encode(t, add_special_tokens=False).ids) if words is None else sum(map(known, words)))
+                lists = [pretokens.words(t) for t in group]
+                known = memo.learned(lists).__getitem__
+                counts += [sum(map(known, words)) for words in lists]
             sizes = [len(t.encode("utf-8")) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import input_bytes, scratch_path
+from spindle.llm.common import scratch_path, sliced, text_bytes
 from spindle.llm.tokens import library_encoder
 
 MAGIC = b"PFORIDS1"
@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     that runs twice leaves the same files. Only the file list (a row for about
     ``ids_per_file`` ids) comes to the driver.
     """
-    tasks = max(8, -(-input_bytes(docs) * 3 // bytes_per_task))
+    tasks = max(8, -(-text_bytes(docs) // bytes_per_task))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             held, written = 0, written + 1
             return row
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
                 ids += end

@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer first cuts a text into pre-tokens and encodes each by
 itself, so a task encodes a pre-token once and reuses the result. Texts with
-characters outside the plain range go to the tokenizers library whole.
+characters outside the plain range are cut by the library's own normalizer and
+pre-tokenizer, all others by patterns that give the same pre-tokens.
 """
 
 from __future__ import annotations
@@ -17,13 +18,25 @@ import numpy as np
 from tokenizers import Tokenizer
 
 # The apostrophe endings of both tokenizers' split patterns.
-ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 #: Letters of the plain range (Latin-1 and Latin Extended-A, without the dotted capital I).
 LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f"
 #: Characters whose class, case or composition the plain patterns below do not settle.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\u0130\u0149\u0180-\u200f\u2028-\u202f\u205f-\U0010ffff]")
-BYTE_PRETOKENS = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
-WORD_PRETOKENS = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: The spaces of the plain range, and ASCII characters that count as space for Python only.
+SPACES, CONTROLS = " \t\n\r\f\v", "\x1c\x1d\x1e\x1f"
+
+
+def _patterns(letters: str) -> tuple[re.Pattern, re.Pattern]:
+    """Pre-tokens of a byte-level vocabulary, and of one with word ends (of lower-cased texts)."""
+    space, gap = f"[{SPACES}]", f"{SPACES}{letters}0-9"
+    return (
+        re.compile(rf"{ENDINGS}| ?[{letters}]+| ?[0-9]+| ?[^{gap}]+|{space}+(?![^{SPACES}])|{space}+"),
+        re.compile(rf"{ENDINGS}|[{letters}]+|[0-9]|[^{gap}]+"),
+    )
+
+
+PLAIN_PRETOKENS, ASCII_PRETOKENS = _patterns(LETTERS), _patterns("A-Za-z")
 MEMO = 400_000
 
 
@@ -46,28 +59,37 @@ def specials(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in spec(path)["added_tokens"]}
 
 
-class Plain:
-    """Cuts plain texts into pre-tokens as the tokenizer in ``path`` does."""
+class Pretokens:
+    """Cuts texts into pre-tokens as the tokenizer in ``path`` does."""
 
     def __init__(self, path: str):
         self.word_ends = bool(spec(path)["model"].get("end_of_word_suffix"))
         self.specials = specials(path)
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
+        self.library = load(path)
+
+    def of_part(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings."""
+        if text.isascii() and not any(c in text for c in CONTROLS):
+            patterns = ASCII_PRETOKENS
+        elif ODD.search(text) is None:
+            patterns = PLAIN_PRETOKENS
+        else:
+            return self._of_library(text)
+        return patterns[1].findall(text.lower()) if self.word_ends else patterns[0].findall(text)
 
-    def plain(self, text: str) -> bool:
-        return ODD.search(text) is None
-
-    def pretokens(self, text: str) -> list[str]:
-        """Pre-tokens of a plain text without special strings."""
-        return WORD_PRETOKENS.findall(text.lower()) if self.word_ends else BYTE_PRETOKENS.findall(text)
+    def _of_library(self, text: str) -> list[str]:
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def words(self, text: str) -> list[str]:
-        """Pre-tokens of a plain text, and its special strings where they stand."""
+        """Pre-tokens of any text, and its special strings where they stand."""
         if "<|" not in text:
-            return self.pretokens(text)
+            return self.of_part(text)
         out: list[str] = []
         for k, part in enumerate(self.at_special.split(text)):
-            out += [part] if k % 2 else self.pretokens(part)
+            out += [part] if k % 2 else self.of_part(part)
         return out
 
 
@@ -231,16 +253,22 @@ def grouped(texts: list[str], rows: int = 256, chars: int = 1 << 20) -> Iterator
         yield group
 
 
+@lru_cache(maxsize=2)
+def merges_of(path: str) -> Merges:
+    return Merges(path)
+
+
 class LibraryWords:
     """Ids of pre-tokens as the library gives them, many in one call.
 
     Pre-tokens are joined with line breaks (spaces for a vocabulary with word
     ends), which leaves each of them a pre-token of the joined text, and the
-    ids are cut at the breaks (after the word ends).
+    ids are cut at the breaks (after the word ends). Pre-tokens outside the
+    plain range, which others might join or change, are merged by rank.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.plain = load(path), Plain(path)
+        self.path, self.tokenizer = path, load(path)
         suffix = spec(path)["model"].get("end_of_word_suffix")
         self.ends = None
         if suffix:
@@ -254,13 +282,9 @@ class LibraryWords:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def __call__(self, words: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        if self.ends is None:
-            lone = [w for w in words if w.isspace()]
-            out = {w: self.ids(w).tobytes() for w in lone}
-            rest = [w for w in words if w not in out]
-        else:
-            rest = words
+        odd = [w for w in words if w.isspace() or ODD.search(w)]
+        out = dict(zip(odd, merges_of(self.path).many(odd), strict=True)) if odd else {}
+        rest = [w for w in words if w not in out]
         for a in range(0, len(rest), 20_000):
             part = rest[a : a + 20_000]
             ids = self.ids((" " if self.ends is not None else "\n").join(part))
@@ -280,14 +304,14 @@ class LibraryWords:
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
     """texts -> the ids of each as little-endian 32-bit bytes, as the library gives them for the whole text."""
-    of_words, plain = LibraryWords(path), Plain(path)
-    memo = Memo(of_words, {s: i.to_bytes(4, "little") for s, i in plain.specials.items()})
+    pretokens = Pretokens(path)
+    memo = Memo(LibraryWords(path), {s: i.to_bytes(4, "little") for s, i in pretokens.specials.items()})
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         for group in grouped(texts):
-            lists = [plain.words(t) if plain.plain(t) else None for t in group]
-            known = memo.learned([x for x in lists if x is not None]).__getitem__
-            for t, words in zip(group, lists, strict=True):
-                yield of_words.ids(t).tobytes() if words is None else b"".join(map(known, words))
+            lists = [pretokens.words(t) for t in group]
+            known = memo.learned(lists).__getitem__
+            for words in lists:
+                yield b"".join(map(known, words))
 
     return encode

@@ -21,8 +21,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import shared_dir, written
-from spindle.llm.tokens import Memo, Merges, Plain, grouped, load, spec
+from spindle.llm.common import shared_dir, sliced, written
+from spindle.llm.tokens import Memo, Merges, Pretokens, grouped, load, spec
 
 MAGIC = 0x4C4F4144
 
@@ -135,14 +135,14 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, path: str, most: int) -> list[tuple[str, int]]:
-    """The at most ``most`` most frequent plain pre-tokens, counted over all documents.
+    """The at most ``most`` most frequent pre-tokens, counted over all documents.
 
     Tasks count what they read before anything is shuffled. A count is chosen
     above which at most ``most`` words lie, from a histogram of the counts.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, seen = Plain(path), Counter()
+        pretokens, seen = Pretokens(path), Counter()
 
         def rows() -> pa.RecordBatch:
             words, counts = list(seen), list(seen.values())
@@ -151,12 +151,10 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> list[tuple[str, int
 
         for batch in batches:
             for text in batch.column(0):
-                t = text.as_py() or ""
-                if plain.plain(t):
-                    seen.update(plain.words(t))
+                seen.update(pretokens.words(text.as_py() or ""))
             if len(seen) > 400_000:
                     yield rows()
-        for special in plain.specials:
+        for special in pretokens.specials:
             seen.pop(special, None)
         yield rows()
 
@@ -197,49 +195,33 @@ class Codec:
     """Encodes texts to ids and back with a lexicon and exact merges."""
 
     def __init__(self, path: str, lexicon: Lexicon):
-        self.plain, self.merges, self.lexicon, self.library = Plain(path), Merges(path), lexicon, load(path)
-        self.strings = {i: s for s, i in spec(path)["model"]["vocab"].items()} | {i: s for s, i in self.plain.specials.items()}
-        self.spoken = {w: self.strings[i] for w, i in self.plain.specials.items()}  # decoded strings of the memo's words
-        self.memo = Memo(self.resolve, {w: i.to_bytes(4, "little") for w, i in self.plain.specials.items()})
-        if self.library.decoder is not None:
+        self.pretokens, self.merges, self.lexicon = Pretokens(path), Merges(path), lexicon
+        ids = spec(path)["model"]["vocab"] | self.pretokens.specials
+        self.strings = [""] * (max(ids.values()) + 1)
+        for s, i in ids.items():
+            self.strings[i] = s
+        self.memo = Memo(self.resolve, {w: i.to_bytes(4, "little") for w, i in self.pretokens.specials.items()})
+        if load(path).decoder is not None:
             raise ValueError("a tokenizer without a decoder is expected")
 
     def resolve(self, words: list[str]) -> list[bytes]:
-        """Ids (32-bit, little-endian) of each word, from the lexicon or by merging; their strings go to ``spoken``."""
+        """Ids (32-bit, little-endian) of each word, from the lexicon or by merging."""
         places = self.lexicon.places([w.encode("utf-8") for w in words]).tolist()
         unseen = [w for w, p in zip(words, places, strict=True) if p < 0]
         merged = dict(zip(unseen, self.merges.many(unseen), strict=True))
-        out = [merged[w] if p < 0 else self.lexicon.bytes_of(p) for w, p in zip(words, places, strict=True)]
-        if len(self.spoken) > 2 * self.memo.limit:
-            self.spoken = {w: self.spoken[w] for w in self.memo.known if w in self.spoken}
-        strings = self.strings
-        self.spoken.update((w, " ".join([strings[i] for i in memoryview(data).cast("I")])) for w, data in zip(words, out, strict=True))
-        return out
+        return [merged[w] if p < 0 else self.lexicon.bytes_of(p) for w, p in zip(words, places, strict=True)]
 
-    def words(self, text: str) -> list[str]:
-        """Pre-tokens and special strings of any text."""
-        if self.plain.plain(text):
-            return self.plain.words(text)
-        out: list[str] = []
-        for k, part in enumerate(self.plain.at_special.split(text)):
-            if k % 2:
-                out.append(part)
-            else:
-                normal = self.library.normalizer.normalize_str(part)
-                out += [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
-        """The ids of each text and what they decode to."""
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
         for group in grouped(texts):
-            lists = [self.words(t) for t in group]
+            lists = [self.pretokens.words(t) for t in group]
             known = self.memo.learned(lists).__getitem__
             for words in lists:
-                yield b"".join(map(known, words)), " ".join(map(self.spoken.__getitem__, words))
+                yield b"".join(map(known, words))
 
     def decode(self, ids: bytes) -> str:
         """As the library's decode without a decoder: the tokens' strings with spaces between."""
-        return " ".join(self.strings[i] for i in np.frombuffer(ids, "<u4").tolist())
+        return " ".join(map(self.strings.__getitem__, memoryview(ids).cast("I")))
 
 
 @lru_cache(maxsize=2)
@@ -259,13 +241,11 @@ def encode_documents(docs: DataFrame, path: str, most: int = 65_536) -> DataFram
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, name)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                made = list(own.encode([t or "" for t in part.column(1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array([len(i) // 4 for i, _ in made], pa.int64()), pa.array([i for i, _ in made], pa.binary()), pa.array([s for _, s in made], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for part in sliced(batches, rows=500):
+            made = list(own.encode([t or "" for t in part.column(1).to_pylist()]))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).cast(pa.int64()), pa.array([len(i) // 4 for i in made], pa.int64()), pa.array(made, pa.binary()), pa.array(map(own.decode, made), pa.string())],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(of, "doc_id long, n_tokens long, ids binary, decoded string")
