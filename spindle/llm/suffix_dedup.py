@@ -40,8 +40,6 @@ TASK_BYTES = 24 << 20
 HOT = 8192
 #: Never occurs in UTF-8.
 SEPARATOR = 255
-#: The range of the rows that a shard sends to itself.
-OWN = -1
 _ODD = (0x9E3779B97F4A7C15, 0x7FB5D329728EA185, 0x81DADEF4BC2DD44D)
 _ROW = "shard long, range long, n long, a binary, b binary, c binary"
 _ROW_KINDS = pa.schema([("shard", pa.int64()), ("range", pa.int64()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -198,6 +196,20 @@ class Shard:
         return start[order], np.append(count[usual], np.ones(len(windows), np.int64))[order], np.append(codes[usual], own)[order]
 
 
+    def numbered(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Place and number of every segment with a shared anchor; then by number place, size, code and range.
+
+        Segments are numbered by range, then by their first place, so that their least doc_ids rise.
+        """
+        start, count, codes = self.shared_segments(answers)
+        first, number = self.strings.distinct(start, count + self.length - 1)
+        order = np.lexsort((first, _ranges(codes[first], self.bits)))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        first = first[order]
+        return start, rank[number], start[first], count[first] + self.length - 1, codes[first], _ranges(codes[first], self.bits)
+
+
 def _ranges(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes >> np.uint64(32)).astype(np.int64)
 
@@ -299,26 +311,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
         if not docs_of.num_rows:
             return _table([])
         shard = Shard(docs_of, length, bits)
-        start, count, codes = shard.shared_segments(_columns(answers, "range", "a"))
-        first, number = shard.strings.distinct(start, count + length - 1)
-        # segments are numbered by range, then by their first place, so that least doc_ids rise
-        order = np.lexsort((first, _ranges(codes[first], bits)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        first = first[order]
-        ids = shard.ids[np.searchsorted(shard.ends, start[first], "right")]
-        out = [(key[0].as_py(), OWN, len(start), start.astype("<i8").tobytes(), rank[number].astype("<u4").tobytes(), None)]
-        ranges = _ranges(codes[first], bits)
+        _, _, start, size, codes, ranges = shard.numbered(_columns(answers, "range", "a"))
+        ids = shard.ids[np.searchsorted(shard.ends, start, "right")]
+        out = []
         for a, b in _runs(ranges):
-            i = first[a:b]
-            size = count[i] + length - 1
-            head = codes[i].astype("<u4").tobytes() + size.astype("<u4").tobytes()
-            out.append((key[0].as_py(), int(ranges[a]), b - a, head, shard.strings.joined(shard.data, start[i], size).tobytes(), np.diff(ids[a:b], prepend=0).astype("<i8").tobytes()))
+            head = codes[a:b].astype("<u4").tobytes() + size[a:b].astype("<u4").tobytes()
+            data = shard.strings.joined(shard.data, start[a:b], size[a:b]).tobytes()
+            out.append((key[0].as_py(), int(ranges[a]), b - a, head, data, np.diff(ids[a:b], prepend=0).astype("<i8").tobytes()))
         return _table(out)
 
     def match_segments(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
-        if key[0].as_py() == OWN:
-            return sent
         rows = _columns(sent, "shard", "n", "a", "b", "c")
         heads = [np.frombuffer(a, "<u4").reshape(2, n) for _, n, a, _, _ in rows]
         codes, size = np.concatenate([h[0] for h in heads]), np.concatenate([h[1] for h in heads]).astype(np.int64)
@@ -353,10 +355,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     anchor_rows = texts.applyInArrow(send_anchors, _ROW)
     shared = anchor_rows.repartition(tasks, "range").groupBy("range").applyInArrow(match_anchors, _ROW)
     sent = texts.cogroup(shared.repartition(tasks, "shard").groupBy("shard")).applyInArrow(send_segments, _ROW)
-    # a shard's own row is a group of its own on the way
-    step = F.when(F.col("range") == OWN, -1 - F.col("shard")).otherwise(F.col("range"))
-    minima = sent.withColumn("to", step).repartition(tasks, "to").groupBy("to").applyInArrow(lambda key, part: match_segments((part.column("range")[0],), part.drop_columns("to")), _ROW)
-    out = texts.cogroup(minima.repartition(tasks, "shard").groupBy("shard")).applyInArrow(
+    minima = sent.repartition(tasks, "range").groupBy("range").applyInArrow(match_segments, _ROW)
+    # the answers of both steps, told apart by ``c``
+    out = texts.cogroup(shared.unionByName(minima).repartition(tasks, "shard").groupBy("shard")).applyInArrow(
         cut, f"doc_id long, {kinds}n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     )
     rest = rows.where("doc_id is null").select(
@@ -369,11 +370,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
 
 def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, extra: list[str]) -> pa.Table:
     """Step 3: the documents of a shard without the covered bytes."""
-    rows = sorted(_columns(answers, "range", "a", "b", "c"))
+    rows = _columns(answers, "range", "a", "b", "c")
     change = np.zeros(len(shard.data) + 1, np.int32)
+    start, number, *_ = shard.numbered([r[:2] for r in rows if r[3] is None])
+    rows = sorted(r for r in rows if r[3] is not None)
     if rows:
-        (_, places, numbers, _), rows = rows[0], rows[1:]
-        start, number = np.frombuffer(places, "<i8"), np.frombuffer(numbers, "<u4")
         n_runs = _read([r[1] for r in rows], "<u4").astype(np.int64)
         run_size, run_doc = _read([r[2] for r in rows], "<u4").astype(np.int64), _read([r[3] for r in rows], "<i8")
         run_at = np.cumsum(n_runs) - n_runs
