@@ -37,7 +37,8 @@ def _patterns(letters: str) -> tuple[re.Pattern, re.Pattern]:
 
 
 PLAIN_PRETOKENS, ASCII_PRETOKENS = _patterns(LETTERS), _patterns("A-Za-z")
-MEMO = 400_000
+#: Entries of a memo; what is forgotten is learned again.
+MEMO = 150_000
 
 
 @lru_cache(maxsize=4)

@@ -149,11 +149,11 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> list[tuple[str, int
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0):
                 seen.update(pretokens.words(text.as_py() or ""))
             if len(seen) > 400_000:
-                    yield rows()
+                yield rows()
         for special in pretokens.specials:
             seen.pop(special, None)
         yield rows()

@@ -12,6 +12,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from spindle.llm import tiff
 from spindle.llm.gbdt import fit_classifier, fit_isotonic, fit_trees
 from spindle.llm.quality import quality_scores
@@ -196,4 +198,35 @@ def test_near_dedup_stage_keeps_rows_without_id(spark, docs):
     out = cp.near_dedup(spark, frame, "").collect()
     assert sum(r.doc_id is None for r in out) == 1
     assert len({r.doc_id for r in out}) == len(out)
-    assert all(stage(spark, frame.limit(0), "").count() == 0 for _, stage in cp.STAGES[2:])
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf_dir, docs):
+    import corpus_pipeline as cp
+
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.select(*cp.COLUMNS).limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_rows_are_those_of_brute_force(spark, docs):
+    """The stages after the classifiers on odd rows: which documents stay, what is cut from them, and the packed ids."""
+    import corpus_pipeline as cp
+    from test_dedup import brute_repeats, roots
+    from test_similar_texts import jaccard
+
+    frame = docs.where("doc_id is not null").select(*cp.COLUMNS)
+    rows = sorted({(r.doc_id, r.text or "") for r in frame.collect()})
+    links = [(i, j) for i, (_, x) in enumerate(rows) for j, (_, y) in enumerate(rows[:i]) if jaccard(x, y) >= 0.8]
+    group = roots(range(len(rows)), links)
+    expected = [r for i, r in enumerate(rows) if group[i] == i]
+    kept = cp.near_dedup(spark, frame, "").cache()
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == expected
+    # whole characters stay of what brute force leaves
+    cut = [(i, "".join(c for c in data.decode("utf-8", "replace") if c != "\ufffd"), n) for i, _, n, _, data in brute_repeats([(i, t.encode()) for i, t in expected], 50)]
+    cut = sorted((i, t) for i, t, n in cut if not n or t.strip(" "))
+    left = cp.repeats(spark, kept, "").cache()
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == cut
+    lengths = {}
+    for r in cp.packing(spark, left, "").collect():
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    library = Tokenizer.from_file(cp.WORD_BPE)
+    assert lengths == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut}
