@@ -1,16 +1,31 @@
-"""Cutting the lineage of iterative jobs."""
+"""The folder that driver and executors share, and cutting the lineage of iterative jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a checkpoint in the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Where none is named (tests on one machine), a local folder is set.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session on one machine gets a local folder; on a
+    cluster that would be another folder on each machine, so it is an error.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "file:///tmp/spindle-checkpoints").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` from a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/spindle-checkpoints"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

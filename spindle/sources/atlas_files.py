@@ -13,7 +13,21 @@ ACCESSION = r"(E-[A-Z]+-[0-9]+)"
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("file", F.substring_index(F.col("_metadata.file_path"), "/", -1))
+    """Add ``file``: the name of the file, or of the folder of parts that a distributed writer left under that name."""
+    path = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:/part-[^/]*)?$", 1)
+    return rows.withColumn("file", F.regexp_replace(path, "^[a-z_]+=", ""))
+
+
+def discover(spark: SparkSession, path: str) -> DataFrame:
+    """``file, experiment, contrast, kind, source``: the archive's files under ``path``, without undecorated ones.
+
+    Only names are read. ``kind`` is analytics, gsea, idf, sdrf or
+    configuration, ``source`` the annotation that a gene-set file enriches.
+    """
+    files = _named(spark.read.format("binaryFile").load(path)).select("file").distinct().where(~F.col("file").contains(".undecorated"))
+    kinds = {"analytics": "-analytics.tsv", "gsea": ".gsea.tsv", "idf": ".idf.txt", "sdrf": ".condensed-sdrf.tsv", "configuration": "-configuration.xml"}
+    kind = F.coalesce(*(F.when(F.col("file").endswith(end), k) for k, end in kinds.items()))
+    return files.select("file", accession().alias("experiment"), contrast_of().alias("contrast"), kind.alias("kind"), source_of().alias("source")).where("kind is not null")
 
 
 def accession(file: str = "file"):
@@ -26,11 +40,16 @@ def contrast_of(file: str = "file"):
     return F.nullif(F.regexp_extract(file, r"\.(g[0-9]+_g[0-9]+)\.", 1), F.lit(""))
 
 
+def source_of(file: str = "file"):
+    """What a gene-set file enriches: go, reactome or interpro; null where its name does not say."""
+    return F.nullif(F.regexp_extract(file, r"\.(go|reactome|interpro)\.", 1), F.lit(""))
+
+
 def idf(spark: SparkSession, path: str) -> DataFrame:
     """``experiment, key, values``: lines of key and values; a repeated key gathers its values in file order; empty values go."""
     lines = _named(spark.read.format("text").load(path)).withColumn("line", F.monotonically_increasing_id())
     parts = F.split("value", "\t")
-    rows = lines.select(accession().alias("experiment"), "line", F.trim(parts[0]).alias("key"), F.filter(F.slice(parts, 2, 10_000), lambda v: F.trim(v) != "").alias("values"))
+    rows = lines.select(accession().alias("experiment"), "line", F.trim(parts[0]).alias("key"), F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda v: F.trim(v) != "").alias("values"))
     rows = rows.where((F.col("key") != "") & (F.size("values") > 0))
     gathered = F.sort_array(F.collect_list(F.struct("line", "values")))
     return rows.groupBy("experiment", "key").agg(F.flatten(F.transform(gathered, lambda x: x["values"])).alias("values"))
@@ -87,39 +106,53 @@ def contrast_factors(contrast_rows: DataFrame, groups: DataFrame, sdrf: DataFram
 
 
 def analytics(spark: SparkSession, path: str) -> DataFrame:
-    """``experiment, gene_id, gene_name, contrast, p_value, t_statistic, log2fc``: analytics tables, unpivoted.
+    """``experiment, gene_id, gene_name, design_element, contrast, p_value, t_statistic, log2fc``: analytics tables, unpivoted.
 
     The contrasts' columns differ between files: each line is read as an array
-    and joined with its file's header by position. Rows without a number for a
-    contrast are left out.
+    and its cells are found by their place in its file's header, so that the
+    numbers of a row come from one line, also where a gene has several design
+    elements. Rows without a number for a contrast are left out.
     """
     lines = _named(spark.read.format("text").load(path)).where("file not like '%.undecorated%'").withColumn("cells", F.split("value", "\t"))
     is_header = F.col("cells")[0] == "Gene ID"
     # one row for each file
     headers = lines.where(is_header).groupBy("file").agg(F.first("cells").alias("names"))
-    body = lines.where(~is_header).join(headers, "file")
-    cell = F.explode(F.arrays_zip(F.slice("names", 3, 10_000).alias("n"), F.slice("cells", 3, 10_000).alias("v"))).alias("c")
-    long = body.select(accession().alias("experiment"), F.col("cells")[0].alias("gene_id"), F.col("cells")[1].alias("gene_name"), cell)
-    named = long.select(
-        "experiment", "gene_id", "gene_name", F.regexp_extract("c.n", r"^(.+)\.(p-value|t-statistic|log2foldchange)$", 1).alias("contrast"),
-        F.regexp_extract("c.n", r"\.(p-value|t-statistic|log2foldchange)$", 1).alias("what"), F.col("c.v").try_cast("double").alias("number"),
-    ).where("contrast <> ''")
-    pick = lambda w: F.max(F.when(F.col("what") == w, F.col("number")))
-    wide = named.groupBy("experiment", "gene_id", "gene_name", "contrast").agg(pick("p-value").alias("p_value"), pick("t-statistic").alias("t_statistic"), pick("log2foldchange").alias("log2fc"))
-    return wide.where("p_value is not null or log2fc is not null")
+    own = F.array_distinct(F.filter(F.transform("names", lambda n: F.regexp_extract(n, r"^(.+)\.(p-value|log2foldchange)$", 1)), lambda c: c != ""))
+    body = lines.where(~is_header).join(headers.withColumn("own", own), "file").select("file", "cells", "names", F.explode("own").alias("contrast"))
+    cell = lambda name: F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int"))
+    number = lambda what: cell(F.concat("contrast", F.lit(what))).try_cast("double")
+    long = body.select(
+        accession().alias("experiment"), F.col("cells")[0].alias("gene_id"), F.col("cells")[1].alias("gene_name"), cell(F.lit("Design Element")).alias("design_element"), "contrast",
+        number(".p-value").alias("p_value"), number(".t-statistic").alias("t_statistic"), number(".log2foldchange").alias("log2fc"),
+    )
+    return long.where("p_value is not null or log2fc is not null")
 
 
 def enrichment(spark: SparkSession, path: str) -> DataFrame:
-    """``experiment, contrast, source, term_id, term_name, size, p_adj, effect``: gene-set files.
+    """``experiment, contrast, source, term_id, term_name, size, significant, other, p_value, p_adj, effect``: gene-set files.
 
     In these files the column Term holds the id and Accession the name.
     """
     lines = _named(spark.read.option("sep", "\t").option("header", True).csv(path))
-    source = F.regexp_extract("file", r"\.(go|reactome|interpro)\.", 1)
-    return lines.select(
-        accession().alias("experiment"), contrast_of().alias("contrast"), source.alias("source"), F.col("Term").alias("term_id"), F.col("Accession").alias("term_name"),
-        F.col("`Genes (tot)`").try_cast("int").alias("size"), F.col("`p adj (non-dir.)`").try_cast("double").alias("p_adj"), F.col("`effect.size`").try_cast("double").alias("effect"),
-    )
+    # The headers of the format; files may lack some of them
+    names = {
+        "size": ("Genes (tot)", "int"), "significant": ("Significant..in.gene.set.", "int"), "other": ("Non.significant..in.gene.set.", "int"),
+        "p_value": ("Stat (non-dir.) p", "double"), "p_adj": ("p adj (non-dir.)", "double"), "effect": ("effect.size", "double"),
+    }
+    numbers = [(F.col(f"`{h}`").try_cast(kind) if h in lines.columns else F.lit(None).cast(kind)).alias(name) for name, (h, kind) in names.items()]
+    return lines.select(accession().alias("experiment"), contrast_of().alias("contrast"), source_of().alias("source"), F.col("Term").alias("term_id"), F.col("Accession").alias("term_name"), *numbers)
+
+
+def gene_ids(spark: SparkSession, path: str, key: str = "symbol", value: str = "ensembl_gene_id") -> DataFrame:
+    """``key, value`` of a tab-separated table with a header; rows without a key or value go, the least value of a key stays."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    return rows.select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value")).where("key is not null and value is not null").groupBy("key").agg(F.min("value").alias("value"))
+
+
+def orthologs(spark: SparkSession, path: str) -> DataFrame:
+    """``gene, other``: pairs of genes; lines that begin with ``#`` and short lines are skipped."""
+    rows = spark.read.schema("gene string, other string").option("sep", "\t").option("comment", "#").csv(path)
+    return rows.where("gene is not null and other is not null").distinct()
 
 
 def top_per_contrast(rows: DataFrame, by: list[str], order: str, tie: str, most: int) -> DataFrame:

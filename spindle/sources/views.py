@@ -70,7 +70,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _capital(c: str):
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(F.col(c), F.lit(2), F.length(c))))
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
