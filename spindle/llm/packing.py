@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle.llm.common import scratch_path, sliced
-from spindle.llm.tokens import library_encoder
+from spindle.llm.tokens import text_encoder
 
 #: Pieces of one length are ranked in groups of about so many, in at most so many groups.
 RANK_GROUP, MOST_GROUPS = 128, 65536
@@ -133,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = library_encoder(tokenizer), end_id.to_bytes(4, "little")
+        encode, end = text_encoder(tokenizer), end_id.to_bytes(4, "little")
         for batch in sliced(batches):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.common import scratch_path, sliced, text_bytes
-from spindle.llm.tokens import library_encoder
+from spindle.llm.tokens import text_encoder
 
 MAGIC = b"PFORIDS1"
 BLOCK = 1024
@@ -137,7 +137,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = library_encoder(tokenizer)
+        encode = text_encoder(tokenizer)
         end = b"" if end_id is None else end_id.to_bytes(4, "little")
         store, folder = fs.FileSystem.from_uri(path)
         task = TaskContext.get()

@@ -37,7 +37,7 @@ def _patterns(letters: str) -> tuple[re.Pattern, re.Pattern]:
 
 
 PLAIN_PRETOKENS, ASCII_PRETOKENS = _patterns(LETTERS), _patterns("A-Za-z")
-#: Entries of a memo; what is forgotten is learned again.
+#: Entries of a memo's younger generation; what is forgotten is learned again.
 MEMO = 150_000
 
 
@@ -95,25 +95,69 @@ class Pretokens:
 
 
 class Memo:
-    """Pre-token -> what ``resolve`` makes of it; beyond ``limit`` entries all but ``kept`` are forgotten."""
+    """Pre-token -> what ``resolve`` makes of it.
+
+    Two generations of up to ``limit`` entries are held: when the younger one
+    is full it becomes the older one, whose entries stay if they are met again.
+    ``kept`` is never forgotten.
+    """
 
     def __init__(self, resolve: Callable[[list[str]], Iterable], kept: dict | None = None, limit: int = MEMO):
-        self.known, self.resolve, self.kept, self.limit = dict(kept or {}), resolve, kept or {}, limit
+        self.kept, self.resolve, self.limit = kept or {}, resolve, limit
+        self.known, self.old = dict(self.kept), {}
 
     def learned(self, lists: Iterable[list[str]]) -> dict:
         """The memo with all words of ``lists`` in it."""
         words = set().union(*lists)
-        new = list(words.difference(self.known))
+        new = words.difference(self.known)
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known = self.kept | {w: self.known[w] for w in words if w in self.known}
-            self.known.update(zip(new, self.resolve(new), strict=True))
+            if len(self.known) - len(self.kept) + len(new) > self.limit:
+                self.old, self.known, new = self.known, dict(self.kept), words.difference(self.kept)
+            again = new.intersection(self.old)
+            self.known.update((w, self.old[w]) for w in again)
+            fresh = list(new.difference(again))
+            self.known.update(zip(fresh, self.resolve(fresh), strict=True))
         return self.known
 
     def of(self, words: list[str]) -> list:
         return list(map(self.learned([words]).__getitem__, words))
 
 
+class RankTable:
+    """Ranks of pairs of ids in an open table: a pair lies at its hash or shortly behind it."""
+
+    def __init__(self, pairs: np.ndarray):
+        self.none = len(pairs)
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, self.none, np.int32)
+        at, rest = self._home(pairs), np.arange(len(pairs))
+        while len(rest):
+            # of the pairs at a free place one takes it, the others go on
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = pairs[rest[free]]
+            self.ranks[at[free]] = rest[free]
+            lost = self.keys[at] != pairs[rest]
+            at, rest = (at[lost] + 1) & ((1 << self.bits) - 1), rest[lost]
+
+    def _home(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, the number of pairs where there is none."""
+        key = ((a.astype(np.int64) << 32) | b).ravel()
+        at = self._home(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.ranks[at], np.int32(self.none))
+        live = np.flatnonzero((found != key) & (found >= 0))
+        while len(live):
+            at[live] = (at[live] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[at[live]]
+            hit = found == key[live]
+            out[live[hit]] = self.ranks[at[live[hit]]]
+            live = live[~hit & (found >= 0)]
+        return out.reshape(np.shape(a))
+
+
 class Merges:
     """Byte-pair merges by rank; ``ids`` gives the ids of one pre-token."""
 
@@ -128,13 +172,12 @@ class Merges:
     def ids(self, word: str) -> list[int]:
         return [self.vocab[p] for p in self.parts([*word.encode("utf-8").decode("latin-1").translate(self.chars)])]
 
-    def _arrays(self) -> tuple[np.ndarray, ...]:
-        """First ids by byte, inside and at the end of a word; pairs of ids in order, their ranks, and merged ids by rank."""
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, RankTable]:
+        """First ids by byte, inside and at the end of a word; merged ids by rank; ranks of pairs of ids."""
         if not hasattr(self, "_held"):
-            first = np.array([[self.vocab[c + end] for c in (self.chars[b] for b in range(256))] for end in ("", self.suffix)], np.int64)
+            first = np.array([[self.vocab[c + end] for c in (self.chars[b] for b in range(256))] for end in ("", self.suffix)], np.int32)
             pairs = np.array([(self.vocab[a] << 32) | self.vocab[b] for a, b in self.ranks], np.int64)
-            order = np.argsort(pairs)
-            self._held = first, pairs[order], order, np.array([self.vocab[a + b] for a, b in self.ranks], np.int64)
+            self._held = first, np.array([self.vocab[a + b] for a, b in self.ranks], np.int32), RankTable(pairs)
         return self._held
 
     def many(self, words: list[str]) -> list[bytes]:
@@ -143,7 +186,8 @@ class Merges:
         out: list[bytes] = [b""] * len(words)
         groups: dict[int, list[int]] = {}
         for i, r in enumerate(raw):
-            groups.setdefault(max(4, 1 << (len(r) - 1).bit_length()) if r else 0, []).append(i)
+            n = len(r)
+            groups.setdefault(n if n <= 16 else (n + 7) // 8 * 8, []).append(i)
         for width, own in groups.items():
             if width > 64:
                 for i in own:
@@ -154,45 +198,42 @@ class Merges:
         return out
 
     def _merge(self, raw: list[bytes], to: list[int], width: int, out: list[bytes]) -> None:
-        first, pairs, ranks, merged = self._arrays()
+        first, merged, ranks = self._arrays()
         none = len(merged)
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        size = np.fromiter(map(len, raw), np.int32, len(raw))
         data = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raw), np.uint8).reshape(len(raw), width)
-        column = np.arange(width)
+        column = np.arange(width, dtype=np.int32)
         t = first[0][data]
         t[np.arange(len(raw)), size - 1] = first[1][data[np.arange(len(raw)), size - 1]]
-
-        def rank(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> np.ndarray:
-            key = (a << 32) | b
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            return np.where(ok & (pairs[at] == key), ranks[at], none)
-
-        r = np.full((len(raw), width), none, np.int64)
-        r[:, :-1] = rank(t[:, :-1], t[:, 1:], column[1:] < size[:, None])
+        r = np.full((len(raw), width), none, np.int32)
+        r[:, :-1] = np.where(column[1:] < size[:, None], ranks.of(t[:, :-1], t[:, 1:]), none)
         live = np.arange(len(raw))
-        while len(live):
-            best = r[live].argmin(1)  # the leftmost of the least rank
-            value = r[live, best]
-            go = value < none
-            live, best, value = live[go], best[go], value[go]
+        left_of = lambda best: np.maximum(best - 1, 0)
+        done = np.zeros((len(raw), width), np.int32)
+        while True:
+            best = r.argmin(1).astype(np.int32)  # the leftmost of the least rank
+            row = np.arange(len(live))
+            go = r[row, best] < none
+            if not go.all():
+                done[live[~go]] = t[~go]
+                live, best, t, r = live[go], best[go], t[go], r[go]
+                row = np.arange(len(live))
             if not len(live):
                 break
             # the right part of the pair goes, and what follows moves up
+            value = r[row, best]
             take = np.minimum(column + (column > best[:, None]), width - 1)
-            own = np.take_along_axis(t[live], take, 1)
-            row = np.arange(len(live))
-            own[row, best] = merged[value]
+            t = np.take_along_axis(t, take, 1)
+            t[row, best] = merged[value]
             size[live] -= 1
-            near = np.take_along_axis(r[live], np.minimum(column + (column >= best[:, None]), width - 1), 1)
-            near[:, -1] = none
-            left = np.maximum(best - 1, 0)
-            after = np.minimum(best + 1, width - 1)
-            near[row, best] = rank(own[row, best], own[row, after], best + 1 < size[live])
-            near[row, left] = np.where(best > 0, rank(own[row, left], own[row, best], best > 0), near[row, left])
-            t[live], r[live] = own, near
-        ids = t.astype("<u4")
-        for i, row_of, n in zip(to, ids, size.tolist(), strict=True):
-            out[i] = row_of[:n].tobytes()
+            r = np.take_along_axis(r, np.minimum(column + (column >= best[:, None]), width - 1), 1)
+            r[:, -1] = none
+            left, after = left_of(best), np.minimum(best + 1, width - 1)
+            r[row, best] = np.where(best + 1 < size[live], ranks.of(t[row, best], t[row, after]), none)
+            r[row, left] = np.where(best > 0, ranks.of(t[row, left], t[row, best]), r[row, left])
+        data = done.astype("<u4").tobytes()
+        for i, k, n in zip(to, range(0, 4 * width * len(to), 4 * width), size.tolist(), strict=True):
+            out[i] = data[k : k + 4 * n]
 
     def parts(self, parts: list[str]) -> list[str]:
         if self.suffix and parts:
@@ -240,7 +281,7 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def grouped(texts: list[str], rows: int = 256, chars: int = 1 << 20) -> Iterator[list[str]]:
+def grouped(texts: list[str], rows: int = 1024, chars: int = 2 << 20) -> Iterator[list[str]]:
     """Cut a list of texts into groups of bounded size; a longer text comes alone."""
     group: list[str] = []
     size = 0
@@ -254,59 +295,11 @@ def grouped(texts: list[str], rows: int = 256, chars: int = 1 << 20) -> Iterator
         yield group
 
 
-@lru_cache(maxsize=2)
-def merges_of(path: str) -> Merges:
-    return Merges(path)
-
-
-class LibraryWords:
-    """Ids of pre-tokens as the library gives them, many in one call.
-
-    Pre-tokens are joined with line breaks (spaces for a vocabulary with word
-    ends), which leaves each of them a pre-token of the joined text, and the
-    ids are cut at the breaks (after the word ends). Pre-tokens outside the
-    plain range, which others might join or change, are merged by rank.
-    """
-
-    def __init__(self, path: str):
-        self.path, self.tokenizer = path, load(path)
-        suffix = spec(path)["model"].get("end_of_word_suffix")
-        self.ends = None
-        if suffix:
-            vocab = spec(path)["model"]["vocab"]
-            self.ends = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        else:
-            (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        odd = [w for w in words if w.isspace() or ODD.search(w)]
-        out = dict(zip(odd, merges_of(self.path).many(odd), strict=True)) if odd else {}
-        rest = [w for w in words if w not in out]
-        for a in range(0, len(rest), 20_000):
-            part = rest[a : a + 20_000]
-            ids = self.ids((" " if self.ends is not None else "\n").join(part))
-            if self.ends is not None:
-                stop = np.flatnonzero(self.ends[ids]) + 1
-                start = np.append(0, stop[:-1])
-            else:
-                breaks = np.flatnonzero(ids == self.line_break)
-                start, stop = np.append(0, breaks + 1), np.append(breaks, len(ids))
-            if len(start) != len(part):
-                raise RuntimeError("the joined pre-tokens did not stay apart")
-            data = ids.tobytes()
-            out.update((w, data[4 * b : 4 * e]) for w, b, e in zip(part, start.tolist(), stop.tolist(), strict=True))
-        return [out[w] for w in words]
-
-
 @lru_cache(maxsize=4)
-def library_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
-    """texts -> the ids of each as little-endian 32-bit bytes, as the library gives them for the whole text."""
+def text_encoder(path: str) -> Callable[[list[str]], Iterator[bytes]]:
+    """texts -> the ids of each as little-endian 32-bit bytes, as the tokenizers library gives them for the whole text."""
     pretokens = Pretokens(path)
-    memo = Memo(LibraryWords(path), {s: i.to_bytes(4, "little") for s, i in pretokens.specials.items()})
+    memo = Memo(Merges(path).many, {s: i.to_bytes(4, "little") for s, i in pretokens.specials.items()})
 
     def encode(texts: list[str]) -> Iterator[bytes]:
         for group in grouped(texts):
