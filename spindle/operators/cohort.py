@@ -63,3 +63,60 @@ def classified(rows: DataFrame, text: Column, disease: str, control: str) -> Dat
 def study_pairs(cohort: DataFrame) -> DataFrame:
     """``series, n_test, n_control`` for every series of a classified, exploded cohort."""
     return cohort.where("cohort is not null").groupBy("series").agg(F.count_if(F.col("cohort") == "test").alias("n_test"), F.count_if(F.col("cohort") == "control").alias("n_control"))
+
+
+def tissue_filtered(rows: DataFrame, text: Column, include: str, exclude: str) -> DataFrame:
+    """Rows whose text matches ``include`` (if given) and not ``exclude`` (if given), in any case."""
+    if include:
+        rows = rows.where(text.rlike(f"(?i){include}"))
+    return rows.where(~text.rlike(f"(?i){exclude}")) if exclude else rows
+
+
+def matched_cohort(rows: DataFrame, text: Column, disease: str, control: str, include: str = "", exclude: str = "", least: int = 3) -> DataFrame:
+    """``series, n_test, n_control`` of the studies with at least ``least`` samples on both sides.
+
+    ``rows`` has a row for each sample and series. Test samples match the
+    disease pattern, controls the control pattern and are no test samples. Both
+    are filtered by tissue; if no control passes ``include``, controls are
+    filtered by ``exclude`` alone.
+    """
+    test = tissue_filtered(rows.where(text.rlike(f"(?i){disease}")), text, include, exclude)
+    found = tissue_filtered(rows.where(text.rlike(f"(?i){control}")), text, "", exclude)
+    if include:
+        found = found.withColumn("_in", F.coalesce(text.rlike(f"(?i){include}"), F.lit(False)))
+        # one row on the right
+        found = found.join(F.broadcast(found.agg(F.coalesce(F.bool_or("_in"), F.lit(False)).alias("_any"))), how="cross").where("_in or not _any")
+    found = found.join(test.select("sample").distinct(), "sample", "left_anti")
+    n = lambda side, name: side.groupBy("series").agg(F.countDistinct("sample").alias(name))
+    return n(test, "n_test").join(n(found, "n_control"), "series").where((F.col("n_test") >= least) & (F.col("n_control") >= least))
+
+
+def analysis_mode(pairs: DataFrame, pooled: DataFrame, least: int = 3) -> DataFrame:
+    """One row ``mode, n_studies, reason``: study-matched with ``least`` studies, else study-prioritised if test studies have controls, else pooled.
+
+    ``pairs`` are the matched studies, ``pooled`` one row ``n_test, n_control``
+    of samples in test studies.
+    """
+    facts = pairs.agg(F.count("*").alias("n_studies")).join(pooled.select("n_test", "n_control"), how="cross")
+    enough, some = F.col("n_studies") >= least, (F.col("n_test") > 0) & (F.col("n_control") > 0)
+    short = F.concat(F.lit("only "), "n_studies", F.lit(f" matched studies, needed {least}"))
+    return facts.select(
+        F.when(enough, "study-matched").when(some, "study-prioritised").otherwise("pooled").alias("mode"), "n_studies",
+        F.when(enough, F.lit(None).cast("string")).when(some, short).otherwise(F.concat(short, F.lit("; no study has test and control samples"))).alias("reason"),
+    )
+
+
+def with_biotype(rows: DataFrame, biotypes: DataFrame, wanted: str) -> DataFrame:
+    """Rows of genes whose biotype in ``biotypes(gene, biotype)`` is ``wanted``, in any case."""
+    return rows.join(biotypes.where(F.lower("biotype") == wanted.lower()).select("gene").distinct(), "gene", "left_semi")
+
+
+def directions(rows: DataFrame, by: list[str], share: float = 0.6) -> DataFrame:
+    """Genes up and down in each group of ``rows(gene, log2fc)``, and the direction that has at least ``share`` of them, without a test.
+
+    A gene counts by the sign of its mean; zero counts on neither side.
+    """
+    genes = rows.groupBy(*by, "gene").agg(F.avg("log2fc").alias("mean"))
+    out = genes.groupBy(*by).agg(F.count_if(F.col("mean") > 0).alias("up"), F.count_if(F.col("mean") < 0).alias("down"), F.count("*").alias("genes"))
+    total = F.col("up") + F.col("down")
+    return out.withColumn("direction", F.when(F.col("up") >= share * total, F.when(total > 0, "up")).when(F.col("down") >= share * total, "down").otherwise("mixed"))

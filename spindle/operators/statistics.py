@@ -25,15 +25,15 @@ def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], ties: list[str],
 
 
 def log_cpm(counts: DataFrame) -> DataFrame:
-    """``gene, sample, grp, count`` with ``value`` = log2(counts per million + 1); samples without reads go."""
+    """``counts(gene, sample, grp, count)`` with ``value`` = log2(counts per million + 1); samples without reads go."""
     libraries = counts.groupBy("sample").agg(F.sum("count").alias("library")).where("library > 0")
     return counts.join(libraries, "sample").withColumn("value", F.log2(F.col("count") / F.col("library") * 1e6 + 1)).drop("library")
 
 
-def group_summary(values: DataFrame, least: int = 3) -> DataFrame:
-    """Per gene: means, variances and sizes of both groups and their difference; genes with fewer than ``least`` non-zero values in a group go."""
+def group_summary(values: DataFrame, least: int = 3, by: tuple[str, ...] = ("gene",)) -> DataFrame:
+    """Per gene (or other columns ``by``): means, variances and sizes of both groups and their difference; genes with fewer than ``least`` non-zero values in a group go."""
     in_group = lambda g, x: F.when(F.col("grp") == g, x)
-    out = values.groupBy("gene").agg(
+    out = values.groupBy(*by).agg(
         F.avg(in_group("test", F.col("value"))).alias("mean_test"),
         F.avg(in_group("control", F.col("value"))).alias("mean_control"),
         F.var_samp(in_group("test", F.col("value"))).alias("var_test"),

@@ -201,7 +201,7 @@ def b23(spark, d):
 
 @query("B26_examples_and_prefixes", sql("cat", " SELECT 'MONDO' AS ontology, count(DISTINCT condition) AS n FROM cat UNION ALL SELECT 'taxonomy', count(DISTINCT taxon) FROM cat"))
 def b26(spark, d):
-    o = triples(spark, d).where("iri").select("o").distinct()
+    o = triples(spark, d, exploded=True).where("iri").select("o").distinct()
     ontology = F.when(F.col("o").contains("/MONDO_"), "MONDO").when(F.col("o").contains("/taxonomy/"), "taxonomy")
     return o.groupBy(ontology.alias("ontology")).agg(F.count("*").alias("n")).where("ontology is not null")
 

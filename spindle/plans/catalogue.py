@@ -231,7 +231,7 @@ def p04(spark, d):
 @query("A03_gene_neighbourhood", sql("cat", f""" SELECT DISTINCT 'in' AS direction, '{SCHEMA}infectiousAgent' AS predicate, dataset AS other, name AS label FROM cat WHERE o_custkey % 40 = 7
   UNION SELECT 'out', '{SCHEMA}name', 'Agent 7', NULL FROM cat WHERE o_custkey % 40 = 7"""))
 def a03(spark, d):
-    return neighbourhood(triples(spark, d), "https://data.example.org/agent/7", SCHEMA + "name")
+    return neighbourhood(triples(spark, d, exploded=True), "https://data.example.org/agent/7", SCHEMA + "name")
 
 
 @query("G07_class_histogram", sql("cat", f" SELECT '{SCHEMA}Dataset' AS class, count(DISTINCT dataset) AS n FROM cat"))

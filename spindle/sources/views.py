@@ -8,6 +8,8 @@ Each view selects only what it needs, so that scans stay narrow.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +75,13 @@ def _capital(c: str):
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(F.col(c), F.lit(2), F.length(c))))
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue graph: distinct ``s, p, o, iri`` (iri: the object is one)."""
+def triples(spark: SparkSession, sf_dir: str, exploded: bool = False) -> DataFrame:
+    """The catalogue graph: distinct ``s, p, o, iri`` (iri: the object is one).
+
+    A branch for each kind of fact: a filter on the predicate leaves only the
+    branches that hold it, each with the columns that it needs. ``exploded``
+    makes all facts of a dataset in one pass, for queries over all predicates.
+    """
     d = orders(spark, sf_dir)
     iri = lambda base, *c: F.concat(F.lit(base), *c)
     condition = iri(MONDO, F.lpad(F.col("c_nationkey").cast("string"), 7, "0"))
@@ -112,8 +119,12 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         (s, "measurementTechnique", technique, True),
         name(technique, F.concat(F.lit("Technique "), F.col("o_orderkey") % 7)),
     ]
-    rows = [F.struct(a.alias("s"), F.lit(p if "://" in p else SCHEMA + p).alias("p"), o.alias("o"), F.lit(kind).alias("iri")) for a, p, o, kind in facts]
-    return d.select(F.inline(F.array(*rows))).where("o is not null").distinct()
+    facts = [(a, p if "://" in p else SCHEMA + p, o, kind) for a, p, o, kind in facts]
+    if exploded:
+        rows = [F.struct(a.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("iri")) for a, p, o, kind in facts]
+        return d.select(F.inline(F.array(*rows))).where("o is not null").distinct()
+    parts = [d.select(a.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("iri")).where("o is not null") for a, p, o, kind in facts]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
