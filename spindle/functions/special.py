@@ -1,77 +1,142 @@
-"""Distribution functions as vectorised pandas UDFs; Spark has no error function."""
+"""Distribution functions as pandas UDFs over numpy arrays; Spark has no error function."""
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_NORMAL = NormalDist()
 #: Smallest positive double: p-values of zero are raised to it.
 TINY = 2.2250738585072014e-308
 
 
-@F.pandas_udf(DoubleType())
-def normal_two_sided(z: pd.Series) -> pd.Series:
-    """P(|Z| >= |z|) of a standard normal; null stays null."""
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))
-
-
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """The standard normal quantile of p, p within (0, 1)."""
-    return p.map(lambda v: None if pd.isna(v) else _NORMAL.inv_cdf(min(max(v, 1e-300), 1 - 1e-16)))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function for x >= 0: a series below 2, a continued fraction from there."""
+    x = np.asarray(x, np.float64)
+    low = np.where(x < 2, x, 0.0)
+    term = total = low.copy()
+    for n in range(1, 60):
+        term = term * 2 * low * low / (2 * n + 1)
+        total = total + term
+    series = 1 - 2 / np.sqrt(np.pi) * np.exp(-low * low) * total
+    high = np.where(x < 2, 2.0, x)
+    below = high
+    for n in range(120, 0, -1):
+        below = high + n / 2 / below
+    return np.where(x < 2, series, np.exp(-high * high) / np.sqrt(np.pi) / below)
+
+
+def normal_lower(z: np.ndarray) -> np.ndarray:
+    """P(Z <= z) for z <= 0."""
+    return 0.5 * erfc(-z / np.sqrt(2))
+
+
+def quantile(p: np.ndarray) -> np.ndarray:
+    """The standard normal quantile for p from the smallest double to 1, by Halley steps on the nearer tail."""
+    p = np.clip(np.asarray(p, np.float64), TINY, 1.0)
+    tail = np.maximum(np.minimum(p, 1 - p), TINY)
+    t = np.sqrt(-2 * np.log(tail))
+    z = np.minimum(-(t - (2.30753 + 0.27061 * t) / (1 + 0.99229 * t + 0.04481 * t * t)), 0.0)
+    for _ in range(5):
+        e = (normal_lower(z) - tail) * np.sqrt(2 * np.pi) * np.exp(np.minimum(z * z / 2, 709.0))
+        z = np.minimum(z - e / (1 + z * e / 2), 0.0)
+    return np.where(p < 0.5, z, -z)
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln of the gamma function for x > 0, by Stirling's series above 12."""
+    x = np.asarray(x, np.float64)
+    shift = np.zeros_like(x)
+    for _ in range(12):
+        small = x < 12
+        shift = shift + np.where(small, np.log(np.where(small, x, 1.0)), 0.0)
+        x = np.where(small, x + 1, x)
+    y = 1 / (x * x)
+    # coefficients B_2k / (2k (2k - 1)) of Bernoulli's numbers
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188 - y * 691 / 360360))))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
+
+
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function, by Lentz's method."""
-    floor = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > floor else floor)
+    safe = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(x), 1 / safe(1 - (a + b) * x / (a + 1))
     h = d
     for m in range(1, 400):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for step in (even, odd):
-            d = 1 + step * d
-            d = 1 / (d if abs(d) > floor else floor)
-            c = 1 + step / c
-            c = c if abs(c) > floor else floor
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
+            d = 1 / safe(1 + step * d)
+            c = safe(1 + step / c)
+            h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
             break
     return h
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
+def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The regularised incomplete beta function I_x(a, b)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+    a, b, x = np.broadcast_arrays(*(np.asarray(v, np.float64) for v in (a, b, x)))
+    inside = (x > 0) & (x < 1)
+    y = np.where(inside, x, 0.5)
+    turn = y >= (a + 1) / (a + b + 2)
+    p, q, z = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - y, y)
+    front = np.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + p * np.log(z) + q * np.log1p(-z))
+    part = front * _beta_fraction(p, q, z) / p
+    return np.where(inside, np.where(turn, 1 - part, part), (x >= 1).astype(float))
+
+
+def _with_nulls(values: np.ndarray, known: np.ndarray) -> pd.Series:
+    return pd.Series(np.where(known, values, np.nan)).astype(object).where(pd.Series(known), None)
 
 
 @F.pandas_udf(DoubleType())
-def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """P(|T| >= |t|) of Student's t with df degrees of freedom."""
-    return pd.Series([None if pd.isna(a) or pd.isna(b) else incomplete_beta(b / 2, 0.5, b / (b + a * a)) for a, b in zip(t, df, strict=True)], dtype="float64")
+def normal_two_sided(z: pd.Series) -> pd.Series:
+    """P(|Z| >= |z|) of a standard normal; null stays null."""
+    x = z.to_numpy(np.float64, na_value=np.nan)
+    known = ~np.isnan(x)
+    return _with_nulls(erfc(np.abs(np.where(known, x, 0.0)) / np.sqrt(2)), known)
 
 
 @F.pandas_udf(DoubleType())
-def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
-    """P(X >= k) when ``drawn`` of ``total`` are drawn and ``marked`` of them are marked."""
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The standard normal quantile of p; small p are exact, so take the lower tail of a small p-value."""
+    x = p.to_numpy(np.float64, na_value=np.nan)
+    known = ~np.isnan(x)
+    return _with_nulls(quantile(np.where(known, x, 0.5)), known)
 
-    def choose(n: int, r: int) -> float:
-        return math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
 
-    def tail(k: int, n: int, m: int, t: int) -> float:
-        if k <= 0:
-            return 1.0
-        return min(1.0, sum(math.exp(choose(m, i) + choose(t - m, n - i) - choose(t, n)) for i in range(k, min(n, m) + 1) if n - i <= t - m))
+@F.pandas_udf(DoubleType())
+def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """P(|T| >= |t|) of Student's t with df degrees of freedom; null stays null."""
+    a, b = t.to_numpy(np.float64, na_value=np.nan), df.to_numpy(np.float64, na_value=np.nan)
+    known = ~(np.isnan(a) | np.isnan(b))
+    a, b = np.where(known, a, 0.0), np.where(known, b, 1.0)
+    return _with_nulls(incomplete_beta(b / 2, np.full_like(b, 0.5), b / (b + a * a)), known)
+
 
-    return pd.Series([tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, drawn, marked, total, strict=True)], dtype="float64")
+def hypergeometric(k: np.ndarray, drawn: np.ndarray, marked: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """P(X >= k) when ``drawn`` of ``total`` are drawn and ``marked`` of them are marked."""
+    k, n, m, t = (np.asarray(v, np.float64) for v in (k, drawn, marked, total))
+    least, most = np.maximum(0.0, n - (t - m)), np.minimum(n, m)
+    i = np.maximum(k, least)
+    some = i <= most
+    choose = lambda a, b: log_gamma(a + 1) - log_gamma(b + 1) - log_gamma(a - b + 1)
+    at = np.where(some, i, least)
+    term = np.where(some, np.exp(choose(m, at) + choose(t - m, n - at) - choose(t, n)), 0.0)
+    out, live = term.copy(), np.flatnonzero(some)
+    peak = (n + 1) * (m + 1) / (t + 2)
+    while len(live):
+        j = at[live]
+        term[live] *= (m[live] - j) * (n[live] - j) / ((j + 1) * (t[live] - m[live] - n[live] + j + 1))
+        out[live] += term[live]
+        at[live] += 1
+        live = live[(at[live] < most[live]) & ((at[live] < peak[live]) | (term[live] > out[live] * 1e-18))]
+    return np.where(k <= least, 1.0, np.minimum(out, 1.0))
+
+
+@F.pandas_udf(DoubleType())
+def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
+    """P(X >= k) when ``drawn`` of ``total`` are drawn and ``marked`` of them are marked."""
+    return pd.Series(hypergeometric(*(v.to_numpy(np.float64) for v in (k, drawn, marked, total))))

@@ -128,7 +128,7 @@ def x05(spark, d):
     from spindle.operators.statistics import benjamini_hochberg
 
     g = associations(spark, d).groupBy(experiment_of().alias("experiment"), "gene").agg((F.min("adj_p") + F.lit(0.0001) * (F.col("gene") % 97)).alias("p"))
-    return benjamini_hochberg(g, "p", ["experiment"], ["gene"]).select("experiment", "gene", F.round("padj", 10).alias("padj"))
+    return benjamini_hochberg(g, "p", ["experiment"]).select("experiment", "gene", F.round("padj", 10).alias("padj"))
 
 
 @query("X06_significant_genes", sql("assoc", " SELECT contrast, gene, log2fc, adj_p, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction FROM assoc WHERE adj_p < 0.02 AND abs(log2fc) >= 0.05"))

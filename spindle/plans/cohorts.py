@@ -161,8 +161,8 @@ def x01(spark, d):
     libraries = counts.groupBy("sample").agg(F.sum("count").alias("library")).where("library >= 1000").select("sample")
     genes = counts.groupBy("gene").agg(F.sum("count").alias("total")).where("total >= 10").select("gene")
     values = log_cpm(counts.join(libraries, "sample", "left_semi").join(genes, "gene", "left_semi"))
-    tested = mann_whitney_p(values).join(group_summary(values).select("gene", "log2fc"), "gene").withColumn("contrast", F.lit("test_control"))
-    return benjamini_hochberg(tested, "pvalue", ["contrast"], ["gene"]).select("gene", "log2fc", "pvalue", "padj")
+    tested = mann_whitney_p(values).join(group_summary(values).select("gene", "log2fc"), "gene")
+    return benjamini_hochberg(tested, "pvalue", []).select("gene", "log2fc", "pvalue", "padj")
 
 
 @query("X03_welch_t", sql("expr", CPM + """, s AS (SELECT gene, avg(value) FILTER (WHERE grp = 'test') AS m1, avg(value) FILTER (WHERE grp = 'control') AS m2, var_samp(value) FILTER (WHERE grp = 'test') / count(*) FILTER (WHERE grp = 'test') AS a,

@@ -42,7 +42,7 @@ def test_benjamini_hochberg(spark):
     rng = random.Random(3)
     rows = [("a", i, rng.choice([None, 0.001, 0.01, rng.random()])) for i in range(40)] + [("b", 1, 0.5)]
     frame = spark.createDataFrame(rows, "g string, id int, p double")
-    got = {(r.g, r.id): r.padj for r in benjamini_hochberg(frame, "p", ["g"], ["id"]).collect()}
+    got = {(r.g, r.id): r.padj for r in benjamini_hochberg(frame, "p", ["g"]).collect()}
     assert len(got) == len(rows)
     for g in "ab":
         tested = sorted((p, i) for gg, i, p in rows if gg == g and p is not None)
@@ -52,7 +52,7 @@ def test_benjamini_hochberg(spark):
             best = min(best, p * len(tested) / k)
             assert got[g, i] == pytest.approx(best)
     assert all(got[g, i] is None for g, i, p in rows if p is None)
-    assert benjamini_hochberg(frame.limit(0), "p", ["g"], ["id"]).count() == 0
+    assert benjamini_hochberg(frame.limit(0), "p", ["g"]).count() == 0
 
 
 def test_mann_whitney_counts_pairs(spark):
@@ -148,3 +148,84 @@ def test_prefix_segments_partition_the_keys(spark):
     assert sum(r.n for r in got) == 203
     assert all(r.n <= 30 for r in got if r.complete)
     assert prefix_segments(frame.limit(0), 30).count() == 0
+
+
+def test_differential_expression_query_against_plain_python(spark, sf_dir):
+    """X01: filters, log-CPM, rank test with mid-ranks and continuity, and the adjustment."""
+    from collections import defaultdict
+    from statistics import mean
+
+    from spindle.plans import registry
+    from spindle.plans import cohorts  # noqa: F401
+    from spindle.sources.views import expression
+
+    rows = [(r.gene, r.sample, r["count"], r.grp) for r in expression(spark, sf_dir).collect()]
+    library, total = defaultdict(int), defaultdict(int)
+    for g, s, n, _ in rows:
+        library[s] += n
+        total[g] += n
+    rows = [x for x in rows if library[x[1]] >= 1000 and total[x[0]] >= 10]
+    library = defaultdict(int)
+    for _, s, n, _ in rows:
+        library[s] += n
+    values = defaultdict(lambda: {"test": [], "control": []})
+    for g, s, n, grp in rows:
+        values[g][grp].append(math.log2(n / library[s] * 1e6 + 1))
+    expected = {}
+    for g, own in values.items():
+        a, b = own["test"], own["control"]
+        if sum(v > 0 for v in a) < 3 or sum(v > 0 for v in b) < 3:
+            continue
+        both = sorted(a + b)
+        rank = {v: both.index(v) + (both.count(v) + 1) / 2 for v in set(both)}
+        n1, n2, n = len(a), len(b), len(a) + len(b)
+        u = sum(rank[v] for v in a) - n1 * (n1 + 1) / 2
+        tie = sum(both.count(v) ** 3 - both.count(v) for v in set(both))
+        spread = math.sqrt(n1 * n2 / 12 * ((n + 1) - tie / (n * (n - 1))))
+        z = max(abs(u - n1 * n2 / 2) - 0.5, 0) / spread if spread else 0
+        expected[g] = (mean(a) - mean(b), math.erfc(z / math.sqrt(2)))
+    order = sorted(expected, key=lambda g: expected[g][1])
+    low, adjusted = 1.0, {}
+    for i in range(len(order), 0, -1):
+        low = min(low, expected[order[i - 1]][1] * len(order) / i)
+        adjusted[order[i - 1]] = low
+    got = {r.gene: r for r in registry.queries()["X01_differential_expression"](spark, sf_dir).collect()}
+    assert set(got) == set(expected)
+    for g, (fold, p) in expected.items():
+        assert math.isclose(got[g].log2fc, fold, abs_tol=1e-9)
+        assert math.isclose(got[g].pvalue, p, rel_tol=1e-9)
+        assert math.isclose(got[g].padj, adjusted[g], rel_tol=1e-9)
+
+
+def test_seeded_sample_query(spark, sf_dir):
+    """W09: the 50 samples of least hash, the same at every partitioning."""
+    from spindle.plans import cohorts, registry  # noqa: F401
+    from spindle.sources.views import samples
+
+    got = [r.sample for r in registry.queries()["W09_seeded_sample"](spark, sf_dir).collect()]
+    every = sorted((r.h, r.sample) for r in samples(spark, sf_dir).select(F.xxhash64("sample", F.lit(42)).alias("h"), "sample").repartition(7).collect())
+    assert got == [s for _, s in every[:50]]
+
+
+def test_distribution_functions():
+    from statistics import NormalDist
+
+    import numpy as np
+
+    from spindle.functions import special
+
+    x = np.concatenate([np.linspace(0, 6, 200), [10.0, 20.0, 26.0]])
+    assert np.allclose(special.erfc(x), [math.erfc(v) for v in x], rtol=1e-12)
+    p = np.concatenate([10.0 ** -np.arange(1, 300, 7.0), np.linspace(0.001, 0.999, 99)])
+    assert np.allclose(special.quantile(p), [NormalDist().inv_cdf(v) for v in p], rtol=1e-12, atol=1e-12)
+    g = np.concatenate([np.linspace(0.1, 30, 200), [1e3, 1e6]])
+    assert np.allclose(special.log_gamma(g), [math.lgamma(v) for v in g], rtol=1e-12, atol=1e-12)
+    # t = 2 with 10 degrees of freedom; df 1 is Cauchy's distribution
+    assert np.allclose(special.incomplete_beta(np.array([5.0]), np.array([0.5]), np.array([10 / 14])), 0.07338803477074052)
+    assert np.allclose(special.incomplete_beta(np.array([0.5]), np.array([0.5]), np.array([1 / 5])), 1 - 2 * math.atan(2) / math.pi)
+    rng = np.random.default_rng(0)
+    for t, n, m in rng.integers(1, 60, (60, 3)):
+        n, m = min(n, t), min(m, t)
+        for k in range(0, min(n, m) + 1):
+            exact = sum(math.comb(m, i) * math.comb(t - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(t, n)
+            assert math.isclose(special.hypergeometric(*(np.array([v]) for v in (k, n, m, t)))[0], exact, rel_tol=1e-9)
