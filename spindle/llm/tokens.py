@@ -113,9 +113,9 @@ class Memo:
         if new:
             if len(self.known) - len(self.kept) + len(new) > self.limit:
                 self.old, self.known, new = self.known, dict(self.kept), words.difference(self.kept)
-            again = new.intersection(self.old)
-            self.known.update((w, self.old[w]) for w in again)
-            fresh = list(new.difference(again))
+            old = self.old
+            self.known.update((w, old[w]) for w in new if w in old)
+            fresh = [w for w in new if w not in old]
             self.known.update(zip(fresh, self.resolve(fresh), strict=True))
         return self.known
 
