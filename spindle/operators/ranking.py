@@ -19,13 +19,25 @@ def label_rank(label: str, exact: str, prefixes: Sequence[str], parts: Sequence[
     return F.when(low == exact.lower(), 0).when(starts, 1).when(holds, 2)
 
 
+def is_variant(label: Column | str) -> Column:
+    """True for labels that number a variant: a number after the last comma, or "type" and a number."""
+    low = F.lower(label)
+    return low.rlike(r",\s*[0-9]+\s*$") | low.rlike(r"\btype\s+[0-9]+\b")
+
+
 def scored_terms(terms: DataFrame, phrase: str, most: int) -> DataFrame:
-    """The ``most`` best of ``terms(id, label)``: exact 4, first word as prefix 3, last word inside 2.
+    """The ``most`` best of ``terms(id, label, relevance, obsolete)``: exact 4, first word as prefix 3, last word inside 2.
 
-    Ties: the length nearest to the phrase's, the longer label, the id.
+    Equal scores: an exact label, labels that number no variant, the greater
+    relevance (null counts 0), terms in use, the length nearest to the
+    phrase's, the longer label, the id.
     """
     words = phrase.lower().split()
-    low = F.lower("label")
+    low = F.lower(F.trim("label"))
     score = F.when(low == phrase.lower(), 4).when(low.startswith(words[0]), 3).when(low.contains(words[-1]), 2).otherwise(0)
     rows = terms.withColumn("score", score.cast("long")).where("score > 0")
-    return rows.orderBy(F.desc("score"), F.abs(F.length("label") - len(phrase)), F.desc(F.length("label")), "id").limit(most)
+    order = [
+        F.desc("score"), F.desc(low == phrase.lower()), is_variant("label"), F.desc(F.coalesce("relevance", F.lit(0.0))), F.coalesce("obsolete", F.lit(False)),
+        F.abs(F.length("label") - len(phrase)), F.desc(F.length("label")), F.col("id"),
+    ]
+    return rows.orderBy(*order).limit(most)

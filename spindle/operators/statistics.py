@@ -81,12 +81,42 @@ def mann_whitney(values: DataFrame) -> DataFrame:
         # each of t tied values adds t^2 - 1, which makes t^3 - t for the tie
         F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("tie"),
     ).where("n1 > 0 and n2 > 0")
+    return _rank_test(sums, ["gene"])
+
+
+def _rank_test(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``u`` and ``z`` from the rank sum ``r`` of the test group, the sizes ``n1, n2`` and ``tie``, the sum of t^3 - t."""
     u = F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     n = F.col("n1") + F.col("n2")
     spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     off = F.greatest(F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0))
     z = F.when(spread > 0, F.signum(u - F.col("n1") * F.col("n2") / 2) * off / spread).otherwise(0.0)
-    return sums.select("gene", u.alias("u"), z.alias("z"), "n1", "n2")
+    return sums.select(*by, u.alias("u"), z.alias("z"), "n1", "n2")
+
+
+def mann_whitney_of_groups(values: DataFrame, by: list[str], parts: int = 1024) -> DataFrame:
+    """``mann_whitney`` for few, large groups ``by``: no group is sorted by one task.
+
+    Different values are counted first; ranks are counted within parts of a
+    group's range of values, and a table of the parts carries them upwards.
+    """
+    one = values.where("value is not null and grp in ('test', 'control')").groupBy(*by, "value").agg(F.count("*").alias("t"), F.count_if(F.col("grp") == "test").alias("k"))
+    ends = values.groupBy(*by).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    part = F.when(width > 0, F.floor((F.col("value") - F.col("_low")) / width * parts)).otherwise(0)
+    counted = one.join(F.broadcast(ends), by).withColumn("part", part)
+    inner = Window.partitionBy(*by, "part").orderBy("value")
+    counted = counted.withColumn("up_to", F.sum("t").over(inner))
+    sums = counted.groupBy(*by, "part").agg(F.sum("t").alias("all"))
+    # at most parts + 1 rows in a group
+    before = F.coalesce(F.sum("all").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = counted.join(sums.withColumn("before", before).drop("all"), [*by, "part"])
+    middle = F.col("before") + F.col("up_to") - (F.col("t") - 1) / 2
+    t = F.col("t").cast("double")
+    tested = ranked.groupBy(*by).agg(
+        F.sum(F.col("k") * middle).alias("r"), F.sum("k").alias("n1"), (F.sum("t") - F.sum("k")).alias("n2"), F.sum(t * t * t - t).alias("tie")
+    ).where("n1 > 0 and n2 > 0")
+    return _rank_test(tested, by)
 
 
 def mann_whitney_p(values: DataFrame) -> DataFrame:

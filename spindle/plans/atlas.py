@@ -94,12 +94,15 @@ def w01(spark, d):
     return best.withColumn("rk", rank.cast("long")).where("rk <= 20")
 
 
-@query("W03_ranked_genes", sql("assoc", ", g AS (SELECT gene, avg(log2fc) AS lfc, min(adj_p) AS p FROM assoc GROUP BY gene) SELECT gene, round(abs(lfc), 12) + 0.0 AS effect, round(abs(lfc) * -log10(greatest(p, 1e-10)), 6) + 0.0 AS combined FROM g ORDER BY combined DESC, effect DESC, gene LIMIT 50"))
+W03_SCORES = {"effect": "abs(lfc)", "pvalue": "-log10(greatest(p, 1e-10))", "combined": "abs(lfc) * -log10(greatest(p, 1e-10))", "volcano": "sqrt(lfc * lfc + log10(greatest(p, 1e-10)) * log10(greatest(p, 1e-10)))"}
+
+
+@query("W03_ranked_genes", sql("assoc", ", g AS (SELECT gene, round(avg(log2fc), 10) AS lfc, min(adj_p)::DOUBLE AS p FROM assoc GROUP BY gene), s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS method, gene, round({score}, 6) + 0.0 AS score FROM g" for name, score in W03_SCORES.items()) + "), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, gene) AS i FROM s) SELECT method, gene, score FROM r WHERE i <= 50"))
 def w03(spark, d):
-    g = associations(spark, d).groupBy("gene").agg(F.avg("log2fc").alias("lfc"), F.min("adj_p").alias("p"))
-    effect = F.round(F.abs("lfc"), 12) + 0.0
-    combined = F.round(F.abs("lfc") * -F.log10(F.greatest("p", F.lit(1e-10))), 6) + 0.0
-    return g.select("gene", effect.alias("effect"), combined.alias("combined")).orderBy(F.desc("combined"), F.desc("effect"), "gene").limit(50)
+    """The 50 best genes by each of four scores; each list is limited before it is sorted as a whole."""
+    g = associations(spark, d).groupBy("gene").agg(F.round(F.avg("log2fc"), 10).alias("lfc"), F.min("adj_p").cast("double").alias("p"))
+    tops = [g.select(F.lit(name).alias("method"), "gene", (F.round(F.expr(score), 6) + 0.0).alias("score")).orderBy(F.desc("score"), "gene").limit(50) for name, score in W03_SCORES.items()]
+    return tops[0].unionByName(tops[1]).unionByName(tops[2]).unionByName(tops[3])
 
 
 @query("W04_top_up_and_down", sql("assoc", """, g AS (SELECT gene, max(log2fc) AS up, min(log2fc) AS down FROM assoc GROUP BY gene)

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators.graph import closure, match, optional
+from spindle.operators.statistics import fisher
+from spindle.plans.cohorts import RANK_TEST, rank_z
 from spindle.plans.registry import query
 from spindle.sources.views import DATASET, GRANT, MONDO, RDF_TYPE, SCHEMA, TAXON, associations, cells, experiment_of, expression, hierarchy, read, samples, sql, triples
 
@@ -95,14 +97,20 @@ def j09(spark, d):
     return associations(spark, d).where("log2fc < 0").join(wanted, "gene", "left_semi").groupBy("gene", "label").agg(F.min("log2fc").alias("least"))
 
 
-@query("A02_gene_disease_paths", sql("assoc", """, e AS (SELECT gene, label, 'expression' AS path FROM assoc WHERE abs(log2fc) > 0.1), s AS (SELECT p_partkey AS gene, p_type AS label, 'annotation' AS path FROM part WHERE p_size > 45),
-  v AS (SELECT p_partkey // 10 AS gene, p_type AS label, 'parent' AS path FROM part WHERE p_size < 3) SELECT path, label, count(DISTINCT gene) AS genes FROM (SELECT * FROM e UNION ALL SELECT * FROM s UNION ALL SELECT * FROM v) GROUP BY ALL"""))
+@query("A02_gene_disease_paths", sql("assoc hier", """, note AS (SELECT p_partkey AS gene, p_type AS label FROM part WHERE p_size > 45), strong AS (SELECT DISTINCT contrast, gene, label FROM assoc WHERE abs(log2fc) > 0.1),
+  paths AS (SELECT 'expression' AS path, gene, label FROM strong UNION SELECT 'annotation', gene, label FROM note UNION SELECT 'parent', child, label FROM hier JOIN note ON parent = gene
+  UNION SELECT 'contrast', s.gene, n.label FROM strong s JOIN strong t ON s.contrast = t.contrast AND s.gene <> t.gene JOIN note n ON t.gene = n.gene) SELECT path, label, count(*) AS genes FROM paths GROUP BY ALL"""))
 def a02(spark, d):
-    part = read(spark, d, "part")
-    one = associations(spark, d).where(F.abs("log2fc") > 0.1).select("gene", "label", F.lit("expression").alias("path"))
-    two = part.where("p_size > 45").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("label"), F.lit("annotation").alias("path"))
-    three = part.where("p_size < 3").select(F.floor(F.col("p_partkey") / 10).alias("gene"), F.col("p_type").alias("label"), F.lit("parent").alias("path"))
-    return one.unionByName(two).unionByName(three).groupBy("path", "label").agg(F.countDistinct("gene").alias("genes"))
+    """Four kinds of paths from a gene to a disease: its expression, its annotation, its parent's, and that of another gene in one of its contrasts."""
+    note = read(spark, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("label"))
+    strong = associations(spark, d).where(F.abs("log2fc") > 0.1).select("contrast", "gene", "label").distinct()
+    parent = hierarchy(spark, d).join(note, F.col("parent") == F.col("gene")).select(F.col("child").alias("gene"), "label")
+    # of the annotated genes of a contrast only their labels count, and one gene where it is alone
+    labels = strong.select("contrast", F.col("gene").alias("other")).join(note.withColumnRenamed("gene", "other"), "other").groupBy("contrast", F.col("label").alias("of")).agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    near = strong.select("contrast", "gene").join(labels, "contrast").where("gene <> least or gene <> most").select("gene", F.col("of").alias("label"))
+    kinds = {"expression": strong, "annotation": note, "parent": parent, "contrast": near}
+    paths = [rows.select(F.lit(kind).alias("path"), "gene", "label") for kind, rows in kinds.items()]
+    return paths[0].unionByName(paths[1]).unionByName(paths[2]).unionByName(paths[3]).distinct().groupBy("path", "label").agg(F.count("*").alias("genes"))
 
 
 @query("A06_ontology_discovery", sql("hier samples", """, up AS (SELECT DISTINCT child AS start, child AS node FROM hier UNION SELECT start, parent FROM up JOIN hier ON node = child), terms AS (SELECT DISTINCT start FROM up WHERE node IN (3, 11))
@@ -127,7 +135,9 @@ def a07(spark, d):
   SELECT experiment, count(DISTINCT assoc.gene) AS genes, round(count(DISTINCT assoc.gene) / (SELECT count(*) FROM g), 8) AS concordance FROM assoc JOIN g ON assoc.gene = g.gene WHERE log2fc > 0 GROUP BY experiment""", recursive=True))
 def a05(spark, d):
     edges = hierarchy(spark, d)
-    genes = closure(edges, edges.select(F.col("child").alias("node"))).where("node = 7").select(F.col("start").alias("gene")).distinct()
+    # downwards from the term, so that no other branch is walked
+    below = closure(edges.select(F.col("parent").alias("child"), F.col("child").alias("parent")), spark.createDataFrame([(7,)], "node long"))
+    genes = below.select(F.col("node").alias("gene")).join(edges.select(F.col("child").alias("gene")).distinct(), "gene", "left_semi")
     total = genes.agg(F.count("*").alias("total"))
     rows = associations(spark, d).where("log2fc > 0").join(genes, "gene", "left_semi")
     counted = rows.groupBy(experiment_of().alias("experiment")).agg(F.countDistinct("gene").alias("genes"))
@@ -141,10 +151,11 @@ def g21(spark, d):
     return e.groupBy("symbol").agg(F.min_by("n", "gene").alias("first"), F.round(F.avg("n"), 8).alias("mean"), F.sum("n").alias("total"))
 
 
-@query("G23_two_conditions", sql("cells", " SELECT dataset, round(avg(value) FILTER (WHERE disease = 'normal'), 8) AS a, round(avg(value) FILTER (WHERE disease = 'case'), 8) AS b, count(*) AS n, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS types FROM cells GROUP BY dataset"))
+@query("G23_two_conditions", sql("cells", RANK_TEST.replace("@", "dataset") + " SELECT cells.dataset, round(avg(value) FILTER (WHERE disease = 'normal'), 8) AS a, round(avg(value) FILTER (WHERE disease = 'case'), 8) AS b, count(*) AS n, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS types, min(z) AS z FROM cells LEFT JOIN z ON cells.dataset = z.dataset GROUP BY cells.dataset"))
 def g23(spark, d):
     of = lambda g: F.round(F.avg(F.when(F.col("disease") == g, F.col("value"))), 8)
-    return cells(spark, d).groupBy("dataset").agg(of("normal").alias("a"), of("case").alias("b"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("cell_type")), ",").alias("types"))
+    means = cells(spark, d).groupBy("dataset").agg(of("normal").alias("a"), of("case").alias("b"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("cell_type")), ",").alias("types"))
+    return means.join(rank_z(spark, d, "dataset"), "dataset", "left")
 
 
 @query("G33_encoding_vote", "SELECT CASE WHEN count(*) FILTER (WHERE url LIKE 'https%') * 2 >= count(*) THEN 'https' ELSE 'http' END AS vote FROM (SELECT url FROM pages ORDER BY page_id LIMIT 10)")
@@ -213,8 +224,9 @@ def m01(spark, d):
     return rows.groupBy(resource.alias("resource")).agg(F.countDistinct("dataset").alias("datasets"), F.countDistinct("condition").alias("conditions"), F.countDistinct("agent").alias("agents"), F.countDistinct("funder").alias("funders"))
 
 
-@query("X09_study_combination", sql("assoc", ", s AS (SELECT gene, experiment, min(adj_p) AS p, avg(log2fc) AS lfc, count(*) AS n FROM assoc GROUP BY gene, experiment) SELECT gene, count(*) AS studies, round(sum(sqrt(n) * lfc) / sum(sqrt(n)), 8) + 0.0 AS log2fc FROM s GROUP BY gene HAVING count(*) >= 2"))
+@query("X09_study_combination", sql("assoc", ", s AS (SELECT gene, experiment, greatest(min(adj_p)::DOUBLE, 2.2250738585072014e-308) AS p, avg(log2fc) AS lfc, count(*) AS n FROM assoc GROUP BY gene, experiment), g AS (SELECT gene, count(*) AS k, -2 * sum(ln(p)) AS x, sum(sqrt(n) * lfc) / sum(sqrt(n)) AS lfc FROM s GROUP BY gene HAVING count(*) >= 2) SELECT gene, k AS studies, round(lfc, 8) + 0.0 AS log2fc, round(x, 6) AS x, round(least(1.0, list_sum(list_transform(range(k), lambda i: exp(i * ln(greatest(x, 1e-300) / 2) - x / 2 - lgamma(i + 1.0))))), 8) AS pvalue FROM g"))
 def x09(spark, d):
-    s = associations(spark, d).groupBy("gene", experiment_of().alias("study")).agg(F.avg("log2fc").alias("lfc"), F.count("*").alias("n"))
-    out = s.groupBy("gene").agg(F.count("*").alias("studies"), (F.round(F.sum(F.sqrt("n") * F.col("lfc")) / F.sum(F.sqrt("n")), 8) + 0.0).alias("log2fc"))
-    return out.where("studies >= 2")
+    s = associations(spark, d).groupBy("gene", experiment_of().alias("study")).agg(F.min("adj_p").cast("double").alias("p"), F.avg("log2fc").alias("lfc"), F.count("*").alias("n"))
+    folds = s.groupBy("gene").agg((F.round(F.sum(F.sqrt("n") * F.col("lfc")) / F.sum(F.sqrt("n")), 8) + 0.0).alias("log2fc"))
+    out = fisher(s).join(folds, "gene")
+    return out.select("gene", F.col("n_studies").alias("studies"), "log2fc", F.round("x", 6).alias("x"), F.round("pvalue", 8).alias("pvalue"))

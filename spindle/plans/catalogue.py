@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spindle.operators.graph import closure, match, neighbourhood, optional
 from spindle.plans.registry import query
-from spindle.sources.views import DATASET, DOI, GRANT, MONDO, RDF_TYPE, ROR, SCHEMA, TAXON, hierarchy, sql, triples
+from spindle.sources.views import DATASET, DOI, GRANT, MONDO, RDF_TYPE, ROR, SCHEMA, TAXON, hierarchy, read, sql, triples
 
 IS_DATASET = ("?dataset", RDF_TYPE, SCHEMA + "Dataset")
 NAME = ("?dataset", SCHEMA + "name", "?name")
@@ -214,10 +214,11 @@ def j20(spark, d):
   SELECT condition, CASE WHEN k % 3 = 0 THEN 'DOID:' || k ELSE 'EFO:' || k END AS xref, CASE WHEN k % 3 = 0 THEN 'preferred' ELSE 'fallback' END AS origin FROM x WHERE k % 3 = 0 OR k % 2 = 0"""))
 def j19(spark, d):
     conditions = match(triples(spark, d), [has("?dataset", "healthCondition", "?condition")]).select("condition").distinct()
-    k = F.regexp_extract("condition", "MONDO_0*([0-9]+)$", 1).cast("long")
-    keyed = conditions.withColumn("k", k)
-    preferred = keyed.where("k % 3 = 0").select("condition", F.concat(F.lit("DOID:"), "k").alias("xref"), F.lit("preferred").alias("origin"))
-    second = keyed.where("k % 2 = 0").select("condition", F.concat(F.lit("EFO:"), "k").alias("xref"), F.lit("fallback").alias("origin"))
+    # two tables of cross-references
+    n = read(spark, d, "nation").select(F.concat(F.lit(MONDO), F.lpad(F.col("n_nationkey").cast("string"), 7, "0")).alias("condition"), F.col("n_nationkey").alias("k"))
+    xrefs = lambda where, prefix: n.where(where).select("condition", F.concat(F.lit(prefix), "k").alias("xref"))
+    preferred = conditions.join(xrefs("k % 3 = 0", "DOID:"), "condition").withColumn("origin", F.lit("preferred"))
+    second = conditions.join(xrefs("k % 2 = 0", "EFO:"), "condition").withColumn("origin", F.lit("fallback"))
     return preferred.unionByName(second.join(preferred, "condition", "left_anti"))
 
 

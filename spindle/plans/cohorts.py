@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators.cohort import classified, phrase_match, search, series, study_pairs, tokens
-from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_p, over_representation, quantile_normalised, welch
+from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_of_groups, mann_whitney_p, over_representation, quantile_normalised, welch
 from spindle.plans.registry import query
 from spindle.sources.views import cells, expression, read, samples, sql
 
@@ -196,12 +196,23 @@ def g22(spark, d):
     return out.where("n >= 10")
 
 
-@query("G24_condition_comparison", sql("cells", " SELECT cell_type, count(*) FILTER (WHERE disease = 'case') AS n_case, count(*) FILTER (WHERE disease = 'normal') AS n_normal, round(log2((avg(value) FILTER (WHERE disease = 'case') + 0.01) / (avg(value) FILTER (WHERE disease = 'normal') + 0.01)), 8) + 0.0 AS log2fc FROM cells GROUP BY cell_type HAVING count(*) FILTER (WHERE disease = 'case') >= 20 AND count(*) FILTER (WHERE disease = 'normal') >= 20"))
+#: The rank test of cases against normal cells within groups.
+RANK_TEST = """, r AS (SELECT @, disease, count(*) OVER (PARTITION BY @, value) AS t, rank() OVER (PARTITION BY @ ORDER BY value) AS k FROM cells),
+  s AS (SELECT @, sum(k + (t - 1) / 2.0) FILTER (WHERE disease = 'case') AS r1, (count(*) FILTER (WHERE disease = 'case'))::DOUBLE AS n1, (count(*) FILTER (WHERE disease = 'normal'))::DOUBLE AS n2, sum(t * t - 1)::DOUBLE AS tie FROM r GROUP BY @),
+  z AS (SELECT @, round(sign(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) * greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) + 0.0 AS z FROM s WHERE n1 > 0 AND n2 > 0)"""
+
+
+def rank_z(spark, d, by: str):
+    rows = cells(spark, d).withColumn("grp", F.when(F.col("disease") == "case", "test").otherwise("control"))
+    return mann_whitney_of_groups(rows, [by]).select(by, (F.round("z", 6) + 0.0).alias("z"))
+
+
+@query("G24_condition_comparison", sql("cells", RANK_TEST.replace("@", "cell_type") + " SELECT cells.cell_type, count(*) FILTER (WHERE disease = 'case') AS n_case, count(*) FILTER (WHERE disease = 'normal') AS n_normal, round(log2((avg(value) FILTER (WHERE disease = 'case') + 0.01) / (avg(value) FILTER (WHERE disease = 'normal') + 0.01)), 8) + 0.0 AS log2fc, min(z) AS z FROM cells JOIN z ON cells.cell_type = z.cell_type GROUP BY cells.cell_type HAVING count(*) FILTER (WHERE disease = 'case') >= 20 AND count(*) FILTER (WHERE disease = 'normal') >= 20"))
 def g24(spark, d):
     of = lambda g, x: F.when(F.col("disease") == g, x)
     ratio = (F.avg(of("case", F.col("value"))) + 0.01) / (F.avg(of("normal", F.col("value"))) + 0.01)
     out = cells(spark, d).groupBy("cell_type").agg(F.count_if(F.col("disease") == "case").alias("n_case"), F.count_if(F.col("disease") == "normal").alias("n_normal"), (F.round(F.log2(ratio), 8) + 0.0).alias("log2fc"))
-    return out.where("n_case >= 20 and n_normal >= 20")
+    return out.where("n_case >= 20 and n_normal >= 20").join(rank_z(spark, d, "cell_type"), "cell_type")
 
 
 @query("G25_dataset_rollup", sql("cells", " SELECT dataset, count(*) AS n, string_agg(DISTINCT cell_type, ',' ORDER BY cell_type) AS cell_types, string_agg(DISTINCT disease, ',' ORDER BY disease) AS diseases FROM cells GROUP BY dataset"))
@@ -269,10 +280,15 @@ def p26(spark, d):
     return read(spark, d, "part").where(~(low.startswith("RED") | low.startswith("BLUE"))).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
 
 
-@query("B13_mapping_coverage", "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'curated' WHEN p_size > 25 THEN 'symbol' ELSE 'unmapped' END AS how, count(*) AS n FROM part GROUP BY 1")
+@query("B13_mapping_coverage", "WITH curated AS (SELECT DISTINCT 'GENE' || p_partkey AS gene FROM part WHERE p_partkey % 3 = 0), known AS (SELECT DISTINCT upper(p_name) AS symbol FROM part WHERE p_size > 40), g AS (SELECT 'GENE' || p_partkey AS gene, upper(p_name) AS symbol FROM part) SELECT CASE WHEN curated.gene IS NOT NULL THEN 'curated' WHEN known.symbol IS NOT NULL THEN 'symbol' ELSE 'unmapped' END AS how, count(*) AS n FROM g LEFT JOIN curated ON g.gene = curated.gene LEFT JOIN known ON g.symbol = known.symbol GROUP BY 1")
 def b13(spark, d):
-    how = F.when(F.col("p_partkey") % 3 == 0, "curated").when(F.col("p_size") > 25, "symbol").otherwise("unmapped")
-    return read(spark, d, "part").groupBy(how.alias("how")).agg(F.count("*").alias("n"))
+    """Genes found in a curated table, else by their symbol in any case, else not at all."""
+    part = read(spark, d, "part")
+    genes = part.select(F.concat(F.lit("GENE"), "p_partkey").alias("gene"), F.upper("p_name").alias("symbol"))
+    curated = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("GENE"), "p_partkey").alias("gene")).distinct().withColumn("curated", F.lit(True))
+    known = part.where("p_size > 40").select(F.upper("p_name").alias("symbol")).distinct().withColumn("known", F.lit(True))
+    how = F.when(F.col("curated"), "curated").when(F.col("known"), "symbol").otherwise("unmapped")
+    return genes.join(curated, "gene", "left").join(known, "symbol", "left").groupBy(how.alias("how")).agg(F.count("*").alias("n"))
 
 
 @query("B20_token_frequencies", sql("samples", ", w AS (SELECT unnest(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM samples) SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word"))

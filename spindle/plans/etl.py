@@ -122,10 +122,12 @@ def j18(spark, d):
     return rows.groupBy("page_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.count("toxic").alias("labelled"))
 
 
-@query("W06_term_match_ranking", "WITH t AS (SELECT p_partkey AS id, p_name AS label, CASE WHEN lower(p_name) = 'red ring' THEN 4 WHEN starts_with(lower(p_name), 'red') THEN 3 WHEN contains(lower(p_name), 'ring') THEN 2 ELSE 0 END AS score FROM part) SELECT id, label, score::BIGINT AS score FROM t WHERE score > 0 ORDER BY score DESC, abs(length(label) - 8), length(label) DESC, id LIMIT 40")
+@query("W06_term_match_ranking", "WITH n AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 7 WHEN 1 THEN ', ' || p_size WHEN 2 THEN ' type 2' ELSE '' END AS label, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS relevance, p_size < 5 AS obsolete FROM part), t AS (SELECT *, CASE WHEN lower(label) = 'red ring' THEN 4 WHEN starts_with(lower(label), 'red') THEN 3 WHEN contains(lower(label), 'ring') THEN 2 ELSE 0 END AS score FROM n) SELECT id, label, score::BIGINT AS score FROM t WHERE score > 0 ORDER BY score DESC, (lower(label) = 'red ring') DESC, regexp_matches(lower(label), ',\\s*[0-9]+\\s*$|\\btype\\s+[0-9]+\\b'), coalesce(relevance, 0) DESC, obsolete, abs(length(label) - 8), length(label) DESC, id LIMIT 40")
 def w06(spark, d):
-    terms = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
-    return scored_terms(terms, "red ring", 40)
+    p = read(spark, d, "part")
+    label = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 1, F.concat(F.lit(", "), "p_size")).when(F.col("p_partkey") % 7 == 2, " type 2").otherwise(""))
+    terms = p.select(F.col("p_partkey").alias("id"), label.alias("label"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("relevance"), (F.col("p_size") < 5).alias("obsolete"))
+    return scored_terms(terms, "red ring", 40).select("id", "label", "score")
 
 
 @query("W07_exact_prefix_contains", "WITH t AS (SELECT DISTINCT p_name AS label, CASE WHEN lower(p_name) = 'blue bolt' THEN 0 WHEN starts_with(lower(p_name), 'blue') THEN 1 WHEN contains(lower(p_name), 'bolt') THEN 2 END AS rank FROM part) SELECT label, rank::BIGINT AS rank FROM t WHERE rank IS NOT NULL")
