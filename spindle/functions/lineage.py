@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster that would be another folder on each machine, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local["):
+    if named is None and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (named or "file:///tmp/spindle-checkpoints").rstrip("/")
 

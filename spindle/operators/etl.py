@@ -12,10 +12,16 @@ def slug(text: Column | str, default: str = "resource") -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(cut, "^_+|_+$", ""), F.lit("")), F.lit(default))
 
 
+# The printable characters that RFC 3987 keeps out of IRIs (section 2.2), and the brackets, which only stand around IP addresses.
+NOT_IN_IRIS = "<>\"{}|\\^`[]"
+
+
 def clean_iri(text: Column | str) -> Column:
-    """An http(s) IRI up to the first character that IRIs cannot hold, with a host; null otherwise."""
-    cut = F.regexp_extract(F.trim(text), r"^(https?://[^\s<>\"{}|\\^`\[\]]+)", 1)
-    return F.when(cut.rlike("^https?://[^/?#]+"), cut)
+    """An http(s) IRI with a host, up to the first white space or character that IRIs cannot hold; null otherwise."""
+    t = F.trim(text)
+    end = F.least(*(F.nullif(F.instr(t, c), F.lit(0)) for c in NOT_IN_IRIS), F.nullif(F.regexp_instr(t, F.lit(r"\s")), F.lit(0)))
+    cut = F.when(end.isNull(), t).otherwise(F.substring(t, F.lit(1), end - 1))
+    return F.when(cut.rlike("^https?://[^/?#]"), cut)
 
 
 def literal_type(text: Column | str) -> Column:

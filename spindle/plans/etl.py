@@ -31,9 +31,10 @@ def e08(spark, d):
     return read(spark, d, "part").where(~F.col("p_type").isin("PROMO", "SMALL")).groupBy(F.col("p_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("B01_clean_iri", "SELECT page_id, CASE WHEN regexp_extract(trim(url), '^(https?://[^\\s<>\"{}|\\\\^`\\[\\]]+)', 1) = '' THEN NULL ELSE regexp_extract(trim(url), '^(https?://[^\\s<>\"{}|\\\\^`\\[\\]]+)', 1) END AS iri FROM pages")
+@query("B01_clean_iri", "WITH p AS (SELECT page_id, trim(url) || CASE page_id % 4 WHEN 1 THEN ' \"x' WHEN 2 THEN '<b>' WHEN 3 THEN '[1]' ELSE '' END AS u FROM pages) SELECT page_id, CASE WHEN regexp_matches(u, '^https?://[^/?#]') THEN CASE page_id % 4 WHEN 0 THEN u ELSE rtrim(u[:-4]) END END AS iri FROM p")
 def b01(spark, d):
-    return read(spark, d, "pages").select("page_id", clean_iri("url").alias("iri"))
+    tail = F.element_at(F.array(F.lit(""), F.lit(' "x'), F.lit("<b>"), F.lit("[1]")), (F.col("page_id") % 4 + 1).cast("int"))
+    return read(spark, d, "pages").select("page_id", clean_iri(F.concat(F.trim("url"), tail)).alias("iri"))
 
 
 @query("B02_literal_types", "WITH v AS (SELECT unnest([o_orderkey::VARCHAR, strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), o_orderstatus, 'true', '1.5e3', '12.25']) AS x, unnest(['integer', 'date', 'dateTime', 'string', 'boolean', 'double', 'double']) AS kind FROM orders) SELECT kind, count(*) AS n FROM v GROUP BY kind")
