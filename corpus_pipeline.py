@@ -2,6 +2,11 @@
 
 Each stage works on all rows that its predecessor kept. The first four return
 the columns of ``documents``; the last returns packed pieces.
+
+In all stages a null text is an empty one, other nulls pass through, extra
+columns of the input are ignored, and an empty table gives an empty one.
+Repeated rows are scored, and packed, each; of equal or similar texts one row
+stays.
 """
 
 from __future__ import annotations
@@ -26,13 +31,13 @@ BITS, RECALL = 512, 0.99
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier does not reject."""
+    """Documents that the toxicity classifier does not reject (score below 0.5); empty texts and rows without an id are scored like any other."""
     scores = toxicity_scores(docs, table(spark, sf_dir, "labels"), threshold=0.5, keep=REST)
     return scores.where("predicted = 0").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject (score of 0.3 or more); without labels the score is the base rate."""
     scores = quality_scores(docs, table(spark, sf_dir, "labels"), threshold=0.3, keep=REST)
     return scores.where("predicted = 1").select(*COLUMNS)
 
@@ -65,7 +70,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, packed into sequences."""
+    """Pieces of at most 2048 tokens, packed into sequences; an empty text is one piece with the end id."""
     return packed_documents(docs, WORD_BPE, capacity=2048)
 
 
