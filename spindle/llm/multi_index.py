@@ -2,9 +2,11 @@
 
 Each half of the vectors has its own codebook, and a vector lies in the cell
 of its two nearest codewords. A search visits cells by the sum of the halves'
-distances, in the order of the multi-sequence algorithm, until the number of
-cells that reached the wanted recall on measured queries; what it meets there
-is verified by cosine in double precision.
+distances, nearest first: it walks the two sequences of codewords side by side
+and stops where the sum exceeds the least one by more than a margin. The margin
+is the one that reached the wanted recall on measured queries, so a search
+visits few cells where codewords lie apart and more where they lie close. What
+it meets there is verified by cosine in double precision.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from spindle.llm.components import connected_components, forest
 #: Stored vectors of a cell that one task holds; fuller cells are cut into blocks.
 BLOCK = 2048
 PARTS = 1_000_000
-#: Groups of near-copies among the queries that are enough to judge the visits by.
+#: Groups of near-copies among the queries that are enough to judge the margin by.
 GROUPS = 64
+#: Margins are measured in steps of this size.
+STEP = 1e-4
 
 
 def usable(name: str = "embedding"):
@@ -43,11 +47,11 @@ def units(column: pa.Array, width: int) -> np.ndarray:
 
 @dataclass
 class MultiIndex:
-    """Two codebooks and the number of cells that a search visits."""
+    """Two codebooks and how much farther than the nearest cell a search goes."""
 
     first: np.ndarray
     second: np.ndarray
-    visits: int = 1
+    margin: float = 0.0
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = self.first.shape[1]
@@ -57,28 +61,29 @@ class MultiIndex:
         d1, d2 = self.distances(x)
         return d1.argmin(1) * len(self.second) + d2.argmin(1)
 
-    def nearest_cells(self, x: np.ndarray) -> np.ndarray:
-        """The ``visits`` cells of least summed distance for each row, nearest first.
-
-        The k-th cell has codewords of ranks a and b with (a + 1)(b + 1) <= k,
-        so only those pairs of ranks are summed and ordered.
-        """
+    def nearest_cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells that a search from each row visits, nearest first and row by row, and their number by row."""
         d1, d2 = self.distances(x)
         o1, o2 = d1.argsort(1, kind="stable"), d2.argsort(1, kind="stable")
-        n = min(self.visits, d1.shape[1] * d2.shape[1])
-        ranks = [(a, b) for a in range(min(n, d1.shape[1])) for b in range(min(n // (a + 1), d2.shape[1]))]
-        a, b = np.array(ranks).T
-        sums = np.take_along_axis(d1, o1[:, a], 1) + np.take_along_axis(d2, o2[:, b], 1)
-        cells = o1[:, a] * d2.shape[1] + o2[:, b]
-        return np.take_along_axis(cells, sums.argsort(1, kind="stable")[:, :n], 1)
-
-    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """How many cells a search from each row visits before the given cell."""
+        d1, d2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
+        d1, d2 = d1 - d1[:, :1], d2 - d2[:, :1]
+        # ranks of the first half that a search reaches, and of the second half beside each of them
+        row, a = np.nonzero(d1 <= self.margin)
+        left = self.margin - d1[row, a]
+        wide = int((d2 <= self.margin).sum(1).max(initial=0))
+        reached = (d2[row, :wide] <= left[:, None]).sum(1)
+        pair = np.repeat(np.arange(len(row)), reached)
+        b = np.arange(len(pair)) - np.repeat(np.cumsum(reached) - reached, reached)
+        row, a = row[pair], a[pair]
+        order = np.lexsort((d1[row, a] + d2[row, b], row))
+        row, a, b = row[order], a[order], b[order]
+        return o1[row, a] * d2.shape[1] + o2[row, b], np.bincount(row, minlength=len(x))
+
+    def excess(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How much farther than the nearest cell the given one is from each row."""
         d1, d2 = self.distances(x)
         row = np.arange(len(x))
-        total = d1[row, cells // d2.shape[1]] + d2[row, cells % d2.shape[1]]
-        d2 = np.sort(d2, 1)
-        return np.array([np.searchsorted(d2[i], total[i] - d1[i] - 1e-12, "left").sum() for i in range(len(x))], np.int64)
+        return d1[row, cells // d2.shape[1]] - d1.min(1) + d2[row, cells % d2.shape[1]] - d2.min(1)
 
 
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -102,10 +107,10 @@ def codebook(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarr
 
 
 def fit_index(nodes: DataFrame, width: int, least: float, recall: float = 0.995, sample: int = 20_000, queries: int = 512) -> MultiIndex:
-    """Codebooks from about ``sample`` vectors at most; visits from ``queries`` measured searches, or eight times as many.
+    """Codebooks from about ``sample`` vectors at most; the margin from ``queries`` measured searches, or eight times as many.
 
     The queries (chosen by a hash) are compared with all vectors in blocks, and
-    the rank of each true partner's cell is counted; see ``_measured``. Where
+    the excess of each true partner's cell is counted; see ``_measured``. Where
     fewer than ``GROUPS`` groups are met, made-up partners are searched too. The number of codewords
     grows with the square root of the number of vectors, up to 1024 a half.
     """
@@ -114,34 +119,34 @@ def fit_index(nodes: DataFrame, width: int, least: float, recall: float = 0.995,
     pick = lambda most, salt: nodes.where(F.pmod(F.xxhash64("tag", F.lit(salt)), F.lit(PARTS)) < int(min(PARTS, PARTS * most / max(n, 1))))
     got = pick(sample, 1).select("tag", "vector").toArrow().sort_by("tag")
     if not got.num_rows:
-        return MultiIndex(np.zeros((1, width - width // 2)), np.zeros((1, width // 2)), 1)
+        return MultiIndex(np.zeros((1, width - width // 2)), np.zeros((1, width // 2)))
     x = units(got.column("vector"), width)
     cut = width - width // 2
     k = min(k, len(x))
     index = MultiIndex(codebook(x[:, :cut], k), codebook(x[:, cut:], k) if width > 1 else np.zeros((1, 0)))
     if recall > 1:
-        index.visits = len(index.first) * len(index.second)
+        index.margin = float("inf")
         return index
     for most in (queries, 8 * queries):
-        groups, index.visits = _measured(nodes, index, pick(most, 2), width, least, recall)
+        groups, index.margin = _measured(nodes, index, pick(most, 2), width, least, recall)
         if groups >= GROUPS or most >= n:
             break
     if groups < GROUPS:
         # too few to judge by: also reach made-up partners at the limit
-        index.visits = max(index.visits, _reach(index, x, least, recall))
+        index.margin = max(index.margin, _reach(index, x, least, recall))
     return index
 
 
-def _measured(nodes: DataFrame, index: MultiIndex, picked: DataFrame, width: int, least: float, recall: float) -> tuple[int, int]:
-    """Groups of the picked queries that have partners, and the visits that they need.
+def _measured(nodes: DataFrame, index: MultiIndex, picked: DataFrame, width: int, least: float, recall: float) -> tuple[int, float]:
+    """Groups of the picked queries that have partners, and the margin that they need.
 
     Queries linked to each other are one group, and each group weighs one: the
-    visits meet ``recall`` of the partners on the mean over the groups, and of
+    margin meets ``recall`` of the partners on the mean over the groups, and of
     each query's own partners in all but a hundredth of the weight.
     """
     own = picked.select("label", "tag", "vector").toArrow()
     if not own.num_rows:
-        return 0, 1
+        return 0, STEP
     q, label, tag = units(own.column("vector"), width), np.array(own.column("label").to_pylist()), own.column("tag").to_numpy()
     a, b = np.nonzero((q @ q.T >= least) & (label[:, None] == label))
     size = np.bincount(root := forest(len(q), a, b), minlength=len(q))[root]
@@ -158,28 +163,28 @@ def _measured(nodes: DataFrame, index: MultiIndex, picked: DataFrame, width: int
                 i, j = np.nonzero(hit)
                 for a in range(0, len(i), 4096):
                     part = slice(a, a + 4096)
-                    ranks = index.ranks(q[j[part]], index.home(x[i[part]]))
-                    values, counts = np.unique(np.stack([j[part], ranks]), axis=1, return_counts=True)
+                    steps = np.ceil(index.excess(q[j[part]], index.home(x[i[part]])) / STEP).astype(np.int64)
+                    values, counts = np.unique(np.stack([j[part], steps]), axis=1, return_counts=True)
                     for v, c in zip(values.T.tolist(), counts.tolist(), strict=True):
                         seen[tuple(v)] = seen.get(tuple(v), 0) + c
-        j, ranks = ([k[i] for k in seen] for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(ranks, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["query", "rank", "n"])
+        j, steps = ([k[i] for k in seen] for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int64()), pa.array(steps, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["query", "steps", "n"])
 
-    found = nodes.select("label", "tag", "vector").mapInArrow(of, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n")).toArrow()
+    found = nodes.select("label", "tag", "vector").mapInArrow(of, "query long, steps long, n long").groupBy("query", "steps").agg(F.sum("n").alias("n")).toArrow()
     if not found.num_rows:
-        return 0, 1
-    query, rank, n = (found.column(c).to_numpy() for c in ("query", "rank", "n"))
-    order = np.lexsort((rank, query))
-    query, rank, n = query[order], rank[order], n[order].astype(float)
+        return 0, STEP
+    query, steps, n = (found.column(c).to_numpy() for c in ("query", "steps", "n"))
+    order = np.lexsort((steps, query))
+    query, steps, n = query[order], steps[order], n[order].astype(float)
     total = np.bincount(query, n, len(q))
     first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
     met = np.cumsum(n) - np.repeat((np.cumsum(n) - n)[first], np.diff(np.append(first, len(n))))
     enough = np.flatnonzero(met >= recall * total[query] - 1e-9)
-    need = rank[enough[np.unique(query[enough], return_index=True)[1]]]
+    need = steps[enough[np.unique(query[enough], return_index=True)[1]]]
     weight = 1 / size
-    mean = _weighted(rank, n / total[query] * weight[query], recall)
+    mean = _weighted(steps, n / total[query] * weight[query], recall)
     low = _weighted(need, weight[query[first]], 0.99)
-    return len(np.unique(root[query])), max(mean, low) + 1
+    return len(np.unique(root[query])), (max(mean, low) + 1) * STEP
 
 
 def _weighted(values: np.ndarray, weight: np.ndarray, share: float) -> int:
@@ -189,15 +194,15 @@ def _weighted(values: np.ndarray, weight: np.ndarray, share: float) -> int:
     return int(values[order][min(np.searchsorted(sums, share * sums[-1] - 1e-9), len(order) - 1)])
 
 
-def _reach(index: MultiIndex, x: np.ndarray, least: float, recall: float, most: int = 2000) -> int:
-    """Visits that meet ``recall`` of partners at cosine ``least``, half of them towards other vectors, half anywhere."""
+def _reach(index: MultiIndex, x: np.ndarray, least: float, recall: float, most: int = 2000) -> float:
+    """The margin that meets ``recall`` of partners at cosine ``least``, half of them towards other vectors, half anywhere."""
     rng = np.random.default_rng(5)
     x = x[rng.permutation(len(x))[:most]]
     to = np.where(np.arange(len(x))[:, None] % 2 == 0, x[rng.permutation(len(x))], rng.normal(size=x.shape))
     side = to - (to * x).sum(1, keepdims=True) * x
     length = np.sqrt((side * side).sum(1, keepdims=True))
     y = least * x + np.sqrt(max(0.0, 1 - least * least)) * side / np.where(length > 1e-9, length, 1)
-    return int(np.quantile(index.ranks(x, index.home(y)), min(recall, 1), method="higher")) + 1
+    return float(np.quantile(index.excess(x, index.home(y)), min(recall, 1), method="higher")) + STEP
 
 
 def _rows(index, width: int):
@@ -208,14 +213,22 @@ def _rows(index, width: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                cells = own.nearest_cells(units(batch.column("vector"), width)).astype(np.int64)
-                home = cells[:, 0]
-                lists = pa.array([c.astype("<i8").tobytes() for c in cells], pa.binary())
-                none = pa.nulls(len(cells), pa.binary())
-                for k in range(cells.shape[1]):
+                cells, number = own.nearest_cells(units(batch.column("vector"), width))
+                cells = cells.astype(np.int64)
+                begin = np.cumsum(number) - number
+                home, data = cells[begin], cells.astype("<i8").tobytes()
+                lists = [data[8 * a : 8 * (a + n)] for a, n in zip(begin.tolist(), number.tolist(), strict=True)]
+                row = np.repeat(np.arange(len(number)), number)
+                first = np.zeros(len(cells), bool)
+                first[begin] = True
+                # a stored row carries the list of cells that it visits, a probe none
+                for a in range(0, len(cells), 4096):
+                    own_rows, stored = row[a : a + 4096], first[a : a + 4096]
+                    some = batch.take(pa.array(own_rows))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("label"), pa.array(cells[:, k]), pa.array(np.full(len(cells), int(k > 0), np.int32)), pa.array(home),
-                         batch.column("first_id"), batch.column("tag"), batch.column("copies"), batch.column("vector"), lists if k == 0 else none],
+                        [some.column("label"), pa.array(cells[a : a + 4096]), pa.array((~stored).astype(np.int32)), pa.array(home[own_rows]),
+                         some.column("first_id"), some.column("tag"), some.column("copies"), some.column("vector"),
+                         pa.array([lists[r] if s else None for r, s in zip(own_rows.tolist(), stored.tolist(), strict=True)], pa.binary())],
                         ["label", "cell", "role", "home", "first_id", "tag", "copies", "vector", "visits"],
                     )
 
@@ -236,7 +249,9 @@ class _Cell:
     def close(self) -> None:
         self.ready = True
         self.ids, self.tags, self.copies = (np.concatenate([r[i] for r in self.rows]) if self.rows else np.zeros(0, np.int64) for i in range(3))
-        self.visits = [np.frombuffer(v, "<i8") for r in self.rows for v in r[3]]
+        visits = [np.frombuffer(v, "<i8") for r in self.rows for v in r[3]]
+        # the cells that each stored vector visits, as one list of numbers
+        self.seen = np.concatenate([(i << 32) + v for i, v in enumerate(visits)]) if visits else np.zeros(0, np.int64)
         self.x = np.concatenate(self.x) if self.x else np.zeros((0, 1))
         self.extra = np.zeros(len(self.ids), np.int64)
         self.tie_a: list[np.ndarray] = []
@@ -271,9 +286,8 @@ class _Cell:
             else:
                 yield 0, ids[who], self.ids[first[who]], np.zeros(len(who), np.int64)
             if probe:
-                for i, j in zip(q, m, strict=True):
-                    if home[i] not in self.visits[j]:
-                        self.extra[j] += copies[i]
+                unseen = ~np.isin((m << 32) + home[q], self.seen)
+                self.extra += np.bincount(m[unseen], copies[q[unseen]], len(self.ids)).astype(np.int64)
 
     def rest(self) -> Iterator[tuple[np.ndarray, ...]]:
         if self.tie_a:

@@ -234,10 +234,19 @@ def test_vectors_against_brute_force(spark):
 
 
 def test_cells_are_visited_in_order():
+    """Nearest first, and all that lie within the margin, as many as there are for each row."""
     rng = np.random.default_rng(2)
-    index = MultiIndex(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)), visits=17)
     x = rng.normal(size=(50, 8))
-    d1, d2 = index.distances(x)
-    total = (d1[:, :, None] + d2[:, None, :]).reshape(50, -1)
-    assert np.allclose(np.take_along_axis(total, index.nearest_cells(x), 1), np.sort(total, 1)[:, :17])
-    assert (index.ranks(x, index.nearest_cells(x)[:, 16]) == 16).all()
+    for margin in (0.0, 3.0, float("inf")):
+        index = MultiIndex(rng.normal(size=(6, 4)), rng.normal(size=(5, 4)), margin)
+        d1, d2 = index.distances(x)
+        total = (d1[:, :, None] + d2[:, None, :]).reshape(50, -1)
+        cells, number = index.nearest_cells(x)
+        begin = np.cumsum(number) - number
+        assert (cells[begin] == index.home(x)).all()
+        for i, (a, n) in enumerate(zip(begin, number, strict=True)):
+            own = cells[a : a + n]
+            assert np.allclose(total[i, own], np.sort(total[i])[:n])
+            assert n == (total[i] - total[i].min() <= margin + 1e-12).sum()
+        far = total.argmax(1)
+        assert np.allclose(index.excess(x, far), total.max(1) - total.min(1))
