@@ -28,6 +28,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 PROBE_COST, VERIFY_COST = 250.0, 1.0
 #: Buckets of more fingerprints are cut into blocks, and tasks get pairs of blocks.
 BLOCK = 4096
+#: Texts in a block of those that are compared whole.
+TEXTS = 256
 
 
 def shingles(text: str | None, words: int) -> Iterator[bytes] | None:
@@ -276,39 +278,84 @@ def _linked(tau: int, bits: int):
     return _by_bucket(edges, bits)
 
 
-def _candidates(near: int, far: int, bits: int):
+def _candidates(far: int, bits: int):
     """mapInArrow function over rows sorted by bucket: candidate links at most ``far`` bits apart.
 
-    Of the links of at most ``near`` bits (``near`` is 1) enough to connect what
-    all of them connect in the bucket; of the others those that join what these
-    leave apart. Every link is a pair that was compared.
+    Only as many are given as connect what all candidates of a bucket connect,
+    the nearest first: fewer than the rows of a bucket for each step in
+    distance. Every link is a pair that was compared.
     """
+    steps = sorted({far // 8, far // 4, far // 2, 3 * far // 4, far})
 
     def edges(buckets: np.ndarray, role: np.ndarray, ids: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         n = len(fp)
         start = np.flatnonzero(np.append(True, np.any(buckets[1:] != buckets[:-1], axis=1)))
         ends = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
-        root, out = np.arange(n), []
-        for strong, most in ((1, near), (0, far)):
-            a, b, found = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        root, out, a, b = np.arange(n), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for most in steps:
             i, d = np.arange(n), 1
             while len(i := i[i + d < ends[i]]):
                 open_ = i[(root[i] != root[i + d]) & ((role[i] == 0) | (role[i + d] == 0)) & (ids[i] != ids[i + d])]
                 ok = open_[np.bitwise_count(fp[open_] ^ fp[open_ + d]).sum(1, dtype=np.int64) <= most]
                 if len(ok):
-                    found.append((ok, ok + d))
-                    if strong:
-                        a, b = np.concatenate([a, ok]), np.concatenate([b, ok + d])
-                        root = forest(n, a, b)
+                    # one link for each pair of trees
+                    x, y = np.minimum(root[ok], root[ok + d]), np.maximum(root[ok], root[ok + d])
+                    ok = ok[np.unique(x * n + y, return_index=True)[1]]
+                    out.append((ids[ok], ids[ok + d]))
+                    a, b = np.concatenate([a, ok]), np.concatenate([b, ok + d])
+                    root = forest(n, a, b)
                 d += 1
-            out += [(ids[x], ids[y], np.full(len(x), strong, np.int32)) for x, y in found]
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "near"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
 
     return _by_bucket(edges, bits)
 
 
+def _joins(similarity: float, far: int, bits: int):
+    """mapInArrow function over texts sorted by cluster and pair of blocks: verified links that join their groups.
+
+    All texts of different groups that are candidates by their fingerprints are
+    compared, but for those that links found here have joined by then; only
+    these links are given, fewer than there are texts.
+    """
+
+    def links(ids: np.ndarray, groups: np.ndarray, blocks: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        root = np.unique(groups, return_inverse=True)[1]
+        size = np.array([len(x) for x in sets], np.float64)
+        two = len(np.unique(blocks)) > 1
+        out = []
+        for i in range(len(ids) - 1):
+            j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (not two or blocks[i + 1 :] != blocks[i]))
+            j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9]
+            for k in j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= far].tolist():
+                if root[k] != root[i] and _similar(sets[i], sets[k], similarity):
+                    out.append((int(ids[i]), int(ids[k])))
+                    root[root == root[k]] = root[i]
+        return out
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            ids, groups, blocks, fps, sets = zip(*held, strict=True)
+            fp = np.frombuffer(b"".join(fps), "<u8").reshape(-1, bits // 64)
+            found = links(np.array(ids), np.array(groups), np.array(blocks), fp, [np.frombuffer(x, np.uint64) for x in sets])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in sliced(batches):
+            for cluster, pair, *row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "pair", "first_id", "group", "block", "fp", "hashes")), strict=True):
+                if (cluster, pair) != key and held:
+                    yield done()
+                    held.clear()
+                key = (cluster, pair)
+                held.append(row)
+        if held:
+            yield done()
+
+    return of
+
+
 def _by_bucket(edges, bits: int):
     """mapInArrow function that calls ``edges`` on whole buckets of sorted rows."""
 
@@ -399,13 +446,15 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits
 
     SimHash only finds the candidates: pairs up to four standard deviations
     above the expected distance, met with the chance ``recall`` at ``tau_for``.
-    Of the pairs in a bucket that are surely similar (three deviations below)
-    only as many are verified as connect them; where one of these fails, all
-    candidates among the texts that they connected are verified.
+    First only as many of them are verified as connect what all candidates
+    connect, the nearest ones. Where one of these fails, the texts of the
+    components on both sides are compared with each other in blocks, until they
+    are joined; within a component no further pair matters. Pairs are compared
+    inside tasks, only links that join components leave them.
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     deviation = float(np.sqrt(bits * p * (1 - p)))
-    near, far = int(bits * p - 3 * deviation), int(np.ceil(bits * p + 4 * deviation))
+    far = int(np.ceil(bits * p + 4 * deviation))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -423,30 +472,31 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, words: int = 5, bits
     n, both = bit_statistics(named, bits)
     parts, thresholds = plan(n, both, tau_for(similarity, bits), recall)
 
-    def verified(links: DataFrame) -> DataFrame:
-        """``links`` with ``ok``: whether their texts are similar."""
-        ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-        asked = nodes.join(ends, "node").select("node", "least.doc_id", "least.text_key")
-        sets = written(texts.join(asked, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes binary").dropDuplicates(["node"]), "sets")
-        pairs = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return written(pairs.select("a", "b", "near", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, near int, ok boolean"), "verified")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """``node, hashes`` of the distinct ``ids(node)``."""
+        asked = nodes.join(ids, "node").select("node", "least.doc_id", "least.text_key")
+        return written(texts.join(asked, ["doc_id", "text_key"]).select("node", "text").mapInArrow(_sets(words), "node long, hashes binary").dropDuplicates(["node"]), "sets")
 
-    def candidates(nodes: DataFrame, near: int) -> DataFrame:
-        links = _dealt(nodes, parts, thresholds, bits).mapInArrow(_candidates(near, far, bits), "a long, b long, near int")
-        return links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near"))
-
-    links = verified(written(candidates(named, near), "links"))
+    links = _dealt(named, parts, thresholds, bits).mapInArrow(_candidates(far, bits), "a long, b long")
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    sets = sets_of(links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct())
+    pairs = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    links = written(pairs.select("a", "b", "x", "y").mapInArrow(_jaccard(similarity), "a long, b long, ok boolean"), "verified")
     real = links.where("ok").select("a", "b")
-    failed = links.where("near = 1 and not ok")
+    failed = links.where("not ok").select("a", "b")
     if not failed.isEmpty():
-        # texts that pairs judged surely similar connected, where one of these pairs is not
-        groups = written(connected_components(links.where("near = 1").select("a", "b")), "groups")
-        again = groups.join(failed.join(groups, F.col("a") == F.col("node")).select("component").distinct(), "component", "left_semi")
-        found = written(connected_components(real).withColumnRenamed("node", "first_id"), "found")
-        more = candidates(named.join(again.select(F.col("node").alias("first_id")), "first_id", "left_semi"), -1)
-        of_end = lambda x: found.select(F.col("first_id").alias(x), F.col("component").alias(f"in_{x}"))
-        more = more.join(of_end("a"), "a", "left").join(of_end("b"), "b", "left").where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b", "near")
-        real = real.unionByName(verified(written(more, "links")).where("ok").select("a", "b"))
+        # what a failed link holds apart: two candidates of different components have such a link on the way between them
+        known = named.join(connected_components(real).withColumnRenamed("node", "first_id"), "first_id", "left").select("fp", "first_id", F.coalesce("component", "first_id").alias("group"))
+        known = written(known, "known")
+        group = lambda end, name: known.select(F.col("first_id").alias(end), F.col("group").alias(name))
+        apart = failed.join(group("a", "x"), "a").join(group("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        clusters = written(connected_components(apart).select(F.col("node").alias("group"), F.col("component").alias("cluster")), "clusters")
+        near = known.join(clusters, "group").join(sets.withColumnRenamed("node", "first_id"), "first_id")
+        blocks = clusters.join(known, "group").groupBy("cluster").agg(F.ceil(F.count("*") / TEXTS).alias("k"))
+        near = near.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("first_id"), "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        near = near.withColumn("pair", F.least("block", "other") * F.col("k") + F.greatest("block", "other"))
+        dealt = near.select("cluster", "pair", "first_id", "group", "block", "fp", "hashes").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "first_id")
+        real = real.unionByName(written(dealt.mapInArrow(_joins(similarity, far, bits), "a long, b long"), "joins"))
     found = connected_components(real)
     whole = written(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "named")
     first = whole.groupBy("component").agg(F.min(F.struct("least", "node")).alias("m"))
@@ -470,17 +520,19 @@ def _sets(words: int):
     return of
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
 def _jaccard(similarity: float):
     """mapInArrow function: whether two sorted sets have that Jaccard similarity."""
 
-    def similar(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["a", "b", "near", "ok"])
+            sets = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3))
+            ok = [_similar(x, y, similarity) for x, y in zip(*sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return of
