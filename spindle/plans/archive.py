@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spindle.functions.lineage import scratch_path
 from spindle.plans.registry import query
 from spindle.sources import atlas_files as atlas
-from spindle.sources.views import associations, experiment_of, read, sql
+from spindle.sources.views import associations, read, sql
 
 TAB = "\t"
 ONTOLOGY = "http://purl.obolibrary.org/obo/EFO_"
@@ -78,7 +78,7 @@ def configuration_files(spark, d) -> str:
 def analytics_files(spark, d) -> str:
     """A table for each experiment: a row for each gene and design element, columns for seven contrasts."""
     rows = associations(spark, d).select(
-        experiment_of().alias("experiment"), "gene", "symbol", "adj_p", "log2fc", F.regexp_extract("contrast", "-g([0-9]+)_g[0-9]+$", 1).alias("probe"), F.regexp_extract("contrast", "_g([0-9]+)$", 1).cast("int").alias("k")
+        "experiment", "gene", "symbol", "adj_p", "log2fc", F.regexp_extract("contrast", "-g([0-9]+)_g[0-9]+$", 1).alias("probe"), F.regexp_extract("contrast", "_g([0-9]+)$", 1).cast("int").alias("k")
     )
     one = rows.groupBy("experiment", "gene", "symbol", "probe", "k").agg(F.min("adj_p").alias("p"), F.count("*").alias("t"), F.max("log2fc").alias("l"))
     wide = one.groupBy("experiment", "gene", "symbol", "probe").pivot("k", list(LINES)).agg(F.first("p").alias("p"), F.first("t").alias("t"), F.first("l").alias("l"))
@@ -93,7 +93,7 @@ def analytics_files(spark, d) -> str:
 
 
 def enrichment_rows(spark, d) -> DataFrame:
-    rows = associations(spark, d).groupBy(experiment_of().alias("experiment"), "label").agg(
+    rows = associations(spark, d).groupBy("experiment", "label").agg(
         F.countDistinct("gene").alias("size"), F.count_if(F.col("adj_p") < 0.02).alias("significant"), F.count_if(F.col("adj_p") >= 0.02).alias("other"),
         F.min("adj_p").alias("p_value"), F.max("adj_p").alias("p_adj"), F.max("log2fc").alias("effect"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.plans.registry import query
-from spindle.sources.views import associations, experiment_of, sql
+from spindle.sources.views import associations, sql
 
 JOINED = lambda c: F.array_join(F.sort_array(F.collect_set(c)), " | ")
 
@@ -14,7 +14,7 @@ JOINED = lambda c: F.array_join(F.sort_array(F.collect_set(c)), " | ")  # noqa:
 @query("C09_genes_agreement", sql("assoc", """ SELECT gene, symbol, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction, count(DISTINCT experiment) AS experiments,
   string_agg(DISTINCT experiment, ' | ' ORDER BY experiment) AS experiment_ids FROM assoc WHERE log2fc <> 0 GROUP BY ALL HAVING count(DISTINCT experiment) >= 10 ORDER BY experiments DESC, gene, direction LIMIT 200"""))
 def c09(spark, d):
-    rows = associations(spark, d).where("log2fc <> 0").withColumn("experiment", experiment_of())
+    rows = associations(spark, d).where("log2fc <> 0")
     rows = rows.withColumn("direction", F.when(F.col("log2fc") > 0, "up").otherwise("down"))
     out = rows.groupBy("gene", "symbol", "direction").agg(F.countDistinct("experiment").alias("experiments"), JOINED("experiment").alias("experiment_ids"))
     return out.where("experiments >= 10").orderBy(F.desc("experiments"), "gene", "direction").limit(200)
@@ -22,32 +22,32 @@ def c09(spark, d):
 
 @query("C04_experiment_coverage", sql("assoc", " SELECT experiment, count(DISTINCT contrast) AS contrasts, min(label) AS sample_label FROM assoc WHERE taxon IN (1, 2) OR contains(lower(label), 'promo') GROUP BY experiment ORDER BY contrasts DESC, experiment LIMIT 500"))
 def c04(spark, d):
-    rows = associations(spark, d).withColumn("experiment", experiment_of())
+    rows = associations(spark, d)
     rows = rows.where(F.col("taxon").isin(1, 2) | F.lower("label").contains("promo"))
     return rows.groupBy("experiment").agg(F.countDistinct("contrast").alias("contrasts"), F.min("label").alias("sample_label")).orderBy(F.desc("contrasts"), "experiment").limit(500)
 
 
 @query("C05_coverage_of_experiments", sql("assoc", " SELECT experiment, count(DISTINCT contrast) AS contrasts, min(label) AS sample_label FROM assoc WHERE experiment IN ('E-GEOD-3', 'E-GEOD-17') GROUP BY experiment"))
 def c05(spark, d):
-    rows = associations(spark, d).withColumn("experiment", experiment_of()).where(F.col("experiment").isin("E-GEOD-3", "E-GEOD-17"))
+    rows = associations(spark, d).where(F.col("experiment").isin("E-GEOD-3", "E-GEOD-17"))
     return rows.groupBy("experiment").agg(F.countDistinct("contrast").alias("contrasts"), F.min("label").alias("sample_label"))
 
 
 @query("C06_genes_in_experiment", sql("assoc", " SELECT gene, symbol, contrast, log2fc, adj_p, label FROM assoc WHERE experiment = 'E-GEOD-5' AND abs(log2fc) >= 0.01 AND adj_p <= 0.02"))
 def c06(spark, d):
-    rows = associations(spark, d).withColumn("experiment", experiment_of()).where((F.col("experiment") == "E-GEOD-5") & (F.abs("log2fc") >= 0.01) & (F.col("adj_p") <= 0.02))
+    rows = associations(spark, d).where((F.col("experiment") == "E-GEOD-5") & (F.abs("log2fc") >= 0.01) & (F.col("adj_p") <= 0.02))
     return rows.select("gene", "symbol", "contrast", "log2fc", "adj_p", "label")
 
 
 @query("C07_experiments_for_gene", sql("assoc", " SELECT DISTINCT experiment, contrast, log2fc, adj_p, label, array_design FROM assoc WHERE lower(symbol) = 'gene77' ORDER BY log2fc DESC, contrast, adj_p LIMIT 100"))
 def c07(spark, d):
-    rows = associations(spark, d).where(F.lower("symbol") == "gene77").withColumn("experiment", experiment_of())
+    rows = associations(spark, d).where(F.lower("symbol") == "gene77")
     return rows.select("experiment", "contrast", "log2fc", "adj_p", "label", "array_design").distinct().orderBy(F.desc("log2fc"), "contrast", "adj_p").limit(100)
 
 
 @query("C08_gene_cross_dataset_summary", sql("assoc", " SELECT symbol, experiment, CASE WHEN log2fc > 0 THEN 'up' ELSE 'down' END AS direction, count(*) AS n, max(abs(log2fc)) AS largest FROM assoc WHERE symbol IN ('GENE5', 'GENE6', 'GENE150') GROUP BY ALL"))
 def c08(spark, d):
-    rows = associations(spark, d).where(F.col("symbol").isin("GENE5", "GENE6", "GENE150")).withColumn("experiment", experiment_of())
+    rows = associations(spark, d).where(F.col("symbol").isin("GENE5", "GENE6", "GENE150"))
     rows = rows.withColumn("direction", F.when(F.col("log2fc") > 0, "up").otherwise("down"))
     return rows.groupBy("symbol", "experiment", "direction").agg(F.count("*").alias("n"), F.max(F.abs("log2fc")).alias("largest"))
 
@@ -56,7 +56,7 @@ def c08(spark, d):
   SELECT u.gene, u.symbol, u.experiment AS experiment_up, w.experiment AS experiment_down, u.log2fc AS log2fc_up, w.log2fc AS log2fc_down, u.adj_p AS adj_p_up, w.adj_p AS adj_p_down
   FROM a u JOIN a w ON u.gene = w.gene WHERE u.log2fc > 0 AND w.log2fc < 0 ORDER BY u.log2fc - w.log2fc DESC, u.gene, experiment_up, experiment_down, adj_p_up, adj_p_down LIMIT 200"""))
 def c10(spark, d):
-    rows = associations(spark, d).withColumn("experiment", experiment_of())
+    rows = associations(spark, d)
     # a pair among the first 200 has one of its gene's first 200 rows on each side
     best = lambda where, fold: rows.where(where).withColumn("i", F.row_number().over(Window.partitionBy("gene").orderBy(fold, "experiment", "adj_p"))).where("i <= 200")
     side = lambda name, where: best(where, F.desc("log2fc") if name == "up" else F.asc("log2fc")).select("gene", "symbol", F.col("experiment").alias(f"experiment_{name}"), F.col("log2fc").alias(f"log2fc_{name}"), F.col("adj_p").alias(f"adj_p_{name}"))
@@ -75,7 +75,7 @@ def g32(spark, d):
 
 @query("J07_shared_genes_of_two_studies", sql("assoc", " SELECT DISTINCT a.gene FROM assoc a JOIN assoc b ON a.gene = b.gene WHERE a.experiment = 'E-GEOD-1' AND b.experiment = 'E-GEOD-2' AND a.log2fc > 0 AND b.log2fc > 0"))
 def j07(spark, d):
-    rows = associations(spark, d).where("log2fc > 0").withColumn("experiment", experiment_of())
+    rows = associations(spark, d).where("log2fc > 0")
     pick = lambda e: rows.where(F.col("experiment") == e).select("gene").distinct()
     return pick("E-GEOD-1").intersect(pick("E-GEOD-2"))
 
@@ -89,7 +89,7 @@ def j05(spark, d):
 
 @query("W01_top_genes_per_experiment", sql("assoc", " SELECT experiment, gene, best, rk FROM (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY best DESC, gene) AS rk FROM (SELECT experiment, gene, max(abs(log2fc)) AS best FROM assoc GROUP BY ALL)) WHERE rk <= 20"))
 def w01(spark, d):
-    best = associations(spark, d).groupBy(experiment_of().alias("experiment"), "gene").agg(F.max(F.abs("log2fc")).alias("best"))
+    best = associations(spark, d).groupBy("experiment", "gene").agg(F.max(F.abs("log2fc")).alias("best"))
     rank = F.row_number().over(Window.partitionBy("experiment").orderBy(F.desc("best"), "gene"))
     return best.withColumn("rk", rank.cast("long")).where("rk <= 20")
 
@@ -130,7 +130,7 @@ def w14(spark, d):
 def x05(spark, d):
     from spindle.operators.statistics import benjamini_hochberg
 
-    g = associations(spark, d).groupBy(experiment_of().alias("experiment"), "gene").agg((F.min("adj_p") + F.lit(0.0001) * (F.col("gene") % 97)).alias("p"))
+    g = associations(spark, d).groupBy("experiment", "gene").agg((F.min("adj_p") + F.lit(0.0001) * (F.col("gene") % 97)).alias("p"))
     return benjamini_hochberg(g, "p", ["experiment"]).select("experiment", "gene", F.round("padj", 10).alias("padj"))
 
 
@@ -145,7 +145,7 @@ def x06(spark, d):
 def x08(spark, d):
     from spindle.operators.statistics import fisher
 
-    rows = associations(spark, d).groupBy("gene", experiment_of().alias("study"))
+    rows = associations(spark, d).groupBy("gene", F.col("experiment").alias("study"))
     out = fisher(rows.agg((F.min("adj_p") + F.lit(0.001) * (F.col("gene") % 13) + 0.01).alias("p")))
     return out.select("gene", "n_studies", F.round("x", 6).alias("x"), F.round("pvalue", 8).alias("pvalue"))
 
@@ -154,7 +154,7 @@ def x08(spark, d):
 def x07(spark, d):
     from spindle.operators.statistics import stouffer
 
-    rows = associations(spark, d).groupBy("gene", experiment_of().alias("study"))
+    rows = associations(spark, d).groupBy("gene", F.col("experiment").alias("study"))
     return stouffer(rows.agg((F.min("adj_p") + 0.001).alias("p"), F.avg("log2fc").alias("log2fc"), F.count("*").alias("n")))
 
 
@@ -200,7 +200,7 @@ def g31(spark, d):
 
 @query("G29_path_type_totals", sql("assoc", " SELECT experiment, label, count(*) AS n, count(DISTINCT gene) AS genes FROM assoc GROUP BY ROLLUP (experiment, label)"))
 def g29(spark, d):
-    rows = associations(spark, d).withColumn("experiment", experiment_of())
+    rows = associations(spark, d)
     return rows.rollup("experiment", "label").agg(F.count("*").alias("n"), F.countDistinct("gene").alias("genes"))
 
 

@@ -9,7 +9,7 @@ from spindle.operators.graph import closure, match, optional
 from spindle.operators.statistics import fisher
 from spindle.plans.cohorts import RANK_TEST, rank_z
 from spindle.plans.registry import query
-from spindle.sources.views import DATASET, GRANT, MONDO, RDF_TYPE, SCHEMA, TAXON, associations, cells, experiment_of, expression, hierarchy, read, samples, sql, triples
+from spindle.sources.views import DATASET, GRANT, MONDO, RDF_TYPE, SCHEMA, TAXON, associations, cells, expression, hierarchy, read, samples, sql, triples
 
 IS_DATASET = ("?dataset", RDF_TYPE, SCHEMA + "Dataset")
 JOINED = lambda c: F.array_join(F.sort_array(F.collect_set(c)), " | ")
@@ -81,7 +81,7 @@ def r03(spark, d):
 
 @query("R04_preset_gene_up", sql("assoc", " SELECT DISTINCT experiment, label, log2fc FROM assoc WHERE lower(symbol) = 'gene42' AND log2fc > 0"))
 def r04(spark, d):
-    return associations(spark, d).where((F.lower("symbol") == "gene42") & (F.col("log2fc") > 0)).select(experiment_of().alias("experiment"), "label", "log2fc").distinct()
+    return associations(spark, d).where((F.lower("symbol") == "gene42") & (F.col("log2fc") > 0)).select("experiment", "label", "log2fc").distinct()
 
 
 @query("J08_cross_source_bridge", sql("assoc", ", g AS (SELECT gene, count(*) AS n FROM assoc WHERE log2fc > 0.05 GROUP BY gene) SELECT p_brand AS drug, count(DISTINCT gene) AS genes, sum(n)::BIGINT AS evidence FROM part JOIN g ON p_partkey = gene WHERE p_size < 10 GROUP BY p_brand"))
@@ -140,7 +140,7 @@ def a05(spark, d):
     genes = below.select(F.col("node").alias("gene")).join(edges.select(F.col("child").alias("gene")).distinct(), "gene", "left_semi")
     total = genes.agg(F.count("*").alias("total"))
     rows = associations(spark, d).where("log2fc > 0").join(genes, "gene", "left_semi")
-    counted = rows.groupBy(experiment_of().alias("experiment")).agg(F.countDistinct("gene").alias("genes"))
+    counted = rows.groupBy("experiment").agg(F.countDistinct("gene").alias("genes"))
     # one row on the right
     return counted.join(F.broadcast(total), how="cross").select("experiment", "genes", F.round(F.col("genes") / F.col("total"), 8).alias("concordance"))
 
@@ -226,7 +226,7 @@ def m01(spark, d):
 
 @query("X09_study_combination", sql("assoc", ", s AS (SELECT gene, experiment, greatest(min(adj_p)::DOUBLE, 2.2250738585072014e-308) AS p, avg(log2fc) AS lfc, count(*) AS n FROM assoc GROUP BY gene, experiment), g AS (SELECT gene, count(*) AS k, -2 * sum(ln(p)) AS x, sum(sqrt(n) * lfc) / sum(sqrt(n)) AS lfc FROM s GROUP BY gene HAVING count(*) >= 2) SELECT gene, k AS studies, round(lfc, 8) + 0.0 AS log2fc, round(x, 6) AS x, round(least(1.0, list_sum(list_transform(range(k), lambda i: exp(i * ln(greatest(x, 1e-300) / 2) - x / 2 - lgamma(i + 1.0))))), 8) AS pvalue FROM g"))
 def x09(spark, d):
-    s = associations(spark, d).groupBy("gene", experiment_of().alias("study")).agg(F.min("adj_p").cast("double").alias("p"), F.avg("log2fc").alias("lfc"), F.count("*").alias("n"))
+    s = associations(spark, d).groupBy("gene", F.col("experiment").alias("study")).agg(F.min("adj_p").cast("double").alias("p"), F.avg("log2fc").alias("lfc"), F.count("*").alias("n"))
     folds = s.groupBy("gene").agg((F.round(F.sum(F.sqrt("n") * F.col("lfc")) / F.sum(F.sqrt("n")), 8) + 0.0).alias("log2fc"))
     out = fisher(s).join(folds, "gene")
     return out.select("gene", F.col("n_studies").alias("studies"), "log2fc", F.round("x", 6).alias("x"), F.round("pvalue", 8).alias("pvalue"))

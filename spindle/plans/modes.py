@@ -10,7 +10,7 @@ from spindle.operators.statistics import group_summary, log_cpm, welch
 from spindle.plans.catalogue import IS_DATASET, has
 from spindle.plans.cohorts import BY_SERIES
 from spindle.plans.registry import query
-from spindle.sources.views import DATASET, SCHEMA, associations, experiment_of, expression, read, samples, sql, triples
+from spindle.sources.views import DATASET, SCHEMA, associations, expression, read, samples, sql, triples
 
 ROR_ORG = "https://ror.org/org"
 #: Samples with a test pattern and controls without it, all with a tissue filter.
@@ -99,13 +99,13 @@ def x10(spark, d):
 
 @query("X15_directional_validation", sql("assoc", ", g AS (SELECT experiment, label, gene, avg(log2fc) AS m FROM assoc GROUP BY ALL), s AS (SELECT experiment, label, count(*) FILTER (WHERE m > 0) AS up, count(*) FILTER (WHERE m < 0) AS down, count(*) AS genes FROM g GROUP BY ALL) SELECT *, CASE WHEN up >= 0.6 * (up + down) THEN CASE WHEN up + down > 0 THEN 'up' END WHEN down >= 0.6 * (up + down) THEN 'down' ELSE 'mixed' END AS direction FROM s"))
 def x15(spark, d):
-    rows = associations(spark, d).select(experiment_of().alias("experiment"), "label", "gene", "log2fc")
+    rows = associations(spark, d).select("experiment", "label", "gene", "log2fc")
     return directions(rows, ["experiment", "label"])
 
 
 @query("G06_global_summary", sql("assoc", " SELECT count(DISTINCT gene) AS genes, string_agg(DISTINCT symbol, ', ' ORDER BY symbol) AS symbols FROM (SELECT gene, symbol FROM assoc WHERE log2fc > 0.1 AND experiment = 'E-GEOD-5' AND label = 'PROMO' UNION SELECT gene, symbol FROM assoc WHERE log2fc < -0.1 AND experiment = 'E-GEOD-5' AND label = 'PROMO')"))
 def g06(spark, d):
-    rows = associations(spark, d).where((experiment_of() == "E-GEOD-5") & (F.col("label") == "PROMO"))
+    rows = associations(spark, d).where((F.col("experiment") == "E-GEOD-5") & (F.col("label") == "PROMO"))
     both = rows.where("log2fc > 0.1").select("gene", "symbol").unionByName(rows.where("log2fc < -0.1").select("gene", "symbol"))
     # the symbols of one contrast and term
     return both.agg(F.countDistinct("gene").alias("genes"), F.array_join(F.sort_array(F.collect_set("symbol")), ", ").alias("symbols")).withColumn("symbols", F.nullif("symbols", F.lit("")))
@@ -132,7 +132,7 @@ def p23(spark, d):
 @query("P24_control_exclusion", sql("assoc", " SELECT label, experiment, count(*) AS n FROM assoc WHERE NOT regexp_matches(lower(label), 'promo|small|healthy') GROUP BY ALL"))
 def p24(spark, d):
     rows = associations(spark, d).where(~F.col("label").rlike("(?i)promo|small|healthy"))
-    return rows.groupBy("label", experiment_of().alias("experiment")).agg(F.count("*").alias("n"))
+    return rows.groupBy("label", "experiment").agg(F.count("*").alias("n"))
 
 
 @query("P25_source_filter", "WITH s AS (SELECT n_nationkey, n_name, r_name AS type, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS datasets FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name AS source, CASE WHEN n_name IN ('NATION_3', 'NATION_4') THEN 'explicitly excluded' WHEN type = (SELECT min(r_name) FROM region) THEN 'not a dataset repository' WHEN datasets = 0 THEN 'no datasets' END AS reason, datasets FROM s")

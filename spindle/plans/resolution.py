@@ -8,7 +8,7 @@ from spindle.operators import resolution as r
 from spindle.operators.graph import closure, match, optional
 from spindle.plans.catalogue import IS_DATASET, has
 from spindle.plans.registry import query
-from spindle.sources.views import AGENT, MONDO, RDF_TYPE, SCHEMA, associations, experiment_of, hierarchy, read, sql, triples
+from spindle.sources.views import AGENT, MONDO, RDF_TYPE, SCHEMA, associations, hierarchy, read, sql, triples
 
 
 def _terms(spark, d):
@@ -69,7 +69,7 @@ def a14(spark, d):
     """From a term to its genes, to studies with data on them, to the first such study."""
     rows = associations(spark, d)
     genes = rows.where("log2fc > 0.1").select("label", "gene").distinct()
-    data = rows.where("adj_p < 0.01").select("gene", experiment_of().alias("experiment")).distinct()
+    data = rows.where("adj_p < 0.01").select("gene", "experiment").distinct()
     found = genes.join(data, "gene").groupBy("label", "experiment").agg(F.count("*").alias("genes"))
     return found.groupBy("label").agg(F.min("experiment").alias("first_study"), F.count("*").alias("studies"), F.max("genes").alias("genes"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindle.functions.lineage import scratch_path
 from spindle.operators import study_graph as g
 from spindle.plans.registry import query
-from spindle.sources.views import MONDO, RDF_TYPE, SCHEMA, associations, experiment_of, read, sql
+from spindle.sources.views import MONDO, RDF_TYPE, SCHEMA, associations, read, sql
 
 TYPE, REL, NODE = RDF_TYPE, g.RELATION, g.BASE
 ORGANISMS = ["Homo sapiens", "MUS musculus", " Danio rerio ", "Martian"]
@@ -59,7 +59,7 @@ def assay_part(spark, d):
 def strongest(spark, d):
     """The associations of least p-value with a change of at least 0.05."""
     rows = associations(spark, d).where("adj_p < 0.01 and abs(log2fc) >= 0.05")
-    return rows.select("contrast", experiment_of().alias("study"), F.regexp_extract("contrast", "-g([0-9]+)_g", 1).alias("s_suppkey"), "gene", "symbol", "log2fc", F.col("adj_p").cast("double").alias("adj_p"), "label")
+    return rows.select("contrast", F.col("experiment").alias("study"), F.regexp_extract("contrast", "-g([0-9]+)_g", 1).alias("s_suppkey"), "gene", "symbol", "log2fc", F.col("adj_p").cast("double").alias("adj_p"), "label")
 
 
 def expression_part(spark, d):
@@ -147,7 +147,7 @@ def e03(spark, d):
 @query("E14_incremental_batch", sql("assoc", " SELECT experiment, count(*) AS n FROM assoc WHERE substr(experiment, 8)::INTEGER % 3 <> 0 GROUP BY experiment"))
 def e14(spark, d):
     """Two batches over the same experiments: the second takes those of which the first left no output."""
-    rows = associations(spark, d).withColumn("experiment", experiment_of())
+    rows = associations(spark, d)
     first = rows.where(F.substring("experiment", 8, 9).cast("int") % 3 == 0).groupBy("experiment").agg(F.count("*").alias("n"))
     first.write.parquet(path := scratch_path(spark, "batch"))
     return g.unfinished(rows, spark.read.parquet(path)).groupBy("experiment").agg(F.count("*").alias("n"))

@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``contrast, gene, symbol, log2fc, adj_p, label, taxon, array_design``: one row per association."""
+    """``contrast, experiment, gene, symbol, log2fc, adj_p, label, taxon, array_design``: one row per association."""
     line = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_type", "p_brand")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -41,6 +41,7 @@ def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.round(F.log2(F.col("l_extendedprice") / (F.col("l_quantity") * F.col("p_retailprice"))), 6) + F.lit(0.0)
     return joined.select(
         F.concat(F.lit(ATLAS + "E-GEOD-"), "s_nationkey", F.lit("-g"), "l_suppkey", F.lit("_g"), "l_linenumber").alias("contrast"),
+        F.concat(F.lit("E-GEOD-"), "s_nationkey").alias("experiment"),
         F.col("l_partkey").alias("gene"),
         F.concat(F.lit("GENE"), "l_partkey").alias("symbol"),
         fold.alias("log2fc"),
