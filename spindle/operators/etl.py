@@ -18,9 +18,8 @@ NOT_IN_IRIS = "<>\"{}|\\^`[]"
 
 def clean_iri(text: Column | str) -> Column:
     """An http(s) IRI with a host, up to the first white space or character that IRIs cannot hold; null otherwise."""
-    t = F.trim(text)
-    end = F.least(*(F.nullif(F.instr(t, c), F.lit(0)) for c in NOT_IN_IRIS), F.nullif(F.regexp_instr(t, F.lit(r"\s")), F.lit(0)))
-    cut = F.when(end.isNull(), t).otherwise(F.substring(t, F.lit(1), end - 1))
+    barred = "".join("\\" + c for c in NOT_IN_IRIS)
+    cut = F.regexp_extract(F.trim(text), f"^https?://[^\\s{barred}]*", 0)
     return F.when(cut.rlike("^https?://[^/?#]"), cut)
 
 
