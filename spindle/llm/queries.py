@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindle.llm.alignment import aligned_documents
 from spindle.llm.common import table
 from spindle.llm.hard_negatives import hard_negatives
 from spindle.llm.multi_index import near_duplicate_vectors
@@ -23,6 +24,7 @@ from spindle.llm.transducer import encode_documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +121,10 @@ QUALIFY rank <= 3
 """
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiff_media": op1_tiff_media,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_multi_index_near_dedup": op10_multi_index_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": OP11_SQL}
