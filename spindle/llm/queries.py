@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spindle.llm.alignment import aligned_documents
 from spindle.llm.common import table
 from spindle.llm.hard_negatives import hard_negatives
+from spindle.llm.kneser_ney import language_scores
 from spindle.llm.multi_index import near_duplicate_vectors
 from spindle.llm.packing import packed_documents
 from spindle.llm.quality import quality_scores
@@ -121,6 +122,11 @@ QUALIFY rank <= 3
 """
 
 
+def op12_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    return language_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned_documents(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
 
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_multi_index_near_dedup": op10_multi_index_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_kneser_ney": op12_kneser_ney,
     "op13_token_alignment": op13_token_alignment,
 }
 
