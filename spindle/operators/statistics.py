@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.special import TINY, hypergeometric_tail, normal_quantile, normal_two_sided, student_two_sided
+from spindle.functions.lineage import stored
+from spindle.functions.special import TINY, exact_rank_two_sided, hypergeometric_tail, normal_quantile, normal_two_sided, student_two_sided
 
 
 #: p-values are cut at the fourth powers of multiples of 1/256: no part holds over 1.6 % of evenly spread values.
@@ -18,14 +19,16 @@ def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], name: str = "padj
     Equal p-values are adjusted alike, so only different ones are ranked, with
     their counts. They are ranked within parts of the range from 0 to 1, and a
     table of the parts carries counts upwards and least values downwards, so
-    that no group is sorted by one task.
+    that no group is sorted by one task. The rows and the different p-values are
+    written once, as several branches read them.
     """
+    rows = stored(rows, "tested")
     keys = [F.col(b).alias(f"_k{i}") for i, b in enumerate(by)] or [F.lit(0).alias("_k0")]
     group = [f"_k{i}" for i in range(len(keys))]
     values = rows.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
     part = F.floor(F.pow(F.least(F.greatest("_p", F.lit(0.0)), F.lit(1.0)), 0.25) * PARTS)
     up = Window.partitionBy(*group, "_part").orderBy("_p")
-    ranked = values.withColumn("_part", part).withColumn("_i", F.sum("_c").over(up))
+    ranked = stored(values, "p-values").withColumn("_part", part).withColumn("_i", F.sum("_c").over(up))
     sums = ranked.groupBy(*group, "_part").agg(F.max("_i").alias("_in"))
     # at most PARTS + 1 rows in a group
     below = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +94,16 @@ def _rank_test(sums: DataFrame, by: list[str]) -> DataFrame:
     spread = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
     off = F.greatest(F.abs(u - F.col("n1") * F.col("n2") / 2) - 0.5, F.lit(0.0))
     z = F.when(spread > 0, F.signum(u - F.col("n1") * F.col("n2") / 2) * off / spread).otherwise(0.0)
-    return sums.select(*by, u.alias("u"), z.alias("z"), "n1", "n2")
+    return sums.select(*by, u.alias("u"), z.alias("z"), "n1", "n2", (F.col("tie") > 0).alias("tied"))
+
+
+def rank_p(tested: DataFrame, exact: int = 8) -> DataFrame:
+    """Add the two-sided ``pvalue`` of a rank test: exact where a group has at most ``exact`` values and no value is tied, else normal (1 without spread)."""
+    small = (F.least("n1", "n2") <= exact) & ~F.col("tied")
+    normal = F.coalesce(normal_two_sided("z"), F.lit(1.0))
+    # the exact distribution is only made for rows that take it
+    ends = [F.when(small, F.col(c)).cast("double") for c in ("u", "n1", "n2")]
+    return tested.withColumn("pvalue", F.coalesce(exact_rank_two_sided(*ends), normal))
 
 
 def mann_whitney_of_groups(values: DataFrame, by: list[str], parts: int = 1024) -> DataFrame:
@@ -120,7 +132,7 @@ def mann_whitney_of_groups(values: DataFrame, by: list[str], parts: int = 1024)
 
 
 def mann_whitney_p(values: DataFrame) -> DataFrame:
-    return mann_whitney(values).withColumn("pvalue", F.coalesce(normal_two_sided("z"), F.lit(1.0)))
+    return rank_p(mann_whitney(values))
 
 
 def welch(summary: DataFrame) -> DataFrame:
@@ -164,22 +176,32 @@ def fisher(studies: DataFrame, least: int = 2) -> DataFrame:
     return logs.where(F.col("n_studies") >= least).withColumn("pvalue", F.least(F.lit(1.0), F.exp(-half) * total))
 
 
-def over_representation(genes: DataFrame, sets: DataFrame, background: int, least: int = 5) -> DataFrame:
-    """Per term: sizes, overlap, precision, recall, hypergeometric p and BH over the terms.
+def over_representation(genes: DataFrame, sets: DataFrame, background: int, least: int = 5, by: tuple[str, ...] = (), correction: str = "bh") -> DataFrame:
+    """Per term: sizes, overlap, precision, recall, hypergeometric p and ``padj`` over the terms.
 
-    ``genes`` (gene) are the query, ``sets`` (term, gene) the annotation;
-    fewer than ``least`` query genes give no rows.
+    ``genes`` (gene and the columns ``by``, which tell lists apart, such as a
+    direction) are the queries, ``sets`` (term, gene) the annotation; a list of
+    fewer than ``least`` genes gives no rows. ``correction`` is bh or
+    bonferroni, within each list.
     """
-    query = genes.select("gene").distinct()
-    size = query.agg(F.count("*").alias("query_size"))
-    known = sets.select("term", "gene").distinct()
-    hits = known.join(query.withColumn("hit", F.lit(1)), "gene", "left")
-    out = hits.groupBy("term").agg(F.count("*").alias("term_size"), F.count("hit").alias("overlap"))
-    # one row on the right
-    out = out.join(F.broadcast(size), how="cross").where(F.col("query_size") >= least).where("overlap > 0")
+    if correction not in ("bh", "bonferroni"):
+        raise ValueError(f"unknown correction: {correction}")
+    query = genes.select(*by, "gene").where("gene is not null").distinct()
+    size = query.groupBy(*by).agg(F.count("*").alias("query_size")).where(F.col("query_size") >= least)
+    known = sets.select("term", "gene").where("term is not null and gene is not null").distinct()
+    sizes = known.groupBy("term").agg(F.count("*").alias("term_size"))
+    hits = known.join(query, "gene").groupBy("term", *by).agg(F.count("*").alias("overlap"))
+    # without columns there is one list, one row on the right
+    out = hits.join(size, list(by)) if by else hits.join(F.broadcast(size), how="cross")
+    out = out.join(sizes, "term")
     out = out.withColumn("pvalue", hypergeometric_tail("overlap", "query_size", "term_size", F.lit(background)))
     out = out.withColumn("precision", F.col("overlap") / F.col("query_size")).withColumn("recall", F.col("overlap") / F.col("term_size"))
-    return benjamini_hochberg(out, "pvalue", [])
+    if correction == "bh":
+        return benjamini_hochberg(out, "pvalue", list(by))
+    out = stored(out, "terms")
+    tests = out.groupBy(*by).agg(F.count("*").alias("n_tests"))
+    out = out.join(tests, list(by)) if by else out.join(F.broadcast(tests), how="cross")
+    return out.withColumn("padj", F.least(F.lit(1.0), F.col("pvalue") * F.col("n_tests"))).drop("n_tests")
 
 
 def quantile_normalised(values: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators.cohort import classified, phrase_match, search, series, study_pairs, tokens
-from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_of_groups, mann_whitney_p, over_representation, quantile_normalised, welch
+from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_of_groups, mann_whitney_p, over_representation, quantile_normalised, rank_p, welch
 from spindle.plans.registry import query
 from spindle.sources.views import cells, expression, read, samples, sql
 
@@ -196,18 +196,22 @@ def g22(spark, d):
     return out.where("n >= 10")
 
 
+#: P(|Z| >= |@|): the error function as a series without cancellation, its terms from the logarithm of the gamma function.
+NORMAL_P = "CASE WHEN abs(@) > 8 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-@ * @ / 2) * list_sum(list_transform(range(0, 240), lambda i: exp((2 * i + 1) * ln(greatest(abs(@) / sqrt(2), 1e-300)) + i * ln(2) - ((i + 1) * ln(2) + lgamma(i + 1.5) - ln(pi()) / 2)))) END"
+
 #: The rank test of cases against normal cells within groups.
 RANK_TEST = """, r AS (SELECT @, disease, count(*) OVER (PARTITION BY @, value) AS t, rank() OVER (PARTITION BY @ ORDER BY value) AS k FROM cells),
   s AS (SELECT @, sum(k + (t - 1) / 2.0) FILTER (WHERE disease = 'case') AS r1, (count(*) FILTER (WHERE disease = 'case'))::DOUBLE AS n1, (count(*) FILTER (WHERE disease = 'normal'))::DOUBLE AS n2, sum(t * t - 1)::DOUBLE AS tie FROM r GROUP BY @),
-  z AS (SELECT @, round(sign(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) * greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) + 0.0 AS z FROM s WHERE n1 > 0 AND n2 > 0)"""
+  w AS (SELECT @, sign(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) * greatest(abs(r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) - 0.5, 0) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))) AS w FROM s WHERE n1 > 0 AND n2 > 0),
+  z AS (SELECT @, round(w, 6) + 0.0 AS z, round(""" + NORMAL_P.replace("@", "w") + """, 6) + 0.0 AS pvalue FROM w)"""
 
 
 def rank_z(spark, d, by: str):
     rows = cells(spark, d).withColumn("grp", F.when(F.col("disease") == "case", "test").otherwise("control"))
-    return mann_whitney_of_groups(rows, [by]).select(by, (F.round("z", 6) + 0.0).alias("z"))
+    return rank_p(mann_whitney_of_groups(rows, [by])).select(by, (F.round("z", 6) + 0.0).alias("z"), (F.round("pvalue", 6) + 0.0).alias("pvalue"))
 
 
-@query("G24_condition_comparison", sql("cells", RANK_TEST.replace("@", "cell_type") + " SELECT cells.cell_type, count(*) FILTER (WHERE disease = 'case') AS n_case, count(*) FILTER (WHERE disease = 'normal') AS n_normal, round(log2((avg(value) FILTER (WHERE disease = 'case') + 0.01) / (avg(value) FILTER (WHERE disease = 'normal') + 0.01)), 8) + 0.0 AS log2fc, min(z) AS z FROM cells JOIN z ON cells.cell_type = z.cell_type GROUP BY cells.cell_type HAVING count(*) FILTER (WHERE disease = 'case') >= 20 AND count(*) FILTER (WHERE disease = 'normal') >= 20"))
+@query("G24_condition_comparison", sql("cells", RANK_TEST.replace("@", "cell_type") + " SELECT cells.cell_type, count(*) FILTER (WHERE disease = 'case') AS n_case, count(*) FILTER (WHERE disease = 'normal') AS n_normal, round(log2((avg(value) FILTER (WHERE disease = 'case') + 0.01) / (avg(value) FILTER (WHERE disease = 'normal') + 0.01)), 8) + 0.0 AS log2fc, min(z) AS z, min(pvalue) AS pvalue FROM cells JOIN z ON cells.cell_type = z.cell_type GROUP BY cells.cell_type HAVING count(*) FILTER (WHERE disease = 'case') >= 20 AND count(*) FILTER (WHERE disease = 'normal') >= 20"))
 def g24(spark, d):
     of = lambda g, x: F.when(F.col("disease") == g, x)
     ratio = (F.avg(of("case", F.col("value"))) + 0.01) / (F.avg(of("normal", F.col("value"))) + 0.01)

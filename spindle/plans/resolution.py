@@ -28,7 +28,7 @@ def a09(spark, d):
     return r.drugs(t.select("id", "label"), aliases, brands, "red", most=10)
 
 
-@query("A10_ancestor_restriction", sql("hier", f""", up AS (SELECT DISTINCT child AS start, child AS node FROM hier UNION SELECT start, parent FROM up JOIN hier ON node = child), top AS (SELECT p_partkey AS id, p_name AS label, {_score('p_name', 'red')} AS score FROM part WHERE contains(lower(p_name), 'red') ORDER BY score DESC, id LIMIT 10),
+@query("A10_ancestor_restriction", sql("hier", f""", up AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT start, parent FROM up JOIN hier ON node = child), top AS (SELECT p_partkey AS id, p_name AS label, {_score('p_name', 'red')} AS score FROM part WHERE contains(lower(p_name), 'red') ORDER BY score DESC, id LIMIT 10),
   ok AS (SELECT id FROM top WHERE id IN (SELECT start FROM up WHERE node = 1)), ko AS (SELECT id FROM top WHERE id IN (SELECT start FROM up WHERE node = -1))
   SELECT 'below 1' AS kind, id, label, score FROM top WHERE id IN (SELECT id FROM ok) OR (SELECT count(*) FROM ok) = 0 UNION ALL SELECT 'below -1', id, label, score FROM top WHERE id IN (SELECT id FROM ko) OR (SELECT count(*) FROM ko) = 0""", recursive=True))
 def a10(spark, d):
@@ -84,7 +84,7 @@ def b21(spark, d):
     return out
 
 
-@query("B21_expansion_with_root", sql("hier", ", up AS (SELECT DISTINCT child AS start, child AS node FROM hier UNION SELECT start, parent FROM up JOIN hier ON node = child) SELECT DISTINCT start AS id FROM up WHERE node = 7 UNION SELECT 7::BIGINT", recursive=True))
+@query("B21_expansion_with_root", sql("hier", ", up AS (SELECT p_partkey AS start, p_partkey AS node FROM part UNION SELECT start, parent FROM up JOIN hier ON node = child) SELECT DISTINCT start AS id FROM up WHERE node = 7 UNION SELECT 7::BIGINT", recursive=True))
 def b21b(spark, d):
     """A term with everything below it, walked downwards; the term itself is always among them."""
     down = hierarchy(spark, d).select(F.col("parent").alias("child"), F.col("child").alias("parent"))

@@ -7,11 +7,20 @@ import os
 import duckdb
 import pytest
 
-from spindle.plans import archive, atlas, bridges, catalogue, cohorts, etl, modes, registry, resolution, study_graphs  # noqa: F401
+from spindle.plans import archive, atlas, bridges, catalogue, cohorts, etl, expression, modes, registry, resolution, study_graphs  # noqa: F401
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
+#: The smallest tables, and ten times as many rows: some cases only occur there.
+DIRS = os.environ.get("TEST_SF_DIRS", "/root/testdata/sf0.001,/root/testdata/sf0.01").split(",")
+
+
+@pytest.fixture(scope="module", params=DIRS, ids=os.path.basename)
+def sf_dir(request):
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
