@@ -8,8 +8,8 @@ words, dealt by number. Between the steps go compressed arrays, one row for
 each task and part, never a row for each n-gram.
 
 Each part ends as one file of arrays sorted by hash: the start of every bucket,
-32 bits of the hash for every entry, and a number in the list of the part's
-different values. Values are counts; discounts are eleven numbers that come
+32 bits of the hash for every entry, and a byte that says which of the part's
+different values it has (rare values stand in a list of exceptions). Values are counts; discounts are eleven numbers that come
 with them. Workers map the files into memory and score documents in whole
 batches.
 """
@@ -29,11 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.alignment import mixed
-from spindle.llm.common import scratch_path, sliced, written
+from spindle.llm.common import remove, scratch_path, sliced, written
 
 MAGIC = 0x4B4E3353
-#: Events that a task gathers before it counts them; their words fit 21 bits each.
-EVENTS = (1 << 21) - 3
+#: Stands for a row of values that is listed apart.
+RARE = 255
+#: Events that a task gathers before it counts them; the numbers of their words fit 21 bits each.
+EVENTS = 1 << 20
+#: Bytes of texts that a task takes at a time.
+TEXTS = 2 << 20
 #: Events, and different words, for each part of the counts (beyond 10**8, parts grow with the third root).
 PART_EVENTS, PART_WORDS = 1_000_000, 1_000_000
 #: Bytes of text that are hashed in one go.
@@ -194,36 +198,41 @@ def _mapped(path: str) -> list[np.ndarray]:
 
 
 def _listed(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """The different rows of columns, and the place of each row among them."""
+    """The different rows of columns, the most frequent first, and the place of each row among them."""
     code = columns[0]
     for c in columns[1:]:
         bits = max(1, int(c.max(initial=0)).bit_length())
         if int(code.max(initial=0)).bit_length() + bits > 63:
             code = np.unique(code, return_inverse=True)[1].ravel()
         code = code << bits | c
-    _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    return [c[first] for c in columns], code.ravel()
+    _, first, code, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return [c[first[order]] for c in columns], place[code.ravel()]
 
 
 def save_hashed(folder: str, name: str, keys: np.ndarray, *columns: np.ndarray, listed: bool = True) -> None:
     """A file with values by 64-bit ``keys``: buckets of about eight keys, and 32 bits of each key.
 
-    ``listed``: the different rows of values once, and a number for each key.
+    ``listed``: the different rows of values once, and a byte for each key; the
+    places of keys whose row is not among the first 255 stand in a list.
     """
     order = np.argsort(keys)
     keys, columns = keys[order], [c[order] for c in columns]
     bits = int(np.clip((len(keys) // 8).bit_length(), 1, 31))
     starts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     columns, code = _listed(columns) if listed else (columns, np.zeros(0, np.int64))
-    shape = np.array([bits, listed], np.uint64)
-    _save(folder, name, shape, starts.astype(np.uint32), (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), _narrow(code), *map(_narrow, columns))
+    shape, rest = np.array([bits, listed], np.uint64), (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+    rare = np.flatnonzero(code >= RARE)
+    _save(folder, name, shape, starts.astype(np.uint32), rest, np.minimum(code, RARE).astype(np.uint8), rare.astype(np.uint32), _narrow(code[rare]), *map(_narrow, columns))
 
 
 class Hashed:
     """Values by key, from a file that ``save_hashed`` wrote."""
 
     def __init__(self, path: str):
-        shape, self.starts, self.rest, self.code, *self.columns = _mapped(path)
+        shape, self.starts, self.rest, self.code, self.rare, self.rare_code, *self.columns = _mapped(path)
         self.bits, self.listed = int(shape[0]), bool(shape[1])
 
     def of(self, keys: np.ndarray) -> list[np.ndarray]:
@@ -240,7 +249,11 @@ class Hashed:
             low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
         at = np.minimum(low, n - 1)
         held = (low < end) & (self.rest[at] == want)
-        row = self.code[at] if self.listed else at
+        row = at
+        if self.listed:
+            row = self.code[at].astype(np.int64)
+            odd = np.flatnonzero(row == RARE)
+            row[odd] = self.rare_code[np.searchsorted(self.rare, at[odd])] if len(self.rare) else 0
         return [np.where(held, c[row], 0).astype(np.int64) for c in self.columns] + [held]
 
 
@@ -369,12 +382,11 @@ def _count_trigrams(model: Model):
             u, v, w = (np.concatenate([getattr(s, c) for s in held]) for c in "uvw")
             held.clear()
             for a in range(0, len(u), EVENTS):
-                own = slice(a, a + EVENTS)
-                (x, y, z), n = _summed([u[own], v[own], w[own]])
+                (x, y, z), n = _summed([c[a : a + EVENTS] for c in (u, v, w)])
                 yield from _dealt(TRI, part_of(hash2(x, y), model.parts), x, y, z, n)
 
         size = 0
-        for batch in sliced(batches, rows=20_000):
+        for batch in sliced(batches, rows=20_000, most=TEXTS):
             stream = Stream(model, batch.column(0), words)
             if held and size + len(stream.u) > EVENTS:
                 yield from flush()
@@ -478,14 +490,14 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["word", "n"])
 
-    for batch in sliced(batches, rows=20_000):
+    for batch in sliced(batches, rows=20_000, most=TEXTS):
         hashes, _ = word_hashes(batch.column(0))
         docs += batch.num_rows
         own, count = np.unique(hashes, return_counts=True)
         both = np.append(keys, own)
         keys, inverse = np.unique(both, return_inverse=True)
         n = np.bincount(inverse.ravel(), np.append(n, count), len(keys)).astype(np.int64)
-        if len(keys) > 1_000_000:
+        if len(keys) > 500_000:
             yield from rows()
             keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, n = np.append(keys, END), np.append(n, docs)
@@ -525,8 +537,10 @@ def train(texts: DataFrame) -> Model:
     """Count the trigrams of ``texts(text)`` and write the model's files to the shared folder."""
     spark = texts.sparkSession
     folder = scratch_path(spark, "trigram-model")
-    counted = texts.select("text").mapInArrow(_word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = written(counted.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word").withColumn("row", F.monotonically_increasing_id()), "words")
+    counts = texts.select("text").mapInArrow(_word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    path = scratch_path(spark, "words")
+    counts.repartitionByRange(F.desc("n"), "word").sortWithinPartitions(F.desc("n"), "word").withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    counted = spark.read.schema("word long, n long, row long").parquet(path)
     slots = counted.groupBy(F.shiftright("row", 33).alias("slot")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).orderBy("slot").collect()
     words, tokens = sum(r.k for r in slots), sum(r.n for r in slots)
     starts, at = [], 0
@@ -544,6 +558,7 @@ def train(texts: DataFrame) -> Model:
     held = {r.part for r in done.collect()}
     for p in set(range(model.word_parts)) - held:
         save_hashed(model.word_folder, f"words-{p}", np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, listed=False)
+    remove(spark, path)
     _given(spark, model, model.word_folder)
     return _count(texts, model)
 
@@ -677,7 +692,7 @@ def language_scores(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value.folder, shared)
-        for batch in sliced(batches, rows=20_000, most=4 << 20):
+        for batch in sliced(batches, rows=20_000, most=TEXTS):
             tokens, known, base, score = scorer.score(batch.column(1))
             columns = [batch.column(0), batch.column(2), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
