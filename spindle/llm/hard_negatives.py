@@ -3,12 +3,13 @@
 Inner products become distances: every vector gets one more component, so that
 all have the length of the longest, and an anchor gets a zero there; then a
 higher score is a smaller distance. Vectors are assigned to the nearest of the
-pivots. Anchors of one cell form groups; for a group and a cell the triangle
-inequality and the planes between pivots leave a ring around the cell's pivot
-outside which no vector can serve the group. A vector is sent to the groups in
-whose rings it lies, and each group is joined exactly with what it was sent.
+pivots. Anchors of neighbouring cells form groups; for a group and a cell the
+triangle inequality and the planes between pivots leave a ring around the
+cell's pivot outside which no vector can serve the group. A vector is sent to
+the groups in whose rings it lies, and each group is joined exactly with what
+it was sent.
 
-The join runs twice for each question: within the anchors' own cells, which
+The join runs twice for each question: within the groups' own cells, which
 gives every anchor a score that it reaches at least, and then with the rings
 that follow from these scores.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from spindle.llm.common import written
 from spindle.llm.multi_index import codebook
 
-#: Anchors of a group at most, and bytes of vectors that a group's task holds at a time (more are dealt to slices).
-GROUP, SLICE = 512, 32 << 20
+#: Anchors of a group (about), and bytes of vectors that a group's task holds at a time (more are dealt to slices).
+GROUP, SLICE = 4096, 32 << 20
 #: Integer components up to this size (and sums of their products below 2**62) can be scored exactly.
 LARGEST = 1 << 40
 #: Beyond any score.
@@ -35,7 +36,7 @@ LIMIT = (1 << 63) - 1
 
 @dataclass
 class Pivots:
-    """Pivots (with the added component) and the largest squared length of a vector."""
+    """Pivots (with the added component), each next to a near one, and the largest squared length of a vector."""
 
     points: np.ndarray
     longest: float
@@ -59,7 +60,7 @@ class Pivots:
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<i8").reshape(-1, width)
+    return np.frombuffer(b"".join(column), "<i8").reshape(len(column), width)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,7 +80,16 @@ def fit_pivots(stored: DataFrame, width: int, longest: float, number: int, sampl
     x = _matrix(got["vector"], width).astype(np.float64)
     x = np.column_stack([x, np.sqrt(np.maximum(longest - (x * x).sum(1), 0.0))])
     number = number or int(np.clip(round(n**0.5 / 4), 4, 256))
-    return Pivots(codebook(x, min(number, len(x))), longest)
+    return Pivots(_chained(codebook(x, min(number, len(x)))), longest)
+
+
+def _chained(points: np.ndarray) -> np.ndarray:
+    """The points in an order that goes on to the nearest one left."""
+    left, order = list(range(1, len(points))), [0]
+    while left:
+        d = ((points[left] - points[order[-1]]) ** 2).sum(1)
+        order.append(left.pop(int(d.argmin())))
+    return points[order]
 
 
 def _placed(df: DataFrame, pivots, width: int, stored: bool) -> DataFrame:
@@ -101,54 +111,56 @@ def _ddl(df: DataFrame) -> str:
 
 
 def _bounds(groups: DataFrame, cells: DataFrame, pivots, width: int, rows: int) -> DataFrame:
-    """``part, home, block, cell, low, high, slices``: the ring around each pivot that can serve a group."""
+    """``part, group, cell, low, high, slices``: the ring around each pivot that can serve a group."""
 
     def of(anchors: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        names = ["part", "home", "block", "cell", "low", "high", "slices"]
+        names = ["part", "group", "cell", "low", "high", "slices"]
         if not len(anchors) or not len(own):
             return pd.DataFrame(columns=names)
         p = pivots.value
-        x = _matrix(anchors["vector"], width).astype(np.float64)
-        d, norm = p.distances(x, False), (x * x).sum(1)
-        reach, inner = p.radius(norm, anchors["least"].to_numpy().astype(np.float64)) + p.slack, p.radius(norm, anchors["most"].to_numpy().astype(np.float64)) - p.slack
-        home = int(anchors["home"].iloc[0])
-        apart = np.sqrt(((p.points - p.points[home]) ** 2).sum(1))
         j = own["cell"].to_numpy().astype(np.int64)
-        # a vector of cell j is at least as far from an anchor as the plane between its pivot and the anchor's
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(apart[j] > 0, (d[:, j] ** 2 - d[:, [home]] ** 2) / (2 * apart[j]), -np.inf)
-        open_ = plane <= reach[:, None]
-        low = np.where(open_, np.maximum(d[:, j] - reach[:, None], inner[:, None] - d[:, j]), np.inf).min(0)
-        high = np.where(open_, d[:, j] + reach[:, None], -np.inf).max(0)
+        low, high = np.full(len(j), np.inf), np.full(len(j), -np.inf)
+        for at in range(0, len(anchors), 512):
+            some = anchors.iloc[at : at + 512]
+            x = _matrix(some["vector"], width).astype(np.float64)
+            d, norm = p.distances(x, False), (x * x).sum(1)
+            reach, inner = p.radius(norm, some["least"].to_numpy().astype(np.float64)) + p.slack, p.radius(norm, some["most"].to_numpy().astype(np.float64)) - p.slack
+            home = some["home"].to_numpy().astype(np.int64)
+            # a vector of cell j is at least as far from an anchor as the plane between its pivot and the anchor's
+            apart = np.sqrt(((p.points[home][:, None, :] - p.points[j][None, :, :]) ** 2).sum(2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = np.where(apart > 0, (d[:, j] ** 2 - d[np.arange(len(x)), home][:, None] ** 2) / (2 * apart), -np.inf)
+            open_ = plane <= reach[:, None]
+            low = np.minimum(low, np.where(open_, np.maximum(d[:, j] - reach[:, None], inner[:, None] - d[:, j]), np.inf).min(0))
+            high = np.maximum(high, np.where(open_, d[:, j] + reach[:, None], -np.inf).max(0))
         take = (low <= own["high"].to_numpy() + p.slack) & (high >= own["low"].to_numpy() - p.slack)
         slices = max(1, -(-int(own["n"].to_numpy()[take].sum()) // rows))
         out = pd.DataFrame({"cell": j[take].astype(np.int32), "low": low[take], "high": high[take]})
-        return out.assign(part=anchors["part"].iloc[0], home=home, block=anchors["block"].iloc[0], slices=slices)[names]
+        return out.assign(part=anchors["part"].iloc[0], group=anchors["group"].iloc[0], slices=slices)[names]
 
     # each group gets the list of its part's cells: at most one row for each pivot
-    key = ["part", "home", "block"]
-    lists = groups.select(*key).distinct().join(cells, "part")
+    lists = groups.select("part", "group").distinct().join(cells, "part")
     lists = lists.select(*(F.col(c).alias(c) for c in lists.columns))
-    kind = "part long, home int, block long, cell int, low double, high double, slices long"
-    return groups.groupBy(*key).cogroup(lists.groupBy(*key)).applyInPandas(of, kind)
+    kind = "part long, group long, cell int, low double, high double, slices long"
+    return groups.groupBy("part", "group").cogroup(lists.groupBy("part", "group")).applyInPandas(of, kind)
 
 
 def _home_bounds(groups: DataFrame, cells: DataFrame, rows: int) -> DataFrame:
     """The groups' own cells, whole."""
-    own = cells.select("part", F.col("cell").alias("home"), "n")
-    out = groups.select("part", "home", "block").distinct().join(own, ["part", "home"])
-    slices = F.greatest(F.lit(1), F.ceil(F.col("n") / rows)).cast("long")
-    return out.select("part", "home", "block", F.col("home").alias("cell"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), slices.alias("slices"))
+    out = groups.select("part", "group", F.col("home").alias("cell")).distinct().join(cells, ["part", "cell"])
+    total = F.sum("n").over(Window.partitionBy("part", "group"))  # at most a row for each pivot
+    slices = F.greatest(F.lit(1), F.ceil(total / rows)).cast("long")
+    return out.select("part", "group", "cell", F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), slices.alias("slices"))
 
 
 def _joined(groups: DataFrame, bounds: DataFrame, stored: DataFrame, width: int, k: int, same: bool) -> DataFrame:
     """``node, ring, score, id``: of each anchor and ring the first ``k`` rows among those that the bounds let through."""
-    key = ["part", "home", "block", "slice"]
+    key = ["part", "group", "slice"]
     near = (F.col("far") >= F.col("low")) & (F.col("far") <= F.col("high"))
     sent = stored.join(bounds, ["part", "cell"]).where(near)
-    sent = sent.select("part", "home", "block", F.pmod(F.xxhash64("id"), "slices").alias("slice"), "id", "label", "vector")
-    slices = bounds.groupBy("part", "home", "block").agg(F.max("slices").alias("slices"))
-    own = groups.join(slices, ["part", "home", "block"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    sent = sent.select("part", "group", F.pmod(F.xxhash64("id"), "slices").alias("slice"), "id", "label", "vector")
+    slices = bounds.groupBy("part", "group").agg(F.max("slices").alias("slices"))
+    own = groups.join(slices, ["part", "group"]).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
 
     def of(anchors: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = {"node": [], "ring": [], "score": [], "id": []}
@@ -186,12 +198,15 @@ def _search(anchors: DataFrame, stored: DataFrame, pivots, width: int, k: int, s
     cells = written(stored.groupBy("part", "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")), "cells")
     rows = max(64, SLICE // (8 * max(width, 1)))
     placed = anchors.withColumn("part", part("label")).withColumnRenamed("cell", "home")
-    count = placed.groupBy("part", "home").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("blocks"))
-    groups = placed.join(count, ["part", "home"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks", "far")
+    # cells lie in a chain of near ones, which is cut into groups; a row for each pivot at most in a window
+    count = placed.groupBy("part", "home").agg(F.count("*").alias("own"))
+    before = F.sum("own").over(Window.partitionBy("part").orderBy("home")) - F.col("own")
+    spot = F.col("before") + F.pmod(F.xxhash64("node"), "own")
+    groups = placed.join(count.withColumn("before", before), ["part", "home"]).withColumn("group", F.floor(spot / GROUP)).drop("before", "own", "far")
     groups = written(groups, "groups")
     home = written(_home_bounds(groups, cells, rows), "home-bounds")
     first = written(_joined(groups, home, stored, width, k, same), "own-cells")
-    # an anchor reaches the k-th score met in its own cell, or else the lower end of the ring
+    # an anchor reaches the k-th score met in its group's cells, or else the lower end of the ring
     reached = first.where(F.col("rank") == k).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("ring", "score"))).alias("got"))
     ends = groups.join(reached, "node", "left")
     floor = F.zip_with("lows", F.sequence(F.lit(0), F.size("lows") - 1), lambda lo, i: F.coalesce(F.try_element_at("got", i.cast("int")), lo))
