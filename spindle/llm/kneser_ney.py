@@ -473,9 +473,13 @@ def _keep_words(model: Model):
             if kind == COUNTS:
                 yield _row_batch([(kind, part, n, data) for n, data in rows])
                 continue
-            ids, *columns = _gathered(rows, 6)
             low, high = model.range_of(part), model.range_of(part + 1)
-            sums = [np.bincount(ids - low, c, high - low).astype(np.int64) for c in columns]
+            sums = [np.zeros(high - low, np.int64) for _ in range(5)]
+            for n, data in rows:
+                ids, *columns = _restored(data, n, 6)
+                for total, c in zip(sums, columns, strict=True):
+                    at = np.flatnonzero(c)
+                    np.add.at(total, ids[at] - low, c[at])
             _save(model.folder, f"known-{part}", *map(_narrow, sums))
             yield _row_batch([_counts_of(1, sums[4][sums[4] > 0]), (COUNTS, 1, 1, np.array([(sums[4] >= 3).sum()], "<i8").tobytes())])
 
