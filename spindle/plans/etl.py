@@ -95,7 +95,9 @@ def g11(spark, d):
     return read(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).distinct()
 
 
-@query("S13_prefix_segments")
+@query("S13_prefix_segments", """WITH b AS (SELECT min(c_name) AS lo, max(c_name) AS hi FROM customer), s AS (SELECT max(i) AS shared FROM b, range(0, 25) r(i) WHERE left(lo, i) = left(hi, i)),
+  p AS (SELECT left(c_name, i) AS prefix, count(*) AS n FROM customer, s, range(1, 25) r(i) WHERE i > shared AND length(c_name) >= i GROUP BY 1)
+  SELECT DISTINCT first.prefix, first.n, true AS complete FROM customer, LATERAL (SELECT prefix, n FROM p WHERE starts_with(c_name, prefix) AND n <= 60 ORDER BY length(prefix) LIMIT 1) first""")
 def s13(spark, d):
     """Prefixes of customer names such that each covers at most 60 rows where one more character can tell them apart."""
     return prefix_segments(read(spark, d, "customer").select(F.col("c_name").alias("key")), 60)
