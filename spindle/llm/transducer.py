@@ -137,8 +137,9 @@ class Lexicon:
 def frequent_words(docs: DataFrame, path: str, most: int) -> list[tuple[str, int]]:
     """The at most ``most`` most frequent pre-tokens, counted over all documents.
 
-    Tasks count what they read before anything is shuffled. A count is chosen
-    above which at most ``most`` words lie, from a histogram of the counts.
+    Tasks count what they read before anything is shuffled. A histogram of the
+    counts says which levels fit whole; of the next one the most frequent words
+    (equal counts: in the order of words) fill what is left.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +163,17 @@ def frequent_words(docs: DataFrame, path: str, most: int) -> list[tuple[str, int
     counts = written(counted.where(F.length("word") <= 64), "words")
     level = F.floor(F.log2("n") * 16)
     levels = sorted(((r.level, r.k) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
-    total, least = 0, None
+    total, least, part = 0, float("inf"), None
     for value, k in levels:
         if total + k > most:
+            part = value
             break
         total, least = total + k, value
-    if least is None:
-        return []
-    return sorted((r.word, r.n) for r in counts.where(level >= least).collect())
+    found = counts.where(level >= least).collect()
+    if part is not None and total < most:
+        # the level that does not fit gives as many words as there is room for
+        found += counts.where(level == part).orderBy(F.desc("n"), "word").limit(most - total).collect()
+    return sorted((r.word, r.n) for r in found)
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 65_536) -> str:

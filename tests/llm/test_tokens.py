@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from spindle.llm import packing, token_files
 from spindle.llm.token_count import token_counts, whole_tokens
 from spindle.llm.tokens import Memo, Merges, Pretokens, RankTable, text_encoder
-from spindle.llm.transducer import Codec, Lexicon, compile_words, encode_documents
+from spindle.llm.transducer import Codec, Lexicon, compile_words, encode_documents, frequent_words
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 MERGES = Merges(BYTE)
@@ -204,3 +204,17 @@ def test_many_words_are_merged_as_the_library_does():
     words = ["".join(rng.choice("theanrsioé ") for _ in range(rng.randint(1, 70))).strip().replace(" ", "x") or "x" for _ in range(3000)]
     for path in (BYTE, WORD):
         assert [np.frombuffer(x, "<u4").tolist() for x in Merges(path).many(words)] == [ids(path, w) for w in words]
+
+
+def test_equal_counts_fill_the_lexicon(spark):
+    """Where a level of counts does not fit, its first words take what room is left."""
+    words = [f"w{i:04d}x" for i in range(300)]
+    rows = [" ".join("".join(chr(97 + int(c)) if c.isdigit() else c for c in w) for w in words)] + ["common common common"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    for most in (1, 50, 10_000):
+        found = frequent_words(docs, WORD, most)
+        assert len(found) == min(most, 301) and ("common", 3) in found
+    some = [w for w, n in frequent_words(docs, WORD, 50) if n == 1]
+    every = [w for w, n in frequent_words(docs, WORD, 10_000) if n == 1]
+    assert some == sorted(every)[:49]
+    assert frequent_words(docs.limit(0), WORD, 50) == []
