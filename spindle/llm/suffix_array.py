@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Strings of names up to this length are sorted by pairs.
-SHORT = 1 << 17
+#: Where the recursion ends: strings of names up to this length are sorted by pairs.
+SHORT = 1 << 10
 
 
 def stable_order(keys: np.ndarray, bound: int) -> np.ndarray:

@@ -368,12 +368,23 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     return out.unionByName(rest).select("doc_id", *names, "n_bytes", "n_removed", "spans", "kept")
 
 
+def _united(a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and document of the maximal runs that intervals from ``a`` to ``b`` cover; no interval crosses the end of a document, nor does a run."""
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    owner, reach = np.searchsorted(ends, a, "right"), np.maximum.accumulate(b)
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] > reach[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return a[at], reach[np.append(at[1:], len(a)) - 1] if len(a) else b, owner[at]
+
+
 def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, extra: list[str]) -> pa.Table:
     """Step 3: the documents of a shard without the covered bytes."""
     rows = _columns(answers, "range", "a", "b", "c")
-    change = np.zeros(len(shard.data) + 1, np.int32)
     start, number, *_ = shard.numbered([r[:2] for r in rows if r[3] is None])
     rows = sorted(r for r in rows if r[3] is not None)
+    a = b = np.zeros(0, np.int64)
     if rows:
         n_runs = _read([r[1] for r in rows], "<u4").astype(np.int64)
         run_size, run_doc = _read([r[2] for r in rows], "<u4").astype(np.int64), _read([r[3] for r in rows], "<i8")
@@ -384,24 +395,20 @@ def _cut(shard: Shard, docs_of: pa.Table, answers: pa.Table, extra: list[str]) -
         a = np.repeat(start, k) + before[j] - np.repeat(before[run_at[number]], k)
         earlier = run_doc[j] < np.repeat(shard.ids[np.searchsorted(shard.ends, start, "right")], k)
         a, b = a[earlier], (a + run_size[j] + shard.length - 1)[earlier]
-        change += np.bincount(a, minlength=len(change)).astype(np.int32)
-        change -= np.bincount(b, minlength=len(change)).astype(np.int32)
-    gone = np.cumsum(change[:-1]) > 0
     begins = np.append(0, shard.ends[:-1])
-    total = np.append(0, np.cumsum(gone))
-    n_removed = total[shard.ends] - total[begins]
-    # runs end with their documents
-    border = np.zeros(len(gone) + 1, bool)
-    border[shard.ends] = True
-    first = np.flatnonzero(gone & ~(np.append(False, gone[:-1])[: len(gone)] & ~border[:-1]))
-    last = np.flatnonzero(gone & ~(np.append(gone[1:], False)[: len(gone)] & ~border[1:])) + 1
-    owner = np.searchsorted(shard.ends, first, "right")
+    first, last, owner = _united(a, b, shard.ends)
+    n_removed = np.bincount(owner, last - first, len(shard.ids)).astype(np.int64)
+    # one byte for each byte of the shard: where a run begins and ends, summed up
+    change = np.zeros(len(shard.data) + 1, np.int8)
+    change[first] += 1
+    change[last] -= 1
+    stays = np.cumsum(change[:-1], dtype=np.int8) == 0
     spans = pa.ListArray.from_arrays(
         pa.array(np.searchsorted(owner, np.arange(len(shard.ids) + 1)), pa.int32()),
         pa.StructArray.from_arrays([pa.array(first - begins[owner], pa.int64()), pa.array(last - begins[owner], pa.int64())], ["start", "end"]),
     )
-    kept = shard.data[~gone]
-    offsets = (np.append(0, shard.ends) - total[np.append(0, shard.ends)]).astype("<i4")
+    kept = shard.data[stays]
+    offsets = np.append(0, np.cumsum(shard.ends - begins - n_removed)).astype("<i4")
     sorted_rows = docs_of.take(pa.array(shard.order, pa.int64()))
     return pa.table(
         [

@@ -250,3 +250,26 @@ def test_cells_are_visited_in_order():
             assert n == (total[i] - total[i].min() <= margin + 1e-12).sum()
         far = total.argmax(1)
         assert np.allclose(index.excess(x, far), total.max(1) - total.min(1))
+
+
+def test_recursion_with_the_default_base_case(monkeypatch):
+    """A text of a few hundred kilobytes is named and sorted again at least twice."""
+    levels = []
+    plain = arrays._sorted_suffixes
+    monkeypatch.setattr(arrays, "_sorted_suffixes", lambda *a: levels.append(len(a[0])) or plain(*a))
+    rng = np.random.default_rng(2)
+    words = [rng.integers(97, 110, int(rng.integers(2, 9))).astype(np.uint8).tobytes() for _ in range(400)]
+    data = b" ".join(words[i] for i in rng.integers(0, 400, 50_000))
+    sa = arrays.suffix_array(np.frombuffer(data, np.uint8))
+    assert len(levels) >= 3 and levels[1] > arrays.SHORT
+    assert np.array_equal(np.sort(sa), np.arange(len(data)))
+    checked = rng.integers(0, len(data) - 1, 3000)
+    assert all(data[sa[i] : sa[i] + 4000] < data[sa[i + 1] : sa[i + 1] + 4000] or data[sa[i] :] < data[sa[i + 1] :] for i in checked.tolist())
+
+
+def test_united_runs():
+    ends = np.array([10, 10, 25])
+    a, b = np.array([12, 2, 4, 7, 10, 20]), np.array([15, 4, 6, 10, 12, 25])
+    first, last, owner = suffix_dedup._united(a, b, ends)
+    assert list(zip(first.tolist(), last.tolist(), owner.tolist())) == [(2, 6, 0), (7, 10, 0), (10, 15, 2), (20, 25, 2)]
+    assert all(len(x) == 0 for x in suffix_dedup._united(a[:0], b[:0], ends))
