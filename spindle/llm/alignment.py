@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import sliced, written
+from spindle.llm.common import mixed, sliced, written
 from spindle.llm.tokens import Memo, Merges, Pretokens, byte_chars, grouped, spec
 
 #: A block's dictionary is closed at so many different groups, or so many groups in all.
@@ -31,14 +31,6 @@ CHARS = 3 << 20
 ROWS = "kind int, block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups binary, number int, key long, mark long, a binary, b binary, pair long, n long"
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit numbers."""
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 class TwoTokenizers:
     """Ids by both tokenizers, and the bytes of their tokens."""
 

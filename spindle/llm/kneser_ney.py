@@ -28,8 +28,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.alignment import mixed
-from spindle.llm.common import remove, scratch_path, sliced, written
+from spindle.llm.common import mixed, remove, scratch_path, sliced, written
 
 MAGIC = 0x4B4E3353
 #: Stands for a row of values that is listed apart.

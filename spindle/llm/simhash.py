@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import sliced, written
+from spindle.llm.common import mixed, sliced, written
 from spindle.llm.components import connected_components, forest
 
 SEED = 42
@@ -382,18 +382,54 @@ def linked_fingerprints(nodes: DataFrame, tau: int = 3, bits: int = 64, recall:
     """``a, b``: links between nodes (``fp, first_id``) at most ``tau`` bits apart, by first_id.
 
     Of the links within a bucket a spanning forest is returned, so that the
-    components are those of all links. Buckets of more than ``BLOCK`` rows are
-    cut into blocks and their pairs of blocks go to different tasks: no task
-    holds more than two blocks of such a bucket.
+    components are those of all links. A bucket of more than ``BLOCK`` rows is
+    split again: fingerprints at most tau bits apart agree in one of tau + 1
+    slices of the bits outside the part, so each row goes to tau + 1 finer
+    buckets, however many rows there are. Where that is not possible, or not enough, buckets are cut into
+    blocks and their pairs of blocks go to different tasks: no task holds more
+    than two blocks of such a bucket.
     """
     n, both = bit_statistics(nodes, bits)
     parts, thresholds = plan(n, both, tau, recall)
-    return _dealt(nodes, parts, thresholds, bits).mapInArrow(_linked(tau, bits), "a long, b long")
+    return _dealt(nodes, parts, thresholds, bits, tau).mapInArrow(_linked(tau, bits), "a long, b long")
 
 
-def _dealt(nodes: DataFrame, parts: list[list[int]], thresholds: list[int], bits: int) -> DataFrame:
-    """The stored rows and probes of ``nodes``, dealt and sorted by bucket and pair of blocks."""
+def _finer(parts: list[list[int]], bits: int, tau: int):
+    """mapInArrow function: rows of full buckets in a finer one for each of tau + 1 slices of the bits outside the bucket's part."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own = _bits(_words(batch.column(3), bits)).astype(np.uint64) if batch.num_rows else None
+            for k in np.unique(part).tolist():
+                at = np.flatnonzero(part == k)
+                rest = [j for j in range(bits) if j not in parts[k]]
+                some = batch.take(pa.array(at))
+                for i in range(tau + 1):
+                    # buckets whose hashes meet are one, which costs comparisons and loses nothing
+                    value = np.full(len(at), i, np.uint64) + mixed(key[at].view(np.uint64))
+                    for j in range(0, len(cut := rest[i :: tau + 1]), 63):
+                        value = mixed(value + own[np.ix_(at, cut[j : j + 63])] @ (np.uint64(1) << np.arange(len(cut[j : j + 63]), dtype=np.uint64)))
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(value.view(np.int64)), *some.columns[2:]], some.schema)
+
+    return of
+
+
+def _refined(rows: DataFrame, parts: list[list[int]], bits: int, tau: int) -> DataFrame:
+    """``rows`` with those of full buckets in finer ones."""
+    counts = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    large = written(counts.select("part", "key"), "full-buckets")
+    if large.isEmpty():
+        return rows
+    full = rows.join(large, ["part", "key"], "left_semi").select("part", "key", "role", "fp", "first_id")
+    return rows.join(large, ["part", "key"], "left_anti").select(*full.columns).unionByName(full.mapInArrow(_finer(parts, bits, tau), full.schema))
+
+
+def _dealt(nodes: DataFrame, parts: list[list[int]], thresholds: list[int], bits: int, tau: int | None = None) -> DataFrame:
+    """The stored rows and probes of ``nodes``, dealt and sorted by bucket and pair of blocks; ``tau``: no pair farther apart matters."""
     rows = nodes.select("fp", "first_id").mapInArrow(_probe_rows(parts, thresholds, bits), "part int, key long, role int, fp binary, first_id long")
+    if tau is not None and tau < bits // 8:
+        rows = _refined(rows, parts, bits, tau)
     counts = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = written(counts, "buckets")
     if large.isEmpty():

@@ -273,3 +273,31 @@ def test_united_runs():
     first, last, owner = suffix_dedup._united(a, b, ends)
     assert list(zip(first.tolist(), last.tolist(), owner.tolist())) == [(2, 6, 0), (7, 10, 0), (10, 15, 2), (20, 25, 2)]
     assert all(len(x) == 0 for x in suffix_dedup._united(a[:0], b[:0], ends))
+
+
+def test_a_full_bucket_of_different_fingerprints_is_not_copied_with_its_size(spark):
+    """20,000 fingerprints that share their first bits: rows dealt stay a few times their number, and no link is lost."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 44, 20_000, dtype=np.uint64)  # 20 bits are 0 in all
+    fps[10_000:10_300] = fps[:300] ^ (np.uint64(1) << rng.integers(0, 44, 300, dtype=np.uint64)) ^ (np.uint64(1) << np.uint64(50))
+    rows = [(f.tobytes(), i) for i, f in enumerate(np.unique(fps))]
+    nodes = spark.createDataFrame(rows, "fp binary, first_id long").repartition(4)
+    n, both = simhash.bit_statistics(nodes, 64)
+    parts, thresholds = [list(range(44, 64)), list(range(44))], [1, 1]
+    dealt = simhash._dealt(nodes, parts, thresholds, 64, 3)
+    stored = sum(t >= 0 for t in thresholds) + sum(len(p) for p in parts)
+    # every row and its 64 probes, four finer buckets for those in full ones, and no factor for blocks
+    assert dealt.count() <= 4 * (stored + 1) * len(rows)
+    found = {(min(r), max(r)) for r in dealt.mapInArrow(simhash._linked(3, 64), "a long, b long").distinct().collect()}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        parent[root(a)] = root(b)
+    where = {int(np.frombuffer(f, np.uint64)[0]): i for f, i in rows}
+    pairs = [(where[int(fps[i])], where[int(fps[10_000 + i])]) for i in range(300)]
+    assert all(root(a) == root(b) for a, b in pairs)
