@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindle.operators.negative_binomial import negative_binomial_test, size_factors
 from spindle.operators.normalise import expressed, log_quantile, tmm, tmm_factors
 from spindle.operators.statistics import mann_whitney_p, over_representation
 from spindle.plans.cohorts import NORMAL_P
@@ -97,3 +98,16 @@ def x12_bonferroni(spark, d):
     genes, sets = _lists(spark, d)
     out = over_representation(genes, sets, background=20_000, by=("direction",), correction="bonferroni")
     return out.select(*COLUMNS, F.round("pvalue", 8).alias("pvalue"), F.round("padj", 6).alias("padj"))
+
+
+@query("X04_size_factors", sql("expr", """, one AS (SELECT * FROM expr WHERE count > 0), n AS (SELECT count(DISTINCT sample) AS n FROM expr), g AS (SELECT gene, sum(ln(count)) / (SELECT n FROM n) AS m, count(*) = (SELECT n FROM n) AS whole FROM one GROUP BY gene),
+  u AS (SELECT * FROM g WHERE whole OR NOT (SELECT bool_or(whole) FROM g)), l AS (SELECT sample, median(ln(count) - m) AS log FROM one JOIN u USING (gene) GROUP BY sample)
+  SELECT sample, round(exp(CASE WHEN (SELECT bool_or(whole) FROM g) THEN log ELSE log - avg(log) OVER () END), 8) AS factor FROM l"""))
+def x04_size_factors(spark, d):
+    return size_factors(expression(spark, d)).select("sample", F.round("factor", 8).alias("factor"))
+
+
+@query("X04_negative_binomial")
+def x04(spark, d):
+    """Maximum-likelihood dispersions and Wald tests of all genes; tested against a plain-Python likelihood."""
+    return negative_binomial_test(expression(spark, d))
