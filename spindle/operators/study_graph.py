@@ -23,8 +23,6 @@ PROPERTIES = {
     "datePublished": ("Thing", "Date"), "author": ("Dataset", "Person"), "funding": ("Thing", "MonetaryGrant"), "funder": ("MonetaryGrant", "Organization"),
     "healthCondition": ("Dataset", "DefinedTerm"), "species": ("Dataset", "DefinedTerm"), "infectiousAgent": ("Dataset", "DefinedTerm"),
 }
-#: Record fields that are no properties of the graph.
-DROPPED = ("pmid", "displayName", "originalName", "curatedBy", "isCurated", "classification", "commonName")
 
 
 def taxon_of(organism: Column | str) -> Column:

@@ -57,10 +57,9 @@ def c08(spark, d):
   FROM a u JOIN a w ON u.gene = w.gene WHERE u.log2fc > 0 AND w.log2fc < 0 ORDER BY u.log2fc - w.log2fc DESC, u.gene, experiment_up, experiment_down, adj_p_up, adj_p_down LIMIT 200"""))
 def c10(spark, d):
     rows = associations(spark, d)
-    # a pair among the first 200 has one of its gene's first 200 rows on each side
-    best = lambda where, fold: rows.where(where).withColumn("i", F.row_number().over(Window.partitionBy("gene").orderBy(fold, "experiment", "adj_p"))).where("i <= 200")
-    side = lambda name, where: best(where, F.desc("log2fc") if name == "up" else F.asc("log2fc")).select("gene", "symbol", F.col("experiment").alias(f"experiment_{name}"), F.col("log2fc").alias(f"log2fc_{name}"), F.col("adj_p").alias(f"adj_p_{name}"))
-    out = side("up", "log2fc > 0").join(side("down", "log2fc < 0").drop("symbol"), "gene")
+    # a pair of the i-th and the j-th row of a gene has i j - 1 better pairs in that gene alone
+    side = lambda name, fold: rows.where(f"log2fc {'>' if name == 'up' else '<'} 0").withColumn(f"i_{name}", F.row_number().over(Window.partitionBy("gene").orderBy(fold, "experiment", "adj_p"))).where(f"i_{name} <= 200").select("gene", "symbol", *(F.col(c).alias(f"{c}_{name}") for c in ("experiment", "log2fc", "adj_p")), f"i_{name}")
+    out = side("up", F.desc("log2fc")).join(side("down", F.asc("log2fc")).drop("symbol"), "gene").where("i_up * i_down <= 200").drop("i_up", "i_down")
     order = [F.desc(F.col("log2fc_up") - F.col("log2fc_down")), "gene", "experiment_up", "experiment_down", "adj_p_up", "adj_p_down"]
     return out.orderBy(*order).limit(200)
 
@@ -232,3 +231,14 @@ def e11(spark, d):
     facts = reified(rows, "contrast", "gene", ["log2fc", "adj_p"])
     back = facts.where(F.col("p") == "subject")
     return facts.agg(F.count("*").alias("n")).join(back.agg(F.countDistinct("o").alias("contrasts")), how="cross")
+
+
+@query("E11_reified_triples", sql("assoc", " SELECT contrast, gene::VARCHAR AS gene, log2fc::DOUBLE AS log2fc, adj_p::DOUBLE AS adj_p, 4::BIGINT AS facts, 1::BIGINT AS nodes FROM (SELECT DISTINCT contrast, gene, log2fc, adj_p FROM assoc WHERE log2fc > 0)"))
+def e11_triples(spark, d):
+    """Each association's node with all that its triples say, and how many nodes say the same."""
+    from spindle.operators.etl import reified
+
+    rows = associations(spark, d).where("log2fc > 0").select("contrast", "gene", "log2fc", "adj_p").distinct()
+    of = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
+    nodes = reified(rows, "contrast", "gene", ["log2fc", "adj_p"]).groupBy("s").agg(of("subject").alias("contrast"), of("object").alias("gene"), of("log2fc").cast("double").alias("log2fc"), of("adj_p").cast("double").alias("adj_p"), F.count("*").alias("facts"))
+    return nodes.groupBy("contrast", "gene", "log2fc", "adj_p", "facts").agg(F.count("*").alias("nodes"))

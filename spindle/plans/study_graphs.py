@@ -130,6 +130,50 @@ def b08(spark, d):
     return kinds.groupBy(F.substring_index("o", "/", -1).alias("kind")).agg(F.countDistinct("s").alias("n"))
 
 
+def resolved(triples):
+    """Triples with an association's node written as its ends and metrics, so that they can be held against others row by row."""
+    name = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
+    ends = [name(REL + x) for x in ("subject", "predicate", "object")] + [name(SCHEMA + m) for m in ("log2fc", "adj_p", "p_adj", "size")]
+    names = triples.groupBy("s").agg(F.concat_ws("|", *ends).alias("name"), F.max(F.col("o") == REL + "Association").alias("association")).where("association")
+    return triples.join(names.select("s", "name"), "s", "left").select(F.coalesce("name", "s").alias("s"), "p", "o", "iri")
+
+
+def _facts(source: str, metrics: dict[str, str], key: str) -> str:
+    """SQL of the triples of associations ``source(a, r, b, metrics)``."""
+    names = [TYPE, REL + "subject", REL + "predicate", REL + "object", *(SCHEMA + m for m in metrics)]
+    values = [f"'{REL}Association'", "a", "r", "b", *metrics.values()]
+    kinds = ["true"] * 4 + ["false"] * len(metrics)
+    listed = lambda x: "unnest([" + ", ".join(x) + "])"
+    return f"SELECT {key} AS s, {listed(f"'{n}'" for n in names)} AS p, {listed(values)} AS o, {listed(kinds)} AS iri FROM {source}"
+
+
+EXPRESSED = f"""x AS (SELECT DISTINCT '{NODE}assay/' || study || '-' || supp AS a, '{NODE}gene/' || gene AS b, '{REL}' || CASE WHEN log2fc > 0 THEN 'UPREGULATES' ELSE 'DOWNREGULATES' END AS r, log2fc::VARCHAR AS lfc, adj_p::VARCHAR AS p FROM strong)"""
+ENRICHED = f"""y AS (SELECT '{NODE}assay/' || study || '-' || supp AS a, '{NODE}term/' || lower(label) AS b, '{REL}ENRICHED_IN' AS r, min(adj_p)::VARCHAR AS p, count(DISTINCT gene)::VARCHAR AS size FROM strong GROUP BY study, supp, label)"""
+EXPRESSION_FACTS = _facts("x", {"log2fc": "lfc", "adj_p": "p", "method": "'limma'"}, "concat_ws('|', a, r, b, lfc, p)") + f" UNION SELECT '{NODE}gene/' || gene, unnest(['{TYPE}', '{SCHEMA}symbol']), unnest(['{REL}Gene', symbol]), unnest([true, false]) FROM strong"
+ENRICHMENT_FACTS = _facts("y", {"p_adj": "p", "size": "size", "source": "'go'"}, "concat_ws('|', a, r, b, p, size)") + f" UNION SELECT '{NODE}term/' || lower(label), unnest(['{TYPE}', '{SCHEMA}name']), unnest(['{REL}Term', label]), unnest([true, false]) FROM strong"
+
+
+@query("E13_expression_triples", sql("assoc", f", {STRONG}, {EXPRESSED} {EXPRESSION_FACTS}"))
+def e13_triples(spark, d):
+    return resolved(expression_part(spark, d))
+
+
+@query("E12_enrichment_triples", sql("assoc", f", {STRONG}, {ENRICHED} {ENRICHMENT_FACTS}"))
+def e12_triples(spark, d):
+    return resolved(enrichment_part(spark, d))
+
+
+@query("B08_study_triples", sql("assoc", f""", {STUDIES}, {STRONG}, {EXPRESSED}, {ENRICHED}, c AS (SELECT DISTINCT study, k, c_mktsegment AS v FROM customer JOIN st ON c_nationkey = k), a AS (SELECT study, s_suppkey, s_name, '{NODE}assay/' || study || '-' || s_suppkey AS s FROM supplier JOIN st ON s_nationkey = k)
+  {EXPRESSION_FACTS} UNION {ENRICHMENT_FACTS}
+  UNION SELECT '{NODE}study/' || study, unnest(['{TYPE}', '{SCHEMA}name', '{SCHEMA}title', '{SCHEMA}description']), unnest(['{REL}Study', study, title, description]), unnest([true, false, false, false]) FROM st
+  UNION SELECT '{NODE}taxon/' || taxon, unnest(['{TYPE}', '{SCHEMA}identifier']), unnest(['{REL}OrganismTaxon', taxon]), unnest([true, false]) FROM st WHERE taxon IS NOT NULL UNION SELECT '{NODE}study/' || study, '{REL}IN_TAXON', '{NODE}taxon/' || taxon, true FROM st WHERE taxon IS NOT NULL
+  UNION SELECT '{NODE}attribute/' || lower(v), unnest(['{TYPE}', '{SCHEMA}name']), unnest(['{REL}Attribute', v]), unnest([true, false]) FROM c UNION SELECT '{NODE}study/' || study, unnest(['{REL}HAS_ATTRIBUTE', '{REL}STUDIES']), unnest(['{NODE}attribute/' || lower(v), '{MONDO}' || lpad(k::VARCHAR, 7, '0')]), true FROM c
+  UNION SELECT s, unnest(['{TYPE}', '{SCHEMA}name']), unnest(['{REL}Assay', s_name]), unnest([true, false]) FROM a UNION SELECT '{NODE}study/' || study, '{REL}HAS_OUTPUT', s, true FROM a"""))
+def b08_triples(spark, d):
+    """All triples of the graph."""
+    return resolved(g.graph(study_nodes(spark, d), taxon_part(spark, d), attribute_part(spark, d), assay_part(spark, d), expression_part(spark, d), enrichment_part(spark, d)))
+
+
 @query("E05_axioms", "SELECT * FROM (VALUES ('Class', 9::BIGINT), ('Property', 12), ('domain', 12), ('range', 12)) t(kind, n)")
 def e05(spark, d):
     rows = g.axioms(spark)
@@ -140,7 +184,7 @@ def e05(spark, d):
 @query("E03_property_map", f"SELECT doc_id, '{SCHEMA}' || p AS predicate, v AS value FROM (SELECT doc_id, unnest(['description', 'inLanguage', 'sameAs']) AS p, unnest([text, lang, source]) AS v FROM documents) WHERE v IS NOT NULL")
 def e03(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.explode(F.create_map(F.lit("text"), "text", F.lit("lang"), "lang", F.lit("doi"), "source", F.lit("pmid"), F.col("doc_id").cast("string"), F.lit("other"), F.lit("x"))).alias("key", "value"))
-    mapping = {"text": "description", "lang": "inLanguage", "doi": "sameAs", **dict.fromkeys(g.DROPPED)}
+    mapping = {"text": "description", "lang": "inLanguage", "doi": "sameAs", **dict.fromkeys(("pmid", "curatedBy"))}
     return g.mapped_properties(docs, "key", mapping).where("value is not null").select("doc_id", "predicate", "value")
 
 
