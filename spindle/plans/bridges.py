@@ -228,7 +228,8 @@ def b26(spark, d):
 
 @query("M01_graph_profile", sql("cat", " SELECT resource, count(DISTINCT dataset) AS datasets, count(DISTINCT condition) AS conditions, count(DISTINCT agent) AS agents, count(DISTINCT funder) AS funders FROM cat GROUP BY resource"))
 def m01(spark, d):
-    rows = match(triples(spark, d), [IS_DATASET, has("?dataset", "healthCondition", "?condition"), has("?dataset", "infectiousAgent", "?agent"), has("?dataset", "funding", "?g"), has("?g", "funder", "?funder")])
+    facts = triples(spark, d, only=[RDF_TYPE, "healthCondition", "infectiousAgent", "funding", "funder"])
+    rows = match(facts, [IS_DATASET, has("?dataset", "healthCondition", "?condition"), has("?dataset", "infectiousAgent", "?agent"), has("?dataset", "funding", "?g"), has("?g", "funder", "?funder")])
     resource = F.regexp_extract("dataset", "/dataset/([^/]+)/", 1)
     return rows.groupBy(resource.alias("resource")).agg(F.countDistinct("dataset").alias("datasets"), F.countDistinct("condition").alias("conditions"), F.countDistinct("agent").alias("agents"), F.countDistinct("funder").alias("funders"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindle.functions.lineage import stored
 from spindle.operators.graph import closure, match, neighbourhood, optional
 from spindle.plans.registry import query
 from spindle.sources.views import DATASET, DOI, GRANT, MONDO, RDF_TYPE, ROR, SCHEMA, TAXON, hierarchy, read, sql, triples
@@ -71,7 +72,7 @@ def q08(spark, d):
 
 @query("Q09_infectious_agents", sql("cat", " SELECT agent, agent_name, count(dataset) AS n FROM cat GROUP BY ALL ORDER BY n DESC, agent LIMIT 20"))
 def q09(spark, d):
-    rows = match(triples(spark, d), [IS_DATASET, has("?dataset", "infectiousAgent", "?agent"), has("?agent", "name", "?agent_name")])
+    rows = match(triples(spark, d, only=[RDF_TYPE, "infectiousAgent", "name"]), [IS_DATASET, has("?dataset", "infectiousAgent", "?agent"), has("?agent", "name", "?agent_name")])
     return rows.groupBy("agent", "agent_name").agg(F.count("dataset").alias("n")).orderBy(F.desc("n"), "agent").limit(20)
 
 
@@ -99,7 +100,7 @@ def q12(spark, d):
 
 @query("Q13_datasets_of_a_year", sql("cat", " SELECT DISTINCT dataset, name, modified, published FROM cat WHERE modified LIKE '1997%' OR published LIKE '1997%' ORDER BY modified DESC NULLS LAST, published DESC NULLS LAST, dataset LIMIT 50"))
 def q13(spark, d):
-    t = triples(spark, d)
+    t = triples(spark, d, only=[RDF_TYPE, "name", "dateModified", "datePublished"])
     rows = optional(match(t, [IS_DATASET, NAME]), t, [has("?dataset", "dateModified", "?modified")])
     rows = optional(rows, t, [has("?dataset", "datePublished", "?published")]).where("modified like '1997%' or published like '1997%'")
     order = [F.desc_nulls_last("modified"), F.desc_nulls_last("published"), "dataset"]
@@ -108,7 +109,9 @@ def q13(spark, d):
 
 @query("Q14_funder_condition_species", sql("cat", f" SELECT DISTINCT dataset, name, grant_name FROM cat WHERE condition = '{MONDO}0000008' AND grant_iri IN (SELECT grant_iri FROM cat WHERE funder = '{ROR}machinery') AND regexp_matches(lower(taxon_name), 'europe')"))
 def q14(spark, d):
-    rows = match(triples(spark, d), [
+    # eight patterns read the facts, so they are made once
+    facts = stored(triples(spark, d, only=[RDF_TYPE, "name", "healthCondition", "species", "funding", "funder"]), "facts")
+    rows = match(facts, [
         IS_DATASET, NAME, has("?dataset", "healthCondition", MONDO + "0000008"), has("?dataset", "species", "?taxon"), has("?taxon", "name", "?species"),
         has("?dataset", "funding", "?grant"), has("?grant", "funder", ROR + "machinery"), has("?grant", "name", "?grant_name"),
     ])

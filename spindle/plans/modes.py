@@ -10,7 +10,7 @@ from spindle.operators.statistics import group_summary, log_cpm, welch
 from spindle.plans.catalogue import IS_DATASET, has
 from spindle.plans.cohorts import BY_SERIES
 from spindle.plans.registry import query
-from spindle.sources.views import DATASET, SCHEMA, associations, expression, read, samples, sql, triples
+from spindle.sources.views import RDF_TYPE, DATASET, SCHEMA, associations, expression, read, samples, sql, triples
 
 ROR_ORG = "https://ror.org/org"
 #: Samples with a test pattern and controls without it, all with a tissue filter.
@@ -156,7 +156,7 @@ def p28(spark, d):
 @query("J04_nested_optional", sql("cat", f" SELECT dataset, '{ROR_ORG}' || c_nationkey AS affiliation, 'University of ' || condition_name AS affiliation_name, CASE WHEN o_orderkey % 3 = 0 THEN 'https://doi.org/10.5555/' || o_orderkey END AS doi FROM cat"))
 def j04(spark, d):
     """An inner optional part depends on what the outer one bound."""
-    t = triples(spark, d)
+    t = triples(spark, d, only=[RDF_TYPE, "author", "affiliation", "name", "sameAs"])
     rows = optional(match(t, [IS_DATASET]), t, [has("?dataset", "author", "?person")])
     rows = optional(rows, t, [has("?person", "affiliation", "?affiliation")])
     rows = optional(rows, t, [has("?affiliation", "name", "?affiliation_name")])

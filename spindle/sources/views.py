@@ -8,6 +8,7 @@ Each view selects only what it needs, so that scans stay narrow.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,12 +77,14 @@ def _capital(c: str):
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(F.col(c), F.lit(2), F.length(c))))
 
 
-def triples(spark: SparkSession, sf_dir: str, exploded: bool = False) -> DataFrame:
+def triples(spark: SparkSession, sf_dir: str, exploded: bool = False, only: Sequence[str] = ()) -> DataFrame:
     """The catalogue graph: distinct ``s, p, o, iri`` (iri: the object is one).
 
     A branch for each kind of fact: a filter on the predicate leaves only the
     branches that hold it, each with the columns that it needs. ``exploded``
-    makes all facts of a dataset in one pass, for queries over all predicates.
+    makes all facts of a dataset in one pass, for queries over all predicates;
+    with ``only``, a pass makes the facts of these predicates and no others,
+    for queries that match several patterns.
     """
     d = orders(spark, sf_dir)
     iri = lambda base, *c: F.concat(F.lit(base), *c)
@@ -121,7 +124,10 @@ def triples(spark: SparkSession, sf_dir: str, exploded: bool = False) -> DataFra
         name(technique, F.concat(F.lit("Technique "), F.col("o_orderkey") % 7)),
     ]
     facts = [(a, p if "://" in p else SCHEMA + p, o, kind) for a, p, o, kind in facts]
-    if exploded:
+    if only:
+        wanted = {p if "://" in p else SCHEMA + p for p in only}
+        facts = [f for f in facts if f[1] in wanted]
+    if exploded or only:
         rows = [F.struct(a.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("iri")) for a, p, o, kind in facts]
         return d.select(F.inline(F.array(*rows))).where("o is not null").distinct()
     parts = [d.select(a.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(kind).alias("iri")).where("o is not null") for a, p, o, kind in facts]
