@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindle.operators.analysis import analyse, expanded, ontology_phrases
 from spindle.operators.negative_binomial import negative_binomial_test, size_factors
 from spindle.operators.normalise import expressed, log_quantile, tmm, tmm_factors
 from spindle.operators.statistics import mann_whitney_p, over_representation
 from spindle.plans.cohorts import NORMAL_P
 from spindle.plans.registry import query
-from spindle.sources.views import associations, expression, read, sql
+from spindle.sources.views import associations, expression, hierarchy, read, samples, sql
 
 DENSE = ", dense AS (SELECT g.gene, s.sample, coalesce(count, 0)::BIGINT AS count FROM (SELECT DISTINCT gene FROM expr) g CROSS JOIN (SELECT DISTINCT sample FROM expr) s LEFT JOIN expr ON expr.gene = g.gene AND expr.sample = s.sample)"
 
@@ -111,3 +112,23 @@ def x04_size_factors(spark, d):
 def x04(spark, d):
     """Maximum-likelihood dispersions and Wald tests of all genes; tested against a plain-Python likelihood."""
     return negative_binomial_test(expression(spark, d))
+
+
+#: Counts of 40 genes by sample, and titles that name the disease or a control.
+ANALYSED = sql("samples", """, cnt AS (SELECT l_partkey % 40 AS gene, 'GSM' || (l_orderkey % 200) AS sample, sum(l_quantity)::BIGINT AS count FROM lineitem GROUP BY ALL), bys AS (SELECT DISTINCT sample, title, series FROM (SELECT *, trim(unnest(string_split(series_id, ','))) AS series FROM samples) WHERE starts_with(series, 'GSE')),
+  t AS (SELECT DISTINCT sample FROM samples WHERE contains(' ' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) || ' ', ' of the ')), coh AS (SELECT DISTINCT sample, series, CASE WHEN sample IN (SELECT sample FROM t) THEN 'test' ELSE 'control' END AS grp FROM bys WHERE sample IN (SELECT sample FROM t) OR contains(lower(title), 'e')),
+  near AS (SELECT series FROM coh WHERE grp = 'test'), rows AS (SELECT DISTINCT sample, grp FROM coh WHERE series IN (SELECT series FROM near)), l AS (SELECT sample, sum(count) AS library FROM cnt WHERE sample IN (SELECT sample FROM rows) GROUP BY sample HAVING sum(count) > 0),
+  v AS (SELECT gene, grp, log2(count / library * 1e6 + 1) AS value FROM cnt JOIN rows USING (sample) JOIN l USING (sample)), r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY value) AS k, count(*) OVER (PARTITION BY gene, value) AS ties FROM v),
+  s AS (SELECT gene, avg(value) FILTER (WHERE grp = 'test') - avg(value) FILTER (WHERE grp = 'control') AS log2fc, sum(k + (ties - 1) / 2.0) FILTER (WHERE grp = 'test') - count(*) FILTER (WHERE grp = 'test') * (count(*) FILTER (WHERE grp = 'test') + 1) / 2 AS u, count(*) FILTER (WHERE grp = 'test') AS n_test, count(*) FILTER (WHERE grp = 'control') AS n_control, sum(ties * ties - 1) AS tie FROM r GROUP BY gene HAVING n_test > 8 AND n_control > 8),
+  z AS (SELECT *, sign(u - n_test * n_control / 2) * greatest(abs(u - n_test * n_control / 2) - 0.5, 0) / sqrt(n_test * n_control / 12 * ((n_test + n_control + 1) - tie / ((n_test + n_control) * (n_test + n_control - 1)))) AS z FROM s)""")
+
+
+@query("B12_analysis_by_mode", ANALYSED + f" SELECT '2 keyword' AS strategy, 'study-prioritised' AS mode, gene, n_test, n_control, round(log2fc, 8) + 0.0 AS log2fc, round({NORMAL_P.replace('@', 'z')}, 7) + 0.0 AS pvalue FROM z")
+def b12_by_mode(spark, d):
+    """The terms of the ontology are in no title, so keywords find the tests; too few studies are asked to match, so tests meet the controls of their studies."""
+    counts = read(spark, d, "lineitem").groupBy((F.col("l_partkey") % 40).alias("gene"), F.concat(F.lit("GSM"), F.col("l_orderkey") % 200).alias("sample")).agg(F.sum("l_quantity").cast("long").alias("count"))
+    labels = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("term "), "p_partkey").alias("label"))
+    terms = ontology_phrases("term 2", labels, hierarchy(spark, d)).withColumn("strategy", F.lit("1 ontology"))
+    words = spark.createDataFrame([("2 keyword", p) for p in expanded("of the", {"of the": ["of the"]})], "strategy string, phrase string")
+    out = analyse(samples(spark, d), counts, terms.select("strategy", "phrase").unionByName(words), F.lower("title").contains("e"), least=100_000)
+    return out.where("n_test > 8 and n_control > 8").select("strategy", "mode", "gene", "n_test", "n_control", (F.round("log2fc", 8) + 0.0).alias("log2fc"), (F.round("pvalue", 7) + 0.0).alias("pvalue"))
