@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +42,21 @@ def scored_terms(terms: DataFrame, phrase: str, most: int) -> DataFrame:
         F.abs(F.length("label") - len(phrase)), F.desc(F.length("label")), F.col("id"),
     ]
     return rows.orderBy(*order).limit(most)
+
+
+def facets(rows: DataFrame, fields: Sequence[str], most: int = 15, where: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``field, value, n, rank``: the ``most`` frequent values of each field (ties by value) among rows that pass the filters.
+
+    ``where`` maps a field to the values wanted; a facet is not narrowed by its
+    own filter, so that the other values of a chosen field stay to be seen.
+    Nulls are no values.
+    """
+    where = where or {}
+    cells = []
+    for f in fields:
+        others = [F.col(g).isin(*v) for g, v in where.items() if g != f]
+        keep = reduce(lambda a, b: a & b, others, F.lit(True))
+        cells.append(F.when(keep & F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))))
+    each = rows.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).groupBy("c.field", "c.value").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators.cohort import classified, phrase_match, search, series, study_pairs, tokens
-from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_of_groups, mann_whitney_p, over_representation, quantile_normalised, rank_p, welch
+from spindle.operators.normalise import dense
+from spindle.operators.statistics import benjamini_hochberg, group_summary, log_cpm, mann_whitney, mann_whitney_of_groups, mann_whitney_p, medians, over_representation, quantile_normalised, rank_p, welch
 from spindle.plans.registry import query
 from spindle.sources.views import cells, expression, read, samples, sql
 
@@ -190,10 +191,10 @@ def x12(spark, d):
 @query("G22_cell_type_statistics", sql("cells", " SELECT cell_type, count(*) AS n, round(avg(value), 8) AS mean, median(value) AS median, round(stddev_pop(value), 8) AS std, round(100.0 * count(*) FILTER (WHERE value > 0) / count(*), 8) AS percent FROM cells GROUP BY cell_type HAVING count(*) >= 10"))
 def g22(spark, d):
     out = cells(spark, d).groupBy("cell_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.median("value").alias("median"), F.round(F.stddev_pop("value"), 8).alias("std"),
+        F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_pop("value"), 8).alias("std"),
         F.round(F.lit(100.0) * F.count_if(F.col("value") > 0) / F.count("*"), 8).alias("percent"),
     )
-    return out.where("n >= 10")
+    return out.where("n >= 10").join(medians(cells(spark, d), ["cell_type"]), "cell_type")
 
 
 #: P(|Z| >= |@|): the error function as a series without cancellation, its terms from the logarithm of the gamma function.
@@ -240,12 +241,7 @@ def g27(spark, d):
 
 @query("J17_sparse_to_dense", sql("expr", ", g AS (SELECT DISTINCT gene FROM expr), s AS (SELECT DISTINCT sample FROM expr) SELECT g.gene, s.sample, coalesce(count, 0)::BIGINT AS count FROM g CROSS JOIN s LEFT JOIN expr ON expr.gene = g.gene AND expr.sample = s.sample"))
 def j17(spark, d):
-    rows = expression(spark, d)
-    genes = rows.select("gene").distinct()
-    # the samples are listed once and repeated for each gene, as the dense result asks for
-    wanted = rows.agg(F.sort_array(F.collect_set("sample")).alias("all"))
-    grid = genes.join(F.broadcast(wanted), how="cross").select("gene", F.explode("all").alias("sample"))
-    return grid.join(rows.select("gene", "sample", "count"), ["gene", "sample"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    return dense(expression(spark, d))
 
 
 @query("J22_merge_matrices", sql("expr", ", a AS (SELECT gene, sum(count)::BIGINT AS left_count FROM expr WHERE sample % 2 = 0 GROUP BY gene), b AS (SELECT gene, sum(count)::BIGINT AS right_count FROM expr WHERE sample % 2 = 1 GROUP BY gene) SELECT coalesce(a.gene, b.gene) AS gene, left_count, right_count FROM a FULL JOIN b ON a.gene = b.gene"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindle.operators.etl import clean_iri, curie_to_iri, literal_type, n_triples, parse_n_triples, slug, turtle_blocks
-from spindle.operators.ranking import label_rank, scored_terms
+from spindle.operators.ranking import facets, label_rank, scored_terms
 from spindle.operators.segments import prefix_segments
 from spindle.plans.registry import query
 from spindle.sources.views import SCHEMA, read, sql, triples
@@ -173,6 +173,14 @@ def b19(spark, d):
     return read(spark, d, "documents").where(F.col("lang").isin("de", "fr")).groupBy("lang", "source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang", "source").limit(15)
 
 
+@query("B19_facets_by_field", """WITH f AS (SELECT 'lang' AS field, lang AS value FROM documents WHERE source IN ('web', 'news', 'forum') UNION ALL SELECT 'source', source FROM documents WHERE lang IN ('de', 'fr') UNION ALL SELECT 'size', (n_chars // 1000)::VARCHAR FROM documents WHERE lang IN ('de', 'fr') AND source IN ('web', 'news', 'forum'))
+  SELECT * FROM (SELECT field, value, n, row_number() OVER (PARTITION BY field ORDER BY n DESC, value)::INTEGER AS rank FROM (SELECT field, value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY field, value)) WHERE rank <= 15""")
+def b19_by_field(spark, d):
+    """Facets of two fields under each other's filter, and of one that has none."""
+    docs = read(spark, d, "documents").withColumn("size", F.floor(F.col("n_chars") / 1000))
+    return facets(docs, ["lang", "source", "size"], 15, {"lang": ["de", "fr"], "source": ["web", "news", "forum"]})
+
+
 @query("U06_ordered_union", "WITH e AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, '>' ORDER BY first_id) AS kinds FROM e GROUP BY user_id")
 def u06(spark, d):
     e = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_id"))

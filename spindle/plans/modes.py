@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spindle.functions.lineage import stored
 from spindle.operators.cohort import analysis_mode, directions, matched_cohort, search, series, with_biotype
 from spindle.operators.graph import match, optional
 from spindle.operators.statistics import group_summary, log_cpm, welch
@@ -41,11 +42,18 @@ def b11b(spark, d):
     return matched_cohort(test.unionByName(control), F.col("title"), "idiot", "that", include="idiot", least=1)
 
 
+@query("B11_include_without_controls", sql("samples", BY_SERIES + """, t AS (SELECT sample, series FROM bys WHERE contains(lower(title), 'idiot')), c AS (SELECT sample, series FROM bys WHERE contains(lower(title), 'that') AND NOT contains(lower(title), 'idiot'))
+  SELECT series, n_test, n_control FROM (SELECT series, count(DISTINCT sample) AS n_test FROM t GROUP BY series) JOIN (SELECT series, count(DISTINCT sample) AS n_control FROM c GROUP BY series) USING (series)"""))
+def b11_fallback(spark, d):
+    """The control pattern takes only titles without the included word, so that no control passes the include filter and all of them count."""
+    return matched_cohort(series(samples(spark, d)), F.col("title"), "idiot", r"^(?![\s\S]*idiot)[\s\S]*that", include="idiot", least=1)
+
+
 @query("X11_mode_selection", sql("samples", MATCHED + """, p AS (SELECT count(DISTINCT t.sample) AS n_test, count(DISTINCT c.sample) AS n_control FROM t JOIN c USING (series)), n AS (SELECT least_n, (SELECT count(*) FROM pairs) AS n_studies, n_test, n_control FROM p, (SELECT unnest([1, 3, 100000]) AS least_n))
   SELECT least_n, CASE WHEN n_studies >= least_n THEN 'study-matched' WHEN n_test > 0 AND n_control > 0 THEN 'study-prioritised' ELSE 'pooled' END AS mode, n_studies,
   CASE WHEN n_studies >= least_n THEN NULL ELSE 'only ' || n_studies || ' matched studies, needed ' || least_n || CASE WHEN n_test > 0 AND n_control > 0 THEN '' ELSE '; no study has test and control samples' END END AS reason FROM n"""))
 def x11(spark, d):
-    pairs = _pairs(spark, d).cache()
+    pairs = stored(_pairs(spark, d), "pairs")
     rows = series(samples(spark, d)).where(~F.lower("title").rlike("!!"))
     one = matched_cohort(rows, F.col("title"), "idiot|stupid", "that", "the", "!!", least=1)
     pooled = one.agg(F.coalesce(F.sum("n_test"), F.lit(0)).alias("n_test"), F.coalesce(F.sum("n_control"), F.lit(0)).alias("n_control"))

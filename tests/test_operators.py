@@ -13,8 +13,9 @@ from spindle.functions.special import incomplete_beta
 from spindle.operators.cohort import classified, search, series
 from spindle.operators.etl import clean_iri, curie_to_iri, literal_type, n_triples, parse_n_triples, slug
 from spindle.operators.graph import closure, match, optional
+from spindle.operators.ranking import facets
 from spindle.operators.segments import prefix_segments
-from spindle.operators.statistics import benjamini_hochberg, fisher, mann_whitney, over_representation, stouffer, welch
+from spindle.operators.statistics import benjamini_hochberg, fisher, mann_whitney, medians, over_representation, stouffer, welch
 
 
 def test_bgp_joins_and_alternation(spark):
@@ -229,3 +230,24 @@ def test_distribution_functions():
         for k in range(0, min(n, m) + 1):
             exact = sum(math.comb(m, i) * math.comb(t - m, n - i) for i in range(k, min(n, m) + 1)) / math.comb(t, n)
             assert math.isclose(special.hypergeometric(*(np.array([v]) for v in (k, n, m, t)))[0], exact, rel_tol=1e-9)
+
+
+def test_medians_of_groups(spark):
+    from statistics import median
+
+    rng = random.Random(9)
+    rows = [("a", float(rng.randint(0, 9))) for _ in range(101)] + [("b", rng.random()) for _ in range(100)] + [("c", 2.0)] * 6 + [("d", 1.5), ("e", None), ("f", -3.0), ("f", 1e9)]
+    for parts in (1, 7, 1024):
+        got = {r.g: r.median for r in medians(spark.createDataFrame(rows, "g string, value double"), ["g"], parts).collect()}
+        assert got == {g: pytest.approx(median([v for h, v in rows if h == g and v is not None])) for g in "abcdf"}
+    assert medians(spark.createDataFrame(rows, "g string, value double").limit(0), ["g"]).collect() == []
+
+
+def test_facets_are_not_narrowed_by_their_own_filter(spark):
+    rows = [("x", "1"), ("x", "2"), ("y", "1"), ("y", "1"), (None, "1"), ("z", None), ("z", "3")]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    every = {(r.field, r.value): (r.n, r["rank"]) for r in facets(frame, ["a", "b"]).collect()}
+    assert every == {("a", "x"): (2, 1), ("a", "y"): (2, 2), ("a", "z"): (2, 3), ("b", "1"): (4, 1), ("b", "2"): (1, 2), ("b", "3"): (1, 3)}
+    some = {(r.field, r.value): r.n for r in facets(frame, ["a", "b"], 2, {"b": ["1"]}).collect()}
+    assert some == {("a", "x"): 1, ("a", "y"): 2, ("b", "1"): 4, ("b", "2"): 1}
+    assert facets(frame.limit(0), ["a"]).collect() == []
