@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import scratch_path, table
+from spindle.llm.common import remove, scratch_path, table
 from spindle.llm.packing import packed_documents
 from spindle.llm.quality import quality_scores
 from spindle.llm.queries import WORD_BPE
@@ -87,11 +87,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``; every stage is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage over ``documents``; every stage is written to the shared folder and read again, and removed once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(path := scratch_path(spark, f"stage-{name}"))
             docs = spark.read.schema(docs.schema).parquet(path)
+            if before is not None:
+                remove(spark, before)  # nothing reads the stage before the last any more
+            before = path
     return docs
