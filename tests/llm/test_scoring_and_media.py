@@ -230,3 +230,38 @@ def test_pipeline_rows_are_those_of_brute_force(spark, docs):
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
     library = Tokenizer.from_file(cp.WORD_BPE)
     assert lengths == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in cut}
+
+
+def directories(media: bytes) -> list[dict[int, int]]:
+    """The image directories of a little-endian TIFF: tag -> value (or where the values stand)."""
+    at, out = int.from_bytes(media[4:8], "little"), []
+    while at:
+        n = int.from_bytes(media[at : at + 2], "little")
+        entries = [media[at + 2 + 12 * i : at + 14 + 12 * i] for i in range(n)]
+        wide = {3: 2, 4: 4}
+        out.append({int.from_bytes(e[:2], "little"): int.from_bytes(e[8 : 8 + wide[int.from_bytes(e[2:4], "little")]], "little") for e in entries if int.from_bytes(e[2:4], "little") in wide})
+        at = int.from_bytes(media[at + 2 + 12 * n : at + 6 + 12 * n], "little")
+    return out
+
+
+def test_media_columns_against_the_stored_bytes(spark, docs, tmp_path):
+    """Size and digest are those of the stored form, the feature is that of its directories and pixels."""
+    from spindle.llm.queries import op1_tiff_media
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    # equal rows have equal values, so a row for each document is enough
+    got = {r.doc_id: r for r in op1_tiff_media(spark, str(tmp_path)).where("doc_id is not null").collect()}
+    stored = {r.doc_id: bytes(r.media) for r in tiff.stored_documents(docs.select("doc_id", "text")).where("doc_id is not null").collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.where("doc_id is not null").collect()}
+    assert got.keys() == stored.keys()
+    by_text = {}
+    for doc_id, media in stored.items():
+        r, pages = got[doc_id], directories(media)
+        assert (r.media_bytes, r.media_sha256, r.n_pages) == (len(media), hashlib.sha256(media).hexdigest(), len(pages))
+        data = texts[doc_id].encode()
+        payload = data + b"\xff" * (r.payload_bytes - len(data))
+        first = pages[0]
+        parts = r.feature.split(";")
+        assert parts[:6] == [str(len(pages)), str(first[256]), str(sum(p[257] for p in pages)), str(first[259]), str(first.get(317, 1)), str(int(322 in first))]
+        assert float(parts[6]) == pytest.approx(sum(payload) / len(payload), abs=2e-6)
+        assert by_text.setdefault(texts[doc_id], (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
