@@ -58,7 +58,8 @@ class TwoTokenizers:
         for k, t in enumerate(texts):
             whole = b" " + t.encode("utf-8") if t else b""
             own = ids_b[k]
-            if not t or b"".join(map(self.bytes_b.__getitem__, own)) != whole or b"".join(map(self.bytes_a.__getitem__, ids_a[k].tolist())) != whole:
+            if not t or b"".join(map(self.bytes_b.__getitem__, own)) != whole or self.sizes_a[ids_a[k]].sum() != len(whole):
+                # a's tokens are runs of the text's own bytes in their order, so none is lost where the length is right
                 ids_a[k] = none
                 own = ()
             out_b.append(np.array(own, np.uint32) if len(own) else none)
