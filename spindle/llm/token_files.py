@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.llm.common import scratch_path, sliced, text_bytes
+from spindle.llm.common import scratch_path, sliced, text_bytes, written
 from spindle.llm.tokens import text_encoder
 
 MAGIC = b"PFORIDS1"
@@ -130,8 +130,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     (null first, equal doc_ids by text). A null text is empty and has just
     ``end_id``; no documents, no files. ``start`` counts the ids of all files
     before. A file is written under another name and then renamed, so a task
-    that runs twice leaves the same files. Only the file list (a row for about
-    ``ids_per_file`` ids) comes to the driver.
+    that runs twice leaves the same files. The list is a table with a row for
+    about ``ids_per_file`` ids; nothing comes to the driver.
     """
     tasks = max(8, -(-text_bytes(docs) // bytes_per_task))
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -152,8 +152,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             store.create_dir(folder)
             with store.open_output_stream(f"{folder}/.{name}.{task.taskAttemptId()}") as f:
                 f.write(encode_file(np.array(doc_ids, np.int64), np.array(lengths, np.int64), np.frombuffer(b"".join(chunks), "<u4")))
+            if store.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
+                store.delete_file(f"{folder}/{name}")  # an earlier run of this task left the same file
             store.move(f"{folder}/.{name}.{task.taskAttemptId()}", f"{folder}/{name}")
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64())], ["file", "n_docs", "n_ids"])
+            row = pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64())], ["task", "file", "n_docs", "n_ids"])
             for x in (doc_ids, lengths, chunks):
                 x.clear()
             held, written = 0, written + 1
@@ -172,12 +174,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         if doc_ids:
             yield flush()
 
-    files = sorted(dealt.mapInArrow(of, "file string, n_docs long, n_ids long").collect())
-    rows, start = [], 0
-    for f in files:
-        rows.append((f.file, f.n_docs, f.n_ids, start))
-        start += f.n_ids
-    return docs.sparkSession.createDataFrame(rows, "file string, n_docs long, n_ids long, start long")
+    files = written(dealt.mapInArrow(of, "task int, file string, n_docs long, n_ids long"), "token-file-list")
+    sums = files.groupBy("task").agg(F.sum("n_ids").alias("all"))
+    # a row for each task
+    sums = sums.withColumn("before", F.coalesce(F.sum("all").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inner = F.sum("n_ids").over(Window.partitionBy("task").orderBy("file")) - F.col("n_ids")
+    return files.withColumn("inner", inner).join(sums.select("task", "before"), "task").select("file", "n_docs", "n_ids", (F.col("before") + F.col("inner")).alias("start"))
 
 
 def read_token_files(files: DataFrame, path: str) -> DataFrame:
