@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from spindle.plans import archive, atlas, bridges, catalogue, cohorts, etl, expression, graph_files, harvests, indexed, introspection, modes, record_graphs, registry, resolution, study_graphs  # noqa: F401
+from spindle.plans import archive, atlas, bridges, catalogue, cohorts, etl, expression, graph_files, harvests, indexed, introspection, modes, patterns, record_graphs, registry, resolution, study_graphs  # noqa: F401
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
