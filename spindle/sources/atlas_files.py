@@ -99,7 +99,8 @@ def contrasts(config: DataFrame) -> DataFrame:
 def contrast_factors(contrast_rows: DataFrame, groups: DataFrame, sdrf: DataFrame) -> DataFrame:
     """``experiment, contrast, side, name, value``: factors of the samples of both groups of a contrast."""
     side = F.explode(F.array(F.struct(F.lit("reference").alias("side"), F.col("reference_group").alias("group_id")), F.struct(F.lit("test").alias("side"), F.col("test_group").alias("group_id"))))
-    ends = contrast_rows.select("experiment", "contrast", side.alias("x")).select("experiment", "contrast", "x.side", "x.group_id")
+    # an experiment names a contrast once for each array design, and its groups hold the samples of all designs
+    ends = contrast_rows.select("experiment", "contrast", side.alias("x")).select("experiment", "contrast", "x.side", "x.group_id").distinct()
     samples = ends.join(groups.select("experiment", "group_id", "sample"), ["experiment", "group_id"])
     factors = sdrf.where("kind = 'factor'").select(F.col("accession").alias("experiment"), "sample", "name", "value")
     return samples.join(factors, ["experiment", "sample"]).select("experiment", "contrast", "side", "name", "value").distinct()

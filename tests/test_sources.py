@@ -41,6 +41,18 @@ def test_archive_files(spark, tmp_path):
     assert terms["GO:2"].p_adj is None
 
 
+def test_factors_of_a_contrast_in_many_designs_are_joined_once(spark):
+    """A contrast that each of 40 designs names meets the samples of all of them once, not 40 times."""
+    contrasts = spark.range(40).selectExpr("'E-A-1' AS experiment", "'A-' || id AS array_design", "'g1_g2' AS contrast", "'x' AS name", "'g1' AS reference_group", "'g2' AS test_group")
+    groups = spark.range(400).selectExpr("'E-A-1' AS experiment", "'A-' || id % 40 AS array_design", "'g' || (1 + id % 2) AS group_id", "'S' || id AS sample")
+    sdrf = spark.range(400).selectExpr("'E-A-1' AS accession", "'S' || id AS sample", "'factor' AS kind", "'disease' AS name", "'v' || id % 4 AS value")
+    out = atlas.contrast_factors(contrasts, groups, sdrf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.side, r.value) for r in out.collect()) == [("reference", "v0"), ("reference", "v2"), ("test", "v1"), ("test", "v3")]
+    # the ends of a contrast are distinct before the samples are joined
+    assert plan.count("Aggregate") == 2
+
+
 def test_records_to_triples(spark, tmp_path):
     lines = [
         {"_id": "a b", "name": "One", "healthCondition": {"name": "flu", "url": "http://x/MONDO_1"}, "species": [{"name": "Homo sapiens", "identifier": "https://t/9606"}, "mouse"],
