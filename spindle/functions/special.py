@@ -157,20 +157,26 @@ def hypergeometric(k: np.ndarray, drawn: np.ndarray, marked: np.ndarray, total:
     """P(X >= k) when ``drawn`` of ``total`` are drawn and ``marked`` of them are marked."""
     k, n, m, t = (np.asarray(v, np.float64) for v in (k, drawn, marked, total))
     least, most = np.maximum(0.0, n - (t - m)), np.minimum(n, m)
-    i = np.maximum(k, least)
+    # at or below the peak the terms under k are summed, downwards from the largest, as the first term from k on may be too small for a double
+    peak = np.floor((n + 1) * (m + 1) / (t + 2))
+    below = (k > least) & (k <= np.minimum(peak, most))
+    i = np.where(below, k - 1, np.maximum(k, least))
     some = i <= most
     choose = lambda a, b: log_gamma(a + 1) - log_gamma(b + 1) - log_gamma(a - b + 1)
     at = np.where(some, i, least)
     term = np.where(some, np.exp(choose(m, at) + choose(t - m, n - at) - choose(t, n)), 0.0)
     out, live = term.copy(), np.flatnonzero(some)
-    peak = (n + 1) * (m + 1) / (t + 2)
+    live = live[np.where(below[live], at[live] > least[live], at[live] < most[live])]
     while len(live):
-        j = at[live]
-        term[live] *= (m[live] - j) * (n[live] - j) / ((j + 1) * (t[live] - m[live] - n[live] + j + 1))
+        down = below[live]
+        # the ratio of the terms at j + 1 and j
+        j = at[live] - down
+        ratio = (m[live] - j) * (n[live] - j) / ((j + 1) * (t[live] - m[live] - n[live] + j + 1))
+        term[live] *= np.where(down, 1 / ratio, ratio)
         out[live] += term[live]
-        at[live] += 1
-        live = live[(at[live] < most[live]) & ((at[live] < peak[live]) | (term[live] > out[live] * 1e-18))]
-    return np.where(k <= least, 1.0, np.minimum(out, 1.0))
+        at[live] += np.where(down, -1, 1)
+        live = live[np.where(down, at[live] > least[live], at[live] < most[live]) & (term[live] > out[live] * 1e-18)]
+    return np.where(k <= least, 1.0, np.clip(np.where(below, 1 - out, out), 0.0, 1.0))
 
 
 @F.pandas_udf(DoubleType())

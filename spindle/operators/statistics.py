@@ -9,6 +9,12 @@ from spindle.functions.lineage import stored
 from spindle.functions.special import TINY, exact_rank_two_sided, hypergeometric_tail, normal_quantile, normal_two_sided, student_two_sided
 
 
+def decimal_mean(value: str, places: int = 6):
+    """The mean of doubles that are rounded to ``places`` decimal places: summed exactly, so that the order of the rows does not show."""
+    unit = 10.0**places
+    return F.sum(F.rint(F.col(value) * unit).cast("long")) / unit / F.count(value)
+
+
 #: p-values are cut at the fourth powers of multiples of 1/256: no part holds over 1.6 % of evenly spread values.
 PARTS = 256
 

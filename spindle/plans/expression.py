@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spindle.operators.analysis import analyse, expanded, ontology_phrases
 from spindle.operators.negative_binomial import negative_binomial_test, size_factors
 from spindle.operators.normalise import expressed, log_quantile, tmm, tmm_factors
-from spindle.operators.statistics import mann_whitney_p, over_representation
+from spindle.operators.statistics import decimal_mean, mann_whitney_p, over_representation
 from spindle.plans.cohorts import NORMAL_P
 from spindle.plans.registry import query
 from spindle.sources.views import associations, expression, hierarchy, read, samples, sql
@@ -76,7 +76,7 @@ LISTS = sql("assoc", """, up AS (SELECT gene, CASE WHEN avg(log2fc) > 0 THEN 'up
 
 def _lists(spark, d):
     a = associations(spark, d).where((F.abs("log2fc") >= 0.1) & (F.col("adj_p") <= 0.05))
-    means = a.groupBy("gene").agg(F.avg("log2fc").alias("m")).where("m <> 0")
+    means = a.groupBy("gene").agg(decimal_mean("log2fc").alias("m")).where("m <> 0")
     part = read(spark, d, "part")
     kinds = part.select(F.col("p_partkey").alias("gene"), F.col("p_type").alias("term"))
     sets = part.select(F.col("p_partkey").alias("gene"), F.concat_ws(" ", "p_brand", "p_type").alias("term")).unionByName(kinds)

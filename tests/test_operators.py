@@ -232,6 +232,29 @@ def test_distribution_functions():
             assert math.isclose(special.hypergeometric(*(np.array([v]) for v in (k, n, m, t)))[0], exact, rel_tol=1e-9)
 
 
+def test_a_tail_from_far_below_the_peak():
+    import numpy as np
+
+    from spindle.functions import special
+
+    # its first term is too small for a double
+    for k, n, m, t in ((33, 5221, 8100, 20_000), (1, 6000, 9000, 20_000), (2000, 5221, 8100, 20_000), (2300, 5221, 8100, 20_000), (3300, 5221, 8100, 20_000)):
+        total = exact = term = math.comb(m, low := max(0, n - (t - m))) * math.comb(t - m, n - low)
+        exact = term if low >= k else 0
+        for i in range(low, min(n, m)):
+            term = term * (m - i) * (n - i) // ((i + 1) * (t - m - n + i + 1))
+            total, exact = total + term, exact + (term if i + 1 >= k else 0)
+        assert math.isclose(special.hypergeometric(*(np.array([v]) for v in (k, n, m, t)))[0], exact / total, rel_tol=1e-8, abs_tol=1e-300)
+
+
+def test_a_mean_does_not_depend_on_the_order(spark):
+    from spindle.operators.statistics import decimal_mean
+
+    values = [0.1, 0.2, -0.3, 0.7, -0.7]
+    got = {k: spark.createDataFrame([(v,) for v in rows], "v double").coalesce(1).agg(decimal_mean("v")).first()[0] for k, rows in (("up", values), ("down", values[::-1]))}
+    assert got == {"up": 0.0, "down": 0.0}
+
+
 def test_medians_of_groups(spark):
     from statistics import median
 
