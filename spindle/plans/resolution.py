@@ -210,13 +210,14 @@ def b44(spark, d):
 
 @query("K04_gene_table", sql("assoc", ", g AS (SELECT gene, avg(log2fc) AS l, min(adj_p)::DOUBLE AS p FROM assoc GROUP BY gene) SELECT gene, printf('%.2f', round(l, 2)) AS log2fc, CASE WHEN p = 0 THEN 'NA' ELSE printf('%.2e', p) END AS padj FROM g WHERE abs(l * 100 - floor(l * 100) - 0.5) > 0.01"))
 def k04(spark, d):
+    from spindle.operators.statistics import decimal_mean
     from spindle.sources.sinks import gene_table
 
-    g = associations(spark, d).groupBy("gene").agg(F.avg("log2fc").alias("log2fc"), F.min("adj_p").cast("double").alias("padj"))
+    g = associations(spark, d).groupBy("gene").agg(decimal_mean("log2fc").alias("log2fc"), F.min("adj_p").cast("double").alias("padj"))
     # values at the border of two roundings are left to neither side
     g = g.where(F.abs(F.col("log2fc") * 100 - F.floor(F.col("log2fc") * 100) - 0.5) > 0.01)
-    rows = gene_table(g.withColumn("padj", F.nullif("padj", F.lit(0.0))))
-    return rows.select("gene", F.format_string("%.2f", F.round(F.col("log2fc").cast("double"), 2)).alias("log2fc"), "padj")
+    # a small negative mean keeps its sign: -0.00
+    return gene_table(g.withColumn("padj", F.nullif("padj", F.lit(0.0))), places=2)
 
 
 @query("K05_result_with_provenance", "SELECT n_nationkey AS id, 'rank' AS method, n_name AS name FROM nation")

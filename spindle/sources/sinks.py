@@ -23,10 +23,10 @@ def write_table(rows: DataFrame, path: str, sep: str = ",") -> None:
     rows.select(*flat).write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
 
 
-def gene_table(rows: DataFrame):
-    """``gene, log2fc, padj`` as report text: four decimals, p in scientific notation, NA where null."""
+def gene_table(rows: DataFrame, places: int = 4):
+    """``gene, log2fc, padj`` as report text: so many decimals, p in scientific notation, NA where null."""
     p = F.coalesce(F.format_string("%.2e", "padj"), F.lit("NA"))
-    return rows.select("gene", F.format_string("%.4f", "log2fc").alias("log2fc"), F.when(F.col("padj").isNull(), "NA").otherwise(p).alias("padj"))
+    return rows.select("gene", F.format_string(f"%.{places}f", "log2fc").alias("log2fc"), F.when(F.col("padj").isNull(), "NA").otherwise(p).alias("padj"))
 
 
 def with_provenance(rows: DataFrame, **facts: str) -> DataFrame:

@@ -89,3 +89,10 @@ def test_sinks(spark, tmp_path):
     genes = spark.createDataFrame([("A", 1.23456, 0.00012), ("B", 0.0, None)], "gene string, log2fc double, padj double")
     assert [tuple(r) for r in sinks.gene_table(genes).collect()] == [("A", "1.2346", "1.20e-04"), ("B", "0.0000", "NA")]
     assert json.loads(sinks.with_provenance(genes, method="x").first().value)["provenance"] == {"method": "x"}
+
+
+def test_gene_table_keeps_a_small_negative_sign(spark):
+    from spindle.sources.sinks import gene_table
+
+    rows = gene_table(spark.createDataFrame([(1, -0.001, 0.5), (2, 0.001, None)], "gene int, log2fc double, padj double"), places=2)
+    assert sorted(rows.collect()) == [(1, "-0.00", "5.00e-01"), (2, "0.00", "NA")]
