@@ -11,6 +11,9 @@ from spindle.sources.views import RDF_TYPE, read
 
 TERM, PROPERTY = "https://data.example.org/term/", "https://data.example.org/property/"
 
+#: Parts that the facts are made in.
+PARTS = 64
+
 
 def ontology(spark, d):
     """``s, p, o`` of terms below terms and below restrictions, and of 30 properties in three levels, some declared and named."""
@@ -31,6 +34,8 @@ def ontology(spark, d):
         fact(F.when(k % 25 % 2 == 0, prop), RDF_TYPE, F.lit(OWL + "ObjectProperty")),
         fact(F.when(k % 25 % 2 == 0, prop), LABEL, iri("property ", k % 25)),
     )
+    # a part gives nine facts and its row is small, so one task would read a large table and hold all its facts
+    parts = parts.repartition(PARTS, "p_partkey")
     return stored(parts.select(F.inline(facts)).where("s is not null").distinct(), "ontology")
 
 

@@ -30,3 +30,12 @@ def test_restrictions_and_hierarchy(spark):
 def test_an_empty_ontology(spark):
     t = spark.createDataFrame([], "s string, p string, o string")
     assert restrictions(t).collect() == [] and object_properties(t).collect() == []
+
+
+def test_facts_are_made_in_many_parts(spark, sf_dir, monkeypatch):
+    """A part's row is small and gives nine facts, so the scan's few tasks would hold all facts."""
+    from spindle.plans import introspection
+
+    monkeypatch.setattr(introspection, "stored", lambda df, name: df)
+    plan = introspection.ontology(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in plan and plan.index("Generate") < plan.index("RepartitionByExpression")
