@@ -1,8 +1,9 @@
 """A word and study index over sample metadata, built once and read by range.
 
-The index is a table of postings (word, sample, column, positions), sorted and
-dealt by ranges of words into numbered buckets, and one of studies and their
-samples, sorted the same way. A manifest row publishes a build: schema
+The index is a table of postings (word, column, and lists of samples with
+their positions), sorted and dealt by ranges of words into numbered buckets,
+whose number grows with the text, and one of studies and their samples, sorted
+the same way. A manifest row publishes a build: schema
 version, state of the source (newest change, bytes, files), folder and size. Builds
 are never changed; a reader takes the newest manifest row, a stale one is
 followed by a new build.
@@ -12,18 +13,25 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.operators.cohort import series, tokens
 
-VERSION = "2"
+VERSION = "2.1"
 MANIFEST = "built long, version string, changed timestamp, bytes long, files long, folder string, n_samples long"
 #: Columns of a sample that words are taken from.
 FIELDS = ("title", "source_name")
+#: Samples in a list of postings, bytes of text in a block, characters of text and samples in a bucket.
+LIST, BLOCK, BUCKET, SAMPLES = 64, 8_000_000, 16_000_000, 1_000_000
+KIND = "word string, sample string, field string, samples array<string>, ends array<int>, positions array<int>"
+NAMES = ("word", "sample", "field", "samples", "ends", "positions")
 
 
 def source_state(spark: SparkSession, path: str) -> DataFrame:
@@ -47,35 +55,84 @@ def is_stale(spark: SparkSession, folder: str, source: str, version: str = VERSI
     return last is None or last.version != version or (last.changed, last.bytes, last.files) != (now.changed, now.bytes, now.files)
 
 
+def _lists(samples: pa.Array, texts: pa.Array, field: str) -> pa.RecordBatch:
+    """Lists of postings of one field: texts are words between single spaces."""
+    keep = pc.greater(pc.binary_length(texts), 0)
+    samples, words = samples.filter(keep), pc.split_pattern(texts.filter(keep), " ")
+    sizes = pc.list_value_length(words).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    total = int(sizes.sum())
+    row, position = np.repeat(np.arange(len(sizes)), sizes), np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    code = coded.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code, row, position = code[order], row[order], position[order]
+    # a posting: the places of a word in one text; a list: up to LIST postings of a word
+    begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])][:total])
+    own, rows = code[begin], row[begin]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    rank = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+    head = np.flatnonzero(rank % LIST == 0)
+    bounds = np.r_[head, len(own)].astype(np.int32)
+    places = np.r_[begin[head], total].astype(np.int32)
+    ends = np.r_[begin[1:], total][: len(own)] - np.repeat(places[:-1], np.diff(bounds))
+    lists = [pa.ListArray.from_arrays(pa.array(o), v) for o, v in ((bounds, samples.take(pa.array(rows))), (bounds, pa.array(ends, pa.int32())), (places, pa.array(position, pa.int32())))]
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(own[head])), samples.take(pa.array(rows[head])), pa.array([field] * len(head), pa.string()), *lists], names=NAMES)
+
+
+def _blocks(fields: Sequence[str]):
+    """An Arrow function from ``sample`` and the words of each field to lists of postings, in blocks of about ``BLOCK`` bytes of text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            if not given.num_rows:
+                continue
+            size = sum(np.asarray(pc.fill_null(pc.binary_length(given[f]), 0), np.int64) for f in fields)
+            block = np.cumsum(size) // BLOCK
+            cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                part = given.slice(a, b - a)
+                yield from (_lists(part["sample"], part[f], f) for f in fields)
+
+    return of
+
+
 def postings(samples: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """``word, sample, field, positions`` of the lower-case words of each column."""
-    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields))
-    one = samples.where("sample is not null").select("sample", F.inline(cells)).where("text is not null")
-    words = one.select("sample", "field", F.posexplode(F.split(F.trim(tokens("text")), " ")).alias("position", "word")).where("word <> ''")
-    return words.groupBy("word", "sample", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """``word, sample, field, samples, ends, positions`` of the lower-case words of each column.
+
+    A row lists at most ``LIST`` samples with the word, the first of them as
+    ``sample``; the positions in the i-th one are those up to the i-th end.
+    Tasks make the lists from their own samples, so nothing is sent before the
+    sort.
+    """
+    words = samples.where("sample is not null").select("sample", *(F.trim(tokens(f)).alias(f) for f in fields))
+    return words.mapInArrow(_blocks(fields), KIND)
 
 
 def _bucketed(rows: DataFrame, key: str, path: str, buckets: int) -> None:
     """Write rows sorted by ``key`` in ranges, a folder for each, and the ends of the ranges."""
-    ranged = rows.repartitionByRange(buckets, key, "sample").sortWithinPartitions(key, "sample")
-    ranged.withColumn("bucket", F.spark_partition_id()).write.partitionBy("bucket").parquet(f"{path}/rows")
+    ranged = rows.repartitionByRange(buckets, key, "sample").withColumn("bucket", F.spark_partition_id())
+    # the writer's own order comes first, so that it does not sort again
+    ranged.sortWithinPartitions("bucket", key, "sample").write.partitionBy("bucket").parquet(f"{path}/rows")
     spark = rows.sparkSession
     ends = spark.read.schema(f"{key} string, bucket int").parquet(f"{path}/rows").groupBy("bucket").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     ends.coalesce(1).write.parquet(f"{path}/ends")
 
 
 def build(samples: DataFrame, folder: str, source: str, buckets: int = 32, version: str = VERSION) -> None:
-    """Build an index of ``samples(sample, series_id, title, source_name)`` and publish it."""
+    """Build an index of ``samples(sample, series_id, title, source_name)`` and publish it.
+
+    ``buckets`` is the least number; a bucket holds about ``BUCKET`` characters of text, or ``SAMPLES`` samples of studies.
+    """
     spark = samples.sparkSession
     state = source_state(spark, source)
     own = f"build-{uuid.uuid4().hex}"
-    _bucketed(postings(samples), "word", f"{folder}/{own}/words", buckets)
-    _bucketed(series(samples.where("sample is not null").select("sample", "series_id")).select("series", "sample").distinct(), "series", f"{folder}/{own}/studies", buckets)
-    n = samples.agg(F.count("sample").alias("n_samples"))
+    size = samples.agg(F.count("sample").alias("n_samples"), F.sum(sum(F.coalesce(F.length(f), F.lit(0)) for f in FIELDS).cast("long")).alias("characters")).first()
+    enough = lambda n, one: max(buckets, -(-(n or 0) // one))
+    _bucketed(postings(samples), "word", f"{folder}/{own}/words", enough(size.characters, BUCKET))
+    _bucketed(series(samples.where("sample is not null").select("sample", "series_id")).select("series", "sample").distinct(), "series", f"{folder}/{own}/studies", enough(size.n_samples, SAMPLES))
     last = newest(spark, folder)
-    facts = [F.lit((last.built if last else 0) + 1).cast("long").alias("built"), F.lit(version).alias("version"), "changed", "bytes", "files", F.lit(own).alias("folder"), "n_samples"]
-    # one row on each side
-    state.join(n, how="cross").select(*facts).coalesce(1).write.parquet(f"{folder}/manifest/{own}")
+    facts = [F.lit((last.built if last else 0) + 1).cast("long").alias("built"), F.lit(version).alias("version"), "changed", "bytes", "files", F.lit(own).alias("folder"), F.lit(size.n_samples).cast("long").alias("n_samples")]
+    state.select(*facts).coalesce(1).write.parquet(f"{folder}/manifest/{own}")
 
 
 def ensure(samples: DataFrame, folder: str, source: str, buckets: int = 32, version: str = VERSION) -> bool:
@@ -94,11 +151,16 @@ def lookup(spark: SparkSession, folder: str, table: str, keys: Sequence[str]) ->
     key, base = ("word" if table == "words" else "series"), f"{folder}/{last.folder}/{table}"
     ends = spark.read.schema("bucket int, low string, high string").parquet(f"{base}/ends").collect()  # a row for each bucket
     buckets = sorted({e.bucket for e in ends for k in keys if e.low <= k <= e.high})
-    kind = "word string, sample string, field string, positions array<int>" if table == "words" else "series string, sample string"
     if not buckets:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], "word string, sample string, field string, positions array<int>" if table == "words" else "series string, sample string")
+    kind = KIND if table == "words" else "series string, sample string"
     rows = spark.read.schema(f"{kind}, bucket int").parquet(f"{base}/rows")
-    return rows.where(F.col("bucket").isin(*buckets) & F.col(key).isin(*keys)).drop("bucket")
+    rows = rows.where(F.col("bucket").isin(*buckets) & F.col(key).isin(*keys)).drop("bucket")
+    if table != "words":
+        return rows
+    before = lambda i: F.when(i > 0, F.element_at("ends", F.greatest(i, F.lit(1)))).otherwise(0)
+    each = F.transform("samples", lambda s, i: F.struct(s.alias("sample"), F.slice("positions", before(i) + 1, F.element_at("ends", i + 1) - before(i)).alias("positions")))
+    return rows.select("word", "field", F.inline(each)).select("word", "sample", "field", "positions")
 
 
 def phrase_samples(spark: SparkSession, folder: str, phrases: Sequence[str], fields: Sequence[str] = FIELDS) -> DataFrame:

@@ -67,3 +67,17 @@ def test_an_empty_table_has_an_empty_index(spark, tmp_path):
     frame.write.parquet(source := f"{tmp_path}/source")
     index.build(frame, folder := f"{tmp_path}/index", source, buckets=3)
     assert index.phrase_samples(spark, folder, ["of the"]).collect() == [] and index.newest(spark, folder).n_samples == 0
+
+
+def test_buckets_grow_with_the_text_and_nothing_is_sent_before_the_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET", 500)
+    rows = [(f"s{i:03}", "GSE1", " ".join(["the", f"w{i}", "lung", "of"] * 3), None if i % 2 else "of the") for i in range(200)]
+    frame = spark.createDataFrame(rows, "sample string, series_id string, title string, source_name string")
+    frame.write.parquet(source := f"{tmp_path}/source")
+    index.build(spark.read.parquet(source), folder := f"{tmp_path}/index", source, buckets=2)
+    assert len(list((tmp_path / "index" / index.newest(spark, folder).folder / "words" / "rows").glob("bucket=*"))) > 10
+    assert "Exchange" not in index.postings(frame)._jdf.queryExecution().executedPlan().toString()
+    # more samples than a list holds
+    got = {(r.sample, r.field): r.positions for r in index.lookup(spark, folder, "words", ["of"]).collect()}
+    assert got == {(r[0], f): p for r in rows for f, p in (("title", [3, 7, 11]), ("source_name", [0])) if f == "title" or r[3]}
+    assert index.phrase_samples(spark, folder, ["the w7 lung"]).collect() == [("s007",)]
