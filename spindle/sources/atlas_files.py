@@ -14,8 +14,11 @@ ACCESSION = r"(E-[A-Z]+-[0-9]+)"
 
 def _named(rows: DataFrame) -> DataFrame:
     """Add ``file``: the name of the file, or of the folder of parts that a distributed writer left under that name."""
-    path = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+?)(?:/part-[^/]*)?$", 1)
-    return rows.withColumn("file", F.regexp_replace(path, "^[a-z_]+=", ""))
+    # by cutting: a pattern that is tried from every character of a path costs more than the rest of a line
+    path = F.col("_metadata.file_path")
+    own, folder = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.when(own.startswith("part-") & (folder != ""), folder).otherwise(own)
+    return rows.withColumn("file", F.regexp_replace(name, "^[a-z_]+=", ""))
 
 
 def discover(spark: SparkSession, path: str) -> DataFrame:
@@ -114,17 +117,22 @@ def analytics(spark: SparkSession, path: str) -> DataFrame:
     numbers of a row come from one line, also where a gene has several design
     elements. Rows without a number for a contrast are left out.
     """
-    lines = _named(spark.read.format("text").load(path)).where("file not like '%.undecorated%'").withColumn("cells", F.split("value", "\t"))
-    is_header = F.col("cells")[0] == "Gene ID"
-    # one row for each file
-    headers = lines.where(is_header).groupBy("file").agg(F.first("cells").alias("names"))
+    lines = _named(spark.read.format("text").load(path)).where("file not like '%.undecorated%'")
+    is_header = F.substring_index("value", "\t", 1) == "Gene ID"
+    # one row for each file: where its contrasts' numbers are, 0 for none
+    headers = lines.where(is_header).groupBy("file").agg(F.first(F.split("value", "\t")).alias("names"))
     own = F.array_distinct(F.filter(F.transform("names", lambda n: F.regexp_extract(n, r"^(.+)\.(p-value|log2foldchange)$", 1)), lambda c: c != ""))
-    body = lines.where(~is_header).join(headers.withColumn("own", own), "file").select("file", "cells", "names", F.explode("own").alias("contrast"))
-    cell = lambda name: F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int"))
-    number = lambda what: cell(F.concat("contrast", F.lit(what))).try_cast("double")
+    place = lambda name: F.array_position("names", name).cast("int")
+    parts = {"p_value": ".p-value", "t_statistic": ".t-statistic", "log2fc": ".log2foldchange"}
+    places = F.transform(own, lambda c: F.struct(c.alias("contrast"), *(place(F.concat(c, F.lit(end))).alias(name) for name, end in parts.items())))
+    headers = headers.select("file", accession().alias("experiment"), place(F.lit("Design Element")).alias("element"), places.alias("own"))
+    body = lines.where(~is_header).join(F.broadcast(headers), "file").select("experiment", F.split("value", "\t").alias("cells"), "element", F.explode("own").alias("at"))
+    cell = lambda i: F.try_element_at("cells", F.nullif(i, F.lit(0)))
+    # most cells are NA, and a cast that fails raises and catches an exception
+    number = lambda c: F.when(~c.isin("NA", ""), c).try_cast("double")
     long = body.select(
-        accession().alias("experiment"), F.col("cells")[0].alias("gene_id"), F.col("cells")[1].alias("gene_name"), cell(F.lit("Design Element")).alias("design_element"), "contrast",
-        number(".p-value").alias("p_value"), number(".t-statistic").alias("t_statistic"), number(".log2foldchange").alias("log2fc"),
+        "experiment", F.col("cells")[0].alias("gene_id"), F.col("cells")[1].alias("gene_name"), cell(F.col("element")).alias("design_element"), "at.contrast",
+        *(number(cell(F.col(f"at.{name}"))).alias(name) for name in parts),
     )
     return long.where("p_value is not null or log2fc is not null")
 

@@ -96,3 +96,21 @@ def test_gene_table_keeps_a_small_negative_sign(spark):
 
     rows = gene_table(spark.createDataFrame([(1, -0.001, 0.5), (2, 0.001, None)], "gene int, log2fc double, padj double"), places=2)
     assert sorted(rows.collect()) == [(1, "-0.00", "5.00e-01"), (2, "0.00", "NA")]
+
+
+def test_headers_of_analytics_files_are_sent_to_the_lines(spark, tmp_path):
+    """Lines are not dealt by their file, of which there may be few; each file's columns have places of their own."""
+    one = "Gene ID\tGene Name\tDesign Element\tg1_g2.p-value\tg1_g2.log2foldchange\tg1_g3.p-value\tg1_g3.log2foldchange\n"
+    two = "Gene ID\tGene Name\tg1_g2.log2foldchange\tg1_g2.t-statistic\tg1_g2.p-value\n"
+    for name, text in (("E-A-1_A-1-analytics.tsv", one + "a\tA\tx\t0.5\t1\tNA\t\nb\tB\ty\tNA\t\tbad\t2\n"), ("E-A-2_A-1-analytics.tsv", two + "c\tC\t3\t4\t0.25\nd\tD\t5\n")):
+        (tmp_path / f"name={name}").mkdir()
+        (tmp_path / f"name={name}" / "part-0.txt").write_text(text)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = atlas.analytics(spark, f"{tmp_path.as_uri()}/name=*")
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.experiment, r.gene_id, r.design_element, r.contrast, r.p_value, r.t_statistic, r.log2fc) for r in rows.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [("E-A-1", "a", "x", "g1_g2", 0.5, None, 1.0), ("E-A-1", "b", "y", "g1_g3", None, None, 2.0), ("E-A-2", "c", None, "g1_g2", 0.25, 4.0, 3.0), ("E-A-2", "d", None, "g1_g2", None, None, 5.0)]
