@@ -46,11 +46,15 @@ def curie_to_iri(curie: Column | str, prefixes: dict[str, str]) -> Column:
 
 
 def reified(rows: DataFrame, subject: str, obj: str, metrics: list[str]) -> DataFrame:
-    """``s, p, o``: a node for each association with its ends and metrics; its id is a hash of all of them."""
+    """``s, p, o``: a node for each association with its ends and metrics; its id is a hash of all of them.
+
+    Associations are made distinct before they become facts, as facts are several times as many and each as long.
+    """
+    rows = rows.select(subject, obj, *metrics).distinct()
     node = F.substring(F.md5(F.to_json(F.struct(subject, obj, *metrics)).cast("binary")), 1, 16)
     facts = [("subject", F.col(subject).cast("string")), ("object", F.col(obj).cast("string")), *((m, F.col(m).cast("string")) for m in metrics)]
     cells = F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in facts))
-    return rows.select(node.alias("s"), F.inline(cells)).where("o is not null").distinct()
+    return rows.select(node.alias("s"), F.inline(cells)).where("o is not null")
 
 
 def n_triples(triples: DataFrame) -> DataFrame:

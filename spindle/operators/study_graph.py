@@ -89,3 +89,8 @@ def unfinished(experiments: DataFrame, done: DataFrame) -> DataFrame:
 def graph(*parts: DataFrame) -> DataFrame:
     """The distinct triples of all parts."""
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def joined(*parts: DataFrame) -> DataFrame:
+    """All triples of parts of which each is distinct and none shares a triple with another, so that none need be held or sent to tell equal ones."""
+    return reduce(DataFrame.unionByName, parts)

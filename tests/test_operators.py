@@ -274,3 +274,17 @@ def test_facets_are_not_narrowed_by_their_own_filter(spark):
     some = {(r.field, r.value): r.n for r in facets(frame, ["a", "b"], 2, {"b": ["1"]}).collect()}
     assert some == {("a", "x"): 1, ("a", "y"): 2, ("b", "1"): 4, ("b", "2"): 1}
     assert facets(frame.limit(0), ["a"]).collect() == []
+
+
+def test_facts_of_associations_are_not_sent_to_be_made_distinct(spark):
+    """Only the associations are: they are shorter and fewer than their facts."""
+    from spindle.operators import etl, study_graph
+
+    rows = spark.createDataFrame([("c1", 1, 0.5), ("c1", 1, 0.5), ("c1", 2, None), ("c2", 1, 0.5)], "contrast string, gene long, p double")
+    facts = etl.reified(rows, "contrast", "gene", ["p"])
+    assert facts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert facts.count() == facts.distinct().count() == 8
+    up, down = (study_graph.statements(rows, study_graph.node_iri("assay", "contrast"), r, study_graph.node_iri("gene", "gene"), ["p"], {"m": "x"}) for r in ("UP", "DOWN"))
+    whole = study_graph.joined(up, down)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    assert sorted(whole.collect()) == sorted(study_graph.graph(up, down).collect())
