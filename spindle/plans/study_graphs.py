@@ -66,7 +66,7 @@ def expression_part(spark, d):
     rows = strongest(spark, d)
     up = F.col("log2fc") > 0
     facts = [g.statements(rows.where(where), _assay(), relation, _gene(), ["log2fc", "adj_p"], {"method": "limma"}) for relation, where in (("UPREGULATES", up), ("DOWNREGULATES", ~up))]
-    return g.graph(g.nodes(rows, _gene(), "Gene", {"symbol": "symbol"}), *facts)
+    return g.joined(g.nodes(rows, _gene(), "Gene", {"symbol": "symbol"}), *facts)
 
 
 def enrichment_part(spark, d):
@@ -171,7 +171,8 @@ def e12_triples(spark, d):
   UNION SELECT s, unnest(['{TYPE}', '{SCHEMA}name']), unnest(['{REL}Assay', s_name]), unnest([true, false]) FROM a UNION SELECT '{NODE}study/' || study, '{REL}HAS_OUTPUT', s, true FROM a"""))
 def b08_triples(spark, d):
     """All triples of the graph."""
-    return resolved(g.graph(study_nodes(spark, d), taxon_part(spark, d), attribute_part(spark, d), assay_part(spark, d), expression_part(spark, d), enrichment_part(spark, d)))
+    # the parts say different things of a study, and each has nodes of its own
+    return resolved(g.joined(study_nodes(spark, d), taxon_part(spark, d), attribute_part(spark, d), assay_part(spark, d), expression_part(spark, d), enrichment_part(spark, d)))
 
 
 @query("E05_axioms", "SELECT * FROM (VALUES ('Class', 9::BIGINT), ('Property', 12), ('domain', 12), ('range', 12)) t(kind, n)")
