@@ -145,3 +145,17 @@ def test_one_key_that_fails_leaves_the_others(spark, tmp_path):
     assert {(r.k, r.batch, r.total) for r in outputs(spark, folder).collect()} == want
     assert run_batch(frame, "k", mended, "total long", folder, 3).collect() == []
     assert {(r.k, r.batch, r.total) for r in outputs(spark, folder).collect()} == want
+
+
+def test_many_segments_share_partitions(spark, tmp_path, monkeypatch):
+    from spindle.sources import paged
+
+    rows = [(f"s{k}", i, f"{k}-{i}") for k in range(11) for i in range(k + 1)]
+    write_pages(spark.createDataFrame(rows, "segment string, id int, value string"), path := tmp_path.as_uri() + "/pages", 2)
+    monkeypatch.setattr(paged, "PARTS", 4)
+    monkeypatch.setattr(paged, "LINES", 3)
+    reader = paged.PagedReader(path)
+    parts = reader.partitions()
+    assert len(parts) == 4
+    got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == sorted((s, i // 2 + 1, v) for s, i, v in rows)
