@@ -114,3 +114,26 @@ def test_headers_of_analytics_files_are_sent_to_the_lines(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == [("E-A-1", "a", "x", "g1_g2", 0.5, None, 1.0), ("E-A-1", "b", "y", "g1_g3", None, None, 2.0), ("E-A-2", "c", None, "g1_g2", 0.25, 4.0, 3.0), ("E-A-2", "d", None, "g1_g2", None, None, 5.0)]
+
+
+def test_united_graphs_meet_before_they_are_compared(spark, sf_dir):
+    """A task that reads a table holds none of its triples, and the parts stay many."""
+    from spindle.plans.catalogue import UNION_PARTS, u07, united
+
+    rows = [("a", "p", "x"), ("a", "p", "y"), ("b", "p", "x"), ("b", None, None)]
+    one, two = (spark.createDataFrame(part, "s string, p string, o string") for part in (rows[:3] + rows[:1], rows[1:]))
+    assert sorted(map(repr, united(one, two).collect())) == sorted(map(repr, one.union(two).distinct().collect()))
+    assert united(one, two).rdd.getNumPartitions() == UNION_PARTS
+    plan = u07(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("Exchange hashpartitioning(s#", 1)
+    assert "HashAggregate(keys=[s#" in above and "keys=[s#" not in below
+
+
+def test_facts_of_datasets_and_repeated_facts(spark, sf_dir):
+    from spindle.sources.views import DATASET, triples
+
+    named = triples(spark, sf_dir, only=("name",))
+    own = triples(spark, sf_dir, only=("name",), datasets=True)
+    assert own.exceptAll(named.where(named.s.startswith(DATASET))).count() == 0 and own.count() == named.where(named.s.startswith(DATASET)).count()
+    again = triples(spark, sf_dir, only=("name",), repeated=True)
+    assert again.count() > named.count() and again.distinct().exceptAll(named).count() == 0
