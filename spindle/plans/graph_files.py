@@ -16,8 +16,8 @@ ROWS = " SELECT s, p, CASE WHEN length(o) > 200 THEN md5(o) ELSE o END AS o, iri
 
 
 def _graph(spark, d):
-    wanted = [RDF_TYPE, SCHEMA + "healthCondition", SCHEMA + "name"]
-    facts = triples(spark, d).where(F.col("p").isin(wanted) & F.col("s").contains("/dataset/"))
+    # the writers make triples distinct
+    facts = triples(spark, d, only=(RDF_TYPE, "healthCondition", "name"), datasets=True, repeated=True)
     texts = read(spark, d, "documents").where("text is not null")
     return facts.unionByName(texts.select(F.concat(F.lit("https://data.example.org/doc/"), "doc_id").alias("s"), F.lit(SCHEMA + "text").alias("p"), F.col("text").alias("o"), F.lit(False).alias("iri")))
 
