@@ -24,8 +24,15 @@ def _graph(spark, d):
 
 def _there_and_back(spark, d, ending: str):
     write_graph(_graph(spark, d), path := scratch_path(spark, "graph") + ending)
-    back = read_graph(spark, path).where("bad is null")
-    return back.select("s", "p", F.when(F.length("o") > 200, F.md5(F.col("o").cast("binary"))).otherwise(F.col("o")).alias("o"), "iri")
+    return digested(read_graph(spark, path, repeated=True).where("bad is null"))
+
+
+def digested(found):
+    """The distinct triples, long literals by their digest."""
+    long = F.length("o") > 200
+    shown = F.when(long, F.md5(F.col("o").cast("binary"))).otherwise(F.col("o"))
+    # texts are equal where two digests are, so they need not be sent; a short text that reads like a digest stays another one
+    return found.select("s", "p", shown.alias("o"), "iri", F.when(long, F.xxhash64("o")).alias("other")).distinct().drop("other")
 
 
 @query("S18_turtle_round_trip", GRAPH + ROWS)

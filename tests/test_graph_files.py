@@ -187,3 +187,16 @@ def test_json_ld_sends_triples_once(spark):
     # two predicates that one key stands for have their values once
     assert list(a) == ["@context", "@id", "@type", "rdf:type", "schema:name"]
     assert a["schema:name"] == [{"@value": x} for x in sorted(r[2] for r in ROWS if r[1] == SCHEMA + "name" and not r[3])] + [{"@id": "http://ex.org/b"}]
+
+
+def test_long_literals_are_sent_as_digests(spark):
+    from hashlib import md5
+
+    from spindle.plans.graph_files import digested
+
+    long, digest = "é" * 201, md5(("é" * 201).encode()).hexdigest()
+    rows = [("a", "p", long, False), ("a", "p", long, False), ("a", "p", digest, False), ("a", "p", "é" * 200, False), ("a", "p", "é" * 200, True), ("b", "p", long, False)]
+    frame = digested(spark.createDataFrame(rows, "s string, p string, o string, iri boolean"))
+    assert sorted(map(tuple, frame.collect())) == sorted([("a", "p", digest, False)] * 2 + [("a", "p", "é" * 200, False), ("a", "p", "é" * 200, True), ("b", "p", digest, False)])
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning") < plan.index("md5(")
