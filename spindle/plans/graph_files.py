@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spindle.functions.lineage import scratch_path
+from spindle.plans.catalogue import UNION_PARTS
 from spindle.plans.registry import query
 from spindle.sources.graphs import read_graph, read_turtle, write_graph
 from spindle.sources.views import RDF_TYPE, SCHEMA, read, sql, triples
@@ -32,7 +33,8 @@ def digested(found):
     long = F.length("o") > 200
     shown = F.when(long, F.md5(F.col("o").cast("binary"))).otherwise(F.col("o"))
     # texts are equal where two digests are, so they need not be sent; a short text that reads like a digest stays another one
-    return found.select("s", "p", shown.alias("o"), "iri", F.when(long, F.xxhash64("o")).alias("other")).distinct().drop("other")
+    sent = found.select("s", "p", shown.alias("o"), "iri", F.when(long, F.xxhash64("o")).alias("other"))
+    return sent.repartition(UNION_PARTS, "s").distinct().drop("other")
 
 
 @query("S18_turtle_round_trip", GRAPH + ROWS)
