@@ -232,12 +232,12 @@ def e11(spark, d):
     return facts.agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("p") == "subject", F.col("o"))).alias("contrasts"))
 
 
-@query("E11_reified_triples", sql("assoc", " SELECT contrast, gene::VARCHAR AS gene, log2fc::DOUBLE AS log2fc, adj_p::DOUBLE AS adj_p, 4::BIGINT AS facts, 1::BIGINT AS nodes FROM (SELECT DISTINCT contrast, gene, log2fc, adj_p FROM assoc WHERE log2fc > 0)"))
+@query("E11_reified_triples", sql("assoc", " SELECT contrast, gene::VARCHAR AS gene, log2fc::DOUBLE AS log2fc, adj_p::DOUBLE AS adj_p, 4::BIGINT AS facts, 1::BIGINT AS nodes FROM (SELECT DISTINCT contrast, gene, log2fc, adj_p FROM assoc)"))
 def e11_triples(spark, d):
     """Each association's node with all that its triples say, and how many nodes say the same."""
     from spindle.operators.etl import reified
 
-    rows = associations(spark, d).where("log2fc > 0")
+    rows = associations(spark, d)
     of = lambda p: F.max(F.when(F.col("p") == p, F.col("o")))
     nodes = reified(rows, "contrast", "gene", ["log2fc", "adj_p"]).groupBy("s").agg(of("subject").alias("contrast"), of("object").alias("gene"), of("log2fc").cast("double").alias("log2fc"), of("adj_p").cast("double").alias("adj_p"), F.count("*").alias("facts"))
     return nodes.groupBy("contrast", "gene", "log2fc", "adj_p", "facts").agg(F.count("*").alias("nodes"))

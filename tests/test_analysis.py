@@ -93,3 +93,13 @@ def test_nothing_found(spark):
     assert analyse(samples.limit(0), counts, phrases, F.lit(True)).collect() == []
     found = spark.createDataFrame([("keyword", "cancer")], "strategy string, phrase string")
     assert analyse(samples, counts.limit(0), found, F.lower("title").contains("control")).collect() == []
+
+
+def test_associations_of_either_sign_are_reified(spark, sf_dir):
+    from spindle.plans.atlas import e11_triples
+    from spindle.sources.views import associations
+
+    known = associations(spark, sf_dir).select("contrast", "gene", "log2fc", "adj_p").distinct()
+    rows = e11_triples(spark, sf_dir)
+    assert rows.where("log2fc <= 0").count() == known.where("log2fc <= 0").count() > 0
+    assert rows.count() == known.count()
