@@ -115,3 +115,14 @@ def test_nothing_to_learn_from(docs, no_docs):
     assert language_scores(no_docs, held()).collect() == []
     rows = result(language_scores(docs.where("doc_id is not null"), F.lit(True)))
     assert {r[3:] for r in rows} == {(0, 0, 0.0, 0.0)}
+
+
+def test_shared_folder_without_a_scheme(spark, docs, tmp_path, monkeypatch):
+    from spindle.functions.lineage import shared_dir
+
+    conf = type(spark.conf)
+    monkeypatch.setattr(conf, "get", lambda self, key, *a, get=conf.get: str(tmp_path) if key == "spark.checkpoint.dir" else get(self, key, *a))
+    # a cluster takes no local folder as a file that workers get
+    monkeypatch.setattr(spark.sparkContext, "addFile", lambda *a, **b: pytest.fail("files are shared already"))
+    assert shared_dir(spark) == f"file:{tmp_path}"
+    same(result(language_scores(docs, held())), brute_force([(r.doc_id, r.text) for r in docs.collect()]))
