@@ -72,6 +72,15 @@ def test_pages_are_read_until_one_is_empty(spark, tmp_path):
     assert read_pages(spark, tmp_path.as_uri() + "/nothing").collect() == []
 
 
+def test_pages_are_written_by_the_tasks_that_have_them(spark, tmp_path):
+    rows = [(f"s{i % 5}", i, None if i == 3 else f"é{i}") for i in range(60)]
+    write_pages(spark.createDataFrame(rows, "segment string, id int, value string"), tmp_path.as_uri() + "/pages", 5)
+    found = {str(f.relative_to(tmp_path / "pages")): f.read_text().split("\n") for f in (tmp_path / "pages").rglob("*") if f.is_file()}
+    # nothing but a file for each page: no checksums, markers or temporary folders
+    assert len(found) == 15 and found["segment=s3/page=1/part.txt"] == ["", "é8", "é13", "é18", "é23", ""]
+    assert read_pages(spark, tmp_path.as_uri() + "/pages").count() == 59
+
+
 def lines(*rows):
     return "".join(json.dumps({"_id": i, "date": f"2024-01-{day:02d}T00:00:00", "v": v}) + "\n" for i, day, v in rows)
 
