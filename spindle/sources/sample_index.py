@@ -32,6 +32,8 @@ FIELDS = ("title", "source_name")
 LIST, BLOCK, BUCKET, SAMPLES = 64, 8_000_000, 16_000_000, 1_000_000
 KIND = "word string, sample string, field string, samples array<string>, ends array<int>, positions array<int>"
 NAMES = ("word", "sample", "field", "samples", "ends", "positions")
+#: Lists on their way to a bucket: the samples' bytes one after the other, and whole numbers of seven bits a byte.
+SENT = "word string, sample string, field string, names binary, sizes binary, places binary"
 
 
 def source_state(spark: SparkSession, path: str) -> DataFrame:
@@ -79,8 +81,86 @@ def _lists(samples: pa.Array, texts: pa.Array, field: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(own[head])), samples.take(pa.array(rows[head])), pa.array([field] * len(head), pa.string()), *lists], names=NAMES)
 
 
+def _varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (below 2**35, not negative) as bytes of seven bits, the lowest first, and where each ends."""
+    n = 1 + sum((x >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28))
+    ends = np.cumsum(n)
+    out = np.zeros(int(n.sum()), np.uint8)
+    for k in range(int(n.max(initial=0))):
+        own = np.flatnonzero(n > k)
+        out[ends[own] - n[own] + k] = (x[own] >> 7 * k & 127) | (n[own] > k + 1) << 7
+    return out, ends
+
+
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``_varints`` wrote, and where each ends."""
+    ends = np.flatnonzero(data < 128) + 1
+    first = np.r_[0, ends][: len(ends)]
+    place = np.arange(len(data)) - np.repeat(first, ends - first)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, first) if len(ends) else np.zeros(0, np.int64), ends
+
+
+def _bytes(data: np.ndarray | pa.Buffer, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), data if isinstance(data, pa.Buffer) else pa.py_buffer(data)])
+
+
+def _content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and the bounds of its rows in them."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, bounds - bounds[0]
+
+
+def _packed(lists: pa.RecordBatch) -> pa.RecordBatch:
+    """Lists as ``SENT``: a third of the bytes that arrays take in a shuffle."""
+    if not lists.num_rows:
+        return pa.RecordBatch.from_arrays([*lists.columns[:3], *[pa.array([], pa.binary())] * 3], names=["word", "sample", "field", "names", "sizes", "places"])
+    samples, ends, positions = (lists[c] for c in ("samples", "ends", "positions"))
+    bounds, first = samples.offsets.to_numpy(), positions.offsets.to_numpy()
+    names, cuts = _content(samples.values.cast(pa.binary()))
+    # the bounds of postings among all positions, and each position as its distance from the one before
+    stops = ends.values.to_numpy() + np.repeat(first[:-1], np.diff(bounds))
+    starts = np.r_[0, stops][: len(stops)]
+    place = positions.values.to_numpy().astype(np.int64)
+    steps = np.diff(place, prepend=0)
+    steps[starts] = place[starts]
+    sizes, a = _varints(np.column_stack([stops - starts, np.diff(cuts)]).ravel())
+    places, b = _varints(steps)
+    columns = [_bytes(names, cuts[bounds]), _bytes(sizes, np.r_[0, a][2 * bounds]), _bytes(places, np.r_[0, b][first])]
+    return pa.RecordBatch.from_arrays([*lists.columns[:3], *columns], names=["word", "sample", "field", "names", "sizes", "places"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of ``SENT`` rows, as ``KIND``, about ``BLOCK`` bytes of places at a time."""
+    for given in batches:
+        if not given.num_rows:
+            continue
+        block = _content(given["places"])[1][1:] // BLOCK
+        cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
+        for first, end in zip(cuts, cuts[1:]):
+            yield _lists_of(given.slice(first, end - first))
+
+
+def _lists_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    (names, _), (sizes, own), (places, _) = (_content(batch[c]) for c in ("names", "sizes", "places"))
+    pairs, a = _numbers(sizes)
+    count, length = pairs[0::2], pairs[1::2]
+    bounds = np.searchsorted(a, own, "right") // 2  # of rows among the postings
+    stops = np.r_[0, np.cumsum(count)]
+    steps, _ = _numbers(places)
+    # a sum of all steps, less what it was where the posting began
+    total = np.r_[0, np.cumsum(steps)]
+    positions = total[1:] - np.repeat(total[stops[:-1]], count)
+    ends = stops[1:] - np.repeat(stops[bounds[:-1]], np.diff(bounds))
+    samples = _bytes(names, np.r_[0, np.cumsum(length)]).cast(pa.string())
+    each = ((bounds, samples), (bounds, pa.array(ends, pa.int32())), (stops[bounds], pa.array(positions, pa.int32())))
+    lists = [pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), v) for o, v in each]
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], *lists], names=NAMES)
+
+
 def _blocks(fields: Sequence[str]):
-    """An Arrow function from ``sample`` and the words of each field to lists of postings, in blocks of about ``BLOCK`` bytes of text."""
+    """An Arrow function from ``sample`` and the words of each field to packed lists of postings, in blocks of about ``BLOCK`` bytes of text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
@@ -91,13 +171,13 @@ def _blocks(fields: Sequence[str]):
             cuts = np.r_[0, np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)].tolist()
             for a, b in zip(cuts, cuts[1:]):
                 part = given.slice(a, b - a)
-                yield from (_lists(part["sample"], part[f], f) for f in fields)
+                yield from (_packed(_lists(part["sample"], part[f], f)) for f in fields)
 
     return of
 
 
 def postings(samples: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """``word, sample, field, samples, ends, positions`` of the lower-case words of each column.
+    """Lists of the lower-case words of each column, packed as ``SENT``; unpacked: ``word, sample, field, samples, ends, positions``.
 
     A row lists at most ``LIST`` samples with the word, the first of them as
     ``sample``; the positions in the i-th one are those up to the i-th end.
@@ -105,14 +185,17 @@ def postings(samples: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
     sort.
     """
     words = samples.where("sample is not null").select("sample", *(F.trim(tokens(f)).alias(f) for f in fields))
-    return words.mapInArrow(_blocks(fields), KIND)
+    return words.mapInArrow(_blocks(fields), SENT)
 
 
 def _bucketed(rows: DataFrame, key: str, path: str, buckets: int) -> None:
     """Write rows sorted by ``key`` in ranges, a folder for each, and the ends of the ranges."""
-    ranged = rows.repartitionByRange(buckets, key, "sample").withColumn("bucket", F.spark_partition_id())
+    ranged = rows.repartitionByRange(buckets, key, "sample")
+    if "places" in rows.columns:
+        ranged = ranged.mapInArrow(_unpacked, KIND)
+    ranged = ranged.withColumn("bucket", F.spark_partition_id())
     # the writer's own order comes first, so that it does not sort again
-    ranged.sortWithinPartitions("bucket", key, "sample").write.partitionBy("bucket").parquet(f"{path}/rows")
+    ranged.sortWithinPartitions("bucket", key, "sample").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/rows")
     spark = rows.sparkSession
     ends = spark.read.schema(f"{key} string, bucket int").parquet(f"{path}/rows").groupBy("bucket").agg(F.min(key).alias("low"), F.max(key).alias("high"))
     ends.coalesce(1).write.parquet(f"{path}/ends")

@@ -81,3 +81,19 @@ def test_buckets_grow_with_the_text_and_nothing_is_sent_before_the_sort(spark, t
     got = {(r.sample, r.field): r.positions for r in index.lookup(spark, folder, "words", ["of"]).collect()}
     assert got == {(r[0], f): p for r in rows for f, p in (("title", [3, 7, 11]), ("source_name", [0])) if f == "title" or r[3]}
     assert index.phrase_samples(spark, folder, ["the w7 lung"]).collect() == [("s007",)]
+
+
+def test_lists_are_sent_packed_and_come_back_whole(spark):
+    import pyarrow as pa
+
+    rng = __import__("random").Random(5)
+    words = [" ".join(rng.choice(["the", "of", "lung", f"w{rng.randint(0, 300)}"]) for _ in range(rng.choice([0, 1, 5, 900]))) for _ in range(150)]
+    lists = index._lists(pa.array([f"sé{i * 7}" for i in range(150)]), pa.array(words), "title")
+    sent = index._packed(lists)
+    (back,) = index._unpacked([sent])
+    assert back.to_pylist() == lists.to_pylist() and sent.nbytes * 2 < lists.nbytes
+    # parts of a batch too
+    (some,) = index._unpacked([sent.slice(3, 40)])
+    assert some.to_pylist() == lists.to_pylist()[3:43]
+    x = index.np.array([0, 1, 127, 128, 16383, 16384, (1 << 31) - 1, 5])
+    assert index._numbers(index._varints(x)[0])[0].tolist() == x.tolist()
